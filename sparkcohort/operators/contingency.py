@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkcohort.functions.tails import chi2_upper
 from sparkcohort.operators.describe import group_counts
-from sparkcohort.session import join_groups
+from sparkcohort.session import join_groups, settle
 
 MAX_TABLES = 20_000_000
 TABLES_PER_CHUNK = 4_096
@@ -102,7 +102,7 @@ def fisher_exact_counts(counts: DataFrame, by: Sequence[str], row: str, column:
     tasks in chunks and each task sums the probabilities not above the observed one.  Wider tables, and 2 x c tables with
     more than ``MAX_TABLES`` arrangements, are answered by ``simulations`` random tables with the same margins.
     """
-    tables = _tables(counts, by, row, column, n)
+    tables = settle(_tables(settle(counts), by, row, column, n))
     flip = (F.size("_r") != 2) & (F.size("_c") == 2)
     tables = tables.select(
         *by, F.when(flip, F.col("_c")).otherwise(F.col("_r")).alias("_r"),
@@ -117,7 +117,10 @@ def fisher_exact_counts(counts: DataFrame, by: Sequence[str], row: str, column:
     possible = (F.size("_r") > 1) & (F.size("_c") > 1)
     exact = tables.where(possible & two & (F.col("_space") <= MAX_TABLES))
     other = tables.where(possible & ~(two & (F.col("_space") <= MAX_TABLES)))
-    return _enumerated(exact, by).unionByName(_simulated(other, by, simulations, seed))
+    if not other.take(1):
+        return _enumerated(exact, by)
+    simulated = _simulated(other, by, simulations, seed)
+    return _enumerated(exact, by).unionByName(simulated) if exact.take(1) else simulated
 
 
 def _enumerated(tables: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -187,18 +190,16 @@ def independence_test(counts: DataFrame, by: Sequence[str], row: str, column: st
                       min_expected: float = 5.0, simulations: int = SIMULATIONS, seed: int = 1) -> DataFrame:
     """The usual choice per table: chi-square without correction when all expected counts reach ``min_expected``,
     Fisher's exact test otherwise.  A table with a single row or column has no test."""
-    tested = chi_square_counts(counts, by, row, column, n, yates=False)
-    small = tested.where((F.col("min_expected") < min_expected) & (F.col("df") > 0)).select(*by)
-    keep = small.select(*[F.col(b).alias(f"_key_{b}") for b in by])
-    match = [counts[b].eqNullSafe(keep[f"_key_{b}"]) for b in by]
-    sparse = counts.join(keep, match, "left_semi") if by else join_groups(
-        counts, tested.select("min_expected"), []).where(F.col("min_expected") < min_expected).drop("min_expected")
-    fisher = fisher_exact_counts(sparse, by, row, column, n, simulations, seed).select(
-        *by, F.col("p").alias("_fp"), F.col("method").alias("_fm"))
-    joined = (join_groups(tested, fisher, by, "left") if by
-              else join_groups(tested, fisher.agg(F.max("_fp").alias("_fp"), F.max("_fm").alias("_fm")), []))
-    return joined.select(
-        *by, F.when(F.col("_fp").isNotNull(), F.concat(F.lit("fisher "), "_fm"))
-        .when(F.col("df") > 0, F.lit("chi-square")).alias("test"),
-        F.when(F.col("_fp").isNull(), F.col("statistic")).alias("statistic"),
-        F.coalesce("_fp", "p").alias("p"), "min_expected")
+    counts = settle(counts)
+    tested = settle(chi_square_counts(counts, by, row, column, n, yates=False))
+    chi = tested.select(*by, F.when(F.col("df") > 0, "chi-square").alias("test"), "statistic", "p", "min_expected")
+    small = tested.where((F.col("min_expected") < min_expected) & (F.col("df") > 0)).select(*by, "min_expected")
+    if not small.take(1):
+        return chi
+    sparse = join_groups(counts, small, by).drop("min_expected")
+    fisher = fisher_exact_counts(sparse, by, row, column, n, simulations, seed)
+    exact = join_groups(small, fisher, by).select(
+        *by, F.concat(F.lit("fisher "), "method").alias("test"), F.lit(None).cast("double").alias("statistic"), "p",
+        "min_expected")
+    large = (F.col("min_expected") >= min_expected) | F.col("test").isNull()
+    return chi.where(large).unionByName(exact)

@@ -47,7 +47,8 @@ def _exact_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], repli
 def _poisson_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], key: str, replicates: int,
                   seed: int) -> DataFrame:
     weighted = (_with_draw(rows.withColumn(REPLICATE, F.explode(F.expr(f"sequence(1L, {replicates}L)"))), key, seed)
-                .withColumn("_w", F.expr(poisson_weight("_draw"))).where("_w > 0"))
+                .withColumn("_w", F.expr(poisson_weight("_draw"))))
+    # a filter on the weight would be pushed below and evaluate the draw once more
     return (weighted.groupBy(*by, REPLICATE)
             .agg(F.sum("_w").cast("double").alias(WEIGHT),
                  *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in fields]))

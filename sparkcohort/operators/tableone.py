@@ -11,7 +11,7 @@ from sparkcohort.functions.nulls import paste
 from sparkcohort.operators.contingency import SIMULATIONS, independence_test
 from sparkcohort.operators.describe import percent_text, stack_columns
 from sparkcohort.operators.ranks import quantiles
-from sparkcohort.session import join_groups
+from sparkcohort.session import join_groups, settle
 
 
 def categorical_counts(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
@@ -21,16 +21,18 @@ def categorical_counts(df: DataFrame, by: str, columns: Sequence[str]) -> DataFr
 
 
 def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), continuous: Sequence[str] = (),
-                   missing: bool = True, percent_digits: int = 0, number_digits: int = 0) -> DataFrame:
+                   missing: bool = True, percent_digits: int = 0, number_digits: int = 0,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Rows ``(variable, level, <by>, kind, n, percent, p25, median, p75, n_present, text)``.
 
     Categorical variables give n and the share of the non-missing values of their group, continuous ones the median and
     quartiles.  ``n_present`` is the number of non-missing values of the variable over all groups.  ``missing`` keeps a
-    row (level NULL, kind ``unknown``) with the number of missing values where there are any.
+    row (level NULL, kind ``unknown``) with the number of missing values where there are any.  ``counts`` takes
+    ``categorical_counts`` made before.
     """
     parts = []
     if categorical:
-        counts = categorical_counts(df, by, categorical)
+        counts = counts if counts is not None else categorical_counts(df, by, categorical)
         known = F.col("level").isNotNull()
         shown = counts.withColumns({
             "percent": F.when(known, F.col("n") / F.sum(F.when(known, F.col("n"))).over(
@@ -70,15 +72,16 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), cont
 
 
 def baseline_tests(df: DataFrame, by: str, categorical: Sequence[str], simulations: int = SIMULATIONS,
-                   seed: int = 1) -> DataFrame:
+                   seed: int = 1, counts: DataFrame | None = None) -> DataFrame:
     """(variable, test, statistic, p, min_expected) of each categorical variable against the groups."""
-    counts = categorical_counts(df, by, categorical).where("level IS NOT NULL")
-    return independence_test(counts, ["variable"], "level", by, simulations=simulations, seed=seed)
+    counts = counts if counts is not None else categorical_counts(df, by, categorical)
+    return independence_test(counts.where("level IS NOT NULL"), ["variable"], "level", by, simulations=simulations, seed=seed)
 
 
 def baseline_table_with_tests(df: DataFrame, by: str, categorical: Sequence[str], continuous: Sequence[str] = (),
                               **kw) -> DataFrame:
-    """``baseline_table`` with the test of its variable on every row."""
-    table = baseline_table(df, by, categorical, continuous, **kw)
-    tests = baseline_tests(df, by, categorical).select("variable", "test", "p")
+    """``baseline_table`` with the test of its variable on every row; the counts are taken once for both."""
+    counts = settle(categorical_counts(df, by, categorical))
+    table = baseline_table(df, by, categorical, continuous, counts=counts, **kw)
+    tests = baseline_tests(df, by, categorical, counts=counts).select("variable", "test", "p")
     return join_groups(table, tests, ["variable"], "left")
