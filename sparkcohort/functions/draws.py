@@ -11,7 +11,6 @@ import math
 PRIME = 2_147_483_647
 KEY_STEP = 48_271
 REPLICATE_STEP = 69_621
-ROUND_STEP = 16_807
 HIGH_STEP = 39_373
 
 
@@ -21,13 +20,19 @@ def round_text(x: str) -> str:
     return f"(({square} * {square} % {PRIME}) * ({x}) % {PRIME})"
 
 
-def first_input(key: str, replicate: str, seed: int) -> str:
-    return f"((({key}) % {PRIME}) * {KEY_STEP} + ({replicate}) * {REPLICATE_STEP} + {seed % PRIME}) % {PRIME}"
+def key_input(key: str, seed: int) -> str:
+    """Input of the first round, from the low part of a row key."""
+    return f"((({key}) % {PRIME}) * {KEY_STEP} + {seed % PRIME}) % {PRIME}"
 
 
-def second_input(first: str, key: str, replicate: str, divide: str = "DIV") -> str:
-    """``divide`` is the integer division operator of the engine."""
-    return f"({first} + ({replicate}) * {ROUND_STEP} + ((({key}) {divide} {PRIME}) % {PRIME}) * {HIGH_STEP}) % {PRIME}"
+def key_second_input(first: str, key: str, divide: str = "DIV") -> str:
+    """Input of the second round, which adds the high part; ``divide`` is the integer division operator of the engine."""
+    return f"({first} + ((({key}) {divide} {PRIME}) % {PRIME}) * {HIGH_STEP}) % {PRIME}"
+
+
+def draw_input(key_hash: str, replicate: str) -> str:
+    """Input of the last round: the hashed row key (two rounds, once per row) moved by the replicate."""
+    return f"({key_hash} + ({replicate}) * {REPLICATE_STEP}) % {PRIME}"
 
 
 def poisson_thresholds(last: int = 12) -> list[int]:

@@ -17,6 +17,11 @@ def paste(*parts, missing: str = "NA") -> Column:
     return F.concat(*[F.coalesce(c.cast("string"), F.lit(missing)) for c in cols])
 
 
+def fixed_text(value: Column, digits: int, suffix: str = "") -> Column:
+    """A number rounded half to even with a fixed number of digits as text; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f{suffix}", F.bround(value, digits) + 0.0))
+
+
 def present(value: Column) -> Column:
     """True when a measurement is neither NULL nor NaN."""
     return value.isNotNull() & ~F.isnan(value.cast("double"))

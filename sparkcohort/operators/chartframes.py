@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.derive import pseudo_log, pseudo_log_inverse
+from sparkcohort.functions.nulls import sql_name
 from sparkcohort.operators.corr import correlation_text, spearman
 from sparkcohort.operators.ranks import quantiles
 from sparkcohort.operators.regress import deming_band
 from sparkcohort.operators.resample import bootstrap_geometric_mean
 from sparkcohort.operators.reshape import to_wide
-from sparkcohort.session import broadcast_if_small, join_groups
+from sparkcohort.session import broadcast_if_small, join_groups, spread
 
 AXES: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
     "pseudo_log": (pseudo_log, pseudo_log_inverse),
@@ -46,14 +47,14 @@ def density(df: DataFrame, by: Sequence[str], value: str, axis: str = "identity"
     """
     forward, inverse = AXES[axis]
     data = df.select(*by, forward(F.col(value).cast("double")).alias("_a")).where("_a IS NOT NULL AND NOT isnan(_a)")
-    spread = data.groupBy(*by).agg(F.stddev_samp("_a").alias("_sd"), F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    extent = data.groupBy(*by).agg(F.stddev_samp("_a").alias("_sd"), F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
     ranges = quantiles(data, by, "_a", {"_q1": 0.25, "_q3": 0.75}, n="_n")
-    keys = [f"`{b}`" for b in by]
+    keys = [sql_name(b) for b in by]
     # a zero spread falls back to sd, then to the size of the value, then to one
     lower = "least(_sd, (_q3 - _q1) / 1.34D)"
-    spread_or = (f"CASE WHEN {lower} > 0 THEN {lower} WHEN _sd > 0 THEN _sd WHEN _lo != 0 THEN abs(_lo) ELSE 1D END")
-    groups = broadcast_if_small(join_groups(spread, ranges, by).where("_n > 1").selectExpr(
-        *keys, "_n", "_lo", "_hi", f"0.9D * ({spread_or}) * pow(CAST(_n AS DOUBLE), -0.2D) AS _bw"))
+    width = (f"CASE WHEN {lower} > 0 THEN {lower} WHEN _sd > 0 THEN _sd WHEN _lo != 0 THEN abs(_lo) ELSE 1D END")
+    groups = broadcast_if_small(join_groups(extent, ranges, by).where("_n > 1").selectExpr(
+        *keys, "_n", "_lo", "_hi", f"0.9D * ({width}) * pow(CAST(_n AS DOUBLE), -0.2D) AS _bw"))
     step = f"((_hi - _lo + 8D * _bw) / {points - 1})"
     placed = (join_groups(data, groups, by)
               .selectExpr(*keys, f"(_a - _lo + 4D * _bw) / {step} AS _pos")
@@ -63,8 +64,8 @@ def density(df: DataFrame, by: Sequence[str], value: str, axis: str = "identity"
              .groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_cell", "_left", "_right"))).alias("_cells")))
     kernel = (f"aggregate(_cells, 0D, (s, c) -> s + c._left * exp(-0.5D * pow((_g - c._cell * {step}) / _bw, 2)) "
               f"+ c._right * exp(-0.5D * pow((_g - (c._cell + 1) * {step}) / _bw, 2)))")
-    curve = (join_groups(groups, cells, by)
-             .withColumn("point", F.explode(F.expr(f"sequence(0, {points - 1})"))).repartition(*by, "point")
+    grid = join_groups(groups, cells, by).withColumn("point", F.explode(F.expr(f"sequence(0, {points - 1})")))
+    curve = (spread(grid, *by, "point")
              .withColumn("_at", F.expr(f"_lo + (_hi - _lo) * point / {points - 1}D"))
              .withColumn("_g", F.expr("_at - _lo + 4D * _bw"))
              .selectExpr(*keys, "point", "_at", "_n AS n", f"{kernel} / (_n * _bw * {math.sqrt(2 * math.pi)!r}D) AS density")

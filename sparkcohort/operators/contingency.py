@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkcohort.functions.tails import chi2_upper
 from sparkcohort.operators.describe import group_counts
-from sparkcohort.session import join_groups, settle
+from sparkcohort.session import join_groups, settle, spread
 
 MAX_TABLES = 20_000_000
 TABLES_PER_CHUNK = 4_096
@@ -128,11 +128,10 @@ def _enumerated(tables: DataFrame, by: Sequence[str]) -> DataFrame:
     first_row = ("transform(sequence(1, size(_c)), j -> aggregate(filter(_cells, x -> x._i = 1 AND x._j = j), 0L, "
                  "(s, x) -> s + x._o))")
     weight = f"aggregate(arrays_zip(_c, _x), 0D, (s, z) -> s + {choose('z._c', 'z._x')})"
-    chunks = (tables.withColumn("_x", F.expr(first_row))
-              .withColumn("_observed", F.expr(weight)).drop("_x", "_cells")
-              .withColumn("_chunk", F.explode(F.expr(
-                  f"sequence(0L, CAST(ceil(_space / {TABLES_PER_CHUNK}) AS BIGINT) - 1)")))
-              .repartition(*by, "_chunk"))
+    chunks = spread(tables.withColumn("_x", F.expr(first_row))
+                    .withColumn("_observed", F.expr(weight)).drop("_x", "_cells")
+                    .withColumn("_chunk", F.explode(F.expr(
+                        f"sequence(0L, CAST(ceil(_space / {TABLES_PER_CHUNK}) AS BIGINT) - 1)"))), *by, "_chunk")
     decode = ("aggregate(_radix, named_struct('rest', _number, 'x', CAST(array() AS ARRAY<BIGINT>)), "
               "(s, m) -> named_struct('rest', s.rest DIV m, 'x', concat(s.x, array(s.rest % m))), s -> s.x)")
     rows = (chunks.withColumn("_number", F.explode(F.expr(
@@ -178,9 +177,8 @@ def _simulated(tables: DataFrame, by: Sequence[str], simulations: int, seed: int
                 low.append(int((score(_random_tables(rows, cols, size, rng)) <= limit + 1e-7 * abs(limit)).sum()))
             yield pdf[list(by)].assign(_low=low)
 
-    chunks = (tables.select(*by, "_r", "_c", "_cells", F.explode(F.expr(
-        f"sequence(0, {max(0, math.ceil(simulations / SIMULATIONS_PER_CHUNK) - 1)})")).alias("_chunk"))
-        .repartition(*by, "_chunk"))
+    chunks = spread(tables.select(*by, "_r", "_c", "_cells", F.explode(F.expr(
+        f"sequence(0, {max(0, math.ceil(simulations / SIMULATIONS_PER_CHUNK) - 1)})")).alias("_chunk")), *by, "_chunk")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tables.select(*by).schema], "_low long"])
     return (chunks.mapInPandas(draw, schema).groupBy(*by).agg(F.sum("_low").alias("_low"))
             .select(*by, ((F.col("_low") + 1.0) / (simulations + 1.0)).alias("p"), F.lit("simulated").alias("method")))

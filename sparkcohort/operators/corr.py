@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import paste
+from sparkcohort.functions.nulls import fixed_text, paste, sql_name
 from sparkcohort.functions.tails import student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
 from sparkcohort.operators.ranks import CELLS_PER_E_FOLD, COUNT, mid_rank, prefix_counts
@@ -41,7 +41,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.
     z = NormalDist().inv_cdf(0.5 + level / 2.0)
     se2 = {"fieller": "1.06D / (n - 3)", "bonett-wright": "(1D + rho * rho / 2D) / (n - 3)"}[standard_error]
     half = f"{z!r}D * sqrt({se2})"
-    return (sums.selectExpr(*[f"`{b}`" for b in by], "n",
+    return (sums.selectExpr(*[sql_name(b) for b in by], "n",
                             f"CASE WHEN {spread} > 0 THEN greatest(-1D, least(1D, {covariance} / sqrt({spread}))) END AS rho")
             .withColumns({
                 "ci_low": F.expr(f"CASE WHEN n > 3 THEN tanh(atanh(rho) - {half}) END"),
@@ -62,6 +62,6 @@ def correlation_text(result: DataFrame, name: str = "text", digits: int = 2, p_d
 
 def plain_number(column: str, digits: int):
     """A rounded number as text without trailing zeros or an exponent (0.5, 1, -0.07)."""
-    fixed = F.format_string(f"%.{digits}f", F.bround(F.col(column), digits) + 0.0)
+    fixed = fixed_text(F.col(column) + 0.0, digits)
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 

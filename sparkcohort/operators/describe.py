@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import paste, present, sql_name, sql_text
+from sparkcohort.functions.nulls import fixed_text, paste, present, sql_name, sql_text
 from sparkcohort.operators.levels import level_table
 from sparkcohort.operators.ranks import quantiles
 from sparkcohort.operators.reshape import numeric_columns
@@ -53,7 +53,7 @@ def geometric_mean(df: DataFrame, by: Sequence[str], value: str, name: str = "ge
 
 def percent_text(share: Column, digits: int = 1) -> Column:
     """``12.3%`` of a share between 0 and 1, rounded half to even."""
-    return F.format_string(f"%.{digits}f%%", F.bround(share * 100.0, digits))
+    return fixed_text(share * 100.0, digits, "%%")
 
 
 def oneway_frequency(df: DataFrame, column: str, digits: int = 1) -> DataFrame:

@@ -159,7 +159,8 @@ def holm(tests: DataFrame, by: Sequence[str], p: str = "p", adjusted: str = "p_a
     """
     stratum = Window.partitionBy(*by, F.col(p).isNull())
     ordered = stratum.orderBy(p, *ties)
-    step = F.least(F.lit(1.0), (F.count(p).over(stratum) - F.row_number().over(ordered) + 1) * F.col(p))
+    step = F.when(F.col(p).isNotNull(), F.least(
+        F.lit(1.0), (F.count(p).over(stratum) - F.row_number().over(ordered) + 1) * F.col(p)))
     return (tests.withColumn("_step", step)
             .withColumn(adjusted, F.max("_step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
             .drop("_step"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcohort.functions.nulls import sql_name
 from sparkcohort.functions.tails import chi2_upper, normal_quantile, student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
 from sparkcohort.operators.ranks import TOTAL, mid_rank, prefix_counts, value_counts
@@ -27,7 +28,7 @@ def _deming_line(noise_ratio: float | None) -> tuple[str, str]:
 def deming(df: DataFrame, by: Sequence[str], x: str, y: str, noise_ratio: float | None = None) -> DataFrame:
     """(group, n, slope, intercept, x_min, x_max).  The default noise ratio is sd(y)/sd(x); no fit for a zero covariance."""
     slope, intercept = _deming_line(noise_ratio)
-    keys = [f"`{b}`" for b in by]
+    keys = [sql_name(b) for b in by]
     return (drop_missing(df, x, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("_sxx"), F.var_samp(y).alias("_syy"),
         F.covar_samp(x, y).alias("_sxy"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
@@ -39,9 +40,10 @@ def deming_replicates(df: DataFrame, by: Sequence[str], x: str, y: str, replicat
                       key: str | None = None, noise_ratio: float | None = None, **kw) -> DataFrame:
     """(group, replicate, slope, intercept) of bootstrap resamples; the noise ratio is estimated anew in each."""
     slope, intercept = _deming_line(noise_ratio)
+    qx, qy = sql_name(x), sql_name(y)
     sums = replicate_sums(drop_missing(df, x, y), by, {
-        "_x": x, "_y": y, "_xx": f"{x} * {x}", "_yy": f"{y} * {y}", "_xy": f"{x} * {y}"}, replicates, seed, key, **kw)
-    keys = [f"`{b}`" for b in by]
+        "_x": qx, "_y": qy, "_xx": f"{qx} * {qx}", "_yy": f"{qy} * {qy}", "_xy": f"{qx} * {qy}"}, replicates, seed, key, **kw)
+    keys = [sql_name(b) for b in by]
     w = WEIGHT
     return (sums.where(f"{w} > 1").selectExpr(
         *keys, "replicate", f"_x / {w} AS _mx", f"_y / {w} AS _my", f"(_xx - _x * _x / {w}) / ({w} - 1) AS _sxx",
@@ -53,7 +55,7 @@ def deming_replicates(df: DataFrame, by: Sequence[str], x: str, y: str, replicat
 def x_grid(limits: DataFrame, by: Sequence[str], points: int = 80) -> DataFrame:
     """(group, point, x): an even grid from ``x_min`` to ``x_max`` of each group."""
     return (limits.select(*by, "x_min", "x_max", F.explode(F.expr(f"sequence(0, {points - 1})")).alias("point"))
-            .selectExpr(*[f"`{b}`" for b in by], "point", f"x_min + (x_max - x_min) * point / {points - 1}D AS x"))
+            .selectExpr(*[sql_name(b) for b in by], "point", f"x_min + (x_max - x_min) * point / {points - 1}D AS x"))
 
 
 def deming_band(df: DataFrame, by: Sequence[str], x: str, y: str, points: int = 80, level: float = 0.95,
@@ -65,7 +67,7 @@ def deming_band(df: DataFrame, by: Sequence[str], x: str, y: str, points: int =
     groups x replicates x points and does not depend on the data.
     """
     fit = deming(df, by, x, y, noise_ratio)
-    keys = [f"`{b}`" for b in by]
+    keys = [sql_name(b) for b in by]
     lines = join_groups(deming_replicates(df, by, x, y, replicates, seed, key, noise_ratio, **kw),
                         fit.select(*by, "x_min", "x_max"), by)
     predicted = (lines.withColumn("point", F.explode(F.expr(f"sequence(0, {points - 1})")))
@@ -86,7 +88,7 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     sums = drop_missing(df, x, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"),
         F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
-    keys = [f"`{b}`" for b in by]
+    keys = [sql_name(b) for b in by]
     fit = (sums.where("n > 2 AND sxx > 0")
            .selectExpr("*", "sxy / sxx AS slope", "greatest(0D, syy - sxy / sxx * sxy) AS sse")
            .selectExpr("*", "y_mean - slope * x_mean AS intercept", "sqrt(sse / (n - 2)) AS sigma")
@@ -108,16 +110,17 @@ _FIT_COLUMNS = ("n", "intercept", "slope", "sigma", "x_mean", "y_mean", "sxx", "
 def _with_fit(df: DataFrame, by: Sequence[str], x: str, y: str, fit: DataFrame | None) -> DataFrame:
     """Rows with the fit of their group beside them.  The fit is settled once; it is broadcast when its rows are few."""
     line = (fit if fit is not None else ols(df, by, x, y)).selectExpr(
-        *[f"`{b}`" for b in by], *[f"{c} AS _{c}" for c in _FIT_COLUMNS])
+        *[sql_name(b) for b in by], *[f"{c} AS _{c}" for c in _FIT_COLUMNS])
     return join_groups(drop_missing(df, x, y), broadcast_if_small(line), by)
 
 
 def ols_diagnostics(df: DataFrame, by: Sequence[str], x: str, y: str, fit: DataFrame | None = None) -> DataFrame:
     """The input rows with ``fitted, residual, leverage, std_residual, cooks_distance``."""
+    qx, qy = sql_name(x), sql_name(y)
     rows = _with_fit(df, by, x, y, fit)
-    return (rows.selectExpr("*", f"_intercept + _slope * {x} AS fitted",
-                            f"1D / _n + ({x} - _x_mean) * ({x} - _x_mean) / _sxx AS leverage")
-            .selectExpr("*", f"{y} - fitted AS residual")
+    return (rows.selectExpr("*", f"_intercept + _slope * {qx} AS fitted",
+                            f"1D / _n + ({qx} - _x_mean) * ({qx} - _x_mean) / _sxx AS leverage")
+            .selectExpr("*", f"{qy} - fitted AS residual")
             .selectExpr("*", "CASE WHEN _sigma > 0 AND leverage < 1 THEN residual / (_sigma * sqrt(1D - leverage)) END "
                              "AS std_residual")
             .selectExpr(*[f"`{c}`" for c in df.columns], "fitted", "residual", "leverage", "std_residual",
@@ -140,21 +143,22 @@ def ols_global_test(df: DataFrame, by: Sequence[str], x: str, y: str, order: str
     Output rows ``(group, check, statistic, df, p)``.  ``order`` is the numeric column along which the variance may drift
     (only its order of magnitude matters: the statistic does not change under a linear map).
     """
+    qx, qy, keys = sql_name(x), sql_name(y), [sql_name(b) for b in by]
+    # r: standardised residual, g: fitted value about its mean, h: x about its mean, v: drift variable
     rows = _with_fit(df, by, x, y, fit).selectExpr(
-        *[f"`{b}`" for b in by], "_n AS n", f"({y} - _intercept - _slope * {x}) / sqrt(_sse / _n) AS r",
-        f"_slope * ({x} - _x_mean) AS g", f"{x} - _x_mean AS h", f"CAST({order} AS DOUBLE) AS v").where("r IS NOT NULL")
-    keys = [f"`{b}`" for b in by]
+        *keys, "_n", f"({qy} - _intercept - _slope * {qx}) / sqrt(_sse / _n) AS _r", f"_slope * ({qx} - _x_mean) AS _g",
+        f"{qx} - _x_mean AS _h", f"CAST({sql_name(order)} AS DOUBLE) AS _v").where("_r IS NOT NULL")
     sums = rows.groupBy(*by).agg(
-        F.max("n").alias("n"),
+        F.max("_n").alias("_n"),
         *[F.expr(f"sum({e}) AS {name}") for name, e in (
-            ("r3", "r * r * r"), ("r4", "r * r * r * r - 3D"), ("gr", "g * g * r"), ("g4", "g * g * g * g"),
-            ("g2", "g * g"), ("gh", "g * g * h"), ("hh", "h * h"), ("vr", "v * (r * r - 1D)"),
-            ("r2", "r * r - 1D"), ("v1", "v"))],
-        F.var_pop("v").alias("vv"))
+            ("_r3", "_r * _r * _r"), ("_r4", "_r * _r * _r * _r - 3D"), ("_gr", "_g * _g * _r"),
+            ("_g4", "_g * _g * _g * _g"), ("_g2", "_g * _g"), ("_gh", "_g * _g * _h"), ("_hh", "_h * _h"),
+            ("_vr", "_v * (_r * _r - 1D)"), ("_r2", "_r * _r - 1D"), ("_v1", "_v"))],
+        F.var_pop("_v").alias("_vv"))
     checks = sums.selectExpr(
-        *keys, "r3 * r3 / (6D * n) AS s1", "r4 * r4 / (24D * n) AS s2",
-        "(gr * gr / n) / (g4 / n - (g2 / n) * (g2 / n) - (gh / n) * (gh / n) / (hh / n)) AS s3",
-        "pow(vr - v1 / n * r2, 2) / (2D * n * vv) AS s4")
+        *keys, "_r3 * _r3 / (6D * _n) AS s1", "_r4 * _r4 / (24D * _n) AS s2",
+        "(_gr * _gr / _n) / (_g4 / _n - (_g2 / _n) * (_g2 / _n) - (_gh / _n) * (_gh / _n) / (_hh / _n)) AS s3",
+        "pow(_vr - _v1 / _n * _r2, 2) / (2D * _n * _vv) AS s4")
     out = checks.selectExpr(*keys, """inline(array(
         named_struct('check', 'global', 'statistic', s1 + s2 + s3 + s4, 'df', 4L),
         named_struct('check', 'skewness', 'statistic', s1, 'df', 1L),

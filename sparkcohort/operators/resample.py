@@ -17,18 +17,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.draws import first_input, poisson_weight, round_text, second_input
-from sparkcohort.session import broadcast_if_small, join_groups, settle
+from sparkcohort.functions.draws import draw_input, key_input, key_second_input, poisson_weight, round_text
+from sparkcohort.functions.nulls import sql_name
+from sparkcohort.operators.describe import drop_missing
+from sparkcohort.session import broadcast_if_small, join_groups, settle, spread
 
 EXACT_LIMIT = 2_000
 REPLICATE = "replicate"
 WEIGHT = "weight"
 
 
-def _with_draw(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return (df.withColumn("_a", F.expr(first_input(key, REPLICATE, seed)))
+def _with_key_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return (df.withColumn("_a", F.expr(key_input(key, seed)))
             .withColumn("_a", F.expr(round_text("_a")))
-            .withColumn("_a", F.expr(second_input("_a", key, REPLICATE)))
+            .withColumn("_a", F.expr(key_second_input("_a", key)))
+            .withColumn("_hash", F.expr(round_text("_a"))).drop("_a"))
+
+
+def _with_draw(df: DataFrame, replicates: int) -> DataFrame:
+    """Every row once per replicate, with its draw."""
+    return (df.withColumn(REPLICATE, F.explode(F.expr(f"sequence(1L, {replicates}L)")))
+            .withColumn("_a", F.expr(draw_input("_hash", REPLICATE)))
             .withColumn("_draw", F.expr(round_text("_a"))).drop("_a"))
 
 
@@ -36,19 +45,19 @@ def _exact_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], repli
     """``rows`` holds groups of at most ``exact_limit`` rows."""
     order = Window.partitionBy(*by).orderBy(*fields)
     numbered = broadcast_if_small(rows.select(*by, *fields, F.row_number().over(order).cast("long").alias("_at")))
-    draws = (group_sizes(numbered, by).withColumn(REPLICATE, F.explode(F.expr(f"sequence(1L, {replicates}L)")))
-             .repartition(*by, REPLICATE)
-             .withColumn("_slot", F.explode(F.expr("sequence(1L, _n)"))))
-    picked = _with_draw(draws, "_slot", seed).select(*by, REPLICATE, (F.col("_draw") % F.col("_n") + 1).alias("_at"))
+    slots = spread(group_sizes(numbered, by).withColumn("_slot", F.explode(F.expr("sequence(1L, _n)"))), *by, "_slot")
+    picked = _with_draw(_with_key_hash(slots, "_slot", seed), replicates).select(
+        *by, REPLICATE, (F.col("_draw") % F.col("_n") + 1).alias("_at"))
     return (join_groups(picked, numbered, [*by, "_at"]).groupBy(*by, REPLICATE)
             .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT), *[F.sum(f).alias(f) for f in fields]))
 
 
 def _poisson_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], key: str, replicates: int,
                   seed: int) -> DataFrame:
-    weighted = (_with_draw(rows.withColumn(REPLICATE, F.explode(F.expr(f"sequence(1L, {replicates}L)"))), key, seed)
+    # a row becomes ``replicates`` rows, so the rows are spread evenly first, however the files were laid out;
+    # no filter on the weight: it would be pushed below and evaluate the draw once more
+    weighted = (_with_draw(_with_key_hash(spread(rows, key), key, seed).drop(key), replicates)
                 .withColumn("_w", F.expr(poisson_weight("_draw"))))
-    # a filter on the weight would be pushed below and evaluate the draw once more
     return (weighted.groupBy(*by, REPLICATE)
             .agg(F.sum("_w").cast("double").alias(WEIGHT),
                  *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in fields]))
@@ -103,10 +112,9 @@ def percentile_bounds(replicates: DataFrame, by: Sequence[str], value: str, leve
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, replicates: int = 10_000, level: float = 0.95,
                    seed: int = 1, key: str | None = None, **kw) -> DataFrame:
     """(group, n, mean, lower, upper): both bounds come from one resampling."""
-    sums = replicate_sums(df, by, {"_x": value}, replicates, seed, key, **kw)
+    sums = replicate_sums(df, by, {"_x": sql_name(value)}, replicates, seed, key, **kw)
     bounds = percentile_bounds(sums.withColumn("_m", F.col("_x") / F.col(WEIGHT)), by, "_m", level)
-    data = df.where(F.expr(f"({value}) IS NOT NULL AND NOT isnan({value})"))
-    point = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.expr(value)).alias("mean"))
+    point = drop_missing(df, value).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return join_groups(point, bounds, by, "left")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import paste
+from sparkcohort.functions.nulls import fixed_text, paste
 from sparkcohort.operators.contingency import SIMULATIONS, independence_test
 from sparkcohort.operators.describe import percent_text, stack_columns
 from sparkcohort.operators.ranks import quantiles
@@ -47,10 +47,8 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), cont
     if continuous:
         long = stack_columns(df.where(F.col(by).isNotNull()), [by], continuous)
         points = quantiles(long, ["variable", by], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
-        number = f"%.{number_digits}f"
-        text = paste(F.format_string(number, F.bround("median", number_digits)), " (",
-                     F.format_string(number, F.bround("p25", number_digits)), ", ",
-                     F.format_string(number, F.bround("p75", number_digits)), ")")
+        median, low, high = (fixed_text(F.col(c), number_digits) for c in ("median", "p25", "p75"))
+        text = paste(median, " (", low, ", ", high, ")")
         parts.append(points.select(
             "variable", F.lit(None).cast("string").alias("level"), by, F.lit("continuous").alias("kind"), "n",
             F.lit(None).cast("double").alias("percent"), "p25", "median", "p75",

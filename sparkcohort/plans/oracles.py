@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from sparkcohort.functions.draws import first_input, poisson_weight, round_text, second_input
+from sparkcohort.functions.draws import draw_input, key_input, key_second_input, poisson_weight, round_text
 
 SEGMENTS = ("BUILDING", "AUTOMOBILE", "FURNITURE")
 MOMENTS = ("baseline", "after_dose1", "after_dose2", "after_120", "after_180")
@@ -169,8 +169,8 @@ def signed_rank(source: str, by: Sequence[str], value: str, levels: Sequence[str
 
 def holm(by: Sequence[str]) -> list[str]:
     part = "PARTITION BY " + ", ".join([*by, "(p IS NULL)"])
-    return [f"steps AS (SELECT *, least(1.0, (count(p) OVER ({part}) - row_number() OVER ({part} ORDER BY p, ord1, ord2) + 1) "
-            "* p) AS step FROM tests)",
+    return [f"steps AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, (count(p) OVER ({part}) - row_number() OVER ({part} ORDER BY p, ord1, ord2) + 1) "
+            "* p) END AS step FROM tests)",
             f"adjusted AS (SELECT *, max(step) OVER ({part} ORDER BY p, ord1, ord2 ROWS UNBOUNDED PRECEDING) AS p_adj FROM steps)"]
 
 
@@ -231,18 +231,15 @@ def chi_square(source: str, by: Sequence[str], row: str, column: str, yates: boo
 
 # --- resampling ---------------------------------------------------------------------------------------------------------------
 
-def draw(key: str, replicate: str = "rep", seed: int = 1) -> str:
-    """The same counter-based draw, nested as subselect columns x0 .. x3 by the caller."""
-    return first_input(key, replicate, seed)
-
-
 def draws(source: str, columns: str, key: str, replicates: int, where: str = "TRUE", seed: int = 1) -> list[str]:
-    """CTE ``drawn``: rows of ``source`` times replicates with their draw ``x``."""
-    return [f"d0 AS (SELECT {columns}, CAST({key} AS BIGINT) AS k, rep, {draw(f'CAST({key} AS BIGINT)', 'rep', seed)} AS x0 "
-            f"FROM {source}, (SELECT unnest(range(1, {replicates + 1})) AS rep) WHERE {where})",
+    """CTE ``drawn``: rows of ``source`` times replicates with their draw ``x`` (the same counter-based generator)."""
+    return [f"d0 AS (SELECT {columns}, CAST({key} AS BIGINT) AS k, {key_input(f'CAST({key} AS BIGINT)', seed)} AS x0 "
+            f"FROM {source} WHERE {where})",
             f"d1 AS (SELECT *, {round_text('x0')} AS x1 FROM d0)",
-            f"d2 AS (SELECT *, {second_input('x1', 'k', 'rep', '//')} AS x2 FROM d1)",
-            f"drawn AS (SELECT *, {round_text('x2')} AS x FROM d2)"]
+            f"d2 AS (SELECT *, {key_second_input('x1', 'k', '//')} AS x2 FROM d1)",
+            f"d3 AS (SELECT *, {round_text('x2')} AS h FROM d2)",
+            f"d4 AS (SELECT *, {draw_input('h', 'rep')} AS x4 FROM d3, (SELECT unnest(range(1, {replicates + 1})) AS rep))",
+            f"drawn AS (SELECT *, {round_text('x4')} AS x FROM d4)"]
 
 
 def poisson_geomean(source: str, by: str, value: str, key: str, replicates: int, digits: int, where: str = "TRUE") -> str:
@@ -535,6 +532,12 @@ def oracle_queries() -> dict[str, str]:
         f"{r(quartile('d', .75) + ' - ' + quartile('d', .25))} AS iqr_days FROM (SELECT o_orderpriority, {dd} AS d FROM orders "
         "JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
     q["table_one"] = table_one_sql()
+    # all expected counts reach five here, so both variables take the chi-square test
+    q["table_one_tests"] = with_cohort(
+        f"SELECT variable, CASE WHEN min_expected >= 5 THEN 'chi-square' END AS test, {r('statistic')} AS statistic, {r('p')} AS p, "
+        f"{r('min_expected')} AS min_expected FROM chi",
+        "src AS (SELECT 'quality' AS variable, CAST(quality AS VARCHAR) AS level, lang FROM scored UNION ALL "
+        "SELECT 'source', source, lang FROM scored)", *chi_square("src", ["variable"], "level", "lang", yates=False))
     q["characteristics_table"] = characteristics_sql()
     # tests
     q["ranksum_by_stratum"] = with_(

@@ -18,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false")
+             # call-site capture for every Column call; it only serves error messages
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -50,6 +52,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition few rows that expand to much work.  The number is explicit: adaptive coalescing goes by bytes and
+    would put such rows back into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on group columns; the keys of the right side are dropped.
 
