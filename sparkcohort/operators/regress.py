@@ -15,6 +15,10 @@ from sparkcohort.operators.resample import WEIGHT, percentile_bounds, replicate_
 from sparkcohort.session import broadcast_if_small, join_groups
 
 
+# Relative size below which a difference of sums is taken as zero.
+ROUNDING = "1e-12D"
+
+
 # --- errors in both variables ---------------------------------------------------------------------------------------
 
 def _deming_line(noise_ratio: float | None) -> tuple[str, str]:
@@ -45,11 +49,13 @@ def deming_replicates(df: DataFrame, by: Sequence[str], x: str, y: str, replicat
         "_x": qx, "_y": qy, "_xx": f"{qx} * {qx}", "_yy": f"{qy} * {qy}", "_xy": f"{qx} * {qy}"}, replicates, seed, key, **kw)
     keys = [sql_name(b) for b in by]
     w = WEIGHT
-    return (sums.where(f"{w} > 1").selectExpr(
+    # moments below rounding error count as zero: a resample of one repeated point has no line
+    moments = sums.where(f"{w} > 1").selectExpr(
         *keys, "replicate", f"_x / {w} AS _mx", f"_y / {w} AS _my", f"(_xx - _x * _x / {w}) / ({w} - 1) AS _sxx",
-        f"(_yy - _y * _y / {w}) / ({w} - 1) AS _syy", f"(_xy - _x * _y / {w}) / ({w} - 1) AS _sxy")
-        .where("_sxx > 0").withColumn("slope", F.expr(slope))
-        .selectExpr(*keys, "replicate", "slope", f"{intercept} AS intercept").where("slope IS NOT NULL"))
+        f"(_yy - _y * _y / {w}) / ({w} - 1) AS _syy", f"(_xy - _x * _y / {w}) / ({w} - 1) AS _sxy",
+        f"{ROUNDING} * _xx / {w} AS _ex", f"{ROUNDING} * sqrt(_xx * _yy) / {w} AS _exy")
+    return (moments.where("_sxx > _ex AND abs(_sxy) > _exy").withColumn("slope", F.expr(slope))
+            .selectExpr(*keys, "replicate", "slope", f"{intercept} AS intercept").where("slope IS NOT NULL"))
 
 
 def x_grid(limits: DataFrame, by: Sequence[str], points: int = 80) -> DataFrame:

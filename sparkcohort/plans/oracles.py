@@ -270,10 +270,11 @@ def deming_reps(source: str, by: str, x: str, y: str, key: str, replicates: int)
             f"wsum AS (SELECT {by}, rep, sum(w) AS sw, sum(w * lx) / sum(w) AS mx, sum(w * ly) / sum(w) AS my "
             f"FROM weighted GROUP BY {by}, rep HAVING sum(w) > 1)",
             f"wmom AS (SELECT {by}, rep, max(sw) AS sw, max(mx) AS mx, max(my) AS my, sum(w * (lx - mx) * (lx - mx)) / (max(sw) - 1) AS sxx, "
-            f"sum(w * (ly - my) * (ly - my)) / (max(sw) - 1) AS syy, sum(w * (lx - mx) * (ly - my)) / (max(sw) - 1) AS sxy "
+            f"sum(w * (ly - my) * (ly - my)) / (max(sw) - 1) AS syy, sum(w * (lx - mx) * (ly - my)) / (max(sw) - 1) AS sxy, "
+            f"1e-12 * sum(w * lx * lx) / max(sw) AS ex, 1e-12 * sqrt(sum(w * lx * lx) * sum(w * ly * ly)) / max(sw) AS exy "
             f"FROM weighted JOIN wsum USING ({by}, rep) GROUP BY {by}, rep)",
             f"reps AS (SELECT {by}, rep, slope, my - slope * mx AS intercept FROM (SELECT *, {deming_fit('(syy / sxx)')} AS slope "
-            "FROM wmom WHERE sxx > 1e-12) WHERE slope IS NOT NULL)"]
+            "FROM wmom WHERE sxx > ex AND abs(sxy) > exy) WHERE slope IS NOT NULL)"]
 
 
 def deming_band_ctes(by: str, points: int) -> list[str]:
