@@ -20,14 +20,19 @@ def round_text(x: str) -> str:
     return f"(({square} * {square} % {PRIME}) * ({x}) % {PRIME})"
 
 
+def _reduced(x: str) -> str:
+    """Remainder between 0 and the prime, for negative numbers too."""
+    return f"((({x}) % {PRIME} + {PRIME}) % {PRIME})"
+
+
 def key_input(key: str, seed: int) -> str:
     """Input of the first round, from the low part of a row key."""
-    return f"((({key}) % {PRIME}) * {KEY_STEP} + {seed % PRIME}) % {PRIME}"
+    return f"({_reduced(key)} * {KEY_STEP} + {seed % PRIME}) % {PRIME}"
 
 
 def key_second_input(first: str, key: str, divide: str = "DIV") -> str:
     """Input of the second round, which adds the high part; ``divide`` is the integer division operator of the engine."""
-    return f"({first} + ((({key}) {divide} {PRIME}) % {PRIME}) * {HIGH_STEP}) % {PRIME}"
+    return f"({first} + {_reduced(f'({key}) {divide} {PRIME}')} * {HIGH_STEP}) % {PRIME}"
 
 
 def draw_input(key_hash: str, replicate: str) -> str:

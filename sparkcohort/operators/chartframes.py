@@ -48,7 +48,7 @@ def density(df: DataFrame, by: Sequence[str], value: str, axis: str = "identity"
     forward, inverse = AXES[axis]
     data = df.select(*by, forward(F.col(value).cast("double")).alias("_a")).where("_a IS NOT NULL AND NOT isnan(_a)")
     extent = data.groupBy(*by).agg(F.stddev_samp("_a").alias("_sd"), F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
-    ranges = quantiles(data, by, "_a", {"_q1": 0.25, "_q3": 0.75}, n="_n")
+    ranges = quantiles(data, by, "_a", {"_q1": 0.25, "_q3": 0.75}, n="_n", method="two_pass")
     keys = [sql_name(b) for b in by]
     # a zero spread falls back to sd, then to the size of the value, then to one
     lower = "least(_sd, (_q3 - _q1) / 1.34D)"

@@ -134,11 +134,11 @@ PROFILE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
-                    method: str = "cells") -> DataFrame:
+                    method: str = "two_pass") -> DataFrame:
     """Per numeric column: missing, complete rate, mean, sd, minimum, quartiles, maximum.
 
-    Means and extremes of all columns are one aggregation of the wide table; the quartiles come from value counts of the
-    stacked columns, so no column's values are ever gathered in one place.
+    Means and extremes of all columns are one aggregation of the wide table; the quartiles come from the stacked columns by
+    the two-pass method, which shuffles cell counts and the few values around the quartiles.
     """
     columns = list(columns or [c for c in numeric_columns(df) if c not in by])
     aggs = [F.count(F.lit(1)).alias("_rows")]

@@ -20,10 +20,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import present
+from sparkcohort.functions.nulls import present, sql_name
+from sparkcohort.session import broadcast_if_small, join_groups
 
 CELLS_PER_E_FOLD = 8192
 SMALLEST_SCALE = float(2 ** 20)
+LARGEST_LOG = 720.0
 
 CELL = "_cell"
 COUNT = "_count"
@@ -37,7 +39,7 @@ def order_cell(value: Column, resolution: int = CELLS_PER_E_FOLD) -> Column:
     Values from 1 to 1000 use about 7 * resolution cells; magnitudes below 1e-6 share a few.  Values in a range that is
     narrow for their size (timestamps, say) should be shifted towards zero first, or given a higher resolution.
     """
-    cell = F.floor(F.log1p(F.abs(value) * SMALLEST_SCALE) * resolution)
+    cell = F.floor(F.least(F.log1p(F.abs(value) * SMALLEST_SCALE), F.lit(LARGEST_LOG)) * resolution)
     return F.when(value < 0, -cell - 1).otherwise(cell)
 
 
@@ -96,30 +98,61 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
               method: str = "cells") -> DataFrame:
     """Exact linear-interpolation quantiles (position ``(n-1)p``) by group, missing values skipped.
 
-    ``probs`` maps output column names to probabilities.  ``method="cells"`` is safe for any group size;
-    ``method="buffer"`` uses the ``percentile`` aggregate, which keeps the distinct values of a group in one task's memory:
-    one shuffle fewer, for groups known to be small.
+    ``probs`` maps output column names to probabilities.  The methods differ in cost only:
+
+    * ``cells``: one pass; distinct values are shuffled.  For any number and size of groups and for derived frames.
+    * ``two_pass``: for few large groups of a stored table.  A first pass counts cells (nothing else is shuffled) and finds
+      the ones that hold a wanted position, a second pass looks at their values only.
+    * ``buffer``: the ``percentile`` aggregate, which keeps the distinct values of a group in one task's memory; for groups
+      known to be small.
     """
-    size = [F.count(F.lit(1)).alias(n)] if n else []
     if method == "buffer":
+        size = [F.count(F.lit(1)).alias(n)] if n else []
         data = clean_values(df, value)
         return data.groupBy(*by).agg(*size, *[F.percentile(value, float(p)).alias(name) for name, p in probs.items()])
-    if method != "cells":
+    if method == "cells":
+        ranked = prefix_counts(value_counts(df, by, value), by, value)
+    elif method == "two_pass":
+        ranked = _ranked_targets(df, by, value, list(probs.values()))
+    else:
         raise ValueError(f"unknown method {method!r}")
-    ranked = prefix_counts(value_counts(df, by, value), by, value)
     aggs, outputs = [F.max(TOTAL).alias("_n")], []
     for i, (name, p) in enumerate(probs.items()):
-        position = (F.col(TOTAL) - 1) * float(p)
-        low = F.floor(position)
-        for suffix, index in (("lo", low), ("hi", F.least(low + 1, F.col(TOTAL) - 1))):
-            hit = (F.col(BEFORE) <= index) & (index < F.col(BEFORE) + F.col(COUNT))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{suffix}{i}"))
-        at = (F.col("_n") - 1) * float(p)
-        outputs.append((F.col(f"_lo{i}") + (at - F.floor(at)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name))
+        for suffix, index in zip(("lo", "hi"), _neighbours(float(p))):
+            aggs.append(F.expr(f"max(CASE WHEN {_holds(index)} THEN {sql_name(value)} END) AS _{suffix}{i}"))
+        at = f"((_n - 1) * {float(p)!r}D)"
+        outputs.append(F.expr(f"_lo{i} + ({at} - floor({at})) * (_hi{i} - _lo{i})").alias(name))
     sizes = [F.col("_n").alias(n)] if n else []
     return ranked.groupBy(*by).agg(*aggs).select(*by, *sizes, *outputs)
 
 
+def _neighbours(p: float) -> tuple[str, str]:
+    """0-based positions of the two order statistics a quantile lies between."""
+    low = f"floor(({TOTAL} - 1) * {p!r}D)"
+    return low, f"least({low} + 1, {TOTAL} - 1)"
+
+
+def _holds(index: str) -> str:
+    """The row's observations occupy positions ``_before .. _before + _count - 1``."""
+    return f"({BEFORE} <= {index} AND {index} < {BEFORE} + {COUNT})"
+
+
+def _ranked_targets(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Ranked distinct values of the cells in which the positions of ``probs`` fall."""
+    data = clean_values(df, value).select(*by, value, order_cell(F.col(value)).alias(CELL))
+    per_group = Window.partitionBy(*by)
+    cells = data.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias(COUNT)).select(
+        *by, CELL, COUNT, F.sum(COUNT).over(per_group).alias(TOTAL),
+        F.coalesce(F.sum(COUNT).over(per_group.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias(BEFORE))
+    wanted = " OR ".join(_holds(index) for p in probs for index in _neighbours(float(p)))
+    targets = broadcast_if_small(cells.where(wanted).select(*by, CELL, F.col(BEFORE).alias("_offset"), TOTAL))
+    values = (join_groups(data, targets, [*by, CELL]).groupBy(*by, CELL, "_offset", TOTAL, value)
+              .agg(F.count(F.lit(1)).alias(COUNT)))
+    in_cell = Window.partitionBy(*by, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return values.withColumn(BEFORE, F.col("_offset") + F.coalesce(F.sum(COUNT).over(in_cell), F.lit(0)))
+
+
 def median(df: DataFrame, by: Sequence[str], value: str, name: str = "median", **kw) -> DataFrame:
     return quantiles(df, by, value, {name: 0.5}, **kw)
 

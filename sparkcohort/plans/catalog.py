@@ -148,9 +148,9 @@ def exposure_rules(spark, d):
 def kleene_strata(spark, d):
     """Rows kept by the three exposure filters, which are not complementary when a definition is missing."""
     c = study.available_cohort(cohort(spark, d), SEGMENTS, 0.0)
-    parts = [f(c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("filter"), "n")
-             for name, f in (("naive", study.naive), ("not_naive", study.not_naive), ("exposed", study.exposed))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rules = {"naive": study.is_naive(), "not_naive": study.is_not_naive(), "exposed": study.is_exposed()}
+    counted = c.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
+    return reshape.to_long(counted, [], list(rules), "filter", "n")
 
 
 def recode_fill(spark, d):
@@ -215,7 +215,8 @@ def median_by_group_time(spark, d):
 
 
 def quartiles_iqr(spark, d):
-    return rounded(ranks.quartiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", iqr="iqr"))
+    return rounded(ranks.quartiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", iqr="iqr",
+                                   method="two_pass"))
 
 
 def group_counts_labels(spark, d):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.derive import (age_at, age_band, exposed_either, exposed_serological, fractional_days,
@@ -89,19 +89,31 @@ def two_assays(titres: DataFrame, assay: DataFrame) -> DataFrame:
     return join_assay(titres, assay, ["id", "moment"])
 
 
-def naive(df: DataFrame) -> DataFrame:
+def is_naive() -> Column:
     """No exposure by either definition."""
-    return df.where((F.col("exposed") == "NO") & (F.col("prior_covid") == "NO"))
+    return (F.col("exposed") == "NO") & (F.col("prior_covid") == "NO")
+
+
+def is_not_naive() -> Column:
+    """Exposure not excluded: either definition differs from NO (NO beside a missing answer is unknown)."""
+    return (F.col("exposed") != "NO") | (F.col("prior_covid") != "NO")
+
+
+def is_exposed() -> Column:
+    """Exposure shown by either definition (a missing answer does not matter beside SI)."""
+    return (F.col("exposed") == "SI") | (F.col("prior_covid") == "SI")
+
+
+def naive(df: DataFrame) -> DataFrame:
+    return df.where(is_naive())
 
 
 def not_naive(df: DataFrame) -> DataFrame:
-    """Exposure not excluded: either definition differs from NO (a row with NO and a missing one is dropped)."""
-    return df.where((F.col("exposed") != "NO") | (F.col("prior_covid") != "NO"))
+    return df.where(is_not_naive())
 
 
 def exposed(df: DataFrame) -> DataFrame:
-    """Exposure shown by either definition (a missing one does not matter next to SI)."""
-    return df.where((F.col("exposed") == "SI") | (F.col("prior_covid") == "SI"))
+    return df.where(is_exposed())
 
 
 # --- panels ---------------------------------------------------------------------------------------------------------

@@ -154,6 +154,19 @@ def test_bootstrap_picks_the_way_by_group_size(spark):
         resample.replicate_sums(df, ["g"], {"_x": "v"}, 50, exact_limit=100)
 
 
+def test_weights_are_poisson_whatever_the_keys(spark):
+    # each row is its own group: the field sum is its weight
+    df = spark.range(-300, 300).select((F.col("id") * 3_000_000_019).alias("id"), F.col("id").alias("g"), F.lit(1.0).alias("v"))
+    sums = resample.replicate_sums(df, ["g"], {"_x": "v"}, 100, key="id", method="poisson")
+    stats = sums.agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("m"), F.var_samp("weight").alias("v"),
+                     F.avg((F.col("weight") == 0).cast("double")).alias("z")).first()
+    assert stats["n"] == 60_000
+    assert (stats["m"], stats["v"], stats["z"]) == (pytest.approx(1.0, abs=0.02), pytest.approx(1.0, abs=0.04),
+                                                    pytest.approx(math.exp(-1), abs=0.01))
+    totals = [r["s"] for r in sums.groupBy("replicate").agg(F.sum("weight").alias("s")).collect()]
+    assert np.var(totals) == pytest.approx(600, rel=0.5)  # rows are independent within a replicate
+
+
 def test_geometric_mean_interval_and_constant_group(spark):
     df = spark.createDataFrame([(i, "c", 8.0) for i in range(5)] + [(9, "one", 3.0)], "id long, g string, v double")
     got = {r["g"]: r for r in resample.bootstrap_geometric_mean(df, ["g"], "v", 50).collect()}
