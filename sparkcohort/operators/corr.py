@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.nulls import fixed_text, paste, sql_name
 from sparkcohort.functions.tails import student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
-from sparkcohort.operators.ranks import CELLS_PER_E_FOLD, COUNT, mid_rank, prefix_counts
+from sparkcohort.operators.ranks import CELL, CELLS_PER_E_FOLD, COUNT, mid_rank, order_cell, prefix_counts
 from sparkcohort.session import join_groups
 
 
@@ -19,22 +19,28 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.
              resolution: int = CELLS_PER_E_FOLD) -> DataFrame:
     """(group, n, rho, ci_low, ci_high, t, p): Pearson correlation of average ranks.
 
-    Rows are first collapsed to distinct (x, y) pairs; each rank table has one row per distinct value and meets the pairs
-    in an equi-join on (group, value).  A value that many pairs share makes a large join partition, which the adaptive
-    skew join splits; the rank side has a single row for it.
+    Rows are first collapsed to distinct (x, y) pairs.  The ranks of x, one row per distinct value, meet the pairs in an
+    equi-join; a value that many pairs share makes a large join partition, which the adaptive skew join splits.  The ranks of
+    y need no join: the x ranks are summed up per value of y, and the sums are carried through the cells in which y is
+    ranked.  The variable with fewer distinct values is the better ``x``.
     """
     pairs = (drop_missing(df, x, y).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .agg(F.count(F.lit(1)).alias(COUNT)))
-
-    def rank_table(v: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(*by, v).agg(F.sum(COUNT).alias(COUNT))
-        return prefix_counts(counts, by, v, resolution=resolution).select(*by, v, mid_rank().alias(name))
-
-    ranked = join_groups(join_groups(pairs, rank_table("_x", "_rx"), [*by, "_x"]), rank_table("_y", "_ry"), [*by, "_y"])
-    sums = ranked.groupBy(*by).agg(
-        F.sum(COUNT).alias("n"),
-        *[F.sum(F.expr(f"{COUNT} * {e}")).alias(name) for name, e in (
-            ("_sx", "_rx"), ("_sxx", "_rx * _rx"), ("_syy", "_ry * _ry"), ("_sxy", "_rx * _ry"))])
+    x_counts = pairs.groupBy(*by, "_x").agg(F.sum(COUNT).alias(COUNT))
+    x_ranks = prefix_counts(x_counts, by, "_x", resolution=resolution).select(*by, "_x", mid_rank().alias("_rx"))
+    per_y = (join_groups(pairs, x_ranks, [*by, "_x"]).groupBy(*by, "_y")
+             .agg(F.sum(COUNT).alias("_n"), F.expr(f"sum({COUNT} * _rx) AS _s"), F.expr(f"sum({COUNT} * _rx * _rx) AS _q")))
+    in_cell = Window.partitionBy(*by, CELL).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    # _l: rank of the value within its cell
+    local = (per_y.withColumn(CELL, order_cell(F.col("_y"), resolution))
+             .withColumn("_l", F.coalesce(F.sum("_n").over(in_cell), F.lit(0)) + (F.col("_n") + 1) / 2.0))
+    cells = local.groupBy(*by, CELL).agg(*[F.expr(f"sum({e}) AS {name}") for name, e in (
+        ("_N", "_n"), ("_S", "_s"), ("_Q", "_q"), ("_SL", "_s * _l"), ("_L", "_n * _l"), ("_LL", "_n * _l * _l"))])
+    below = Window.partitionBy(*by).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    sums = (cells.withColumn("_o", F.coalesce(F.sum("_N").over(below), F.lit(0)).cast("double"))
+            .groupBy(*by).agg(*[F.expr(f"sum({e}) AS {name}") for name, e in (
+                ("n", "_N"), ("_sx", "_S"), ("_sxx", "_Q"), ("_sxy", "_SL + _o * _S"),
+                ("_syy", "_LL + 2D * _o * _L + _o * _o * _N"))]))
     # both rank columns have the same sum, n(n+1)/2
     covariance = "(_sxy - _sx * _sx / n)"
     spread = "((_sxx - _sx * _sx / n) * (_syy - _sx * _sx / n))"

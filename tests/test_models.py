@@ -40,6 +40,12 @@ def test_spearman(points):
         assert r["t"] == pytest.approx(rho * math.sqrt(118 / (1 - rho ** 2)))
 
 
+def test_spearman_does_not_depend_on_the_side(points):
+    _, df = points
+    a = {r["g"]: r["rho"] for r in corr.spearman(df, ["g"], "x", "y").collect()}
+    assert {r["g"]: pytest.approx(r["rho"]) for r in corr.spearman(df, ["g"], "y", "x", resolution=2).collect()} == a
+
+
 def test_spearman_degenerate_and_text(spark):
     df = spark.createDataFrame([("one", float(i), float(i)) for i in range(5)] + [("flat", 1.0, float(i)) for i in range(5)],
                                "g string, x double, y double")
