@@ -303,7 +303,7 @@ def ols_ctes(source: str, by: str | None, x: str, y: str) -> list[str]:
             f"fit AS (SELECT *, {p('slope_t')} AS slope_p, {p('intercept_t')} AS intercept_p, slope_t * slope_t AS f FROM tv)"]
 
 
-OLS_COLUMNS = "n, " + ", ".join(f"{r(c)} AS {c}" for c in (
+OLS_COLUMNS = "n, " + ", ".join(f"{r(c, 4)} AS {c}" for c in (
     "intercept", "intercept_se", "intercept_t", "intercept_p", "slope", "slope_se", "slope_t", "slope_p", "sigma", "r2",
     "adj_r2", "f", "x_mean", "y_mean", "sxx", "sse"))
 
@@ -635,10 +635,10 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT id, CAST({levels_case('moment', ('after_dose1', 'after_dose2'))} AS INTEGER) AS ord, moment, {r('titre2')} AS titre2 FROM assay a "
         "WHERE moment IN ('after_dose1', 'after_dose2') AND id IN (SELECT id FROM assay WHERE moment IN ('after_dose1', 'after_dose2') "
         "AND titre2 IS NOT NULL GROUP BY id HAVING count(*) = 2)")
-    sb = ", ".join(f"{r(f'pow(10.0, {c})', 3)} AS {c}" for c in ("x", "y", "lower", "upper"))
     q["scatter_band"] = with_(
-        f"SELECT l_returnflag, CAST(point AS INTEGER) AS point, {sb} FROM band",
-        "ll AS (SELECT l_orderkey, l_returnflag, log10(l_quantity) AS lx, log10(l_extendedprice) AS ly FROM lineitem)",
-        *deming_point("ll", "l_returnflag", "lx", "ly"), *deming_reps("ll", "l_returnflag", "lx", "ly", "l_orderkey", 20),
-        *deming_band_ctes("l_returnflag", 10))
+        f"SELECT o_orderstatus, CAST(point AS INTEGER) AS point, {band} FROM band",
+        "ll AS (SELECT o_orderkey, o_orderstatus, log10(CAST(o_custkey AS DOUBLE)) AS lx, log10(o_totalprice) AS ly FROM orders "
+        "WHERE o_custkey > 0 AND o_totalprice > 0)",
+        *deming_point("ll", "o_orderstatus", "lx", "ly"), *deming_reps("ll", "o_orderstatus", "lx", "ly", "o_orderkey", 20),
+        *deming_band_ctes("o_orderstatus", 10))
     return q
