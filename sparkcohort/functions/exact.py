@@ -6,17 +6,20 @@ thousand additions in numpy.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EXACT_BELOW = 50
 
+# Executors need no copy of the package: the functions below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
-@lru_cache(maxsize=256)
 def rank_sum_frequencies(m: int, n: int) -> np.ndarray:
     """Number of ways to get each value 0..m*n of the rank-sum statistic.
 
@@ -34,7 +37,6 @@ def rank_sum_frequencies(m: int, n: int) -> np.ndarray:
     return rows[n]
 
 
-@lru_cache(maxsize=64)
 def signed_rank_frequencies(n: int) -> np.ndarray:
     """Number of subsets of 1..n with each sum."""
     ways = np.eye(1, n * (n + 1) // 2 + 1)[0]

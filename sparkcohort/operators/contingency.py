@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ TABLES_PER_CHUNK = 4_096
 SIMULATIONS = 2_000
 SIMULATIONS_PER_CHUNK = 250
 
+# Executors need no copy of the package: the simulation travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def cell_counts(df: DataFrame, by: Sequence[str], row: str, column: str, n: str = "n") -> DataFrame:
     """Counts of the non-empty cells; rows with a missing level belong to no cell."""
