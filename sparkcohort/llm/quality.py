@@ -1,6 +1,7 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent-semantic space.
 
-A bounded sample of labelled rows is turned into hashed byte-trigram counts; their log-weighted matrix is factored on the
+A bounded sample of labelled rows is turned into hashed byte-trigram counts and three shares of style (words that repeat
+the word before, capital letters, symbols); their weighted matrix is factored on the
 driver (at most ``SAMPLE`` rows by ``FEATURES`` columns).  The projection and the labelled vectors have a fixed size and
 travel to the tasks, where every document is projected and its cosine with every labelled vector computed as one blocked
 matrix product.  Documents are never shuffled.
@@ -15,30 +16,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import byte_slices, q, text_of
+from sparkcohort.llm.common import byte_slices, q, text_of, word_hashes, words_of
 
 SAMPLE = 3000       # labelled rows that the classifier is fitted on, taken in the order of a hash of their id
 FEATURES = 4096     # hashed byte trigrams
+STYLE = 3           # shares beside the trigrams
+STYLE_WEIGHT = 2.0  # length of a share of 1 beside trigram vectors of length 1
+SMOOTHING = 32      # bytes added to a text's length in its shares, so that one full stop does not mark a short text
 RANK = 64           # latent dimensions
 NEIGHBOURS = 15
 SHARPNESS = 4.0     # a neighbour votes with cosine ** SHARPNESS
 THRESHOLD = 0.3
 
 
-def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of hashed byte-trigram counts; trigrams never cross rows and the whole text counts.
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of hashed byte-trigram counts, then the shares of style; nothing crosses rows and the whole text counts.
 
     Digits count as one class, so that numbers do not spread over many features.
     """
     n = len(offsets) - 1
+    out = np.zeros((n, FEATURES + STYLE), np.float32)
     if len(data) < 3:
-        return np.zeros((n, FEATURES), np.float32)
+        return out
     x = np.where((data >= 48) & (data <= 57), np.uint8(48), data).astype(np.uint32)
     code = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
     code = (code * np.uint32(0x27D4EB2F)) >> np.uint32(20)
     row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     inside = row[:-2] == row[2:]
-    return np.bincount(row[:-2][inside] * FEATURES + code[inside], minlength=n * FEATURES).reshape(n, FEATURES).astype(np.float32)
+    out[:, :FEATURES] = np.bincount(row[:-2][inside] * FEATURES + code[inside], minlength=n * FEATURES).reshape(n, FEATURES)
+    start, end, word_row = words_of(data, offsets)
+    hashes = word_hashes(data, start, end)
+    again = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])
+    length = np.diff(offsets) + SMOOTHING
+    capital = (data >= 65) & (data <= 90)
+    symbol = ((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))
+    out[:, FEATURES] = np.bincount(word_row[1:][again], minlength=n) / (np.bincount(word_row, minlength=n) + 1)
+    out[:, FEATURES + 1] = np.bincount(row[capital], minlength=n) / length
+    out[:, FEATURES + 2] = np.bincount(row[symbol], minlength=n) / length
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -50,7 +65,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, data, offsets in byte_slices(batch, "text", 1 << 20):
             for a in range(0, last - first, 256):
                 b = min(a + 256, last - first)
-                rows = trigram_counts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                rows = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first + a, b - a),
                                                   pa.array([r.tobytes() for r in rows.astype(np.float32)], pa.binary())],
                                                  names=["label", "counts"])
@@ -62,7 +77,7 @@ class Model:
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = (counts > 0).sum(0)
+        seen = (counts[:, :FEATURES] > 0).sum(0)
         self.idf = np.log((1.0 + len(counts)) / (1.0 + seen)).astype(np.float32) + np.float32(1)
         x = self.weighted(counts)
         rank = min(RANK, *x.shape) if len(x) else 0
@@ -76,11 +91,11 @@ class Model:
             _, _, v = np.linalg.svd(x @ basis, full_matrices=False)
             self.projection = np.ascontiguousarray(basis @ v[:rank].T).astype(np.float32)
         else:
-            self.projection = np.zeros((FEATURES, 1), np.float32)
+            self.projection = np.zeros((FEATURES + STYLE, 1), np.float32)
         self.vectors = unit(x @ self.projection).astype(np.float32)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(counts) * self.idf)
+        return np.hstack([unit(np.log1p(counts[:, :FEATURES]) * self.idf), counts[:, FEATURES:] * np.float32(STYLE_WEIGHT)])
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -107,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows = (docs.select(q(id).alias("__id"), text_of(text).alias("text")).join(F.broadcast(chosen), "__id")
             .select("text", "label", F.xxhash64("__id", "text").alias("__order")).drop("__order"))
     got = rows.mapInArrow(counted, "label float, counts binary").toArrow()
-    counts = np.stack([np.frombuffer(x, np.float32) for x in got.column("counts").to_pylist()]) if got.num_rows else np.zeros((0, FEATURES), np.float32)
+    counts = np.stack([np.frombuffer(x, np.float32) for x in got.column("counts").to_pylist()]) if got.num_rows else np.zeros((0, FEATURES + STYLE), np.float32)
     # tasks end in any order: a fixed order makes refits agree
     order = np.lexsort((got.column("label").to_numpy(), *counts[:, :8].T, counts.sum(1)))
     return Model(counts[order], got.column("label").to_numpy()[order])
@@ -128,7 +143,7 @@ def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
             for _, _, data, offsets in byte_slices(batch, "text", 1 << 20):
                 for a in range(0, len(offsets) - 1, 256):
                     part = offsets[a:min(a + 257, len(offsets))]
-                    parts.append(m.scores(trigram_counts(data[part[0]:part[-1]], part - part[0])))
+                    parts.append(m.scores(features(data[part[0]:part[-1]], part - part[0])))
             value = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(value, 0.0, 1.0), pa.float64())], names=["id", "score"])
 
@@ -148,7 +163,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
             for _, _, data, offsets in byte_slices(batch, text, 1 << 20):
                 for a in range(0, len(offsets) - 1, 256):
                     part = offsets[a:min(a + 257, len(offsets))]
-                    parts.append(m.scores(trigram_counts(data[part[0]:part[-1]], part - part[0])))
+                    parts.append(m.scores(features(data[part[0]:part[-1]], part - part[0])))
             yield batch.filter(pa.array(np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)))
 
     return docs.mapInArrow(keep, docs.schema)
