@@ -97,3 +97,70 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         more = end[live] - at > 8
         live, at = live[more], at[more] + 8
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and their row offsets, from batches that are sorted by the integer columns ``keys``.
+
+    Only the last group of a batch is held back, so memory is that of a batch and one group; callers bound their groups.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.logical_or.reduce([r[1:] != r[:-1] for r in rows])) + 1
+        if held:
+            before = [held[-1].column(batch.schema.get_field_index(k))[-1].as_py() for k in keys]
+            if any(r[0] != b for r, b in zip(rows, before)):
+                change = np.concatenate([[0], change])
+        if not len(change):
+            held.append(batch)
+            continue
+        kept = sum(b.num_rows for b in held)
+        table = pa.Table.from_batches([*held, batch.slice(0, change[-1])]).combine_chunks()
+        yield table, np.unique(np.concatenate([[0], change + kept]))
+        held = [batch.slice(change[-1])]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.array([0, table.num_rows])
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links: the smallest member of each member's component."""
+    label = np.arange(len(linked))
+    reach = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        new = np.where(reach, label[None, :], len(label)).min(1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable over the edges (src, dst), for every node of an edge.
+
+    Alternates large-star and small-star steps.  A step is one aggregation of minima and one equi-join, so a node with very
+    many edges is combined before it moves and its join is split.  Rounds end when the set of edges no longer changes.
+    """
+    current = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    sign = None
+    for _ in range(most_rounds):
+        both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.min("dst").alias("__m")).select("src", F.least("src", "__m").alias("__m"))
+        large = (both.where("dst > src").join(least, "src").where("dst <> __m")
+                 .select(F.col("dst").alias("src"), F.col("__m").alias("dst")).unionByName(
+                     least.where("src <> __m").select("src", F.col("__m").alias("dst"))).distinct())
+        large = settle(large)
+        down = large.groupBy("src").agg(F.min("dst").alias("__m"))
+        current = settle(large.join(down, "src").where("dst <> __m").select(F.col("dst").alias("src"), F.col("__m").alias("dst"))
+                         .unionByName(down.select("src", F.col("__m").alias("dst"))).where("src <> dst").distinct())
+        now = current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if now == sign:
+            break
+        sign = now
+    else:
+        raise RuntimeError("components did not settle")
+    return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
+        current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
