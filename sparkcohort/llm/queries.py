@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcohort.llm import exact_dedup, mixing, quality
+from sparkcohort.llm import embedding_dedup, exact_dedup, mixing, quality
 from sparkcohort.llm.common import read
 
 
@@ -21,7 +21,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op6_exact_dedup)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op6_exact_dedup, op10_embedding_near_dedup)}
 
 ORACLES = {
     "op6_exact_dedup": r"""
