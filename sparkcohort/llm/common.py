@@ -164,3 +164,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
         current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+
+
+def linked_report(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, links, component, kept) for every row, from links between classes of equal rows.
+
+    ``rows``: id and h, the class key, null for rows that link with nothing.  ``classes``: h, rep (a number of the class),
+    least_id, copies.  ``found``: rep, links (rows of other classes first met in a bin), root (a rep it is connected with).
+    """
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    tree = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    named = settle(classes.join(links, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+                   .select("h", "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("c")))
+    # the number of a component is the smallest id of its members
+    smallest = named.groupBy("c").agg(F.min("least_id").alias("component"))
+    result = rows.select("id", "h").join(named.join(smallest, "c").select("h", "copies", "links", "component"), "h", "left")
+    component = F.coalesce("component", "id")
+    return result.select("id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("links"),
+                         component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def block_pairs(blocks: str, member: str) -> tuple[Column, Column]:
+    """A member's block among ``blocks``, and the array of block pairs (i <= j) that it takes part in."""
+    own = F.pmod(F.xxhash64(member), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1),
+                        lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    return own, pairs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import components, forest, join_checked, q, whole_groups
+from sparkcohort.llm.common import block_pairs, forest, join_checked, linked_report, q, whole_groups
 from sparkcohort.session import settle
 
 COSINE = 0.9
@@ -163,9 +163,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     bins = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)).drop("n")
     joined = join_checked(members, bins, ["key"], "inner")
     placed = joined.groupBy("rep").agg(F.collect_list(F.struct("key", "blocks")).alias("bins"))   # at most a vector's directions
-    own = F.pmod("rep", "blocks")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(
-        F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    own, pairs = block_pairs("blocks", "rep")
     sent = (placed.join(classes.select("rep", "vec", "copies"), "rep").join(decoded, "rep")
             .select("rep", "vec", "copies", "keys", F.explode("bins").alias("b"))
             .select("rep", "vec", "copies", "keys", F.col("b.key").alias("key"), F.col("b.blocks").alias("blocks"))
@@ -173,14 +171,5 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
             .select("rep", "vec", "copies", "keys", "key", "block", "p.i", "p.j"))
     found = settle(sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                    .mapInArrow(compare_bins(least), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    tree = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    # a component's number is the smallest id of its members
-    named = (classes.join(links, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("h", "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("c")))
-    named = settle(named)
-    smallest = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
-    result = rows.select("id", "h").join(named.join(smallest, "c").select("h", "copies", "links", "component_id"), "h", "left")
-    component = F.coalesce("component_id", "id")
-    return result.select(F.col("id").alias(id), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-                         component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    got = linked_report(rows, classes, found)
+    return got.select(F.col("id").alias(id), F.col("links").alias("n_links"), F.col("component").alias("component_id"), "kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcohort.llm import embedding_dedup, exact_dedup, mixing, quality
+from sparkcohort.llm import embedding_dedup, exact_dedup, mixing, ngram_join, quality
 from sparkcohort.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -25,9 +29,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op6_exact_dedup, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op5_ngram_jaccard_join, op6_exact_dedup, op10_embedding_near_dedup)}
 
 ORACLES = {
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM both_have JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * c >= 4 * (a.n + b.n)),
+        r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        least_of AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+        deg AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+        SELECT doc_id, least(doc_id, coalesce(y, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links,
+               least(doc_id, coalesce(y, doc_id)) = doc_id AS kept
+        FROM documents LEFT JOIN least_of ON least_of.x = doc_id LEFT JOIN deg ON deg.x = doc_id""",
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
