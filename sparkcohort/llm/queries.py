@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkcohort.llm import embedding_dedup, exact_dedup, mixing, ngram_join, quality
+from sparkcohort.llm import embedding_dedup, exact_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_codec
 from sparkcohort.llm.common import read
 
 
@@ -17,6 +18,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the hash of what decoding them gives back."""
+    pieces = sentencepiece_codec.Vocabulary.load()
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(read(spark, sf_dir, "documents"), pieces), pieces)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -25,11 +33,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of high quality and not toxic."""
+    target = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op5_ngram_jaccard_join, op6_exact_dedup, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_sentencepiece, op5_ngram_jaccard_join, op6_exact_dedup, op9_lm_scoring, op10_embedding_near_dedup)}
 
 ORACLES = {
     "op5_ngram_jaccard_join": r"""
