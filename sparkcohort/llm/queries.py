@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcohort.llm import embedding_dedup, exact_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_codec
+from sparkcohort.llm import embedding_dedup, exact_dedup, html_extract, lm_scoring, mixing, ngram_join, pii, quality, sentencepiece_codec
 from sparkcohort.llm.common import read
 
 
@@ -33,6 +33,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of high quality and not toxic."""
     target = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
@@ -43,7 +51,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_sentencepiece, op5_ngram_jaccard_join, op6_exact_dedup, op9_lm_scoring, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_sentencepiece, op5_ngram_jaccard_join, op6_exact_dedup, op7_html_extraction, op8_pii, op9_lm_scoring, op10_embedding_near_dedup)}
 
 ORACLES = {
     "op5_ngram_jaccard_join": r"""

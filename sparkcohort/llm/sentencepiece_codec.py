@@ -106,9 +106,10 @@ class Vocabulary:
         back = np.zeros((n, length), np.int32)
         rows = np.arange(n)
         for end in range(length):
-            total = best[:, end:end + width][:, ::-1] + scores[:, end]
-            back[:, end] = total.argmax(1)
-            best[:, end + width] = total[rows, back[:, end]]
+            total = best[:, end:end + width] + scores[:, end, ::-1]
+            longest = total.argmax(1)                            # among equals the longest last piece
+            back[:, end] = width - 1 - longest
+            best[:, end + width] = total[rows, longest]
         at, live = np.full(n, length - 1), rows
         words, got, char = [], [], []
         while len(live):
