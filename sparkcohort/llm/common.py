@@ -28,9 +28,15 @@ def text_of(column: str) -> Column:
     return F.coalesce(q(column).cast("string"), F.lit(""))
 
 
+def fixed(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """A settled frame of narrow rows in as many partitions as its counted rows fill, so that small ones stay few files."""
+    got = settle(df)
+    return got.coalesce(max(1, -(-got.count() // rows_per_task)))
+
+
 def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, most_rows: int = 50_000) -> DataFrame:
     """Join with a right side of fixed-width rows: broadcast when its counted rows are few, by shuffle beyond that."""
-    right = settle(right)
+    right = fixed(right)
     few = right.limit(most_rows + 1).count() <= most_rows
     return left.join(F.broadcast(right) if few else right, list(keys), how)
 
@@ -142,24 +148,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (src, dst), for every node of an edge.
 
     Alternates large-star and small-star steps.  A step is one aggregation of minima and one equi-join, so a node with very
-    many edges is combined before it moves and its join is split.  Rounds end when the set of edges no longer changes.
+    many edges is combined before it moves and its join is split.  Rounds end when all components are stars.
     """
-    current = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    sign = None
+    current = fixed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     for _ in range(most_rounds):
+        # done when every edge leads to a centre that leads nowhere, and every node has one edge
+        roots = current.select(F.col("dst").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("out"))
+        leaves = current.select(F.col("src").alias("node"), F.lit(0).alias("root"), F.lit(1).alias("out"))
+        bad = roots.unionByName(leaves).groupBy("node").agg(F.max("root").alias("root"), F.sum("out").alias("out"))
+        if not bad.where("(root = 1 AND out > 0) OR out > 1").take(1):
+            break
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("__m")).select("src", F.least("src", "__m").alias("__m"))
-        large = (both.where("dst > src").join(least, "src").where("dst <> __m")
-                 .select(F.col("dst").alias("src"), F.col("__m").alias("dst")).unionByName(
-                     least.where("src <> __m").select("src", F.col("__m").alias("dst"))).distinct())
-        large = settle(large)
+        large = fixed(both.where("dst > src").join(least, "src").where("dst <> __m")
+                      .select(F.col("dst").alias("src"), F.col("__m").alias("dst")).unionByName(
+                          least.where("src <> __m").select("src", F.col("__m").alias("dst"))).distinct())
         down = large.groupBy("src").agg(F.min("dst").alias("__m"))
-        current = settle(large.join(down, "src").where("dst <> __m").select(F.col("dst").alias("src"), F.col("__m").alias("dst"))
-                         .unionByName(down.select("src", F.col("__m").alias("dst"))).where("src <> dst").distinct())
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if now == sign:
-            break
-        sign = now
+        current = fixed(large.join(down, "src").where("dst <> __m").select(F.col("dst").alias("src"), F.col("__m").alias("dst"))
+                        .unionByName(down.select("src", F.col("__m").alias("dst"))).where("src <> dst").distinct())
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
@@ -174,7 +180,7 @@ def linked_report(rows: DataFrame, classes: DataFrame, found: DataFrame) -> Data
     """
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    named = settle(classes.join(links, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+    named = fixed(classes.join(links, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
                    .select("h", "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("c")))
     # the number of a component is the smallest id of its members
     smallest = named.groupBy("c").agg(F.min("least_id").alias("component"))

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import (MIX, block_pairs, byte_slices, components, forest, join_checked, linked_report, mixed, q, text_of,
+from sparkcohort.llm.common import (MIX, block_pairs, byte_slices, components, fixed, forest, join_checked, linked_report, mixed, q, text_of,
                                     whole_groups, word_hashes, words_of)
-from sparkcohort.session import settle
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -200,20 +199,20 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float) -> Dat
     frontier = classes.select("rep", F.explode(F.array(*start)).alias("node"))
     small, large = [], []
     for level in range(LEVELS):
-        frontier = settle(frontier) if level else frontier
-        counts = settle(frontier.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+        frontier = fixed(frontier) if level else frontier
+        counts = fixed(frontier.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         small.append(join_checked(frontier, counts.where(f"n <= {SMALL}").select("node"), ["node"], "left_semi"))
-        big = settle(join_checked(frontier, counts.where(f"n > {SMALL}"), ["node"], "inner"))
+        big = fixed(join_checked(frontier, counts.where(f"n > {SMALL}"), ["node"], "inner"))
         if not big.take(1):
             break
         step = [F.struct(F.lit(c).alias("c"), F.pmod(F.xxhash64("node", F.lit(c)), F.lit(COORDINATES)).cast("int").alias("at")) for c in range(CHOICES)]
-        child = settle(big.join(classes.select("rep", "sketch"), "rep").withColumn("step", F.explode(F.array(*step)))
+        child = fixed(big.join(classes.select("rep", "sketch"), "rep").withColumn("step", F.explode(F.array(*step)))
                        .select("rep", "n", F.col("node").alias("parent"),
                                F.xxhash64("node", "step.c", "step.at", F.element_at("sketch", F.col("step.at") + 1)).alias("node")))
         kin = child.groupBy("parent", "node").agg(F.count("*").cast("double").alias("k"), F.first("n").alias("n"))
         dense = kin.groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"), F.first("n").alias("n"))
         stop = F.col("pairs") >= DENSE * CHOICES * F.col("n") * F.col("n")
-        dense = settle(dense.select("parent", F.lit(True) if level == LEVELS - 1 else stop.alias("stop")).toDF("parent", "stop"))
+        dense = fixed(dense.select("parent", F.lit(True) if level == LEVELS - 1 else stop.alias("stop")).toDF("parent", "stop"))
         large.append(join_checked(big, dense.where("stop").select(F.col("parent").alias("node")), ["node"], "left_semi"))
         frontier = join_checked(child, dense.where("NOT stop").select("parent"), ["parent"], "left_semi").select("rep", "node")
     placed = None
@@ -240,12 +239,12 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     """
     id_type = docs.schema[id].dataType.simpleString()
     texts = docs.select(q(id).alias("id"), text_of(text).alias("text"))
-    sketched = settle(texts.mapInArrow(sketcher(words), f"id {id_type}, k1 long, k2 long, sketch array<int>"))
+    sketched = fixed(texts.mapInArrow(sketcher(words), f"id {id_type}, k1 long, k2 long, sketch array<int>"))
     rows = sketched.select("id", F.when(F.col("k1").isNotNull(), F.struct("k1", "k2")).alias("h"))
-    classes = settle(sketched.where("k1 IS NOT NULL").groupBy(F.struct("k1", "k2").alias("h"))
+    classes = fixed(sketched.where("k1 IS NOT NULL").groupBy(F.struct("k1", "k2").alias("h"))
                      .agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"))
                      .withColumn("rep", F.xxhash64("h")))
-    edges = settle(candidate_edges(classes, similarity, recall))
+    edges = fixed(candidate_edges(classes, similarity, recall))
     cluster = components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     wanted = (classes.select("rep", "h.k1", "h.k2", "copies", F.col("least_id").alias("id"))
@@ -256,7 +255,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     sets = found.select("text", "rep", "k1", "k2", "copies", "cluster", "blocks").mapInArrow(
         with_sets(words), "rep long, copies long, cluster long, blocks long, grams binary")
     own, pairs = block_pairs("blocks", "rep")
-    compared = settle(sets.select("rep", "copies", "cluster", "grams", own.alias("block"), F.explode(pairs).alias("p"))
+    compared = fixed(sets.select("rep", "copies", "cluster", "grams", own.alias("block"), F.explode(pairs).alias("p"))
                       .select("rep", "copies", "cluster", "grams", "block", "p.i", "p.j")
                       .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
                       .mapInArrow(verify(similarity), "rep long, links long, root long"))
