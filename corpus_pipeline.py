@@ -10,13 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from sparkcohort.llm import exact_dedup, quality  # noqa: E402
+from sparkcohort.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_codec  # noqa: E402
 from sparkcohort.llm.common import read  # noqa: E402
 from sparkcohort.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects; it learns from the labelled documents of the table itself."""
+    """Drop the documents that the classifier rejects; it learns from labelled documents among those it is given."""
     return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -25,7 +25,23 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links of similar word n-grams the one with the smallest doc_id stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents and the ids of the text's pieces."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.load(), keep=tuple(c for c in docs.columns if c != "doc_id"))
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
+          ("source mixing", mixing_stage), ("SentencePiece encoding", encoding_stage)]
 
 #: The classifier and the balanced sample have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -36,7 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            out.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return out

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import block_pairs, forest, join_checked, linked_report, q, whole_groups
-from sparkcohort.session import settle
+from sparkcohort.llm.common import block_pairs, fixed, forest, join_checked, linked_report, q, whole_groups
 
 COSINE = 0.9
 TABLES = 5           # independent rotations and codebooks
@@ -73,10 +72,15 @@ class Code:
         return np.sort(np.hstack(out), axis=1)
 
 
-def unit_rows(array: pa.Array) -> np.ndarray:
-    x = np.asarray(array.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(array), -1)
-    x = x / np.abs(x).max(1, keepdims=True)     # no overflow or underflow in the squares
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def unit_values(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all vectors, one after the other and each divided by its vector's length, and the vectors' offsets."""
+    x = np.array(array.flatten().to_numpy(zero_copy_only=False), np.float64)
+    offsets = array.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    sizes = np.diff(offsets)
+    x /= np.repeat(np.maximum.reduceat(np.abs(x), offsets[:-1]), sizes)      # no overflow or underflow in the squares
+    x /= np.repeat(np.sqrt(np.add.reduceat(x * x, offsets[:-1])), sizes)
+    return x, offsets
 
 
 def decoder(vectors: int, tables: int, filters: int, bin: int):
@@ -90,7 +94,7 @@ def decoder(vectors: int, tables: int, filters: int, bin: int):
                 at = np.flatnonzero(lengths == length)
                 for first in range(0, len(at), 1024):
                     rows = batch.take(pa.array(at[first:first + 1024]))
-                    keys = made[length].decode(unit_rows(rows.column(1))) * 4099 + length % 4099   # lengths do not mix
+                    keys = made[length].decode(unit_values(rows.column(1))[0].reshape(-1, length)) * 4099 + length % 4099   # lengths do not mix
                     offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
                                                      names=["rep", "keys"])
@@ -104,14 +108,14 @@ def compare_bins(least: float):
         for table, starts in whole_groups(batches, ["key", "i", "j"]):
             rep, copies, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
             key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-            x_all = unit_rows(table.column("vec").combine_chunks())
+            values, vec = unit_values(table.column("vec").combine_chunks())
             lists = table.column("keys").combine_chunks()
             flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             out_rep, out_links, out_root = [], [], []
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a < 2:
                     continue
-                x = x_all[a:b]
+                x = values[vec[a]:vec[b]].reshape(b - a, -1)
                 linked = x @ x.T >= least
                 np.fill_diagonal(linked, False)
                 if i[a] != j[a]:                            # only across the two blocks
@@ -155,9 +159,9 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     classes = (rows.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"),
                                                             F.any_value("vec").alias("vec"))
                .withColumn("rep", F.xxhash64("h")))
-    classes = settle(classes)
+    classes = fixed(classes)
     total = classes.count()
-    decoded = settle(classes.select("rep", "vec").mapInArrow(decoder(total, tables, filters, bin), "rep long, keys array<long>"))
+    decoded = fixed(classes.select("rep", "vec").mapInArrow(decoder(total, tables, filters, bin), "rep long, keys array<long>"))
     members = decoded.select("rep", F.explode("keys").alias("key"))
     # bins of one vector compare nothing; large ones are cut into blocks
     bins = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)).drop("n")
@@ -169,7 +173,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
             .select("rep", "vec", "copies", "keys", F.col("b.key").alias("key"), F.col("b.blocks").alias("blocks"))
             .select("rep", "vec", "copies", "keys", "key", own.alias("block"), F.explode(pairs).alias("p"))
             .select("rep", "vec", "copies", "keys", "key", "block", "p.i", "p.j"))
-    found = settle(sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = fixed(sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                    .mapInArrow(compare_bins(least), "rep long, links long, root long"))
     got = linked_report(rows, classes, found)
     return got.select(F.col("id").alias(id), F.col("links").alias("n_links"), F.col("component").alias("component_id"), "kept")

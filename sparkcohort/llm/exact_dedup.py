@@ -33,8 +33,8 @@ def suspect_prefixes(light: DataFrame) -> DataFrame:
     if lengths.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         live = light.join(F.broadcast(lengths), "__len", "left_semi")
     else:
-        salted = lengths.select("__len", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("__salt"))
-        live = light.withColumn("__salt", F.pmod("__prefix", F.lit(SALTS))).join(salted, ["__len", "__salt"], "left_semi")
+        salted = lengths.select("__len", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+        live = light.withColumn("__salt", F.pmod("__prefix", F.lit(SALTS).cast("long"))).join(salted, ["__len", "__salt"], "left_semi")
     return live.groupBy("__len", "__prefix").count().where("count > 1").select("__len", "__prefix")
 
 

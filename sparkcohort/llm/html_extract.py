@@ -102,8 +102,6 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
             if not end and not attributes.endswith("/"):
                 closing = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
                 at = closing.end() if closing else len(page)
-            if tag not in INLINE:
-                close()
             continue
         if tag == "a":
             link_depth = max(0, link_depth - 1) if end else 1

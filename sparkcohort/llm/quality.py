@@ -128,6 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(counts[order], got.column("label").to_numpy()[order])
 
 
+def batch_scores(model: Model, batch: pa.RecordBatch, text: str) -> np.ndarray:
+    parts = []
+    for _, _, data, offsets in byte_slices(batch, text, 1 << 20):
+        for a in range(0, len(offsets) - 1, 256):
+            part = offsets[a:min(a + 257, len(offsets))]
+            parts.append(model.scores(features(data[part[0]:part[-1]], part - part[0])))
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, ``held_out``, ``score`` in [0, 1], ``predicted``: one row per input row, from the whole text alone.
 
@@ -137,14 +146,8 @@ def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = handle.value
         for batch in batches:
-            parts = []
-            for _, _, data, offsets in byte_slices(batch, "text", 1 << 20):
-                for a in range(0, len(offsets) - 1, 256):
-                    part = offsets[a:min(a + 257, len(offsets))]
-                    parts.append(m.scores(features(data[part[0]:part[-1]], part - part[0])))
-            value = np.concatenate(parts) if parts else np.zeros(0)
+            value = batch_scores(handle.value, batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(value, 0.0, 1.0), pa.float64())], names=["id", "score"])
 
     rows = docs.select(q(id).alias("id"), text_of(text).alias("text")).mapInArrow(score, f"id {id_type}, score double")
@@ -154,16 +157,11 @@ def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The input's rows and columns whose score reaches the threshold; rows stay where they lie."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = handle.value
         for batch in batches:
-            parts = []
-            for _, _, data, offsets in byte_slices(batch, text, 1 << 20):
-                for a in range(0, len(offsets) - 1, 256):
-                    part = offsets[a:min(a + 257, len(offsets))]
-                    parts.append(m.scores(features(data[part[0]:part[-1]], part - part[0])))
-            yield batch.filter(pa.array(np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)))
-
-    return docs.mapInArrow(keep, docs.schema)
+            yield batch.filter(pa.array(batch_scores(handle.value, batch, batch.schema.names[at]) >= threshold))
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])      # any column names will do
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcohort.llm import embedding_dedup, exact_dedup, html_extract, lm_scoring, mixing, ngram_join, pii, quality, sentencepiece_codec
+from sparkcohort.llm import embedding_dedup, exact_dedup, html_extract, lm_scoring, mixing, ngram_join, pii, quality, sentencepiece_codec, suffix_dedup
 from sparkcohort.llm.common import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_sentencepiece, op5_ngram_jaccard_join, op6_exact_dedup, op7_html_extraction, op8_pii, op9_lm_scoring, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_quality_classifier, op4_sentencepiece, op5_ngram_jaccard_join, op6_exact_dedup, op7_html_extraction, op8_pii, op9_lm_scoring, op10_embedding_near_dedup)}
 
 ORACLES = {
     "op5_ngram_jaccard_join": r"""

@@ -201,29 +201,35 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and ``ids`` (array<int>), one row per input row; null and empty texts have no ids.  Extra columns are ignored."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns of ``keep`` and ``ids`` (array<int>), one row per input row; null and empty texts have no ids.
+
+    Columns that are not named in ``keep`` are left out.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in byte_slices(batch, "text", SLICE):
                 ids, at = handle.value.encode(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a),
-                                                  pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))], names=["id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*rows.schema.names[:-1], "ids"])
 
-    id_type = docs.schema[id].dataType.simpleString()
-    got = docs.select(q(id).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>")
-    return got.select(F.col("id").alias(id), "ids")
+    columns = [id, *keep]
+    types = [T.StructField(f"k{k}", docs.schema[c].dataType) for k, c in enumerate(columns)]
+    rows = docs.select(*[q(c).alias(f"k{k}") for k, c in enumerate(columns)], text_of(text).alias("text"))
+    got = rows.mapInArrow(run, T.StructType([*types, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return got.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(columns)], "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
     """The input with a column of texts; null ids give null."""
-    handle = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    handle, where = encoded.sparkSession.sparkContext.broadcast(vocabulary), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
+            lists = batch.column(where)
             for a in range(0, batch.num_rows, 512):
                 part = lists.slice(a, 512)
                 at = part.offsets.to_numpy()
@@ -233,6 +239,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
                 if part.null_count:
                     column = pc.if_else(part.is_valid(), column, pa.scalar(None, pa.string()))
                 rows = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "t"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
+    plain = encoded.toDF(*[f"c{k}" for k in range(len(encoded.columns))])      # any column names will do
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("t", T.StringType())])).toDF(*encoded.columns, text)
