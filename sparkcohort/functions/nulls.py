@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def if_else_null(condition: Column, yes, no) -> Column:
@@ -27,6 +28,17 @@ def present(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value.cast("double"))
 
 
+def present_in(df: DataFrame, column: str) -> Column:
+    """``present`` of a column of any type: only floating-point columns can hold NaN."""
+    c = F.col(sql_name(column))
+    return c.isNotNull() & ~F.isnan(c) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c.isNotNull()
+
+
+def measured(df: DataFrame, column: str) -> Column:
+    """The column with NaN as NULL."""
+    return F.when(present_in(df, column), F.col(sql_name(column)))
+
+
 def sql_text(value: str) -> str:
     """A string literal for use inside an SQL expression."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

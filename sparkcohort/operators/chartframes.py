@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.derive import pseudo_log, pseudo_log_inverse
+from sparkcohort.functions.derive import floor_zero_to_one, pseudo_log, pseudo_log_inverse
 from sparkcohort.functions.nulls import sql_name
 from sparkcohort.operators.corr import correlation_text, spearman
 from sparkcohort.operators.ranks import quantiles
@@ -94,7 +94,10 @@ def scatter_labels(df: DataFrame, by: Sequence[str], x: str, y: str, **kw) -> Da
 
 
 def scatter_band(df: DataFrame, by: Sequence[str], x: str, y: str, **kw) -> DataFrame:
-    """Errors-in-both line with its band per facet on log10 axes: fitted on the logs, mapped back for display."""
-    logs = df.where((F.col(x) > 0) & (F.col(y) > 0)).withColumns({"_lx": F.log10(x), "_ly": F.log10(y)})
+    """Errors-in-both line with its band per facet on log10 axes: fitted on the logs, mapped back for display.
+
+    Zeros count as one; negative values have no logarithm and are missing.
+    """
+    logs = df.withColumns({"_lx": F.log10(floor_zero_to_one(F.col(x))), "_ly": F.log10(floor_zero_to_one(F.col(y)))})
     band = deming_band(logs, by, "_lx", "_ly", **kw)
     return band.select(*by, "point", *[F.pow(F.lit(10.0), F.col(c)).alias(c) for c in ("x", "y", "lower", "upper")])

@@ -16,7 +16,7 @@ from sparkcohort.functions.tails import chi2_upper
 from sparkcohort.operators.describe import group_counts
 from sparkcohort.session import join_groups, settle, spread
 
-MAX_TABLES = 20_000_000
+FIRST_COLUMNS_PER_CHUNK = 64
 TABLES_PER_CHUNK = 4_096
 SIMULATIONS = 2_000
 SIMULATIONS_PER_CHUNK = 250
@@ -99,33 +99,114 @@ def _tables(counts: DataFrame, by: Sequence[str], row: str, column: str, n: str)
         F.transform("_cols", lambda c: c["_c"]).alias("_c"))
 
 
-def fisher_exact_counts(counts: DataFrame, by: Sequence[str], row: str, column: str, n: str = "n",
+def fisher_exact_counts(counts: DataFrame, by: Sequence[str], row: str, column: str, n: str = "n", method: str = "exact",
                         simulations: int = SIMULATIONS, seed: int = 1) -> DataFrame:
-    """Exact p-value of independence given the margins, per table: ``p`` and ``method`` (exact or simulated).
+    """P-value of independence given the margins, per table: ``p`` and ``method``.
 
-    Tables with two rows (or two columns) are enumerated: the possible first rows are numbered, the numbers are spread over
-    tasks in chunks and each task sums the probabilities not above the observed one.  Wider tables, and 2 x c tables with
-    more than ``MAX_TABLES`` arrangements, are answered by ``simulations`` random tables with the same margins.
+    The caller chooses the method; it does not change with a table's size.  ``exact`` sums the probabilities of all tables
+    that are not likelier than the observed one.  Tables with two rows (or two columns) are numbered and the numbers spread over
+    tasks; for wider ones the possible first columns are spread, and a task completes each of them column by column, merging
+    partial tables that leave the same margins with the same probability.  The work grows with the number of partial
+    tables, so for large dense tables ``simulated`` is the way: ``simulations`` random tables with the same margins.
     """
-    tables = settle(_tables(settle(counts), by, row, column, n))
-    flip = (F.size("_r") != 2) & (F.size("_c") == 2)
-    tables = tables.select(
+    if method not in ("exact", "simulated"):
+        raise ValueError(f"unknown method {method!r}")
+    tables = settle(_tables(counts, by, row, column, n))
+    # the shorter side becomes the rows
+    flip = F.size("_c") < F.size("_r")
+    tables = tables.where((F.size("_r") > 1) & (F.size("_c") > 1)).select(
         *by, F.when(flip, F.col("_c")).otherwise(F.col("_r")).alias("_r"),
         F.when(flip, F.col("_r")).otherwise(F.col("_c")).alias("_c"),
         F.when(flip, F.transform("_cells", lambda x: F.struct(x["_j"].alias("_i"), x["_i"].alias("_j"), x["_o"])))
         .otherwise(F.col("_cells")).alias("_cells"))
-    two = F.size("_r") == 2
+    if method == "simulated":
+        return _simulated(tables, by, simulations, seed)
     # arrangements of the first row over all columns but the last, each 0 .. min(column, first row)
     radix = "transform(slice(_c, 1, size(_c) - 1), c -> least(c, _r[0]) + 1)"
-    tables = tables.withColumn("_radix", F.expr(f"CASE WHEN size(_r) = 2 AND size(_c) > 1 THEN {radix} END")).withColumn(
+    two = tables.where(F.size("_r") == 2).withColumn("_radix", F.expr(radix)).withColumn(
         "_space", F.expr("aggregate(_radix, 1D, (p, m) -> p * m)"))
-    possible = (F.size("_r") > 1) & (F.size("_c") > 1)
-    exact = tables.where(possible & two & (F.col("_space") <= MAX_TABLES))
-    other = tables.where(possible & ~(two & (F.col("_space") <= MAX_TABLES)))
-    if not other.take(1):
-        return _enumerated(exact, by)
-    simulated = _simulated(other, by, simulations, seed)
-    return _enumerated(exact, by).unionByName(simulated) if exact.take(1) else simulated
+    return _enumerated(two, by).unionByName(_completed(tables.where(F.size("_r") > 2), by))
+
+
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def low_mass(rows: np.ndarray, cols: np.ndarray, limit: float, start: float, factorial: np.ndarray) -> float:
+    """Sum of exp(start - sum of log factorials of the cells - limit) over tables with these margins whose term is at most 1.
+
+    Partial tables are arrays of open row margins with their weight and how many there are of them; equal ones are merged.
+    A partial table whose best completion is still low counts as a whole, by the closed form of all its completions.
+    """
+    rows, cols = np.asarray(rows, np.int64), np.sort(np.asarray(cols, np.int64))[::-1]
+    states, weight, times, low = rows[None, :], np.array([start]), np.array([1.0]), 0.0
+
+    def total(states: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return factorial[int(left.sum())] - factorial[states].sum(1) - factorial[left].sum()
+
+    for j, column in enumerate(cols):
+        left = cols[j + 1:]
+        parts = [(states, np.full(len(states), column), weight, times)]
+        for i in range(len(rows) - 1):                       # spread the column over the rows, one row at a time
+            state, rest, w, t = parts[0]
+            least = np.maximum(0, rest - state[:, i + 1:].sum(1))
+            count = np.minimum(state[:, i], rest) - least + 1
+            at = np.repeat(np.arange(len(state)), count)
+            x = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + least[at]
+            state = state[at]
+            state[:, i] -= x
+            parts = [(state, rest[at] - x, w[at] - factorial[x], t[at])]
+        state, rest, w, t = parts[0]
+        state = state.copy()
+        state[:, -1] -= rest
+        w = w - factorial[rest]
+        if not len(left):
+            return low + float((t * np.exp(w - limit))[w <= limit + 1e-7].sum())
+        # no completion is likelier than one that splits every open margin evenly
+        k = len(left)
+        even = (k - state % k) * factorial[state // k] + (state % k) * factorial[state // k + (state % k > 0)]
+        sure = w - even.sum(1) <= limit
+        if sure.any():
+            low += float((t[sure] * np.exp(w[sure] + total(state[sure], left) - limit)).sum())
+        state, w, t = state[~sure], w[~sure], t[~sure]
+        if not len(w):
+            return low
+        order = np.lexsort((np.round(w, 9), *state.T))
+        state, w, t = state[order], w[order], t[order]
+        head = np.concatenate([[True], (state[1:] != state[:-1]).any(1) | (np.round(w[1:], 9) != np.round(w[:-1], 9))])
+        states, weight, times = state[head], w[head], np.add.reduceat(t, np.flatnonzero(head))
+    return low
+
+
+def _completed(tables: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact p-values of tables with more than two rows."""
+    radix = "transform(slice(_r, 1, size(_r) - 1), r -> least(r, _c[0]) + 1)"
+    chunks = tables.withColumn("_radix", F.expr(radix)).withColumn("_chunk", F.explode(F.expr(
+        f"sequence(0L, CAST(ceil(aggregate(_radix, 1D, (p, m) -> p * m) / {FIRST_COLUMNS_PER_CHUNK}) AS BIGINT) - 1)")))
+
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            low = []
+            for r, c, cells, radix, chunk in zip(pdf["_r"], pdf["_c"], pdf["_cells"], pdf["_radix"], pdf["_chunk"]):
+                rows, cols = np.asarray(r, np.int64), np.asarray(c, np.int64)
+                factorial = _log_factorials(int(rows.sum()))
+                limit = -sum(factorial[cell["_o"]] for cell in cells)
+                every = factorial[rows.sum()] - factorial[rows].sum() - factorial[cols].sum()
+                mass, size = 0.0, int(np.prod(np.asarray(radix, float)))
+                for number in range(chunk * FIRST_COLUMNS_PER_CHUNK, min((chunk + 1) * FIRST_COLUMNS_PER_CHUNK, size)):
+                    x = []
+                    for m in radix:
+                        x.append(number % m)
+                        number //= m
+                    x = np.array([*x, cols[0] - sum(x)])
+                    if 0 <= x[-1] <= rows[-1]:
+                        mass += low_mass(rows - x, cols[1:], limit, -factorial[x].sum(), factorial)
+                low.append(mass * np.exp(limit - every))
+            yield pdf[list(by)].assign(_low=low)
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tables.select(*by).schema], "_low double"])
+    return (spread(chunks, *by, "_chunk").mapInPandas(complete, schema).groupBy(*by)
+            .agg(F.least(F.lit(1.0), F.sum("_low")).alias("p")).withColumn("method", F.lit("exact")))
 
 
 def _enumerated(tables: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -151,38 +232,36 @@ def _enumerated(tables: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _random_tables(rows: np.ndarray, cols: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """``size`` random tables with the given margins, filled column by column."""
+    """``size`` random tables with the given margins: every cell is one hypergeometric draw for all tables at once."""
     out = np.empty((size, len(rows), len(cols)), dtype=np.int64)
-    for k in range(size):
-        left = rows.copy()
-        for j, total in enumerate(cols[:-1]):
-            out[k, :, j] = rng.multivariate_hypergeometric(left, total)
-            left = left - out[k, :, j]
-        out[k, :, -1] = left
+    left = np.tile(rows, (size, 1))
+    for j, total in enumerate(cols[:-1]):
+        need, rest = np.full(size, total), left.sum(1)
+        for i in range(len(rows)):
+            rest = rest - left[:, i]
+            out[:, i, j] = rng.hypergeometric(left[:, i], rest, need)
+            need = need - out[:, i, j]
+        left = left - out[:, :, j]
+    out[:, :, -1] = left
     return out
 
 
 def _simulated(tables: DataFrame, by: Sequence[str], simulations: int, seed: int) -> DataFrame:
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-    def score(table: np.ndarray) -> np.ndarray:
-        return -lgamma(table + 1.0).sum(axis=(-2, -1))
-
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             low = []
-            for r, c, cells, chunk in zip(pdf["_r"], pdf["_c"], pdf["_cells"], pdf["_chunk"]):
+            for r, c, cells, chunk, table in zip(pdf["_r"], pdf["_c"], pdf["_cells"], pdf["_chunk"], pdf["_table"]):
                 rows, cols = np.asarray(r, dtype=np.int64), np.asarray(c, dtype=np.int64)
-                observed = np.zeros((len(rows), len(cols)))
-                for cell in cells:
-                    observed[cell["_i"] - 1, cell["_j"] - 1] = cell["_o"]
+                factorial = _log_factorials(int(rows.sum()))
+                limit = -sum(factorial[cell["_o"]] for cell in cells)
                 size = min(SIMULATIONS_PER_CHUNK, simulations - chunk * SIMULATIONS_PER_CHUNK)
-                rng = np.random.Generator(np.random.Philox(key=[seed, chunk]))
-                limit = score(observed)
-                low.append(int((score(_random_tables(rows, cols, size, rng)) <= limit + 1e-7 * abs(limit)).sum()))
+                # every table has a stream of its own
+                rng = np.random.Generator(np.random.Philox(key=[seed, (int(table) ^ chunk) % 2**64]))
+                score = -factorial[_random_tables(rows, cols, size, rng)].sum(axis=(1, 2))
+                low.append(int((score <= limit + 1e-7 * abs(limit)).sum()))
             yield pdf[list(by)].assign(_low=low)
 
-    chunks = spread(tables.select(*by, "_r", "_c", "_cells", F.explode(F.expr(
+    chunks = spread(tables.select(*by, "_r", "_c", "_cells", F.xxhash64(F.lit(0), *by).alias("_table"), F.explode(F.expr(
         f"sequence(0, {max(0, math.ceil(simulations / SIMULATIONS_PER_CHUNK) - 1)})")).alias("_chunk")), *by, "_chunk")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tables.select(*by).schema], "_low long"])
     return (chunks.mapInPandas(draw, schema).groupBy(*by).agg(F.sum("_low").alias("_low"))
@@ -190,9 +269,10 @@ def _simulated(tables: DataFrame, by: Sequence[str], simulations: int, seed: int
 
 
 def independence_test(counts: DataFrame, by: Sequence[str], row: str, column: str, n: str = "n",
-                      min_expected: float = 5.0, simulations: int = SIMULATIONS, seed: int = 1) -> DataFrame:
+                      min_expected: float = 5.0, method: str = "exact", simulations: int = SIMULATIONS,
+                      seed: int = 1) -> DataFrame:
     """The usual choice per table: chi-square without correction when all expected counts reach ``min_expected``,
-    Fisher's exact test otherwise.  A table with a single row or column has no test."""
+    Fisher's exact test (by ``method``) otherwise.  A table with a single row or column has no test."""
     counts = settle(counts)
     tested = settle(chi_square_counts(counts, by, row, column, n, yates=False))
     chi = tested.select(*by, F.when(F.col("df") > 0, "chi-square").alias("test"), "statistic", "p", "min_expected")
@@ -200,7 +280,7 @@ def independence_test(counts: DataFrame, by: Sequence[str], row: str, column: st
     if not small.take(1):
         return chi
     sparse = join_groups(counts, small, by).drop("min_expected")
-    fisher = fisher_exact_counts(sparse, by, row, column, n, simulations, seed)
+    fisher = fisher_exact_counts(sparse, by, row, column, n, method, simulations, seed)
     exact = join_groups(small, fisher, by).select(
         *by, F.concat(F.lit("fisher "), "method").alias("test"), F.lit(None).cast("double").alias("statistic"), "p",
         "min_expected")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import fixed_text, paste, present, sql_name, sql_text
+from sparkcohort.functions.nulls import fixed_text, measured, paste, present, present_in, sql_name, sql_text
 from sparkcohort.operators.levels import level_table
 from sparkcohort.operators.ranks import quantiles
 from sparkcohort.operators.reshape import numeric_columns
@@ -22,32 +22,34 @@ def group_counts(df: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
 def count_present(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Non-missing values of several columns, next to the number of rows."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                               *[F.count(c).alias(f"n_{c}") for c in columns])
+                               *[F.count(measured(df, c)).alias(f"n_{c}") for c in columns])
 
 
 def range_and_mean(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """min, max and mean of every listed column by group, missing values skipped."""
-    aggs = [f(F.col(c)).alias(f"{name}_{c}") for c in values
+    aggs = [f(measured(df, c)).alias(f"{name}_{c}") for c in values
             for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
     return df.groupBy(*by).agg(*aggs)
 
 
 def moments(df: DataFrame, by: Sequence[str], x: str, y: str | None = None) -> DataFrame:
     """Sample variance and standard deviation, and the sample covariance with a second column."""
-    aggs = [F.var_samp(x).alias(f"var_{x}"), F.stddev_samp(x).alias(f"sd_{x}")]
+    a = measured(df, x)
+    aggs = [F.var_samp(a).alias(f"var_{x}"), F.stddev_samp(a).alias(f"sd_{x}")]
     if y is not None:
-        aggs += [F.var_samp(y).alias(f"var_{y}"), F.stddev_samp(y).alias(f"sd_{y}"), F.covar_samp(x, y).alias("cov")]
+        b = measured(df, y)
+        aggs += [F.var_samp(b).alias(f"var_{y}"), F.stddev_samp(b).alias(f"sd_{y}"), F.covar_samp(a, b).alias("cov")]
     return df.groupBy(*by).agg(*aggs)
 
 
 def log_mean(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean of log10 and plain mean."""
-    return df.groupBy(*by).agg(F.avg(F.log10(value)).alias("mean_log10"), F.avg(value).alias("mean"))
+    return df.groupBy(*by).agg(F.avg(F.log10(measured(df, value))).alias("mean_log10"), F.avg(measured(df, value)).alias("mean"))
 
 
 def geometric_mean(df: DataFrame, by: Sequence[str], value: str, name: str = "geo_mean", n: str = "n") -> DataFrame:
     """exp(mean(ln x)) of positive values; floor zeros first."""
-    return (df.where(F.col(value).isNotNull()).groupBy(*by)
+    return (df.where(present_in(df, value)).groupBy(*by)
             .agg(F.count(F.lit(1)).alias(n), F.exp(F.avg(F.ln(value))).alias(name)))
 
 
@@ -109,7 +111,7 @@ def missing_pareto(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """
     columns = list(columns or df.columns)
     counted = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count_if(F.col(sql_name(c)).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
+                     *[F.count_if(~present_in(df, c)).alias(f"_m{i}") for i, c in enumerate(columns)])
     rows = ", ".join(f"named_struct('variable', {sql_text(c)}, 'n_missing', _m{i})" for i, c in enumerate(columns))
     order = Window.orderBy(F.col("n_missing").desc(), "variable")
     everything = Window.partitionBy()
@@ -143,7 +145,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     columns = list(columns or [c for c in numeric_columns(df) if c not in by])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(columns):
-        v = f"CAST({sql_name(c)} AS DOUBLE)"
+        v = f"nanvl(CAST({sql_name(c)} AS DOUBLE), NULL)"
         aggs += [F.expr(f"count({v}) AS _n{i}"), F.expr(f"avg({v}) AS _a{i}"), F.expr(f"stddev_samp({v}) AS _s{i}"),
                  F.expr(f"min({v}) AS _l{i}"), F.expr(f"max({v}) AS _h{i}")]
     rows = ", ".join(f"named_struct('variable', {sql_text(c)}, 'n_missing', _rows - _n{i}, "

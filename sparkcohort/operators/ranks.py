@@ -4,13 +4,14 @@ A window ordered by value over raw rows would sort one stratum in one task.  The
 
 1. *value counts*: ``groupBy(stratum, value).count()``; the map-side combine collapses repeated values, so a value that
    holds a third of the table is one row afterwards.
-2. *cells*: every value falls into an ``order_cell``, a fixed non-decreasing integer function of the value.  Sums per cell
-   give the number of observations below each cell (one short window per stratum: a stratum has some ten thousand cells
-   however many rows it has).
+2. *cells*: every value falls into a cell, a non-decreasing number of the value.  The range of each stratum, whatever it is,
+   is cut into ``CELLS`` cells that are even on a logarithmic scale, and a cell that still holds more than ``CROWDED`` rows is
+   cut once more over its own range.  Sums per cell give the number of observations below each cell (one short window per
+   stratum, whose rows are cells).
 3. a window *inside* a cell adds the position within the cell.
 
 Only step 3 sorts, over the distinct values of one cell, so a stratum is spread over as many tasks as it has cells.
-The cell is a pure function of the value: no sampling, hence the same answer when a lost task is run again.
+Cells follow from minima and maxima: no sampling, hence the same answer when a lost task is run again.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from sparkcohort.functions.nulls import present, sql_name
 from sparkcohort.session import broadcast_if_small, join_groups
 
-CELLS_PER_E_FOLD = 8192
+CELLS = 16_384
+CROWDED = 100_000
 SMALLEST_SCALE = float(2 ** 20)
-LARGEST_LOG = 720.0
 
 CELL = "_cell"
 COUNT = "_count"
@@ -33,14 +34,28 @@ BEFORE = "_before"
 TOTAL = "_total"
 
 
-def order_cell(value: Column, resolution: int = CELLS_PER_E_FOLD) -> Column:
-    """Non-decreasing integer cell of a number, about ``1/resolution`` wide relative to its size.
+def order_scale(value: Column) -> Column:
+    """A non-decreasing scale of any number: linear below about 1e-6, logarithmic above, the same for both signs."""
+    size = F.log1p(F.least(F.abs(value.cast("double")), F.lit(1e300)) * SMALLEST_SCALE)
+    return F.when(value < 0, -size).otherwise(size)
 
-    Values from 1 to 1000 use about 7 * resolution cells; magnitudes below 1e-6 share a few.  Values in a range that is
-    narrow for their size (timestamps, say) should be shifted towards zero first, or given a higher resolution.
+
+def with_cells(df: DataFrame, by: Sequence[str], value: str, cells: int = CELLS, crowded: int = CROWDED) -> DataFrame:
+    """Add the cell of each value (a double; NULL values have none): ``cells`` to a stratum, and as many again to a crowded cell.
+
+    The limits of strata and of crowded cells are small frames that come back by equi-join.
     """
-    cell = F.floor(F.least(F.log1p(F.abs(value) * SMALLEST_SCALE), F.lit(LARGEST_LOG)) * resolution)
-    return F.when(value < 0, -cell - 1).otherwise(cell)
+    def share(low: str, high: str) -> Column:
+        part = F.floor((F.col("_g") - F.col(low)) / (F.col(high) - F.col(low)) * (cells - 1))
+        return F.when(F.col(high) > F.col(low), F.least(F.greatest(part, F.lit(0)), F.lit(cells - 1))).otherwise(F.lit(0))
+
+    rows = df.withColumn("_g", order_scale(F.col(value)))
+    limits = rows.groupBy(*by).agg(F.min("_g").alias("_low"), F.max("_g").alias("_high"))
+    rows = join_groups(rows, limits, by).withColumn(CELL, share("_low", "_high").cast("double")).drop("_low", "_high")
+    full = rows.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias("_many"), F.min("_g").alias("_low"), F.max("_g").alias("_high"))
+    full = full.where(F.col("_many") > crowded).drop("_many")
+    inner = F.when(F.col("_low").isNotNull(), share("_low", "_high") / float(cells)).otherwise(0.0)
+    return join_groups(rows, full, [*by, CELL], "left").withColumn(CELL, F.col(CELL) + inner).drop("_g", "_low", "_high")
 
 
 def clean_values(df: DataFrame, value: str) -> DataFrame:
@@ -58,24 +73,24 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str,
             .agg(*[F.sum(c.cast("long")).alias(name) for name, c in counts.items()]))
 
 
-def prefix_counts(counts: DataFrame, by: Sequence[str], value: str, count: str = COUNT,
-                  resolution: int = CELLS_PER_E_FOLD) -> DataFrame:
+def prefix_counts(counts: DataFrame, by: Sequence[str], value: str, count: str = COUNT, cells: int = CELLS,
+                  crowded: int = CROWDED) -> DataFrame:
     """Add ``_before`` (observations below the value) and ``_total`` (stratum size) to a value-count frame.
 
     The offset of each cell travels as one extra row of that cell, placed before its values, so that one window adds the
     offset and the position within the cell and no join back is needed (NULL strata are kept as a stratum).
     """
-    cells = counts.select(*by, value, F.col(count).cast("long").alias(count),
-                          order_cell(F.col(value), resolution).alias(CELL))
+    placed = with_cells(counts.select(*by, value, F.col(count).cast("long").alias(count)), by, value, cells, crowded)
+    kind = counts.schema[value].dataType
     per_stratum = Window.partitionBy(*by)
-    offsets = (cells.groupBy(*by, CELL).agg(F.sum(count).alias("_c"))
+    offsets = (placed.groupBy(*by, CELL).agg(F.sum(count).alias("_c"))
                .select(*by, CELL,
                        F.coalesce(F.sum("_c").over(
                            per_stratum.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(count),
                        F.sum("_c").over(per_stratum).alias(TOTAL))
-               .select(*by, F.lit(None).cast("double").alias(value), count, CELL, TOTAL))
+               .select(*by, F.lit(None).cast(kind).alias(value), count, CELL, TOTAL))
     in_cell = Window.partitionBy(*by, CELL)
-    return (cells.select(*by, value, count, CELL, F.lit(None).cast("long").alias(TOTAL)).unionAll(offsets)
+    return (placed.select(*by, value, count, CELL, F.lit(None).cast("long").alias(TOTAL)).unionAll(offsets)
             .withColumn(BEFORE, F.sum(count).over(
                 in_cell.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn(TOTAL, F.max(TOTAL).over(in_cell))
@@ -116,14 +131,21 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
         ranked = _ranked_targets(df, by, value, list(probs.values()))
     else:
         raise ValueError(f"unknown method {method!r}")
-    aggs, outputs = [F.max(TOTAL).alias("_n")], []
+    return quantiles_of_counts(ranked, by, value, probs, n=n)
+
+
+def quantiles_of_counts(ranked: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+                        others: Sequence[Column] = (), n: str | None = None) -> DataFrame:
+    """Quantiles from the rows of ``prefix_counts``, with further aggregates of the same rows beside them."""
+    aggs, outputs = [F.max(TOTAL).alias("_n"), *others], []
+    extra = [c for c in ranked.groupBy(*by).agg(*others).columns if c not in by] if others else []
     for i, (name, p) in enumerate(probs.items()):
         for suffix, index in zip(("lo", "hi"), _neighbours(float(p))):
             aggs.append(F.expr(f"max(CASE WHEN {_holds(index)} THEN {sql_name(value)} END) AS _{suffix}{i}"))
         at = f"((_n - 1) * {float(p)!r}D)"
         outputs.append(F.expr(f"_lo{i} + ({at} - floor({at})) * (_hi{i} - _lo{i})").alias(name))
     sizes = [F.col("_n").alias(n)] if n else []
-    return ranked.groupBy(*by).agg(*aggs).select(*by, *sizes, *outputs)
+    return ranked.groupBy(*by).agg(*aggs).select(*by, *sizes, *extra, *outputs)
 
 
 def _neighbours(p: float) -> tuple[str, str]:
@@ -139,7 +161,7 @@ def _holds(index: str) -> str:
 
 def _ranked_targets(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Ranked distinct values of the cells in which the positions of ``probs`` fall."""
-    data = clean_values(df, value).select(*by, value, order_cell(F.col(value)).alias(CELL))
+    data = with_cells(clean_values(df, value).select(*by, value), by, value)
     per_group = Window.partitionBy(*by)
     cells = data.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias(COUNT)).select(
         *by, CELL, COUNT, F.sum(COUNT).over(per_group).alias(TOTAL),
@@ -163,7 +185,7 @@ def quartiles(df: DataFrame, by: Sequence[str], value: str, iqr: str | None = No
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
-    """0-based position of every row in the order of a unique, non-missing numeric column."""
-    positions = prefix_counts(value_counts(df.select(order), [], order), [], order).select(
-        F.col(order).alias("_at"), F.col(BEFORE).alias(name))
-    return df.join(positions, df[order].cast("double") == F.col("_at")).drop("_at")
+    """0-based position of every row in the order of a unique, non-missing numeric column, ranked in its own type."""
+    counts = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias(COUNT))
+    positions = prefix_counts(counts, [], order).select(F.col(order).alias("_at"), F.coalesce(BEFORE, F.lit(0)).alias(name))
+    return df.join(positions, df[order] == F.col("_at")).drop("_at")

@@ -16,7 +16,8 @@ from sparkcohort.functions.exact import EXACT_BELOW, rank_sum_exact_p, signed_ra
 from sparkcohort.functions.nulls import present, sql_text
 from sparkcohort.functions.tails import normal_two_sided
 from sparkcohort.operators.levels import known_levels, level_pairs
-from sparkcohort.operators.ranks import CELL, CELLS_PER_E_FOLD, clean_values, order_cell, value_counts
+from sparkcohort.operators.reshape import single_value
+from sparkcohort.operators.ranks import CELL, clean_values, value_counts, with_cells
 
 
 def _pick_pairs(levels: Sequence[str], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[int, int]]:
@@ -38,13 +39,13 @@ def _normal_test(tests: DataFrame, centred: str, variance: str, correct: bool) -
 
 def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: Sequence[str] | None = None,
              pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | None = None,
-             resolution: int = CELLS_PER_E_FOLD) -> DataFrame:
+             exact_below: int = EXACT_BELOW) -> DataFrame:
     """Two-sided rank-sum test for every pair of levels within every stratum.
 
     The statistic of group 1 is the number of pairs in which its value is the larger one, ties counting one half.  It is
     summed up from value counts: per cell from the position inside the cell, then across cells from the cell totals, so no
-    frame of ranks is ever built or joined.  ``exact=None`` uses the exact distribution below 50 observations per group
-    without ties; ``exact=False`` never does (and needs no Python worker).
+    frame of ranks is ever built or joined.  ``exact=None`` uses the exact distribution below ``exact_below`` observations per
+    group (50, the usual convention of this test) without ties; ``exact=False`` never does (and needs no Python worker).
     """
     levels = known_levels(df, level, levels)
     chosen = _pick_pairs(levels, pairs)
@@ -53,7 +54,7 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     counts = value_counts(members, by, value, {f"_n{i}": F.col(level) == levels[i] for i in used})
 
     in_cell = (Window.partitionBy(*by, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(CELL, order_cell(F.col(value), resolution)).select(
+    ranked = with_cells(counts, by, value).select(
         *by, CELL, *[F.col(f"_n{i}") for i in used],
         *[F.coalesce(F.sum(f"_n{i}").over(in_cell), F.lit(0)).alias(f"_b{i}") for i in used])
     aggs = [F.sum(f"_n{i}").alias(f"_N{i}") for i in used]
@@ -79,7 +80,7 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     variance = f"({mean} / 12D * ({total} + 1D - _ties / ({total} * ({total} - 1D))))"
     out = _normal_test(tests, f"(statistic - {mean} / 2D)", variance, correct)
     if exact is not False:
-        small = (F.col("n1") < EXACT_BELOW) & (F.col("n2") < EXACT_BELOW) if exact is None else F.lit(True)
+        small = (F.col("n1") < exact_below) & (F.col("n2") < exact_below) if exact is None else F.lit(True)
         out = out.withColumn("_x", small & (F.col("_ties") == 0)).withColumn(
             "p", F.coalesce(rank_sum_exact_p("statistic", "n1", "n2", "_x"), F.col("p"))).drop("_x")
     return out.drop("_ties")
@@ -89,12 +90,12 @@ def paired_wide(df: DataFrame, by: Sequence[str], id_: str, level: str, value: s
                 levels: Sequence[str]) -> DataFrame:
     """One row per (stratum, participant) with the value at each level in columns ``_v0, _v1, ...``."""
     return (clean_values(df.where(F.col(level).isin(list(levels))), value).groupBy(*by, id_)
-            .agg(*[F.max(F.when(F.col(level) == l, F.col(value))).alias(f"_v{i}") for i, l in enumerate(levels)]))
+            .agg(*[single_value(F.when(F.col(level) == l, F.col(value))).alias(f"_v{i}") for i, l in enumerate(levels)]))
 
 
 def signed_rank(df: DataFrame, by: Sequence[str], id_: str, level: str, value: str,
                 levels: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | None = None,
-                correct: bool = True, exact: bool | None = None, resolution: int = CELLS_PER_E_FOLD) -> DataFrame:
+                correct: bool = True, exact: bool | None = None, exact_below: int = EXACT_BELOW) -> DataFrame:
     """Two-sided signed-rank test of level i against level j on participants measured at both, by stratum.
 
     ``(stratum, id_, level)`` has to be unique.  Zero differences are dropped from the statistic and the exact
@@ -102,12 +103,12 @@ def signed_rank(df: DataFrame, by: Sequence[str], id_: str, level: str, value: s
     """
     levels = known_levels(df, level, levels)
     wide = paired_wide(df, by, id_, level, value, levels)
-    return signed_rank_wide(wide, by, {l: f"_v{i}" for i, l in enumerate(levels)}, pairs, correct, exact, resolution)
+    return signed_rank_wide(wide, by, {l: f"_v{i}" for i, l in enumerate(levels)}, pairs, correct, exact, exact_below)
 
 
 def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, str],
                      pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | None = None,
-                     resolution: int = CELLS_PER_E_FOLD) -> DataFrame:
+                     exact_below: int = EXACT_BELOW) -> DataFrame:
     """``signed_rank`` on one row per participant; ``columns`` maps level -> column name in level order."""
     levels = list(columns)
     chosen = _pick_pairs(levels, pairs)
@@ -120,9 +121,8 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
     counts = (diffs.withColumn("_abs", F.abs("_d")).groupBy(*key, "_abs")
               .agg(F.count_if(F.col("_d") > 0).alias("_pos"), F.count(F.lit(1)).alias("_all")))
     zero = F.col("_abs") == 0
-    marked = counts.select(
-        *key, "_abs", order_cell(F.col("_abs"), resolution).alias(CELL), "_pos", "_all",
-        F.when(zero, F.lit(0)).otherwise(F.col("_all")).alias("_t"))
+    marked = with_cells(counts, key, "_abs").select(
+        *key, "_abs", CELL, "_pos", "_all", F.when(zero, F.lit(0)).otherwise(F.col("_all")).alias("_t"))
     in_cell = Window.partitionBy(*key, CELL).orderBy("_abs").rowsBetween(Window.unboundedPreceding, -1)
     ranked = marked.withColumn("_b", F.coalesce(F.sum("_t").over(in_cell), F.lit(0)))
     cells = ranked.groupBy(*key, CELL).agg(
@@ -144,7 +144,7 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
     variance = f"({n} * ({n} + 1D) * (2D * {n} + 1D) / 24D - _ties / 48D)"
     out = _normal_test(tests, f"(statistic - {n} * ({n} + 1D) / 4D)", variance, correct)
     if exact is not False:
-        small = F.col("_n") < EXACT_BELOW if exact is None else F.lit(True)
+        small = F.col("_n") < exact_below if exact is None else F.lit(True)
         usable = small & (F.col("_ties") == 0) & (F.col("_n") == F.col("n1")) & (F.col("_n") > 0)
         out = out.withColumn("_x", usable).withColumn(
             "p", F.coalesce(signed_rank_exact_p("statistic", "_n", "_x"), F.col("p"))).drop("_x")

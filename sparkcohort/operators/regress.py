@@ -42,16 +42,23 @@ def deming(df: DataFrame, by: Sequence[str], x: str, y: str, noise_ratio: float
 
 def deming_replicates(df: DataFrame, by: Sequence[str], x: str, y: str, replicates: int = 100, seed: int = 1,
                       key: str | None = None, noise_ratio: float | None = None, **kw) -> DataFrame:
-    """(group, replicate, slope, intercept) of bootstrap resamples; the noise ratio is estimated anew in each."""
+    """(group, replicate, slope, intercept) of bootstrap resamples; the noise ratio is estimated anew in each.
+
+    Sums of products are taken around the group's means, so data far from zero lose no digits.  A resample of one repeated
+    point has no line and no row.
+    """
     slope, intercept = _deming_line(noise_ratio)
-    qx, qy = sql_name(x), sql_name(y)
-    sums = replicate_sums(drop_missing(df, x, y), by, {
+    rows = drop_missing(df, x, y)
+    centres = broadcast_if_small(rows.groupBy(*by).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy")))
+    qx, qy = f"({sql_name(x)} - _cx)", f"({sql_name(y)} - _cy)"
+    sums = replicate_sums(join_groups(rows, centres, by), by, {
         "_x": qx, "_y": qy, "_xx": f"{qx} * {qx}", "_yy": f"{qy} * {qy}", "_xy": f"{qx} * {qy}"}, replicates, seed, key, **kw)
+    sums = join_groups(sums, centres, by)
     keys = [sql_name(b) for b in by]
     w = WEIGHT
-    # moments below rounding error count as zero: a resample of one repeated point has no line
+    # moments below rounding error of the centred sums count as zero
     moments = sums.where(f"{w} > 1").selectExpr(
-        *keys, "replicate", f"_x / {w} AS _mx", f"_y / {w} AS _my", f"(_xx - _x * _x / {w}) / ({w} - 1) AS _sxx",
+        *keys, "replicate", f"_cx + _x / {w} AS _mx", f"_cy + _y / {w} AS _my", f"(_xx - _x * _x / {w}) / ({w} - 1) AS _sxx",
         f"(_yy - _y * _y / {w}) / ({w} - 1) AS _syy", f"(_xy - _x * _y / {w}) / ({w} - 1) AS _sxy",
         f"{ROUNDING} * _xx / {w} AS _ex", f"{ROUNDING} * sqrt(_xx * _yy) / {w} AS _exy")
     return (moments.where("_sxx > _ex AND abs(_sxy) > _exy").withColumn("slope", F.expr(slope))

@@ -1,31 +1,41 @@
 """Grouped bootstrap on sufficient statistics.
 
-A statistic that is a function of sums (a mean, a slope) needs only those sums per (group, replicate).  Two ways to get them:
-
-* *exact*: draw n row positions with replacement per replicate, for groups of at most ``exact_limit`` rows.  The numbered
-  rows are a small table; the draws are generated next to it and summed where they are generated.
-* *poisson*: every row of a larger group carries an independent Poisson(1) weight per replicate.  Rows are weighted where
-  they lie and summed up before the shuffle, which moves groups x replicates rows whatever the table size.
-
-Both use the generator of ``functions.draws``, so a seed fixes the result for any partitioning.
+A statistic that is a function of sums (a mean, a slope) needs only those sums per (group, replicate).  The caller chooses how
+to get them; a method never changes with the size of a group:
+
+* *compressed* (the default): equal rows of a group are counted first, and the weight of a distinct row in a replicate is one
+  Poisson draw with that count as its mean, which is the sum of the unit draws of its rows.  A task draws for all replicates
+  at once and sums up what it holds, so measurements with few distinct values, such as dilutions, cost that many draws.
+* *poisson*: every row carries a Poisson(1) weight per replicate from the generator of ``functions.draws``, which any SQL
+  engine can repeat.  Rows are spread evenly first and expanded to one per replicate.
+* *exact*: draw n row positions with replacement per replicate.  Meant for small groups: the numbered rows are a table that is
+  joined with the draws.
+
+A seed fixes the result for any partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.draws import draw_input, key_input, key_second_input, poisson_weight, round_text
 from sparkcohort.functions.nulls import sql_name
 from sparkcohort.operators.describe import drop_missing
-from sparkcohort.session import broadcast_if_small, join_groups, settle, spread
+from sparkcohort.session import broadcast_if_small, join_groups, spread
 
-EXACT_LIMIT = 2_000
 REPLICATE = "replicate"
 WEIGHT = "weight"
 
+# Executors need no copy of the package: the draws travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _with_key_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
     return (df.withColumn("_a", F.expr(key_input(key, seed)))
@@ -42,7 +52,6 @@ def _with_draw(df: DataFrame, replicates: int) -> DataFrame:
 
 
 def _exact_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """``rows`` holds groups of at most ``exact_limit`` rows."""
     order = Window.partitionBy(*by).orderBy(*fields)
     numbered = broadcast_if_small(rows.select(*by, *fields, F.row_number().over(order).cast("long").alias("_at")))
     slots = spread(group_sizes(numbered, by).withColumn("_slot", F.explode(F.expr("sequence(1L, _n)"))), *by, "_slot")
@@ -63,42 +72,63 @@ def _poisson_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], key
                  *[F.sum(F.col("_w") * F.col(f)).alias(f) for f in fields]))
 
 
+def _drawn(fields: Sequence[str], replicates: int):
+    """Weighted sums of a batch per group and for all replicates: arrays of ``replicates`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            group, seeds, count = column("_group"), column("_seed"), column("_n")
+            x = np.column_stack([np.ones(len(count)), *[column(f) for f in fields]])
+            number, first, slot = np.unique(group, return_index=True, return_inverse=True)
+            sums = np.zeros((len(number), x.shape[1], replicates))
+            for k in range(len(count)):
+                weight = np.random.Generator(np.random.Philox(key=int(seeds[k]) % 2**64)).poisson(count[k], replicates)
+                sums[slot[k]] += x[k][:, None] * weight
+            keys = batch.select([c for c in batch.schema.names if c not in ("_group", "_seed", "_n", *fields)]).take(pa.array(first))
+            arrays = [pa.array(list(sums[:, f]), pa.list_(pa.float64())) for f in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([*keys.columns, *arrays], names=[*keys.schema.names, WEIGHT, *fields])
+
+    return run
+
+
+def _compressed_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    counts = rows.groupBy(*by, *fields).agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_group": F.xxhash64(F.lit(0), *by), "_seed": F.xxhash64(F.lit(seed), *by, *fields)})
+    keys = [f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    schema = ", ".join([*keys, *[f"`{c}` array<double>" for c in (WEIGHT, *fields)]])
+    # few rows that expand to much work are spread over all tasks
+    sums = spread(counts, "_seed").mapInArrow(_drawn(fields, replicates), schema)
+    each = sums.select(*by, F.posexplode(F.arrays_zip(WEIGHT, *fields)).alias("_at", "_s"))
+    return (each.groupBy(*by, (F.col("_at") + 1).cast("long").alias(REPLICATE))
+            .agg(*[F.sum(f"_s.{c}").alias(c) for c in (WEIGHT, *fields)]))
+
+
 def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def replicate_sums(df: DataFrame, by: Sequence[str], fields: Mapping[str, str], replicates: int, seed: int = 1,
-                   key: str | None = None, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
+                   key: str | None = None, method: str = "compressed") -> DataFrame:
     """(group, replicate, weight, sum of every field): ``fields`` maps output names to SQL expressions of a row.
 
-    Rows with a missing field are left out.  ``key`` is a unique integer column of the rows, needed by the Poisson way.
-    ``method="auto"`` counts the groups first and treats each group by its size.
+    Rows with a missing field are left out.  ``key`` is a unique integer column of the rows, needed by ``method="poisson"``.
     """
-    rows = df.select(*by, *([F.col(key).cast("long").alias("_key")] if key else []),
+    rows = df.select(*by, *([F.col(key).cast("long").alias("_key")] if key and method == "poisson" else []),
                      *[F.expr(e).cast("double").alias(f) for f, e in fields.items()])
     rows = rows.where(" AND ".join(f"{f} IS NOT NULL AND NOT isnan({f})" for f in fields))
     names = list(fields)
+    if method == "compressed":
+        return _compressed_sums(rows, by, names, replicates, seed)
     if method == "exact":
         return _exact_sums(rows, by, names, replicates, seed)
     if method == "poisson":
         if key is None:
-            raise ValueError("the Poisson bootstrap needs a unique key column")
-        return _poisson_sums(rows, by, names, "_key", replicates, seed)
-    if method != "auto":
-        raise ValueError(f"unknown method {method!r}")
-    sizes = settle(group_sizes(rows, by))
-    has_small = bool(sizes.where(F.col("_n") <= exact_limit).take(1))
-    has_large = bool(sizes.where(F.col("_n") > exact_limit).take(1))
-    if not has_large:
-        return _exact_sums(rows, by, names, replicates, seed)
-    if key is None:
-        raise ValueError(f"groups above {exact_limit} rows need a unique key column")
-    if not has_small:
+            raise ValueError("the Poisson bootstrap of single rows needs a unique key column")
         return _poisson_sums(rows, by, names, "_key", replicates, seed)
-    sized = join_groups(rows, broadcast_if_small(sizes), by)
-    return (_exact_sums(sized.where(F.col("_n") <= exact_limit).drop("_n"), by, names, replicates, seed)
-            .unionByName(_poisson_sums(sized.where(F.col("_n") > exact_limit).drop("_n"), by, names, "_key",
-                                       replicates, seed)))
+    raise ValueError(f"unknown method {method!r}")
 
 
 def percentile_bounds(replicates: DataFrame, by: Sequence[str], value: str, level: float = 0.95,
@@ -111,9 +141,9 @@ def percentile_bounds(replicates: DataFrame, by: Sequence[str], value: str, leve
 
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, replicates: int = 10_000, level: float = 0.95,
                    seed: int = 1, key: str | None = None, **kw) -> DataFrame:
-    """(group, n, mean, lower, upper): both bounds come from one resampling."""
+    """(group, n, mean, lower, upper): both bounds come from one resampling; replicates without any row are left out."""
     sums = replicate_sums(df, by, {"_x": sql_name(value)}, replicates, seed, key, **kw)
-    bounds = percentile_bounds(sums.withColumn("_m", F.col("_x") / F.col(WEIGHT)), by, "_m", level)
+    bounds = percentile_bounds(sums.withColumn("_m", F.try_divide("_x", WEIGHT)), by, "_m", level)
     point = drop_missing(df, value).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return join_groups(point, bounds, by, "left")
 

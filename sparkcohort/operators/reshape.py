@@ -35,6 +35,11 @@ def across(df: DataFrame, columns: Sequence[str], change: Callable[[Column], Col
     return df.withColumns({c: change(F.col(c)) for c in columns})
 
 
+def single_value(value: Column) -> Column:
+    """Aggregate: the only present value of a group, NULL without one; more than one is an error."""
+    return F.when(F.count(value) > 1, F.raise_error(F.lit("several values for one id and level"))).otherwise(F.max(value))
+
+
 # --- wide and long --------------------------------------------------------------------------------------------------
 
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "moment",
@@ -44,9 +49,11 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], level: str, value: str, levels: Mapping[str, str]) -> DataFrame:
-    """One column per level (level -> column name).  The levels are given, so one aggregation is enough."""
-    return df.groupBy(*ids).agg(
-        *[F.max(F.when(F.col(level) == l, F.col(value))).alias(c) for l, c in levels.items()])
+    """One column per level (level -> column name).  The levels are given, so one aggregation is enough.
+
+    ``(ids, level)`` has to be unique among the present values; a second one stops the job.
+    """
+    return df.groupBy(*ids).agg(*[single_value(F.when(F.col(level) == l, F.col(value))).alias(c) for l, c in levels.items()])
 
 
 def counts_wide(df: DataFrame, row: str, column: str, levels: Sequence[str]) -> DataFrame:
@@ -89,14 +96,19 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def drop_positions(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> DataFrame:
     """Drop rows by 1-based position in the order of a unique key.
 
-    Only the rows up to the last position are ranked (a distributed top-k), the rest of the table is not sorted.
+    Only the rows up to the last position are ranked (a distributed top-k), the rest of the table is not sorted.  A missing
+    key comes first and is a key like any other.
     """
     if not positions:
         return df
     head = (df.select(*order).orderBy(*order).limit(max(positions))
             .withColumn("_position", F.row_number().over(Window.orderBy(*order)))
             .where(F.col("_position").isin(list(positions))).drop("_position"))
-    return df.join(F.broadcast(head), list(order), "left_anti")  # at most len(positions) rows
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(f"_row.{c}").eqNullSafe(F.col(f"_drop.{c}"))
+    # at most len(positions) rows are broadcast
+    return df.alias("_row").join(F.broadcast(head).alias("_drop"), same, "left_anti")
 
 
 def level_pairs_frame(df: DataFrame, ids: Sequence[str], level: str, value: str, pairs: Sequence[tuple[str, str]],

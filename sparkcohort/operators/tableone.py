@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import fixed_text, paste
+from sparkcohort.functions.nulls import fixed_text, paste, present
 from sparkcohort.operators.contingency import SIMULATIONS, independence_test
 from sparkcohort.operators.describe import percent_text, stack_columns
 from sparkcohort.operators.ranks import quantiles
@@ -55,7 +55,7 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), cont
             F.sum("n").over(Window.partitionBy("variable")).alias("n_present"), text.alias("text")))
         if missing:
             gaps = (long.groupBy("variable", by).agg(
-                F.count_if(F.col("value").isNull()).alias("n"), F.count("value").alias("_present"))
+                F.count_if(~present(F.col("value"))).alias("n"), F.count_if(present(F.col("value"))).alias("_present"))
                 .withColumn("n_present", F.sum("_present").over(Window.partitionBy("variable"))).where("n > 0"))
             parts.append(gaps.select(
                 "variable", F.lit(None).cast("string").alias("level"), by, F.lit("unknown").alias("kind"), "n",
@@ -69,17 +69,18 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), cont
     return out if missing else out.where("kind != 'unknown'")
 
 
-def baseline_tests(df: DataFrame, by: str, categorical: Sequence[str], simulations: int = SIMULATIONS,
-                   seed: int = 1, counts: DataFrame | None = None) -> DataFrame:
+def baseline_tests(df: DataFrame, by: str, categorical: Sequence[str], method: str = "exact",
+                   simulations: int = SIMULATIONS, seed: int = 1, counts: DataFrame | None = None) -> DataFrame:
     """(variable, test, statistic, p, min_expected) of each categorical variable against the groups."""
     counts = counts if counts is not None else categorical_counts(df, by, categorical)
-    return independence_test(counts.where("level IS NOT NULL"), ["variable"], "level", by, simulations=simulations, seed=seed)
+    return independence_test(counts.where("level IS NOT NULL"), ["variable"], "level", by, method=method,
+                             simulations=simulations, seed=seed)
 
 
 def baseline_table_with_tests(df: DataFrame, by: str, categorical: Sequence[str], continuous: Sequence[str] = (),
-                              **kw) -> DataFrame:
+                              method: str = "exact", **kw) -> DataFrame:
     """``baseline_table`` with the test of its variable on every row; the counts are taken once for both."""
     counts = settle(categorical_counts(df, by, categorical))
     table = baseline_table(df, by, categorical, continuous, counts=counts, **kw)
-    tests = baseline_tests(df, by, categorical, counts=counts).select("variable", "test", "p")
+    tests = baseline_tests(df, by, categorical, method, counts=counts).select("variable", "test", "p")
     return join_groups(table, tests, ["variable"], "left")

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcohort.functions.derive import (age_band, bucketize, exposed_declared_or_baseline, exposed_either,
+from sparkcohort.functions.derive import (age_band, bucketize, exposed_declared_or_baseline, exposed_either, floor_zero_to_one,
                                           fractional_days, round_half_even, sentence_case, site_from_id, trunc_number,
                                           whole_days, whole_years)
 from sparkcohort.functions.nulls import if_else_null, paste
 from sparkcohort.operators import (chartframes, contingency, corr, describe, levels, ranks, ranktests, regress, resample,
                                    reshape, tableone)
 from sparkcohort.plans import study
+from sparkcohort.session import join_groups
 from sparkcohort.sources import tables
 
 # Fixed values of the stand-in.
@@ -28,7 +29,8 @@ ASSAY_TYPES = {"view": "neu_post_d1", "click": "neu_post_d2", "purchase": "neu_p
 SEGMENTS = ("BUILDING", "AUTOMOBILE", "FURNITURE")
 MOMENTS = list(study.MOMENTS.values())
 FLAGS = ("A", "N", "R")
-REPLICATES = 200
+REPLICATES = 10_000      # of means; Deming lines use 100 on a grid of 80 points
+DRAWN_ROWS = 1_000       # replicates of the queries that draw for every single row, as their SQL does
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +124,31 @@ def typed_read(spark, d):
     return typed.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_rank", "o_totalprice")
 
 
+def selected_columns(spark, d):
+    """Columns by prefix and by position, some dropped and renamed, rows in order."""
+    rows = table(spark, d, "lineitem")
+    chosen = [*reshape.columns_at(rows, 1, 2), *reshape.columns_with_prefix(rows, "l_ship"), "l_linenumber", "l_tax"]
+    return tables.rename(rows.select(*chosen).drop("l_tax"), {"l_shipdate": "shipped"}).orderBy("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def typed_positions(spark, d):
+    """Types forced by position, the other columns left alone."""
+    text = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderpriority")
+    return tables.conform_positions(text, {1: T.LongType(), 2: T.IntegerType()})
+
+
+def large_row_index(spark, d):
+    """Positions in the order of ids beyond the exact range of doubles."""
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") + F.lit(2**60)).alias("id"))
+    return ranks.row_index(rows, "id")
+
+
+def drop_with_missing_key(spark, d):
+    """A missing key comes first and is dropped by its position."""
+    rows = table(spark, d, "nation").select(F.when(F.col("n_nationkey") != 3, F.col("n_nationkey")).alias("key"), "n_name")
+    return reshape.drop_positions(rows, ["key"], [1, 4])
+
+
 def scalar_functions(spark, d):
     """Text, date and numeric expressions on orders."""
     o = table(spark, d, "orders")
@@ -204,7 +231,7 @@ def counts_wide(spark, d):
 
 
 def paired_values(spark, d):
-    pairs = [("baseline", "after_dose1"), ("after_dose1", "after_dose2")]
+    pairs = [(MOMENTS[i], MOMENTS[j]) for i, j in levels.level_pairs(MOMENTS)]
     return reshape.level_pairs_frame(study.titre_long(cohort(spark, d), ["id"]), ["id"], "moment", "titre", pairs)
 
 
@@ -232,13 +259,13 @@ def assay_quartiles(spark, d):
 
 def geomean_by_group(spark, d):
     rows = study.naive(known_vaccine(available_long(spark, d)))
-    floored = rows.withColumn("titre", if_else_null(F.col("titre") == 0, F.lit(1.0), F.col("titre")))
+    floored = rows.withColumn("titre", floor_zero_to_one(F.col("titre")))
     return rounded(describe.geometric_mean(floored, ["moment", "vaccine"], "titre"))
 
 
 def log_mean_control(spark, d):
     rows = both_assays(spark, d).where(F.col("titre2").isNotNull())
-    floored = rows.withColumn("titre", if_else_null(F.col("titre") == 0, F.lit(1.0), F.col("titre")))
+    floored = rows.withColumn("titre", floor_zero_to_one(F.col("titre")))
     return rounded(describe.log_mean(floored, ["moment"], "titre"))
 
 
@@ -263,8 +290,7 @@ def missing_pareto(spark, d):
 
 
 def numeric_profile(spark, d):
-    return rounded(describe.numeric_profile(table(spark, d, "lineitem"), [
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]), 4)
+    return rounded(describe.numeric_profile(table(spark, d, "lineitem")), 4)
 
 
 def numeric_profile_by_group(spark, d):
@@ -286,7 +312,7 @@ def table_one(spark, d):
 
 def table_one_tests(spark, d):
     rows = text_columns(scored_documents(spark, d), ["quality", "toxic"])
-    return rounded(tableone.baseline_tests(rows, "lang", ["quality", "source"]))
+    return rounded(tableone.baseline_tests(rows, "lang", ["quality", "source"], method="simulated"))
 
 
 def characteristics_table(spark, d):
@@ -296,6 +322,23 @@ def characteristics_table(spark, d):
         "variable", "level", "vaccine", "n", "percent", "n_present"))
 
 
+def characteristics_missing(spark, d):
+    """The same table with rows for missing values."""
+    c = study.available_cohort(cohort(spark, d), SEGMENTS)
+    return rounded(study.characteristics(c, {s: s for s in SEGMENTS}, missing=True).select(
+        "variable", "level", "vaccine", "kind", "n", "n_present"))
+
+
+def nan_summaries(spark, d):
+    """NaN counts as missing in every summary."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(
+        F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("price"))
+    profile = describe.numeric_profile(rows, by=["l_returnflag"])
+    means = join_groups(describe.geometric_mean(rows, ["l_returnflag"], "price"), describe.range_and_mean(rows, ["l_returnflag"], ["price"]),
+                        ["l_returnflag"])
+    return rounded(join_groups(profile, means, ["l_returnflag"]), 4)
+
+
 # --- tests --------------------------------------------------------------------------------------------------------------------
 
 def ranksum_by_stratum(spark, d):
@@ -345,6 +388,34 @@ def union_placeholder(spark, d):
     return rounded(tests.select("moment", "group1", "group2", "n1", "n2", "statistic", "p_adj", "p_adj_signif"))
 
 
+def narrow_quartiles(spark, d):
+    """Quartiles of values that differ little for their size: microseconds of dates."""
+    rows = table(spark, d, "orders").select("o_orderstatus", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return rounded(ranks.quartiles(rows, ["o_orderstatus"], "at"), 0)
+
+
+def narrow_ranksum(spark, d):
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return rounded(ranktests.rank_sum(rows, ["o_orderpriority"], "o_orderstatus", "at", ["F", "O"], exact=False))
+
+
+def _suppliers(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select(
+        "s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("side"), "s_acctbal",
+        (F.col("s_suppkey") * 377 % 1009 * 7.25).alias("other"))
+
+
+def exact_ranksum(spark, d):
+    """Exact p-values of small samples: supplier balances within nations."""
+    return rounded(ranktests.rank_sum(_suppliers(spark, d), ["s_nationkey"], "side", "s_acctbal", ["even", "odd"]).select(
+        "s_nationkey", "n1", "n2", "statistic", "p"))
+
+
+def exact_signedrank(spark, d):
+    tests = ranktests.signed_rank_wide(_suppliers(spark, d), ["s_nationkey"], {"balance": "s_acctbal", "other": "other"})
+    return rounded(tests.select("s_nationkey", "n1", "statistic", "p"))
+
+
 def spearman_by_group(spark, d):
     return rounded(corr.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
@@ -371,6 +442,17 @@ def fisher_by_language(spark, d):
     return rounded(contingency.fisher_exact_counts(counts, ["lang"], "toxic", "quality"))
 
 
+def _classes_by_source(spark, d) -> DataFrame:
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return scored_documents(spark, d).withColumn("class", kind)
+
+
+def fisher_three_rows(spark, d):
+    """Exact p-values of sparse tables with three rows, one per source."""
+    counts = contingency.cell_counts(_classes_by_source(spark, d), ["source"], "class", "lang")
+    return rounded(contingency.fisher_exact_counts(counts, ["source"], "class", "lang"))
+
+
 # --- regression and resampling -------------------------------------------------------------------------------------------------
 
 def _log_lines(spark, d) -> DataFrame:
@@ -388,31 +470,38 @@ def deming_fixed_ratio(spark, d):
 
 
 def _log_assays(spark, d) -> DataFrame:
-    rows = both_assays(spark, d).where("titre > 0 AND titre2 > 0")
-    return rows.select("id", "moment", F.log10("titre").alias("lx"), F.log10("titre2").alias("ly"))
+    """Both assays on the log scale, zeros as one."""
+    return both_assays(spark, d).select("id", "moment", F.log10(floor_zero_to_one(F.col("titre"))).alias("lx"),
+                                        F.log10(floor_zero_to_one(F.col("titre2"))).alias("ly"))
 
 
 def deming_replicates(spark, d):
-    return rounded(regress.deming_replicates(_log_assays(spark, d), ["moment"], "lx", "ly", 50, key="id",
+    return rounded(regress.deming_replicates(_log_assays(spark, d), ["moment"], "lx", "ly", 100, key="id",
                                              method="poisson"), 5)
 
 
 def deming_band(spark, d):
-    return rounded(regress.deming_band(_log_assays(spark, d), ["moment"], "lx", "ly", points=20, replicates=50, key="id",
+    return rounded(regress.deming_band(_log_assays(spark, d), ["moment"], "lx", "ly", points=80, replicates=100, key="id",
                                        method="poisson"), 5)
 
 
 def bootstrap_geomean_exact(spark, d):
     rows = study.naive(known_vaccine(available_long(spark, d)))
-    return rounded(study.geometric_mean_table(rows, ["vaccine"], replicates=REPLICATES, key="id"), 5)
+    return rounded(study.geometric_mean_table(rows, ["vaccine"], replicates=REPLICATES, method="exact"), 5)
 
 
 def bootstrap_geomean_poisson(spark, d):
-    rows = table(spark, d, "events").where("value > 0")
-    return rounded(resample.bootstrap_geometric_mean(rows, ["event_type"], "value", REPLICATES, key="event_id",
+    rows = table(spark, d, "events").withColumn("value", floor_zero_to_one(F.col("value")))
+    return rounded(resample.bootstrap_geometric_mean(rows, ["event_type"], "value", DRAWN_ROWS, key="event_id",
                                                      method="poisson"), 5)
 
 
+def bootstrap_geomean_compressed(spark, d):
+    """Intervals of all time points and groups from draws per distinct titre; a draw of this kind has no SQL form."""
+    rows = study.naive(known_vaccine(available_long(spark, d)))
+    return rounded(study.geometric_mean_table(rows, ["vaccine"], replicates=REPLICATES), 5)
+
+
 def ols_log_price(spark, d):
     return rounded(regress.ols(_log_lines(spark, d), [], "l_quantity", "log_price"), 4)
 
@@ -421,6 +510,10 @@ def ols_by_group(spark, d):
     return rounded(regress.ols(_log_lines(spark, d), ["l_returnflag"], "l_quantity", "log_price"), 4)
 
 
+def age_regression(spark, d):
+    return rounded(study.age_regression(known_vaccine(both_assays(spark, d))), 4)
+
+
 def ols_diagnostics(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("double").alias("x"),
                                             F.ln("o_totalprice").alias("y"))
@@ -460,7 +553,7 @@ def trajectories(spark, d):
 def scatter_band(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("double").alias("x"),
                                             F.col("o_totalprice").alias("y"))
-    band = chartframes.scatter_band(rows, ["o_orderstatus"], "x", "y", points=10, replicates=20, key="o_orderkey",
+    band = chartframes.scatter_band(rows, ["o_orderstatus"], "x", "y", points=80, replicates=100, key="o_orderkey",
                                     method="poisson")
     # compared on the log axis: the bounds span many orders of magnitude
     return rounded(reshape.across(band, ["x", "y", "lower", "upper"], F.log10), 5)
@@ -468,18 +561,19 @@ def scatter_band(spark, d):
 
 def error_bars(spark, d):
     rows = table(spark, d, "orders")
-    return rounded(chartframes.error_bars(rows, ["o_orderstatus"], "o_totalprice", replicates=50, key="o_orderkey",
+    return rounded(chartframes.error_bars(rows, ["o_orderstatus"], "o_totalprice", replicates=500, key="o_orderkey",
                                           method="poisson"), 2)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     titre_parse_long, typed_read, scalar_functions, exposure_rules, kleene_strata, recode_fill, age_band_counts,
     complete_cases, incomplete_participants, complete_cases_long, left_join_two_assays, two_assay_counts, duplicate_keys,
-    drop_by_position, counts_wide, paired_values,
+    drop_by_position, drop_with_missing_key, large_row_index, selected_columns, typed_positions, counts_wide, paired_values,
     median_by_group_time, quartiles_iqr, group_counts_labels, assay_quartiles, geomean_by_group, log_mean_control,
     moments_by_group, oneway_freq, crosstab_colpct, crosstab_wide, missing_pareto, numeric_profile,
-    numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, characteristics_table,
-    ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
+    numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, characteristics_table, characteristics_missing, nan_summaries,
+    narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, fisher_three_rows, age_regression,
+    bootstrap_geomean_compressed, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
     signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,
     chisq_status_priority, chisq_two_by_two, fisher_by_language,
     deming_by_group, deming_fixed_ratio, deming_replicates, deming_band, bootstrap_geomean_exact,

@@ -271,10 +271,10 @@ def deming_reps(source: str, by: str, x: str, y: str, key: str, replicates: int)
             f"FROM weighted GROUP BY {by}, rep HAVING sum(w) > 1)",
             f"wmom AS (SELECT {by}, rep, max(sw) AS sw, max(mx) AS mx, max(my) AS my, sum(w * (lx - mx) * (lx - mx)) / (max(sw) - 1) AS sxx, "
             f"sum(w * (ly - my) * (ly - my)) / (max(sw) - 1) AS syy, sum(w * (lx - mx) * (ly - my)) / (max(sw) - 1) AS sxy, "
-            f"1e-12 * sum(w * lx * lx) / max(sw) AS ex, 1e-12 * sqrt(sum(w * lx * lx) * sum(w * ly * ly)) / max(sw) AS exy "
+            f"count(DISTINCT lx) FILTER (w > 0) AS dx, count(DISTINCT ly) FILTER (w > 0) AS dy "
             f"FROM weighted JOIN wsum USING ({by}, rep) GROUP BY {by}, rep)",
             f"reps AS (SELECT {by}, rep, slope, my - slope * mx AS intercept FROM (SELECT *, {deming_fit('(syy / sxx)')} AS slope "
-            "FROM wmom WHERE sxx > ex AND abs(sxy) > exy) WHERE slope IS NOT NULL)"]
+            "FROM wmom WHERE dx > 1 AND dy > 1) WHERE slope IS NOT NULL)"]
 
 
 def deming_band_ctes(by: str, points: int) -> list[str]:
@@ -310,8 +310,8 @@ OLS_COLUMNS = "n, " + ", ".join(f"{r(c, 4)} AS {c}" for c in (
 ORDER_ROWS = "od AS (SELECT o_orderkey, o_orderstatus, CAST(o_custkey AS DOUBLE) AS px, ln(o_totalprice) AS py FROM orders)"
 LOG_LINES = ("ll AS (SELECT l_returnflag, l_shipdate, l_quantity, log10(l_quantity) AS lx, log10(l_extendedprice) AS ly, "
              "ln(l_extendedprice) AS log_price FROM lineitem)")
-LOG_ASSAYS = ("la AS (SELECT id, moment, log10(titre) AS lx, log10(titre2) AS ly FROM both_assays "
-              "WHERE titre > 0 AND titre2 > 0)")
+LOG_ASSAYS = ("la AS (SELECT id, moment, log10(CASE WHEN titre = 0 THEN 1.0 ELSE titre END) AS lx, "
+              "log10(CASE WHEN titre2 = 0 THEN 1.0 ELSE titre2 END) AS ly FROM both_assays WHERE titre IS NOT NULL AND titre2 IS NOT NULL)")
 KNOWN = "known AS (SELECT * FROM complete WHERE vaccine IS NOT NULL)"
 FLOORED = ("floored AS (SELECT moment, vaccine, id, CASE WHEN titre = 0 THEN 1.0 ELSE titre END AS y FROM available "
            "WHERE titre IS NOT NULL AND vaccine IS NOT NULL AND exposed = 'NO' AND prior_covid = 'NO')")
@@ -384,6 +384,45 @@ def characteristics_sql() -> str:
         f"c AS ({one('Gender', 'gender')} UNION ALL {one('Age', 'age_group')} UNION ALL {one('Previous exposure', 'exposure')})")
 
 
+def characteristics_missing_sql() -> str:
+    rows = characteristics_sql().split("ch AS (", 1)[1].split("WHERE age >= 60", 1)[0]
+    one = lambda name, c: (
+        f"SELECT '{name}' AS variable, {c} AS level, vaccine, CASE WHEN {c} IS NULL THEN 'unknown' ELSE 'categorical' END AS kind, "
+        f"count(*) AS n FROM ch GROUP BY ALL")
+    return with_cohort(
+        f"SELECT variable, level, vaccine, kind, n, {big("coalesce(sum(n) FILTER (level IS NOT NULL) OVER (PARTITION BY variable), 0)")} AS n_present FROM c",
+        f"ch AS ({rows}WHERE age >= 60 AND vaccine IS NOT NULL)",
+        f"c AS ({one('Gender', 'gender')} UNION ALL {one('Age', 'age_group')} UNION ALL {one('Previous exposure', 'exposure')})")
+
+
+def fisher_three_rows_sql() -> str:
+    """All 3 x 4 tables with the margins of a source's, cell by cell."""
+    rows, cols = ("good", "poor", "toxic"), ("de", "en", "es", "fr")
+    kind = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
+    cells = ", ".join(f"count(*) FILTER (k = '{a}' AND lang = '{b}') AS o{i}{j}" for i, a in enumerate(rows) for j, b in enumerate(cols))
+    margins = ", ".join([*[" + ".join(f"o{i}{j}" for j in range(4)) + f" AS r{i}" for i in range(3)],
+                         *[" + ".join(f"o{i}{j}" for i in range(3)) + f" AS c{j}" for j in range(4)]])
+    ctes = [f"k AS (SELECT source, lang, {kind} AS k FROM scored)", f"t AS (SELECT source, {cells} FROM k WHERE k IS NOT NULL GROUP BY 1)",
+            f"s0 AS (SELECT *, {margins} FROM t)"]
+    step = 0
+    for i in range(2):
+        for j in range(3):
+            used = " - ".join([f"r{i}", *[f"x{i}{b}" for b in range(j)]])
+            room = " - ".join([f"c{j}", *[f"x{a}{j}" for a in range(i)]])
+            ctes.append(f"s{step + 1} AS (SELECT *, unnest(range(0, least({used}, {room}) + 1)) AS x{i}{j} FROM s{step})")
+            step += 1
+        last = " - ".join([f"r{i}", *[f"x{i}{b}" for b in range(3)]])
+        ctes.append(f"s{step + 1} AS (SELECT * FROM (SELECT *, {last} AS x{i}3 FROM s{step}) WHERE x{i}3 BETWEEN 0 AND "
+                    + " - ".join(["c3", *[f"x{a}3" for a in range(i)]]) + ")")
+        step += 1
+    ctes.append(f"f AS (SELECT *, " + ", ".join(f"c{j} - x0{j} - x1{j} AS x2{j}" for j in range(4)) + f" FROM s{step})")
+    score = lambda name: " + ".join(f"lgamma({name}{i}{j} + 1.0)" for i in range(3) for j in range(4))
+    ctes.append(f"w AS (SELECT source, exp(-({score('x')}) + ({score('o')})) AS w, (r0 > 0)::INT + (r1 > 0)::INT + (r2 > 0)::INT AS nr, "
+                "(c0 > 0)::INT + (c1 > 0)::INT + (c2 > 0)::INT + (c3 > 0)::INT AS nc FROM f)")
+    return with_cohort(f"SELECT source, {r('least(1.0, sum(w) FILTER (w <= 1 + 1e-7) / sum(w))')} AS p, 'exact' AS method FROM w "
+                       "WHERE nr > 1 AND nc > 1 GROUP BY source", *ctes)
+
+
 def newton_quantile(p: str) -> str:
     """Inverse normal by Newton steps on a Simpson distribution function, from a logistic start."""
     cdf = f"(0.5 + {simpson('0.3989422804014327 * EXP(-0.5 * x * x)', 'a', 400)})"
@@ -489,8 +528,7 @@ def oracle_queries() -> dict[str, str]:
         f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOP") + " FROM orders GROUP BY 1")
     q["paired_values"] = with_cohort(
         "SELECT a.id, a.moment AS group1, b.moment AS group2, a.titre AS value1, b.titre AS value2 FROM long a JOIN long b USING (id) "
-        "WHERE a.titre IS NOT NULL AND b.titre IS NOT NULL AND ((a.moment = 'baseline' AND b.moment = 'after_dose1') "
-        "OR (a.moment = 'after_dose1' AND b.moment = 'after_dose2'))")
+        "WHERE a.titre IS NOT NULL AND b.titre IS NOT NULL AND a.ord < b.ord")
     # summaries
     q["median_by_group_time"] = with_cohort(
         f"SELECT vaccine, moment, count(*) AS n, {r('median(titre)')} AS median FROM known GROUP BY 1, 2", KNOWN)
@@ -524,7 +562,7 @@ def oracle_queries() -> dict[str, str]:
                       f"|| ' (' || count(*) FILTER (o_orderstatus = '{s}') || ')' AS {s}")
     q["crosstab_wide"] = f"SELECT o_orderpriority, {', '.join(wide(s) for s in 'FOP')} FROM orders GROUP BY 1"
     q["missing_pareto"] = pareto_sql(["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
-    q["numeric_profile"] = profile_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"])
+    q["numeric_profile"] = profile_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     q["numeric_profile_by_group"] = with_cohort(profile_sql("scored", ["n_chars", "quality", "toxic"], "lang"))
     dd = "(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0"
     q["dose_interval_summary"] = (
@@ -597,14 +635,15 @@ def oracle_queries() -> dict[str, str]:
                                     *deming_point("ll", "l_returnflag", "lx", "ly", "1.0"))
     q["deming_replicates"] = with_cohort(
         f"SELECT moment, rep AS replicate, {r('slope', 5)} AS slope, {r('intercept', 5)} AS intercept FROM reps", LOG_ASSAYS,
-        *deming_reps("la", "moment", "lx", "ly", "id", 50))
+        *deming_reps("la", "moment", "lx", "ly", "id", 100))
     band = ", ".join(f"{r(c, 5)} AS {c}" for c in ("x", "y", "lower", "upper"))
     q["deming_band"] = with_cohort(
         f"SELECT moment, CAST(point AS INTEGER) AS point, {band} FROM band", LOG_ASSAYS, *deming_point("la", "moment", "lx", "ly"),
-        *deming_reps("la", "moment", "lx", "ly", "id", 50), *deming_band_ctes("moment", 20))
-    q["bootstrap_geomean_exact"] = exact_geomean_sql(200, 5)
-    q["bootstrap_geomean_poisson"] = poisson_geomean("events", "event_type", "value", "event_id", 200, 5, "value > 0")
-    q["error_bars"] = poisson_geomean("orders", "o_orderstatus", "o_totalprice", "o_orderkey", 50, 2)
+        *deming_reps("la", "moment", "lx", "ly", "id", 100), *deming_band_ctes("moment", 80))
+    q["bootstrap_geomean_exact"] = exact_geomean_sql(10_000, 5)
+    q["bootstrap_geomean_poisson"] = poisson_geomean(
+        "(SELECT event_type, event_id, CASE WHEN value = 0 THEN 1.0 ELSE value END AS value FROM events)", "event_type", "value", "event_id", 1_000, 5)
+    q["error_bars"] = poisson_geomean("orders", "o_orderstatus", "o_totalprice", "o_orderkey", 500, 2)
     q["ols_log_price"] = with_(f"SELECT {OLS_COLUMNS} FROM fit", LOG_LINES, *ols_ctes("ll", None, "l_quantity", "log_price"))
     q["ols_by_group"] = with_(f"SELECT l_returnflag, {OLS_COLUMNS} FROM fit", LOG_LINES,
                               *ols_ctes("ll", "l_returnflag", "l_quantity", "log_price"))
@@ -637,8 +676,51 @@ def oracle_queries() -> dict[str, str]:
         "AND titre2 IS NOT NULL GROUP BY id HAVING count(*) = 2)")
     q["scatter_band"] = with_(
         f"SELECT o_orderstatus, CAST(point AS INTEGER) AS point, {band} FROM band",
-        "ll AS (SELECT o_orderkey, o_orderstatus, log10(CAST(o_custkey AS DOUBLE)) AS lx, log10(o_totalprice) AS ly FROM orders "
-        "WHERE o_custkey > 0 AND o_totalprice > 0)",
-        *deming_point("ll", "o_orderstatus", "lx", "ly"), *deming_reps("ll", "o_orderstatus", "lx", "ly", "o_orderkey", 20),
-        *deming_band_ctes("o_orderstatus", 10))
+        "ll AS (SELECT o_orderkey, o_orderstatus, log10(CASE WHEN o_custkey = 0 THEN 1.0 ELSE CAST(o_custkey AS DOUBLE) END) AS lx, "
+        "log10(CASE WHEN o_totalprice = 0 THEN 1.0 ELSE o_totalprice END) AS ly FROM orders)",
+        *deming_point("ll", "o_orderstatus", "lx", "ly"), *deming_reps("ll", "o_orderstatus", "lx", "ly", "o_orderkey", 100),
+        *deming_band_ctes("o_orderstatus", 80))
+    q["selected_columns"] = "SELECT l_orderkey, l_partkey, l_shipdate AS shipped, l_linenumber FROM lineitem"
+    q["typed_positions"] = "SELECT o_orderkey, o_custkey, TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority FROM orders"
+    q["large_row_index"] = ("SELECT o_orderkey + 1152921504606846976 AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
+    q["drop_with_missing_key"] = (
+        "SELECT key, n_name FROM (SELECT *, row_number() OVER (ORDER BY key NULLS FIRST) AS pos FROM "
+        "(SELECT CASE WHEN n_nationkey <> 3 THEN n_nationkey END AS key, n_name FROM nation)) WHERE pos NOT IN (1, 4)")
+    q["characteristics_missing"] = characteristics_missing_sql()
+    price = "CASE WHEN l_linenumber > 2 THEN l_extendedprice END"
+    q["nan_summaries"] = with_(
+        "SELECT * FROM profile JOIN means USING (l_returnflag)",
+        f"prices AS (SELECT l_returnflag, {price} AS price FROM lineitem)", f"profile AS ({profile_sql('prices', ['price'], 'l_returnflag')})",
+        f"means AS (SELECT l_returnflag, count(price) AS n, {r('exp(avg(ln(price)))', 4)} AS geo_mean, {r('min(price)', 4)} AS min_price, "
+        f"{r('max(price)', 4)} AS max_price, {r('avg(price)', 4)} AS mean_price FROM prices GROUP BY 1)")
+    at = "SELECT o_orderpriority, o_orderstatus, CAST(epoch_us(o_orderdate) AS DOUBLE) AS stamp FROM orders"
+    q["narrow_quartiles"] = (
+        "SELECT o_orderstatus, count(*) AS n, " + ", ".join(f"{r(quartile('stamp', p), 0)} AS {n}" for n, p in (("p25", .25), ("p50", .5), ("p75", .75)))
+        + f" FROM ({at}) GROUP BY 1")
+    q["narrow_ranksum"] = with_(
+        f"SELECT o_orderpriority, group1, group2, CAST(ord1 AS INTEGER) AS ord1, CAST(ord2 AS INTEGER) AS ord2, n1, n2, {r('statistic')} AS statistic, "
+        f"{r('z')} AS z, {r('p')} AS p FROM tests", f"dates AS ({at})", *rank_sum("dates", ["o_orderpriority"], "o_orderstatus", "stamp", ["F", "O"]))
+    # all subsets of a nation's suppliers (all signs of its differences) as bit masks
+    two_sided = "least(1.0, 2.0 * CASE WHEN w > middle THEN sum((v >= w)::INT) ELSE sum((v <= w)::INT) END / count(*))"
+    q["exact_ranksum"] = (
+        "WITH ranked AS (SELECT s_nationkey, s_suppkey % 2 = 0 AS even, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS rk FROM supplier), "
+        "g AS (SELECT s_nationkey, count(*) FILTER (even) AS n1, count(*) FILTER (NOT even) AS n2, count(*) AS n, "
+        "sum(rk) FILTER (even) - count(*) FILTER (even) * (count(*) FILTER (even) + 1) / 2.0 AS w FROM ranked GROUP BY 1), "
+        "m AS (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM g WHERE n1 > 0 AND n2 > 0), "
+        "v AS (SELECT *, n1 * n2 / 2.0 AS middle, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) "
+        "- n1 * (n1 + 1) / 2.0 AS v FROM m WHERE bit_count(mask) = n1) "
+        f"SELECT s_nationkey, n1, n2, {r('w')} AS statistic, {r(two_sided)} AS p FROM v GROUP BY s_nationkey, n1, n2, w, middle")
+    q["exact_signedrank"] = (
+        "WITH d AS (SELECT s_nationkey, s_acctbal - (s_suppkey * 377 % 1009) * 7.25 AS d FROM supplier), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY abs(d)) AS rk FROM d), "
+        "g AS (SELECT s_nationkey, count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS w FROM ranked GROUP BY 1), "
+        "v AS (SELECT *, n * (n + 1) / 4.0 AS middle, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) AS v "
+        "FROM (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM g)) "
+        f"SELECT s_nationkey, n AS n1, {r('w')} AS statistic, {r(two_sided)} AS p FROM v GROUP BY s_nationkey, n, w, middle")
+    q["fisher_three_rows"] = fisher_three_rows_sql()
+    q["age_regression"] = with_cohort(
+        f"SELECT {OLS_COLUMNS} FROM fit",
+        "ar AS (SELECT trunc(age) AS a, ln(CASE WHEN titre = 0 THEN 1.0 ELSE titre END) AS y FROM both_assays WHERE moment = 'after_dose2' "
+        "AND vaccine IS NOT NULL AND exposed = 'NO' AND prior_covid = 'NO' AND titre IS NOT NULL AND age IS NOT NULL)",
+        *ols_ctes("ar", None, "a", "y"))
     return q

@@ -11,17 +11,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.derive import (age_at, age_band, exposed_either, exposed_serological, fractional_days,
+from sparkcohort.functions.derive import (age_at, age_band, exposed_either, exposed_serological, floor_below_one, floor_zero_to_one, fractional_days,
                                           parse_titre, qualitative, recode, sentence_case, site_from_id, trunc_number,
                                           whole_days)
-from sparkcohort.functions.nulls import if_else_null
+from sparkcohort.functions.nulls import if_else_null, present
 from sparkcohort.operators import describe, ranktests, regress, resample, tableone
 from sparkcohort.operators.corr import correlation_text, spearman
 from sparkcohort.operators.levels import apply_levels, in_levels, level_ord
-from sparkcohort.operators.ranks import quantiles
+from sparkcohort.operators.ranks import COUNT, prefix_counts, quantiles, quantiles_of_counts
 from sparkcohort.operators.reshape import complete_cases, join_assay, to_long
 from sparkcohort.session import join_groups
 
+# Spellings and display names of the cohort.
 # Time points: titre text column -> name, in time order.
 MOMENTS = {"titre_0": "baseline", "titre_21": "after_dose1", "titre_42": "after_dose2", "titre_120": "after_120",
            "titre_180": "after_180"}
@@ -155,7 +156,7 @@ def geometric_mean_table(long: DataFrame, group: Sequence[str], value: str = "ti
                          replicates: int = 10_000, below_one: bool = False, **kw) -> DataFrame:
     """(moment, group, n, geo_mean, lower, upper) of measured values, floored for the logarithm."""
     x = F.col(value)
-    floored = if_else_null(x < 1, F.lit(1.0), x) if below_one else if_else_null(x == 0, F.lit(1.0), x)
+    floored = floor_below_one(x) if below_one else floor_zero_to_one(x)
     return resample.bootstrap_geometric_mean(long.where(x.isNotNull()).withColumn(value, floored), ["moment", *group],
                                              value, replicates, key=key, **kw)
 
@@ -165,7 +166,7 @@ def geometric_mean_table(long: DataFrame, group: Sequence[str], value: str = "ti
 def assay_agreement(both: DataFrame, by: Sequence[str] = ("moment",)) -> DataFrame:
     """Rank correlation of the two assays per time point with its text; zero titres count as one."""
     rows = both.where(F.col("titre2").isNotNull()).withColumn(
-        "titre", if_else_null(F.col("titre") == 0, F.lit(1.0), F.col("titre")))
+        "titre", floor_zero_to_one(F.col("titre")))
     return correlation_text(spearman(rows, list(by), "titre", "titre2"))
 
 
@@ -178,7 +179,7 @@ def age_correlation(both: DataFrame, value: str, by: Sequence[str] = ("vaccine",
 def age_regression_rows(both: DataFrame, moment: str = "after_dose2") -> DataFrame:
     """Rows of the log-linear age model: unexposed participants at one time point, zero titres as one."""
     rows = naive(both.where(F.col("moment") == moment))
-    floored = if_else_null(F.col("titre") == 0, F.lit(1.0), F.col("titre"))
+    floored = floor_zero_to_one(F.col("titre"))
     return rows.withColumn("age", trunc_number(F.col("age"))).withColumn("log_titre", F.ln(floored))
 
 
@@ -189,10 +190,11 @@ def age_regression(both: DataFrame, moment: str = "after_dose2") -> DataFrame:
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 def characteristics(cohort: DataFrame, vaccine_labels: Mapping[str, str] = VACCINE_LABELS, unknown: str | None = "No data",
-                    comorbidities: Mapping[str, str] = COMORBIDITY_LABELS) -> DataFrame:
+                    comorbidities: Mapping[str, str] = COMORBIDITY_LABELS, missing: bool = False) -> DataFrame:
     """Baseline characteristics by vaccine with tests: sex, age group, exposure and comorbidities.
 
-    ``unknown`` is the level given to missing comorbidities; ``None`` leaves them out of the table.
+    ``unknown`` is the level given to missing comorbidities; ``None`` leaves them out of the table.  ``missing`` adds a row
+    with the number of missing values of a variable where there are any.
     """
     present = {c: label for c, label in comorbidities.items() if c in cohort.columns}
 
@@ -207,16 +209,23 @@ def characteristics(cohort: DataFrame, vaccine_labels: Mapping[str, str] = VACCI
         sentence_case(F.col("age_group")).alias("Age"),
         exposed_either(F.col("prior_covid"), F.col("exposed")).alias("Previous exposure"),
         *[answer(c).alias(label) for c, label in present.items()])
-    return tableone.baseline_table_with_tests(rows, "vaccine", [c for c in rows.columns if c != "vaccine"], missing=False)
+    return tableone.baseline_table_with_tests(rows, "vaccine", [c for c in rows.columns if c != "vaccine"], missing=missing)
 
 
 def interval_summary(cohort: DataFrame, by: str, start: str, end: str, name: str) -> DataFrame:
-    """min, max, mean and quartiles of the days between two dates by group."""
-    days = cohort.where(F.col(by).isNotNull()).withColumn(name, fractional_days(F.col(start), F.col(end)))
-    ranges = describe.range_and_mean(days, [by], [name])
-    points = quantiles(days, [by], name, {f"p25_{name}": 0.25, f"median_{name}": 0.5, f"p75_{name}": 0.75}, n=None)
-    return join_groups(ranges, points, [by], "left").withColumn(
-        f"iqr_{name}", F.col(f"p75_{name}") - F.col(f"p25_{name}"))
+    """min, max, mean and quartiles of the days between two dates by group; a missing group is a group.
+
+    Everything comes from the counts of distinct intervals, so the rows behind them are read once.
+    """
+    days = cohort.select(by, fractional_days(F.col(start), F.col(end)).alias(name))
+    counts = days.groupBy(by, name).agg(F.count(F.lit(1)).alias(COUNT))
+    ranked = prefix_counts(counts.where(present(F.col(name))), [by], name)
+    weighted = F.sum(F.col(name) * F.col(COUNT)) / F.sum(COUNT)
+    points = quantiles_of_counts(ranked, [by], name, {f"p25_{name}": 0.25, f"median_{name}": 0.5, f"p75_{name}": 0.75}, [
+        F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}"), weighted.alias(f"mean_{name}")])
+    every = join_groups(counts.select(by).distinct(), points, [by], "left")
+    return every.select(by, *[f"{s}_{name}" for s in ("min", "max", "mean", "p25", "median", "p75")],
+                         (F.col(f"p75_{name}") - F.col(f"p25_{name}")).alias(f"iqr_{name}"))
 
 
 def vaccine_levels(df: DataFrame, vaccines: Sequence[str] = VACCINES) -> DataFrame:

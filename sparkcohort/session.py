@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,10 +48,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled frame, with a broadcast hint only when its counted rows are few; larger ones join by shuffle."""
+def measured_bytes(df: DataFrame) -> Column:
+    """Aggregate of the bytes a frame holds: eight for a number, the text's own for anything else."""
+    parts = [F.lit(8)] + [F.lit(8) if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) else
+                          F.coalesce(F.octet_length(f"`{f.name}`" if isinstance(f.dataType, (T.StringType, T.BinaryType)) else
+                                                    F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) for f in df.schema.fields]
+    return F.sum(sum(parts[1:], parts[0]).cast("long"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled frame, with a broadcast hint only when its counted rows and bytes are few; larger ones join by shuffle."""
     fixed = settle(df)
-    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+    some = fixed.limit(max_rows + 1)
+    rows, size = some.agg(F.count(F.lit(1)), measured_bytes(some)).first()
+    return F.broadcast(fixed) if rows <= max_rows and (size or 0) <= max_bytes else fixed
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_spearman(points):
 def test_spearman_does_not_depend_on_the_side(points):
     _, df = points
     a = {r["g"]: r["rho"] for r in corr.spearman(df, ["g"], "x", "y").collect()}
-    assert {r["g"]: pytest.approx(r["rho"]) for r in corr.spearman(df, ["g"], "y", "x", resolution=2).collect()} == a
+    assert {r["g"]: pytest.approx(r["rho"]) for r in corr.spearman(df, ["g"], "y", "x").collect()} == a
 
 
 def test_spearman_degenerate_and_text(spark):
@@ -132,7 +132,7 @@ def test_global_test(points):
     assert got["skewness"]["p"] == pytest.approx(math.erfc(math.sqrt(s1 / 2)), rel=1e-6)
 
 
-@pytest.mark.parametrize("method", ["exact", "poisson"])
+@pytest.mark.parametrize("method", ["exact", "poisson", "compressed"])
 def test_bootstrap_is_a_function_of_the_seed(points, method):
     rows, df = points
     run = lambda frame, seed=1: sorted(
@@ -147,17 +147,33 @@ def test_bootstrap_is_a_function_of_the_seed(points, method):
         assert (low, high) == pytest.approx((y.mean() - half, y.mean() + half), abs=0.35 * half)
 
 
-def test_bootstrap_picks_the_way_by_group_size(spark):
+def test_bootstrap_method_does_not_change_with_group_size(spark):
     df = spark.range(330).select("id", F.when(F.col("id") < 300, "big").otherwise("small").alias("g"),
                                  (F.col("id") % 17).cast("double").alias("v"))
-    got = {r["g"]: r for r in resample.bootstrap_mean(df, ["g"], "v", 200, key="id", exact_limit=100).collect()}
-    assert got["big"]["n"] == 300 and got["small"]["n"] == 30
-    sums = resample.replicate_sums(df, ["g"], {"_x": "v"}, 50, key="id", exact_limit=100)
-    weights = {(r["g"], r["w"]) for r in sums.select("g", F.col("weight").alias("w")).collect()}
-    assert {w for g, w in weights if g == "small"} == {30.0}  # drawn with replacement: always n
-    assert len({w for g, w in weights if g == "big"}) > 10  # Poisson weights: n on average
+    exact = resample.replicate_sums(df, ["g"], {"_x": "v"}, 50, method="exact")
+    assert {(r["g"], r["weight"]) for r in exact.collect()} == {("big", 300.0), ("small", 30.0)}    # drawn: always n
+    drawn = resample.replicate_sums(df, ["g"], {"_x": "v"}, 400)
+    for g, n in (("big", 300), ("small", 30)):
+        w = [r["weight"] for r in drawn.where(F.col("g") == g).collect()]
+        assert len(w) == 400 and abs(np.mean(w) - n) < 4 * math.sqrt(n / 400) and 0.7 * n < np.var(w) < 1.4 * n
     with pytest.raises(ValueError):
-        resample.replicate_sums(df, ["g"], {"_x": "v"}, 50, exact_limit=100)
+        resample.replicate_sums(df, ["g"], {"_x": "v"}, 50, method="poisson")
+
+
+def test_compressed_draws_do_not_depend_on_how_often_rows_were_split(spark):
+    df = spark.range(4000).select((F.col("id") % 3).cast("double").alias("v"))
+    a = sorted(tuple(r) for r in resample.replicate_sums(df, [], {"_x": "v"}, 30).collect())
+    assert a == sorted(tuple(r) for r in resample.replicate_sums(df.repartition(9), [], {"_x": "v"}, 30).collect())
+
+
+def test_deming_replicates_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 1000)
+    y = 2 * x + rng.normal(0, 0.3, 1000)
+    for shift in (0.0, 1e7):
+        df = spark.createDataFrame([(float(a + shift), float(b + shift)) for a, b in zip(x, y)], "x double, y double")
+        got = regress.deming_replicates(df, [], "x", "y", 50).collect()
+        assert len(got) == 50 and all(abs(r["slope"] - 2.05) < 0.1 for r in got)
 
 
 def test_weights_are_poisson_whatever_the_keys(spark):

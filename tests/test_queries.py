@@ -12,7 +12,7 @@ from check_queries import compare, connect  # noqa: E402
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # Their SQL covers the branch taken by larger groups only.
-NEEDS_MEDIUM = {"ranksum_second_assay", "table_one_tests"}
+NEEDS_MEDIUM = {"ranksum_second_assay", "table_one_tests", "exact_ranksum"}
 ORACLE = entry_points.oracle_sql()
 
 

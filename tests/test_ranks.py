@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcohort.operators.ranks import mid_ranks, order_cell, prefix_counts, quantiles, row_index, value_counts
+from sparkcohort.operators.ranks import CELL, mid_ranks, prefix_counts, quantiles, row_index, value_counts, with_cells
 
 
 @pytest.fixture(scope="module")
@@ -64,15 +64,23 @@ def test_ranks_do_not_depend_on_cells_or_partitions(values):
     _, df = values
     counts = value_counts(df, ["g"], "v")
     want = sorted(map(str, prefix_counts(counts, ["g"], "v").collect()))
-    assert sorted(map(str, prefix_counts(counts, ["g"], "v", resolution=1).collect())) == want
+    assert sorted(map(str, prefix_counts(counts, ["g"], "v", cells=3, crowded=5).collect())) == want
     assert sorted(map(str, prefix_counts(value_counts(df.repartition(3), ["g"], "v"), ["g"], "v").collect())) == want
 
 
 def test_cells_are_monotone(spark):
     values = sorted([0.0, -1.0, 1e-9, 1e-3, 1.0, 1.0000001, 2.0, -2.0, 1e12, -1e12, 5e-324, 1e300, 1.7e308, float("inf"), float("-inf")])
-    cells = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
-             .select(order_cell(F.col("v"))).collect()]
-    assert cells == sorted(cells)
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for kw in ({}, {"cells": 4, "crowded": 2}):
+        cells = [r[CELL] for r in sorted(with_cells(frame, [], "v", **kw).collect(), key=lambda r: r["v"])]
+        assert cells == sorted(cells)
+
+
+def test_cells_hold_a_bounded_share_of_narrow_and_outlying_values(spark):
+    micros = spark.range(200_000).select((F.lit(1.7e15) + F.col("id") * 432_000).alias("v"))
+    for frame, kw in ((micros, {}), (micros.unionByName(spark.createDataFrame([(0.0,), (-1e18,)], "v double")), {"crowded": 1000})):
+        largest = with_cells(frame, [], "v", **kw).groupBy(CELL).count().agg(F.max("count")).first()[0]
+        assert largest <= 60
 
 
 def test_one_value_holds_most_rows(spark):
@@ -85,3 +93,5 @@ def test_one_value_holds_most_rows(spark):
 def test_row_index(spark):
     df = spark.createDataFrame([(30,), (10,), (20,)], "k long")
     assert sorted((r["k"], r["row_index"]) for r in row_index(df, "k").collect()) == [(10, 0), (20, 1), (30, 2)]
+    big = spark.range(2**60, 2**60 + 50).withColumnRenamed("id", "k")
+    assert sorted((r["k"] - 2**60, r["row_index"]) for r in row_index(big, "k").collect()) == [(i, i) for i in range(50)]

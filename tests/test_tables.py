@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcohort.operators import contingency, describe, levels, reshape, tableone
+from sparkcohort.session import broadcast_if_small
 from sparkcohort.sources import tables
 
 
@@ -164,12 +165,34 @@ def test_fisher_exact(spark):
     assert got["turned"]["p"] == pytest.approx(got["wide"]["p"])
 
 
-def test_fisher_wider_tables_are_simulated(spark):
-    counts = matrix(spark, [(3, 0, 1), (0, 4, 1), (1, 1, 3)])
-    a = contingency.fisher_exact_counts(counts, ["t"], "r", "c", simulations=500).first()
-    b = contingency.fisher_exact_counts(counts.repartition(5), ["t"], "r", "c", simulations=500).first()
-    assert a["method"] == "simulated" and a["p"] == b["p"]
-    assert 0.01 < a["p"] < 0.12  # complete enumeration gives about 0.05
+def every_table(rows, cols):
+    """All tables with these margins, row by row."""
+    if len(rows) == 1:
+        yield [list(cols)]
+        return
+    for first in itertools.product(*[range(c + 1) for c in cols]):
+        if sum(first) == rows[0]:
+            for rest in every_table(rows[1:], [c - x for c, x in zip(cols, first)]):
+                yield [list(first), *rest]
+
+
+def test_fisher_wider_tables(spark):
+    shapes = {"three": [(3, 0, 1), (0, 4, 1), (1, 1, 3)], "four": [(2, 0, 1), (0, 3, 1), (1, 1, 2), (0, 1, 2)],
+              "tall": [(4, 0, 0, 1), (1, 2, 3, 0), (0, 1, 0, 3)], "even": [(1, 1, 1), (1, 1, 1), (1, 1, 1)]}
+    counts = None
+    for name, columns in shapes.items():
+        part = matrix(spark, columns, name)
+        counts = part if counts is None else counts.union(part)
+    exact = {r["t"]: r for r in contingency.fisher_exact_counts(counts, ["t"], "r", "c").collect()}
+    drawn = {r["t"]: r for r in contingency.fisher_exact_counts(counts, ["t"], "r", "c", method="simulated").collect()}
+    again = {r["t"]: r for r in contingency.fisher_exact_counts(counts.repartition(5), ["t"], "r", "c", method="simulated").collect()}
+    for name, columns in shapes.items():
+        cells = list(zip(*columns))
+        weight = lambda table: -sum(math.lgamma(x + 1) for row in table for x in row)
+        all_weights = [weight(t) for t in every_table([sum(r) for r in cells], [sum(c) for c in columns])]
+        low = sum(math.exp(w) for w in all_weights if w <= weight(cells) + 1e-9)
+        assert exact[name]["method"] == "exact" and exact[name]["p"] == pytest.approx(low / sum(map(math.exp, all_weights)), rel=1e-9)
+        assert drawn[name]["method"] == "simulated" and drawn[name]["p"] == again[name]["p"] == pytest.approx(exact[name]["p"], abs=0.05)
 
 
 def test_choice_of_test(spark):
@@ -193,3 +216,34 @@ def test_baseline_table(spark):
     assert not any(g is None for _, _, g, _ in got)
     without = tableone.baseline_table(df, "g", ["c"], ["v"], missing=False)
     assert without.where("kind = 'unknown'").count() == 0
+
+
+def test_nan_is_missing_in_summaries(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), ("a", None)], "g string, v double")
+    row = describe.numeric_profile(df).first()
+    assert (row["n_missing"], row["mean"], row["p0"], row["p100"], row["p50"]) == (2, 2.0, 1.0, 3.0, 2.0)
+    got = describe.geometric_mean(df, ["g"], "v").first()
+    assert got["n"] == 2 and got["geo_mean"] == pytest.approx(math.sqrt(3))
+    assert {r["variable"]: r["n_missing"] for r in describe.missing_pareto(df).collect()} == {"g": 0, "v": 2}
+    assert describe.count_present(df, ["g"], ["v"]).first()["n_v"] == 2
+    assert tuple(describe.range_and_mean(df, ["g"], ["v"]).first()) == ("a", 1.0, 3.0, 2.0)
+    table = {r["kind"]: r for r in tableone.baseline_table(df, "g", [], ["v"]).collect()}
+    assert table["unknown"]["n"] == 2 and {r["n_present"] for r in table.values()} == {2}
+
+
+def test_drop_positions_counts_a_missing_key(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,), (3,)], "k long")
+    assert sorted(r["k"] for r in reshape.drop_positions(df, ["k"], [1, 2]).collect()) == [2, 3]
+
+
+def test_duplicates_are_not_collapsed(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "b", 1.0)], "id long, level string, v double")
+    with pytest.raises(Exception, match="several values"):
+        reshape.to_wide(df, ["id"], "level", "v", {"a": "a", "b": "b"}).collect()
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    keys = spark.range(40).select("id", F.expr("repeat('x', 1000000)").alias("name"))
+    plan = lambda f: f._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plan(broadcast_if_small(keys)).lower()
+    assert "broadcast" in plan(broadcast_if_small(keys.select("id"))).lower()
