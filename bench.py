@@ -13,20 +13,19 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from sparkcohort.operators import resample  # noqa: E402
 from sparkcohort.plans.catalog import QUERIES, table  # noqa: E402
 from sparkcohort.session import local_session  # noqa: E402
 
 HEADLINE = ("ranksum_by_stratum", "ranksum_pairwise_holm", "ranksum_vaccine_by_moment", "signedrank_pairwise_holm",
             "spearman_by_group", "deming_by_group", "quartiles_iqr", "numeric_profile", "table_one", "dose_interval_summary",
-            "ols_by_group", "ols_global_test", "density_by_group", "chisq_status_priority")
+            "ols_by_group", "ols_global_test", "ols_diagnostics", "density_by_group", "chisq_status_priority", "narrow_ranksum",
+            "deming_band", "bootstrap_geomean_exact", "bootstrap_geomean_compressed", "fisher_by_language", "fisher_three_rows")
 
 
 def bootstrap_geomean_ci(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("value") > 0)
-    return resample.bootstrap_geometric_mean(rows, ["event_type"], "value", 1000, key="event_id", method="poisson")
+    """The full 10,000 replicates on measurements with few distinct values."""
+    return resample.bootstrap_mean(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 10_000)
 
 
 def main() -> None:
