@@ -14,7 +14,7 @@ from sparkcohort.plans.oracles import oracle_queries  # noqa: E402
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # Their SQL covers the branch taken by larger groups only.
-NEEDS_MEDIUM = {"ranksum_second_assay", "table_one_tests", "exact_ranksum"}
+NEEDS_MEDIUM = {"ranksum_second_assay", "table_one_tests", "exact_ranksum", "age_regression"}
 ORACLE = oracle_queries()
 # Its draws have no SQL form; tests/test_models.py holds them against their distribution.
 WITHOUT_SQL = {"bootstrap_geomean_compressed"}
