@@ -20,7 +20,7 @@ from sparkcohort.session import local_session  # noqa: E402
 HEADLINE = ("ranksum_by_stratum", "ranksum_pairwise_holm", "ranksum_vaccine_by_moment", "signedrank_pairwise_holm",
             "spearman_by_group", "deming_by_group", "quartiles_iqr", "numeric_profile", "table_one", "dose_interval_summary",
             "ols_by_group", "ols_global_test", "ols_diagnostics", "density_by_group", "chisq_status_priority", "narrow_ranksum",
-            "deming_band", "bootstrap_geomean_exact", "bootstrap_geomean_compressed", "fisher_by_language", "fisher_three_rows")
+            "deming_band", "bootstrap_geomean_compressed", "fisher_by_language")
 
 
 def bootstrap_geomean_ci(spark, sf_dir):
