@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkcohort.functions.nulls import fixed_text, paste, sql_name
 from sparkcohort.functions.tails import student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
-from sparkcohort.operators.ranks import CELL, COUNT, mid_rank, prefix_counts, with_cells
+from sparkcohort.operators.ranks import CELL, COUNT, Cells, mid_rank, prefix_counts
 from sparkcohort.session import join_groups
 
 
@@ -26,12 +26,13 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.
     pairs = (drop_missing(df, x, y).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .agg(F.count(F.lit(1)).alias(COUNT)))
     x_counts = pairs.groupBy(*by, "_x").agg(F.sum(COUNT).alias(COUNT))
-    x_ranks = prefix_counts(x_counts, by, "_x").select(*by, "_x", mid_rank().alias("_rx"))
+    plain = drop_missing(df, x, y).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    x_ranks = prefix_counts(x_counts, by, "_x", source=plain).select(*by, "_x", mid_rank().alias("_rx"))
     per_y = (join_groups(pairs, x_ranks, [*by, "_x"]).groupBy(*by, "_y")
              .agg(F.sum(COUNT).alias("_n"), F.expr(f"sum({COUNT} * _rx) AS _s"), F.expr(f"sum({COUNT} * _rx * _rx) AS _q")))
     in_cell = Window.partitionBy(*by, CELL).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
     # _l: rank of the value within its cell
-    local = (with_cells(per_y, by, "_y")
+    local = (Cells(plain, by, "_y").add(per_y, "_y")
              .withColumn("_l", F.coalesce(F.sum("_n").over(in_cell), F.lit(0)) + (F.col("_n") + 1) / 2.0))
     cells = local.groupBy(*by, CELL).agg(*[F.expr(f"sum({e}) AS {name}") for name, e in (
         ("_N", "_n"), ("_S", "_s"), ("_Q", "_q"), ("_SL", "_s * _l"), ("_L", "_n * _l"), ("_LL", "_n * _l * _l"))])

@@ -40,22 +40,37 @@ def order_scale(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
-def with_cells(df: DataFrame, by: Sequence[str], value: str, cells: int = CELLS, crowded: int = CROWDED) -> DataFrame:
-    """Add the cell of each value (a double; NULL values have none): ``cells`` to a stratum, and as many again to a crowded cell.
+class Cells:
+    """The cells of one measurement by stratum, found by two aggregations over ``source`` that combine before they shuffle.
 
-    The limits of strata and of crowded cells are small frames that come back by equi-join.
+    First the range of every stratum is cut into ``cells`` cells; a cell that holds more than ``crowded`` rows is cut once more
+    over its own range.  Both sets of limits are small frames: their size is checked before they are broadcast.
     """
-    def share(low: str, high: str) -> Column:
-        part = F.floor((F.col("_g") - F.col(low)) / (F.col(high) - F.col(low)) * (cells - 1))
-        return F.when(F.col(high) > F.col(low), F.least(F.greatest(part, F.lit(0)), F.lit(cells - 1))).otherwise(F.lit(0))
 
-    rows = df.withColumn("_g", order_scale(F.col(value)))
-    limits = rows.groupBy(*by).agg(F.min("_g").alias("_low"), F.max("_g").alias("_high"))
-    rows = join_groups(rows, limits, by).withColumn(CELL, share("_low", "_high").cast("double")).drop("_low", "_high")
-    full = rows.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias("_many"), F.min("_g").alias("_low"), F.max("_g").alias("_high"))
-    full = full.where(F.col("_many") > crowded).drop("_many")
-    inner = F.when(F.col("_low").isNotNull(), share("_low", "_high") / float(cells)).otherwise(0.0)
-    return join_groups(rows, full, [*by, CELL], "left").withColumn(CELL, F.col(CELL) + inner).drop("_g", "_low", "_high")
+    def __init__(self, source: DataFrame, by: Sequence[str], value: str, cells: int = CELLS, crowded: int = CROWDED):
+        self.by, self.cells = list(by), cells
+        rows = source.select(*by, order_scale(F.col(value)).alias("_g")).where("_g IS NOT NULL AND NOT isnan(_g)")
+        self.limits = broadcast_if_small(rows.groupBy(*by).agg(F.min("_g").alias("_low"), F.max("_g").alias("_high")))
+        full = (self._first(rows).groupBy(*by, CELL).agg(F.count(F.lit(1)).alias("_many"), F.min("_g").alias("_low"),
+                                                         F.max("_g").alias("_high")).where(F.col("_many") > crowded).drop("_many"))
+        full = broadcast_if_small(full)
+        self.full = full if full.take(1) else None
+
+    def _share(self) -> Column:
+        part = F.floor((F.col("_g") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (self.cells - 1))
+        return F.when(F.col("_high") > F.col("_low"), F.least(F.greatest(part, F.lit(0)), F.lit(self.cells - 1))).otherwise(F.lit(0))
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        return join_groups(rows, self.limits, self.by, "left").withColumn(CELL, self._share().cast("double")).drop("_low", "_high")
+
+    def add(self, df: DataFrame, value: str) -> DataFrame:
+        """``df`` with the cell of each value as a double."""
+        rows = self._first(df.withColumn("_g", order_scale(F.col(value))))
+        if self.full is None:
+            return rows.drop("_g")
+        inner = F.when(F.col("_low").isNotNull(), self._share() / float(self.cells)).otherwise(0.0)
+        return (join_groups(rows, self.full, [*self.by, CELL], "left").withColumn(CELL, F.col(CELL) + inner)
+                .drop("_g", "_low", "_high"))
 
 
 def clean_values(df: DataFrame, value: str) -> DataFrame:
@@ -73,14 +88,17 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str,
             .agg(*[F.sum(c.cast("long")).alias(name) for name, c in counts.items()]))
 
 
-def prefix_counts(counts: DataFrame, by: Sequence[str], value: str, count: str = COUNT, cells: int = CELLS,
-                  crowded: int = CROWDED) -> DataFrame:
+def prefix_counts(counts: DataFrame, by: Sequence[str], value: str, count: str = COUNT, source: DataFrame | None = None,
+                  **kw) -> DataFrame:
     """Add ``_before`` (observations below the value) and ``_total`` (stratum size) to a value-count frame.
 
+    ``source`` has the values before they were counted; cells are found on it, which saves counting twice.
+
     The offset of each cell travels as one extra row of that cell, placed before its values, so that one window adds the
     offset and the position within the cell and no join back is needed (NULL strata are kept as a stratum).
     """
-    placed = with_cells(counts.select(*by, value, F.col(count).cast("long").alias(count)), by, value, cells, crowded)
+    cells = Cells(counts if source is None else source, by, value, **kw)
+    placed = cells.add(counts.select(*by, value, F.col(count).cast("long").alias(count)), value)
     kind = counts.schema[value].dataType
     per_stratum = Window.partitionBy(*by)
     offsets = (placed.groupBy(*by, CELL).agg(F.sum(count).alias("_c"))
@@ -105,7 +123,7 @@ def mid_rank() -> Column:
 
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank", n: str = "n") -> DataFrame:
     """(stratum, value, n, rank): the average rank of every distinct value within its stratum."""
-    return (prefix_counts(value_counts(df, by, value), by, value)
+    return (prefix_counts(value_counts(df, by, value), by, value, source=df)
             .select(*by, value, F.col(COUNT).alias(n), mid_rank().alias(rank)))
 
 
@@ -126,7 +144,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
         data = clean_values(df, value)
         return data.groupBy(*by).agg(*size, *[F.percentile(value, float(p)).alias(name) for name, p in probs.items()])
     if method == "cells":
-        ranked = prefix_counts(value_counts(df, by, value), by, value)
+        ranked = prefix_counts(value_counts(df, by, value), by, value, source=df)
     elif method == "two_pass":
         ranked = _ranked_targets(df, by, value, list(probs.values()))
     else:
@@ -161,7 +179,8 @@ def _holds(index: str) -> str:
 
 def _ranked_targets(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Ranked distinct values of the cells in which the positions of ``probs`` fall."""
-    data = with_cells(clean_values(df, value).select(*by, value), by, value)
+    rows = clean_values(df, value).select(*by, value)
+    data = Cells(rows, by, value).add(rows, value)
     per_group = Window.partitionBy(*by)
     cells = data.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias(COUNT)).select(
         *by, CELL, COUNT, F.sum(COUNT).over(per_group).alias(TOTAL),
@@ -187,5 +206,5 @@ def quartiles(df: DataFrame, by: Sequence[str], value: str, iqr: str | None = No
 def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
     """0-based position of every row in the order of a unique, non-missing numeric column, ranked in its own type."""
     counts = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias(COUNT))
-    positions = prefix_counts(counts, [], order).select(F.col(order).alias("_at"), F.coalesce(BEFORE, F.lit(0)).alias(name))
+    positions = prefix_counts(counts, [], order, source=df).select(F.col(order).alias("_at"), F.coalesce(BEFORE, F.lit(0)).alias(name))
     return df.join(positions, df[order] == F.col("_at")).drop("_at")

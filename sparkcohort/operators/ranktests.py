@@ -17,7 +17,7 @@ from sparkcohort.functions.nulls import present, sql_text
 from sparkcohort.functions.tails import normal_two_sided
 from sparkcohort.operators.levels import known_levels, level_pairs
 from sparkcohort.operators.reshape import single_value
-from sparkcohort.operators.ranks import CELL, clean_values, value_counts, with_cells
+from sparkcohort.operators.ranks import CELL, Cells, clean_values, value_counts
 
 
 def _pick_pairs(levels: Sequence[str], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[int, int]]:
@@ -54,7 +54,7 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     counts = value_counts(members, by, value, {f"_n{i}": F.col(level) == levels[i] for i in used})
 
     in_cell = (Window.partitionBy(*by, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = with_cells(counts, by, value).select(
+    ranked = Cells(members, by, value).add(counts, value).select(
         *by, CELL, *[F.col(f"_n{i}") for i in used],
         *[F.coalesce(F.sum(f"_n{i}").over(in_cell), F.lit(0)).alias(f"_b{i}") for i in used])
     aggs = [F.sum(f"_n{i}").alias(f"_N{i}") for i in used]
@@ -121,7 +121,7 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
     counts = (diffs.withColumn("_abs", F.abs("_d")).groupBy(*key, "_abs")
               .agg(F.count_if(F.col("_d") > 0).alias("_pos"), F.count(F.lit(1)).alias("_all")))
     zero = F.col("_abs") == 0
-    marked = with_cells(counts, key, "_abs").select(
+    marked = Cells(diffs.withColumn("_abs", F.abs("_d")), key, "_abs").add(counts, "_abs").select(
         *key, "_abs", CELL, "_pos", "_all", F.when(zero, F.lit(0)).otherwise(F.col("_all")).alias("_t"))
     in_cell = Window.partitionBy(*key, CELL).orderBy("_abs").rowsBetween(Window.unboundedPreceding, -1)
     ranked = marked.withColumn("_b", F.coalesce(F.sum("_t").over(in_cell), F.lit(0)))

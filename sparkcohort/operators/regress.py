@@ -142,7 +142,7 @@ def ols_diagnostics(df: DataFrame, by: Sequence[str], x: str, y: str, fit: DataF
 
 def normal_quantiles(df: DataFrame, by: Sequence[str], value: str, name: str = "theoretical") -> DataFrame:
     """(group, value, n, theoretical): normal quantile of every distinct value at its average rank."""
-    ranked = prefix_counts(value_counts(df, by, value), by, value)
+    ranked = prefix_counts(value_counts(df, by, value), by, value, source=df)
     offset = f"(CASE WHEN {TOTAL} <= 10 THEN 0.375D ELSE 0.5D END)"
     return (ranked.withColumn("_rank", mid_rank())
             .withColumn("_p", F.expr(f"(_rank - {offset}) / ({TOTAL} + 1D - 2D * {offset})"))

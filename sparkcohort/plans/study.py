@@ -219,7 +219,7 @@ def interval_summary(cohort: DataFrame, by: str, start: str, end: str, name: str
     """
     days = cohort.select(by, fractional_days(F.col(start), F.col(end)).alias(name))
     counts = days.groupBy(by, name).agg(F.count(F.lit(1)).alias(COUNT))
-    ranked = prefix_counts(counts.where(present(F.col(name))), [by], name)
+    ranked = prefix_counts(counts.where(present(F.col(name))), [by], name, source=days)
     weighted = F.sum(F.col(name) * F.col(COUNT)) / F.sum(COUNT)
     points = quantiles_of_counts(ranked, [by], name, {f"p25_{name}": 0.25, f"median_{name}": 0.5, f"p75_{name}": 0.75}, [
         F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}"), weighted.alias(f"mean_{name}")])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcohort.operators.ranks import CELL, mid_ranks, prefix_counts, quantiles, row_index, value_counts, with_cells
+from sparkcohort.operators.ranks import CELL, Cells, mid_ranks, prefix_counts, quantiles, row_index, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -72,14 +72,14 @@ def test_cells_are_monotone(spark):
     values = sorted([0.0, -1.0, 1e-9, 1e-3, 1.0, 1.0000001, 2.0, -2.0, 1e12, -1e12, 5e-324, 1e300, 1.7e308, float("inf"), float("-inf")])
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     for kw in ({}, {"cells": 4, "crowded": 2}):
-        cells = [r[CELL] for r in sorted(with_cells(frame, [], "v", **kw).collect(), key=lambda r: r["v"])]
+        cells = [r[CELL] for r in sorted(Cells(frame, [], "v", **kw).add(frame, "v").collect(), key=lambda r: r["v"])]
         assert cells == sorted(cells)
 
 
 def test_cells_hold_a_bounded_share_of_narrow_and_outlying_values(spark):
     micros = spark.range(200_000).select((F.lit(1.7e15) + F.col("id") * 432_000).alias("v"))
     for frame, kw in ((micros, {}), (micros.unionByName(spark.createDataFrame([(0.0,), (-1e18,)], "v double")), {"crowded": 1000})):
-        largest = with_cells(frame, [], "v", **kw).groupBy(CELL).count().agg(F.max("count")).first()[0]
+        largest = Cells(frame, [], "v", **kw).add(frame, "v").groupBy(CELL).count().agg(F.max("count")).first()[0]
         assert largest <= 60
 
 
