@@ -29,10 +29,11 @@ from sparkcohort.session import settle
 CLASSES = 65_536           # word classes; class 0 is the start of a document
 STRENGTH = 2.0             # pseudo-counts of the unigram model behind a bigram
 FLOOR = 0.5                # pseudo-count of a class in the unigram models
-SLICE = 4 << 20            # bytes of text whose counts make one pack for each bucket
+SLICE = 2 << 20            # bytes of text whose counts make one pack for each bucket
 BUCKET_TOKENS = 4_000_000  # tokens for which a bucket is added, up to MOST_BUCKETS: a table has at most 2**32 codes / buckets
 MOST_BUCKETS = 1024
-PACKS = 2048               # packs of a bucket that meet one copy of its table
+HELD = 1_000_000           # codes that a task holds before it sums them up or sends them on
+PACKS = 4096               # packs of a bucket that meet one copy of its table
 FACTOR, INVERSE = np.uint32(0x9E3779B1), np.uint32(pow(0x9E3779B1, -1, 2**32))
 
 
@@ -46,12 +47,16 @@ def restored(code: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes: small numbers leave planes of zeros, which shuffles compress away."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers as planes of bytes, as many as the largest needs, after a byte with their number."""
+    planes = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(raw, np.uint8)[1:].reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :raw[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
@@ -59,7 +64,7 @@ def packed_codes(codes: np.ndarray) -> bytes:
 
 
 def unpacked_codes(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(raw), dtype=np.uint32)
+    return np.cumsum(unpacked(raw).astype(np.uint32), dtype=np.uint32)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +126,7 @@ def count_packs(bits: int):
                 before, word, row = tokens(data, offsets)
                 code = permuted((before << np.uint32(16)) | word)
                 held.append(summed(code, target[a:b][row].astype(np.int64), np.ones(len(code), np.int64)))
-                if sum(len(h[0]) for h in held) > 4_000_000:
+                if sum(len(h[0]) for h in held) > HELD:
                     yield from emit(held)
                     held = []
         if held:
@@ -136,7 +141,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def table() -> pa.RecordBatch:
         code, t, b = summed(*[np.concatenate(x) for x in zip(*held)])
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (
-            packed_codes(code), t.astype("<i8").tobytes(), b.astype("<i8").tobytes())]], names=["bucket", "codes", "t", "b"])
+            packed_codes(code), packed(t), packed(b))]], names=["bucket", "codes", "t", "b"])
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -147,7 +152,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bucket, held, waiting = row[0], [], 0
             held.append((unpacked_codes(row[1]), unpacked(row[2]).astype(np.int64), unpacked(row[3]).astype(np.int64)))
             waiting += len(held[-1][0])
-            if len(held) > 1 and waiting > max(2_000_000, len(held[0][0])):
+            if len(held) > 1 and waiting > max(HELD, len(held[0][0])):
                 held, waiting = [summed(*[np.concatenate(x) for x in zip(*held)])], 0
     if held:
         yield table()
@@ -222,7 +227,7 @@ def score_packs(handle):
                 row = {name: batch.column(c)[k] for c, name in enumerate(batch.schema.names)}
                 if row["table"].as_py() == 0:
                     codes = unpacked_codes(row["codes"].as_py())
-                    t, b = (np.frombuffer(row[c].as_py(), "<i8") for c in ("docs", "counts"))
+                    t, b = (unpacked(row[c].as_py()).astype(np.int64) for c in ("docs", "counts"))
                     continue
                 code, doc = unpacked_codes(row["codes"].as_py()), np.frombuffer(row["docs"].as_py(), np.uint16)
                 count, own = unpacked(row["counts"].as_py()).astype(float), unpacked(row["own"].as_py()).astype(float)
