@@ -122,10 +122,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows = (docs.select(q(id).alias("__id"), text_of(text).alias("text")).join(F.broadcast(chosen), "__id")
             .select("text", "label", F.xxhash64("__id", "text").alias("__order")).drop("__order"))
     got = rows.mapInArrow(counted, "label float, counts binary").toArrow()
-    counts = np.stack([np.frombuffer(x, np.float32) for x in got.column("counts").to_pylist()]) if got.num_rows else np.zeros((0, FEATURES + STYLE), np.float32)
+    # every row has the same number of bytes: the column's values are the matrix, without a copy for each row
+    parts = []
+    for chunk in got.column("counts").chunks:
+        if len(chunk):
+            at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.float32))
+    counts = np.concatenate(parts).reshape(-1, FEATURES + STYLE) if parts else np.zeros((0, FEATURES + STYLE), np.float32)
+    labels = got.column("label").to_numpy()
+    del got, parts
     # tasks end in any order: a fixed order makes refits agree
-    order = np.lexsort((got.column("label").to_numpy(), *counts[:, :8].T, counts.sum(1)))
-    return Model(counts[order], got.column("label").to_numpy()[order])
+    order = np.lexsort((labels, *counts[:, :8].T, counts.sum(1)))
+    return Model(counts[order], labels[order])
 
 
 def batch_scores(model: Model, batch: pa.RecordBatch, text: str) -> np.ndarray:

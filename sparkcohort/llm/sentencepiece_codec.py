@@ -26,8 +26,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581                    # stands for a space in pieces
 LITERAL = 0x110000               # a literal mark in a text: no piece has it, so it is encoded by its bytes
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 2 << 20
-CELLS = 2_000_000                # cells (words x places x lengths) of one step
+SLICE = 1 << 20
+CELLS = 1_000_000                # cells (words x places x lengths) of one step
 UNKNOWN_PENALTY = 10.0
 NORMAL, USER_DEFINED, BYTE, UNKNOWN = 1, 4, 6, 2   # fixed values of the file format
 
