@@ -1,15 +1,21 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model counts the documents marked as target, the background model counts all documents.  Both share one
-vocabulary (words in a fixed number of hash classes), order and smoothing, and the background counts are scaled to the mass
-of the target's, so that the two differ in nothing but what they saw.  A document's own counts are taken out of both models
+vocabulary (every word of the documents, by a 64-bit hash), order and smoothing, and the background counts are scaled to the
+mass of the target's, so that the two differ in nothing but what they saw.  A document's own counts are taken out of both models
 before it is scored.  A token's loss is the negative log probability given the word before it; the score of a document is
 the mean loss under the target model less that under the background model: low for documents like the target.
 
-Counts travel in packs: a task counts bigrams of a slice of documents, permutes their codes so that ranges of codes are
-buckets of equal size, and sends one compact row per bucket.  Streams sorted by bucket merge the counts into one table per
+The most frequent words, 65,535 at most, have numbers and their counts are sent to all tasks; all others are rare: one of
+them has at most about a 65,535th of the tokens.  Denominators of numbered contexts are worked out where documents are read.
+
+Counts of bigrams of two numbered words travel in packs: a task counts those of a slice of documents, permutes their codes so
+that ranges of codes are buckets of equal size, and sends one compact row per bucket.  Streams sorted by bucket merge the counts into one table per
 bucket.  The same packs, with the documents they belong to, then meet their bucket's table; each bucket is spread over as
 many tasks as there are slices to hold, so a pair that is in every document is no hot key.
+
+All that concerns a rare word goes to the bucket of its hash: each document's words before it, numbered words after it, and
+whether it ends the document.  There its counts are complete, and no bucket is large, because no rare word is.
 """
 
 from __future__ import annotations
@@ -26,9 +32,10 @@ from pyspark.sql import functions as F
 from sparkcohort.llm.common import byte_slices, join_checked, q, text_of, word_hashes, words_of
 from sparkcohort.session import settle
 
-CLASSES = 65_536           # word classes; class 0 is the start of a document
+CLASSES = 65_536           # numbers of words, 0 is the start of a document; also the least size of the vocabulary in the models
+RARE_TOKENS = 400_000      # tokens of rare words for which a bucket of rare words is added
 STRENGTH = 2.0             # pseudo-counts of the unigram model behind a bigram
-FLOOR = 0.5                # pseudo-count of a class in the unigram models
+FLOOR = 0.5                # pseudo-count of a word in the unigram models
 SLICE = 2 << 20            # bytes of text whose counts make one pack for each bucket
 BUCKET_TOKENS = 4_000_000  # tokens for which a bucket is added, up to MOST_BUCKETS: a table has at most 2**32 codes / buckets
 MOST_BUCKETS = 1024
@@ -67,32 +74,52 @@ def unpacked_codes(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw).astype(np.uint32), dtype=np.uint32)
 
 
+def packed_hashes(hashes: np.ndarray) -> bytes:
+    return packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpacked_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of the word before, class, row) of every word."""
+    """(hash of the word before, hash, row) of every word; 0 is the start of a document."""
     start, end, row = words_of(data, offsets)
-    word = (word_hashes(data, start, end) % np.uint64(CLASSES - 1)).astype(np.uint32) + np.uint32(1)
-    before = np.concatenate([np.zeros(1, np.uint32), word[:-1]])[:len(word)]
+    word = np.maximum(word_hashes(data, start, end), np.uint64(1))
+    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])[:len(word)]
     before[np.concatenate([[True], row[1:] != row[:-1]])[:len(word)]] = 0
     return before, word, row
 
 
+def ends(row: np.ndarray) -> np.ndarray:
+    return np.concatenate([row[1:] != row[:-1], [True]])[:len(row)]
+
+
 def flags(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and class: occurrences as a word and as a context, in the target and in all documents."""
-    total = np.zeros((4, CLASSES), np.int64)
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences as a word and as a context, in the target and in all documents: a row per word for every few slices."""
+
+    def emit(held: list) -> pa.RecordBatch:
+        word, *counts = summed(*[np.concatenate(x) for x in zip(*held)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word.view(np.int64), *counts)], names=["word", "word_t", "word_b", "context_t", "context_b"])
+
+    held: list = []
     for batch in batches:
         target = flags(batch)
         for a, b, data, offsets in byte_slices(batch, "text", SLICE):
-            before, word, row = tokens(data, offsets)
-            mine = target[a:b][row]
-            for k, x in enumerate((word[mine], word, before[mine], before)):
-                total[k] += np.bincount(x, minlength=CLASSES)
-    at = np.flatnonzero(total.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(t[at]) for t in total]],
-                                     names=["class", "word_t", "word_b", "context_t", "context_b"])
+            _, word, row = tokens(data, offsets)
+            mine, inner = target[a:b][row].astype(np.int64), (~ends(row)).astype(np.int64)
+            held.append(summed(word, mine, np.ones(len(word), np.int64), mine * inner, inner))
+            none, last = np.zeros(1, np.int64), 1 - inner
+            held.append((np.zeros(1, np.uint64), none, none, none + (mine * last).sum(), none + last.sum()))
+            if sum(len(h[0]) for h in held) > HELD:
+                yield emit(held)
+                held = []
+    if held:
+        yield emit(held)
 
 
 def summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -107,8 +134,8 @@ def cut(codes: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(codes, (np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits)))
 
 
-def count_packs(bits: int):
-    """Counts of a task's bigrams: one row per bucket for every few slices."""
+def count_packs(bits: int, handle):
+    """Counts of a task's bigrams of numbered words: one row per bucket for every few slices."""
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         code, t, b = summed(*[np.concatenate(x) for x in zip(*held)])
@@ -124,8 +151,10 @@ def count_packs(bits: int):
             target = flags(batch)
             for a, b, data, offsets in byte_slices(batch, "text", SLICE):
                 before, word, row = tokens(data, offsets)
-                code = permuted((before << np.uint32(16)) | word)
-                held.append(summed(code, target[a:b][row].astype(np.int64), np.ones(len(code), np.int64)))
+                before, word = handle.value.numbers(before, word)
+                both = (before >= 0) & (word >= 0)
+                code = permuted(((before[both] << 16) | word[both]).astype(np.uint32))
+                held.append(summed(code, target[a:b][row[both]].astype(np.int64), np.ones(len(code), np.int64)))
                 if sum(len(h[0]) for h in held) > HELD:
                     yield from emit(held)
                     held = []
@@ -158,94 +187,215 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table()
 
 
-def document_packs(bits: int, salts: int):
-    """Bigrams of slices of documents: one row per bucket, the first with the ids and sizes of the slice's documents."""
+BEFORE, BEFORE_RARE, AFTER, END = range(4)      # what a document tells a rare word: a word before it, one after it, that it is the last
+
+
+def rare_entries(before, word, row, a, b):
+    """(rare word, kind, the other word, row, count), sorted by word: the other word is a number, or a hash for BEFORE_RARE."""
+    last = ends(row)
+    parts = []
+    for where, key, kind, other in ((b < 0, word, np.where(a < 0, BEFORE_RARE, BEFORE), np.where(a < 0, before, a.astype(np.uint64))),
+                                    ((a < 0) & (b >= 0), before, np.full(len(row), AFTER), b.astype(np.uint64)),
+                                    ((b < 0) & last, word, np.full(len(row), END), np.zeros(len(row), np.uint64))):
+        parts.append((key[where], kind[where].astype(np.uint8), other[where], row[where].astype(np.uint16)))
+    key, kind, other, row = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((other, kind, row, key))
+    key, kind, other, row = key[order], kind[order], other[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (other[1:] != other[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    return key[head], kind[head], other[head], row[head], np.diff(np.append(head, len(key)))
+
+
+def rare_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def document_packs(bits: int, salts: int, buckets: int, handle):
+    """Bigrams of slices of documents: one row per bucket, the first with the ids and sizes of the slice's documents.
+
+    Buckets of rare words have numbers from ``1 << bits`` on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # numbers of packs are those of the task and a running number: a task that runs again gives the same
         numbers = itertools.count(TaskContext.get().partitionId() << 32)
+        model = handle.value
         for batch in batches:
             target = flags(batch)
             for first, last, data, offsets in byte_slices(batch, "text", SLICE):
                 for a in range(0, last - first, 65_536):           # a document's number in its slice takes two bytes
                     b = min(a + 65_536, last - first)
                     before, word, row = tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                    code = (before << np.uint32(16)) | word
-                    pair, count = np.unique((permuted(code).astype(np.uint64) << np.uint64(16)) | row.astype(np.uint64), return_counts=True)
+                    left, right = model.numbers(before, word)
+                    both = (left >= 0) & (right >= 0)
+                    code = ((left[both] << 16) | right[both]).astype(np.uint32)
+                    pair, count = np.unique((permuted(code).astype(np.uint64) << np.uint64(16)) | row[both].astype(np.uint64), return_counts=True)
                     code, doc = (pair >> np.uint64(16)).astype(np.uint32), (pair & np.uint64(65_535)).astype(np.uint16)
-                    context = (doc.astype(np.uint32) << np.uint32(16)) | (restored(code) >> np.uint32(16))
-                    slot = np.unique(context, return_inverse=True)[1]
-                    own = np.bincount(slot, weights=count)[slot] if len(slot) else count
                     mine = target[first + a:first + b]
                     at = cut(code, bits)
                     full = np.union1d([0], np.flatnonzero(np.diff(at))).astype(np.int64)
                     ids = batch.column(0).slice(first + a, b - a)
                     number = next(numbers)
-                    only_first = np.concatenate([[0, b - a], np.full(len(full) - 1, b - a)]).astype(np.int32)
-                    parts = [slice(at[k], at[k + 1]) for k in full]
+                    packs = [(int(k), number % salts, packed_codes(code[s]), doc[s].tobytes(), packed(count[s]), b"", b"", b"", b"")
+                             for k in full for s in [slice(at[k], at[k + 1])]]
+                    key, kind, other, at_doc, n = rare_entries(before, word, row, left, right)
+                    bucket = rare_bucket(key, buckets)
+                    for k in np.unique(bucket).tolist():
+                        s = slice(*np.searchsorted(bucket, [k, k + 1]))
+                        some, runs = np.unique(key[s], return_counts=True)
+                        hashed = kind[s] == BEFORE_RARE
+                        packs.append(((1 << bits) + k, 0, packed_hashes(some), at_doc[s].tobytes(), packed(n[s]), packed(runs), kind[s].tobytes(),
+                                      other[s][~hashed].astype(np.uint16).tobytes(), other[s][hashed].tobytes()))
+                    columns = list(zip(*packs))
+                    only_first = np.concatenate([[0, b - a], np.full(len(packs) - 1, b - a)]).astype(np.int32)
+                    blank = [b""] * (len(packs) - 1)
+                    base = model.context_losses(left, row, mine)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number % salts, np.int32)), pa.array(np.full(len(full), number)),
-                         pa.array([packed_codes(code[s]) for s in parts], pa.binary()), pa.array([doc[s].tobytes() for s in parts], pa.binary()),
-                         pa.array([packed(count[s]) for s in parts], pa.binary()), pa.array([packed(own[s]) for s in parts], pa.binary()),
-                         pa.array([np.packbits(mine).tobytes()] * len(full), pa.binary()), pa.ListArray.from_arrays(pa.array(only_first), ids),
-                         pa.array([np.bincount(row, minlength=b - a).astype("<i4").tobytes() if k == 0 else b"" for k in range(len(full))], pa.binary())],
-                        names=["bucket", "salt", "pack", "codes", "docs", "counts", "own", "mine", "ids", "sizes"])
+                        [*[pa.array(c, pa.int32()) for c in columns[:2]], pa.array(np.full(len(packs), number)), *[pa.array(c, pa.binary()) for c in columns[2:]],
+                         pa.array([np.packbits(mine).tobytes()] * len(packs), pa.binary()), pa.ListArray.from_arrays(pa.array(only_first), ids),
+                         pa.array([np.bincount(row, minlength=b - a).astype("<i4").tobytes(), *blank], pa.binary()), pa.array([base.tobytes(), *blank], pa.binary())],
+                        names=["bucket", "salt", "pack", "codes", "docs", "counts", "runs", "kinds", "numbers", "hashes", "mine", "ids", "sizes", "base"])
     return run
 
 
 class Unigrams:
-    """The fixed-size part of both models."""
-
-    def __init__(self, rows: list):
-        word = np.zeros((2, CLASSES))
-        self.context = np.zeros((2, CLASSES))
-        for r in rows:
-            word[:, r[0]] = r[1:3]
-            self.context[:, r[0]] = r[3:5]
-        mass = word.sum(1)
-        self.scale = mass[0] / mass[1] if mass[1] else 0.0      # background counts per target count
-        word[1] *= self.scale
-        self.word = (word + FLOOR) / (word.sum(1, keepdims=True) + FLOOR * CLASSES)
-
-    def losses(self, code, t, b, count, own, mine) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over a document's occurrences of a bigram of the loss in the target and in the background model."""
-        code = restored(code)
-        before, word = code >> np.uint32(16), code & np.uint32(65_535)
-        target = (np.where(mine, t - count, t) + STRENGTH * self.word[0][word]) / (self.context[0][before] - np.where(mine, own, 0) + STRENGTH)
-        behind = (self.scale * (b - count) + STRENGTH * self.word[1][word]) / (self.scale * (self.context[1][before] - own) + STRENGTH)
-        return -count * np.log(target), -count * np.log(behind)
-
-
-def score_packs(handle):
-    """Streams of a bucket's table and then its packs, sorted so; per pack the losses of its documents."""
+    """What all tasks know of both models: masses, the size of the vocabulary and the counts of numbered words."""
+
+    def __init__(self, rows: list, mass: np.ndarray, size: int):
+        """``rows``: hash and counts of the numbered words and of the start of a document, hash 0."""
+        table = {0: (0, 0, 0, 0)} | {r[0] % 2**64: r[1:] for r in rows}
+        self.hashes = np.array(sorted(table), np.uint64)            # the first is the start of a document
+        counts = np.array([table[h] for h in sorted(table)], float).T
+        self.context = counts[2:]
+        self.scale = mass[0] / mass[1] if mass[1] else 0.0          # background counts per target count
+        self.mass, self.size = np.array([mass[0], mass[1] * self.scale], float), max(CLASSES, size)
+        self.word = self.prior(counts[:2])
+
+    def numbers(self, *hashes: np.ndarray) -> list[np.ndarray]:
+        """Numbers of words, -1 for rare ones."""
+        out = []
+        for h in hashes:
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out.append(np.where(self.hashes[at] == h, at, -1))
+        return out
+
+    def prior(self, counts: np.ndarray) -> np.ndarray:
+        scaled = np.stack([counts[0], self.scale * counts[1]])
+        return (scaled + FLOOR) / (self.mass + FLOOR * self.size)[:, None]
+
+    def word_losses(self, t, b, prior, count, mine) -> np.ndarray:
+        """A bigram's share of the losses that comes of its numerators, in the target and in the background model."""
+        target = np.where(mine, t - count, t) + STRENGTH * prior[0]
+        return -count * np.log(np.stack([target, self.scale * (b - count) + STRENGTH * prior[1]]))
+
+    def contexts(self, t, b, own, mine) -> np.ndarray:
+        """A context's share, that of its denominators; ``own`` is how often the document has it."""
+        return own * np.log(np.stack([t - np.where(mine, own, 0), self.scale * (b - own)]) + STRENGTH)
+
+    def context_losses(self, left, row, mine) -> np.ndarray:
+        """Per document the shares of its numbered contexts."""
+        some = left >= 0
+        pair, own = np.unique((left[some] << 16) | row[some], return_counts=True)
+        context, doc = pair >> 16, pair & 65_535
+        return np.stack([np.bincount(doc, weights=x, minlength=len(mine)) for x in self.contexts(*self.context[:, context], own, mine[doc])])
+
+
+def rare_losses(model: Unigrams, key, kind, other, group, count, mine) -> np.ndarray:
+    """Per entry of a bucket of rare words its share of both losses.  ``group`` is the number of pack and document."""
+    word = np.unique(key, return_inverse=True)[1]
+    total = lambda where, x: np.bincount(word[where], weights=x[where], minlength=word.max() + 1)
+    ahead, end, after = kind <= BEFORE_RARE, kind == END, kind == AFTER
+    own_t = count * mine
+    counts = np.stack([total(ahead, own_t), total(ahead, count)])
+    context = counts - np.stack([total(end, own_t), total(end, count)])
+    # bigrams: a rare word with what is before it, or with the numbered word after it
+    order = np.lexsort((other, kind, word))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (word, kind, other)])
+    bigram = np.empty(len(order), np.int64)
+    bigram[order] = np.cumsum(new) - 1
+    t, b = (np.bincount(bigram, weights=x)[bigram] for x in (own_t, count))
+    prior = model.prior(counts)[:, word]
+    prior[:, after] = model.word[:, other[after].astype(np.int64)]
+    out = np.where(end, 0.0, model.word_losses(t, b, prior, np.where(end, 0, count), mine))
+    # contexts: once for each word and document
+    order = np.lexsort((group, word))
+    new[1:] = (word[order][1:] != word[order][:-1]) | (group[order][1:] != group[order][:-1])
+    head, slot = order[new], np.empty(len(order), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    own = np.bincount(slot, weights=np.where(ahead, count, np.where(end, -count, 0)))
+    out[:, head] += model.contexts(*context[:, word[head]], own, mine[head])
+    return out
+
+
+def score_packs(bits: int, handle):
+    """Streams of a bucket's table and then its packs, sorted so; per pack the losses of its documents.
+
+    The packs of a bucket of rare words are held until all are there.
+    """
+
+    def rare(model: Unigrams, held: list) -> list:
+        columns = [np.concatenate(x) for x in list(zip(*held))[1:]]
+        key, kind, other, doc, count, mine, pack = columns
+        sums = rare_losses(model, key, kind, other, (pack << 16) | doc, count, mine)
+        out, at = [], 0
+        for h in held:
+            s = slice(at, at := at + len(h[1]))
+            some, slot = np.unique(doc[s], return_inverse=True)
+            out.append((h[0], some.astype(np.uint16).tobytes(), np.stack([np.bincount(slot, weights=x[s]) for x in sums]).astype("<f4").tobytes(), b"", b""))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codes, t, b = handle.value, np.zeros(0, np.uint32), None, None
+        model, codes, t, b, bucket, held, kinds = handle.value, np.zeros(0, np.uint32), None, None, None, [], None
+
+        def batch_of(out: list, ids: pa.Array) -> pa.RecordBatch:
+            pack, docs, sums, sizes, base = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(pack, pa.int64()), *[pa.array(x, pa.binary()) for x in (docs, sums)], ids,
+                                               *[pa.array(x, pa.binary()) for x in (sizes, base)]], names=["pack", "docs", "sums", "ids", "sizes", "base"])
+
+        def settled() -> pa.RecordBatch:
+            out = rare(model, held)
+            return batch_of(out, pa.array([[]] * len(out), kinds))
+
         for batch in batches:
-            out = []
+            out, kept = [], []
+            kinds = batch.schema.field("ids").type
             for k in range(batch.num_rows):
                 row = {name: batch.column(c)[k] for c, name in enumerate(batch.schema.names)}
+                if held and row["bucket"].as_py() != bucket:
+                    yield settled()
+                    held = []
+                bucket = row["bucket"].as_py()
                 if row["table"].as_py() == 0:
                     codes = unpacked_codes(row["codes"].as_py())
                     t, b = (unpacked(row[c].as_py()).astype(np.int64) for c in ("docs", "counts"))
                     continue
-                code, doc = unpacked_codes(row["codes"].as_py()), np.frombuffer(row["docs"].as_py(), np.uint16)
-                count, own = unpacked(row["counts"].as_py()).astype(float), unpacked(row["own"].as_py()).astype(float)
+                doc, count = np.frombuffer(row["docs"].as_py(), np.uint16), unpacked(row["counts"].as_py()).astype(float)
                 mine = np.unpackbits(np.frombuffer(row["mine"].as_py(), np.uint8))[doc].astype(bool)
+                if bucket >= 1 << bits:
+                    kind = np.frombuffer(row["kinds"].as_py(), np.uint8)
+                    other = np.zeros(len(kind), np.uint64)
+                    other[kind != BEFORE_RARE] = np.frombuffer(row["numbers"].as_py(), np.uint16)
+                    other[kind == BEFORE_RARE] = np.frombuffer(row["hashes"].as_py(), np.uint64)
+                    key = np.repeat(unpacked_hashes(row["codes"].as_py()), unpacked(row["runs"].as_py()).astype(np.int64))
+                    held.append((row["pack"].as_py(), key, kind, other, doc.astype(np.int64), count, mine, np.full(len(kind), len(held))))
+                    continue
+                code = unpacked_codes(row["codes"].as_py())
                 if len(code):
                     at = np.searchsorted(codes, code)
-                    one, two = model.losses(code, t[at], b[at], count, own, mine)
+                    word = restored(code) & np.uint32(65_535)
+                    losses = model.word_losses(t[at], b[at], model.word[:, word], count, mine)
                     some, slot = np.unique(doc, return_inverse=True)
-                    sums = np.stack([np.bincount(slot, weights=x) for x in (one, two)])
+                    sums = np.stack([np.bincount(slot, weights=x) for x in losses])
                 else:
                     some, sums = doc, np.zeros((2, 0))
-                out.append((row["pack"].as_py(), some.tobytes(), sums.astype("<f4").tobytes(), row["sizes"].as_py()))
+                out.append((row["pack"].as_py(), some.tobytes(), sums.astype("<f4").tobytes(), row["sizes"].as_py(), row["base"].as_py()))
+                kept.append(k)
             if out:
-                here = batch.filter(pa.array(np.asarray(batch.column(batch.schema.get_field_index("table"))) == 1))
-                pack, docs, sums, sizes = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(pack), pa.array(docs, pa.binary()), pa.array(sums, pa.binary()),
-                                                  here.column(here.schema.get_field_index("ids")), pa.array(sizes, pa.binary())],
-                                                 names=["pack", "docs", "sums", "ids", "sizes"])
+                yield batch_of(out, batch.column(batch.schema.get_field_index("ids")).take(pa.array(kept)))
+        if held:
+            yield settled()
     return run
 
 
@@ -266,42 +416,50 @@ def gather_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield rows()
                 pack, ids = at["pack"][k].as_py(), at["ids"][k].values
                 sizes = np.frombuffer(at["sizes"][k].as_py(), "<i4")
-                total = np.zeros((2, len(sizes)))
+                total = np.frombuffer(at["base"][k].as_py(), "<f8").reshape(2, -1).copy()
             doc = np.frombuffer(at["docs"][k].as_py(), np.uint16)
             total[:, doc] += np.frombuffer(at["sums"][k].as_py(), "<f4").reshape(2, -1)
     if ids is not None:
         yield rows()
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", most_numbered: int = CLASSES - 1) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ce_target``, ``ce_background``, ``ce_difference`` (nats a token).
 
     ``target`` has the ids of the target documents in column ``id``; ids without a document and null ids mark nothing.
     Null texts and texts without words have no tokens and entropies of 0.  Without any target document the target model
     is uniform.  Rows that repeat an id are documents of their own, in the target together.
+    ``most_numbered`` bounds the words that have numbers; the result does not depend on it.
     """
     marked = target.where(q(id).isNotNull()).select(q(id).alias("id")).distinct().withColumn("target", F.lit(True))
     rows = join_checked(docs.select(q(id).alias("id"), text_of(text).alias("text")), marked, ["id"], "left", 200_000)
     rows = rows.select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = (rows.mapInArrow(class_counts, "class int, word_t long, word_b long, context_t long, context_b long")
-              .groupBy("class").agg(*[F.sum(c).alias(c) for c in ("word_t", "word_b", "context_t", "context_b")]))
-    model = Unigrams([tuple(r) for r in counts.collect()])      # at most CLASSES rows
-    total = float(model.context[1].sum())
+    counts = settle(rows.mapInArrow(word_counts, "word long, word_t long, word_b long, context_t long, context_b long")
+                    .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("word_t", "word_b", "context_t", "context_b")]))
+    # levels of frequency in steps of 1 %, the most frequent as long as their words have numbers
+    words = counts.where("word <> 0").withColumn("level", F.floor(F.log("word_b") * 100))
+    levels = sorted(words.groupBy("level").agg(F.count(F.lit(1)), F.sum("word_t"), F.sum("word_b")).collect(), reverse=True)
+    fit = int(np.searchsorted(np.cumsum([r[1] for r in levels]), most_numbered, "right")) if levels else 0
+    numbered = words.where(F.col("level") >= levels[fit - 1][0]).drop("level") if fit else words.where("false").drop("level")
+    mass = np.array([sum(r[c] for r in levels) for c in (2, 3)], float)
+    model = Unigrams([tuple(r) for r in numbered.unionByName(counts.where("word = 0")).collect()], mass, sum(r[1] for r in levels))
+    total = float(mass[1])
     bits = int(np.clip(np.ceil(np.log2(max(total / BUCKET_TOKENS, 1))), 4, np.log2(MOST_BUCKETS)))
     salts = int(np.ceil(max(total * 6 / SLICE, 1) / PACKS))
+    buckets = max(16, int(np.ceil(sum(r[3] for r in levels[fit:]) / RARE_TOKENS)))
     handle = docs.sparkSession.sparkContext.broadcast(model)
-    parts = max(1 << bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tables = (rows.mapInArrow(count_packs(bits), "bucket int, codes binary, t binary, b binary")
+    parts = max((1 << bits) + buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tables = (rows.mapInArrow(count_packs(bits, handle), "bucket int, codes binary, t binary, b binary")
               .repartition(parts, "bucket").sortWithinPartitions("bucket")
               .mapInArrow(merge_counts, "bucket int, codes binary, t binary, b binary"))
     id_type = docs.schema[id].dataType.simpleString()
-    shape = f"bucket int, salt int, pack long, codes binary, docs binary, counts binary, own binary, mine binary, ids array<{id_type}>, sizes binary"
-    packs = rows.mapInArrow(document_packs(bits, salts), shape).withColumn("table", F.lit(1))
+    shape = f"bucket int, salt int, pack long, codes binary, docs binary, counts binary, runs binary, kinds binary, numbers binary, hashes binary, mine binary, ids array<{id_type}>, sizes binary, base binary"
+    packs = rows.mapInArrow(document_packs(bits, salts, buckets, handle), shape).withColumn("table", F.lit(1))
     copies = tables.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).cast("long").alias("pack"), "codes",
                            F.col("t").alias("docs"), F.col("b").alias("counts"), F.lit(0).alias("table"))
     met = (packs.unionByName(copies, allowMissingColumns=True).repartition(parts * salts, "bucket", "salt")
            .sortWithinPartitions("bucket", "salt", "table").mapInArrow(
-               score_packs(handle), f"pack long, docs binary, sums binary, ids array<{id_type}>, sizes binary"))
+               score_packs(bits, handle), f"pack long, docs binary, sums binary, ids array<{id_type}>, sizes binary, base binary"))
     done = met.repartition("pack").sortWithinPartitions("pack", F.length("sizes").desc(), F.size("ids").desc()).mapInArrow(
         gather_packs, f"id {id_type}, n long, target_loss double, background_loss double")
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
