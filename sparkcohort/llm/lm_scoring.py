@@ -3,7 +3,7 @@
 The target model counts the documents marked as target, the background model counts all documents.  Both share one
 vocabulary (every word of the documents, by a 64-bit hash), order and smoothing, and the background counts are scaled to the
 mass of the target's, so that the two differ in nothing but what they saw.  A document's own counts are taken out of both models
-before it is scored.  A token's loss is the negative log probability given the word before it; the score of a document is
+before it is scored (those of the unigram models with ``leave_words``).  A token's loss is the negative log probability given the word before it; the score of a document is
 the mean loss under the target model less that under the background model: low for documents like the target.
 
 The most frequent words, 65,535 at most, have numbers and their counts are sent to all tasks; all others are rare: one of
@@ -190,31 +190,38 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BEFORE, BEFORE_RARE, AFTER, END = range(4)      # what a document tells a rare word: a word before it, one after it, that it is the last
 
 
-def rare_entries(before, word, row, a, b):
-    """(rare word, kind, the other word, row, count), sorted by word: the other word is a number, or a hash for BEFORE_RARE."""
+def own_words(word: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For every word how often its row has it."""
+    slot, count = np.unique((np.unique(word, return_inverse=True)[1] << 16) | row, return_inverse=True, return_counts=True)[1:]
+    return count[slot]
+
+
+def rare_entries(before, word, row, a, b, own):
+    """(rare word, kind, the other word, row, count, own), sorted by word: the other word is a number, or a hash for BEFORE_RARE."""
     last = ends(row)
     parts = []
     for where, key, kind, other in ((b < 0, word, np.where(a < 0, BEFORE_RARE, BEFORE), np.where(a < 0, before, a.astype(np.uint64))),
                                     ((a < 0) & (b >= 0), before, np.full(len(row), AFTER), b.astype(np.uint64)),
                                     ((b < 0) & last, word, np.full(len(row), END), np.zeros(len(row), np.uint64))):
-        parts.append((key[where], kind[where].astype(np.uint8), other[where], row[where].astype(np.uint16)))
-    key, kind, other, row = (np.concatenate(x) for x in zip(*parts))
+        parts.append((key[where], kind[where].astype(np.uint8), other[where], row[where].astype(np.uint16), own[where]))
+    key, kind, other, row, own = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((other, kind, row, key))
-    key, kind, other, row = key[order], kind[order], other[order], row[order]
+    key, kind, other, row, own = key[order], kind[order], other[order], row[order], own[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (other[1:] != other[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
-    return key[head], kind[head], other[head], row[head], np.diff(np.append(head, len(key)))
+    return key[head], kind[head], other[head], row[head], np.diff(np.append(head, len(key))), own[head]
 
 
 def rare_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def document_packs(bits: int, salts: int, buckets: int, handle):
+def document_packs(bits: int, salts: int, buckets: int, handle, leave_words: bool):
     """Bigrams of slices of documents: one row per bucket, the first with the ids and sizes of the slice's documents.
 
-    Buckets of rare words have numbers from ``1 << bits`` on.
+    Buckets of rare words have numbers from ``1 << bits`` on.  A row has for each bigram how often its document has the second
+    word, and for each of its documents the number of words; both are 0 when unigrams are not to be left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,22 +237,29 @@ def document_packs(bits: int, salts: int, buckets: int, handle):
                     left, right = model.numbers(before, word)
                     both = (left >= 0) & (right >= 0)
                     code = ((left[both] << 16) | right[both]).astype(np.uint32)
-                    pair, count = np.unique((permuted(code).astype(np.uint64) << np.uint64(16)) | row[both].astype(np.uint64), return_counts=True)
+                    pair, at, count = np.unique((permuted(code).astype(np.uint64) << np.uint64(16)) | row[both].astype(np.uint64),
+                                                return_index=True, return_counts=True)
+                    sizes = np.bincount(row, minlength=b - a)
+                    every = own_words(word, row) if leave_words else np.zeros(len(word), np.int64)
+                    lengths = sizes if leave_words else np.zeros(b - a, np.int64)
+                    own = every[both][at]
                     code, doc = (pair >> np.uint64(16)).astype(np.uint32), (pair & np.uint64(65_535)).astype(np.uint16)
                     mine = target[first + a:first + b]
                     at = cut(code, bits)
                     full = np.union1d([0], np.flatnonzero(np.diff(at))).astype(np.int64)
                     ids = batch.column(0).slice(first + a, b - a)
                     number = next(numbers)
-                    packs = [(int(k), number % salts, packed_codes(code[s]), doc[s].tobytes(), packed(count[s]), b"", b"", b"", b"")
+                    packs = [(int(k), number % salts, packed_codes(code[s]), doc[s].tobytes(), packed(count[s]), packed(own[s]), packed(lengths[np.unique(doc[s])]),
+                              b"", b"", b"", b"")
                              for k in full for s in [slice(at[k], at[k + 1])]]
-                    key, kind, other, at_doc, n = rare_entries(before, word, row, left, right)
+                    key, kind, other, at_doc, n, own = rare_entries(before, word, row, left, right, every)
                     bucket = rare_bucket(key, buckets)
                     for k in np.unique(bucket).tolist():
                         s = slice(*np.searchsorted(bucket, [k, k + 1]))
                         some, runs = np.unique(key[s], return_counts=True)
                         hashed = kind[s] == BEFORE_RARE
-                        packs.append(((1 << bits) + k, 0, packed_hashes(some), at_doc[s].tobytes(), packed(n[s]), packed(runs), kind[s].tobytes(),
+                        packs.append(((1 << bits) + k, 0, packed_hashes(some), at_doc[s].tobytes(), packed(n[s]), packed(own[s]),
+                                      packed(lengths[np.unique(at_doc[s])]), packed(runs), kind[s].tobytes(),
                                       other[s][~hashed].astype(np.uint16).tobytes(), other[s][hashed].tobytes()))
                     columns = list(zip(*packs))
                     only_first = np.concatenate([[0, b - a], np.full(len(packs) - 1, b - a)]).astype(np.int32)
@@ -254,8 +268,8 @@ def document_packs(bits: int, salts: int, buckets: int, handle):
                     yield pa.RecordBatch.from_arrays(
                         [*[pa.array(c, pa.int32()) for c in columns[:2]], pa.array(np.full(len(packs), number)), *[pa.array(c, pa.binary()) for c in columns[2:]],
                          pa.array([np.packbits(mine).tobytes()] * len(packs), pa.binary()), pa.ListArray.from_arrays(pa.array(only_first), ids),
-                         pa.array([np.bincount(row, minlength=b - a).astype("<i4").tobytes(), *blank], pa.binary()), pa.array([base.tobytes(), *blank], pa.binary())],
-                        names=["bucket", "salt", "pack", "codes", "docs", "counts", "runs", "kinds", "numbers", "hashes", "mine", "ids", "sizes", "base"])
+                         pa.array([sizes.astype("<i4").tobytes(), *blank], pa.binary()), pa.array([base.tobytes(), *blank], pa.binary())],
+                        names=["bucket", "salt", "pack", "codes", "docs", "counts", "own", "lengths", "runs", "kinds", "numbers", "hashes", "mine", "ids", "sizes", "base"])
     return run
 
 
@@ -269,8 +283,7 @@ class Unigrams:
         counts = np.array([table[h] for h in sorted(table)], float).T
         self.context = counts[2:]
         self.scale = mass[0] / mass[1] if mass[1] else 0.0          # background counts per target count
-        self.mass, self.size = np.array([mass[0], mass[1] * self.scale], float), max(CLASSES, size)
-        self.word = self.prior(counts[:2])
+        self.mass, self.size, self.word = mass, max(CLASSES, size), counts[:2]
 
     def numbers(self, *hashes: np.ndarray) -> list[np.ndarray]:
         """Numbers of words, -1 for rare ones."""
@@ -280,9 +293,10 @@ class Unigrams:
             out.append(np.where(self.hashes[at] == h, at, -1))
         return out
 
-    def prior(self, counts: np.ndarray) -> np.ndarray:
-        scaled = np.stack([counts[0], self.scale * counts[1]])
-        return (scaled + FLOOR) / (self.mass + FLOOR * self.size)[:, None]
+    def prior(self, counts: np.ndarray, own, length, mine) -> np.ndarray:
+        """Unigram models without a document that has the word ``own`` times among ``length`` words."""
+        target = (counts[0] - own * mine + FLOOR) / (self.mass[0] - length * mine + FLOOR * self.size)
+        return np.stack([target, (self.scale * (counts[1] - own) + FLOOR) / (self.scale * (self.mass[1] - length) + FLOOR * self.size)])
 
     def word_losses(self, t, b, prior, count, mine) -> np.ndarray:
         """A bigram's share of the losses that comes of its numerators, in the target and in the background model."""
@@ -301,7 +315,7 @@ class Unigrams:
         return np.stack([np.bincount(doc, weights=x, minlength=len(mine)) for x in self.contexts(*self.context[:, context], own, mine[doc])])
 
 
-def rare_losses(model: Unigrams, key, kind, other, group, count, mine) -> np.ndarray:
+def rare_losses(model: Unigrams, key, kind, other, group, count, own, length, mine) -> np.ndarray:
     """Per entry of a bucket of rare words its share of both losses.  ``group`` is the number of pack and document."""
     word = np.unique(key, return_inverse=True)[1]
     total = lambda where, x: np.bincount(word[where], weights=x[where], minlength=word.max() + 1)
@@ -316,8 +330,9 @@ def rare_losses(model: Unigrams, key, kind, other, group, count, mine) -> np.nda
     bigram = np.empty(len(order), np.int64)
     bigram[order] = np.cumsum(new) - 1
     t, b = (np.bincount(bigram, weights=x)[bigram] for x in (own_t, count))
-    prior = model.prior(counts)[:, word]
-    prior[:, after] = model.word[:, other[after].astype(np.int64)]
+    second = counts[:, word]
+    second[:, after] = model.word[:, other[after].astype(np.int64)]
+    prior = model.prior(second, np.where(end, 0, own), length, mine)
     out = np.where(end, 0.0, model.word_losses(t, b, prior, np.where(end, 0, count), mine))
     # contexts: once for each word and document
     order = np.lexsort((group, word))
@@ -337,8 +352,8 @@ def score_packs(bits: int, handle):
 
     def rare(model: Unigrams, held: list) -> list:
         columns = [np.concatenate(x) for x in list(zip(*held))[1:]]
-        key, kind, other, doc, count, mine, pack = columns
-        sums = rare_losses(model, key, kind, other, (pack << 16) | doc, count, mine)
+        key, kind, other, doc, count, own, length, mine, pack = columns
+        sums = rare_losses(model, key, kind, other, (pack << 16) | doc, count, own, length, mine)
         out, at = [], 0
         for h in held:
             s = slice(at, at := at + len(h[1]))
@@ -373,23 +388,24 @@ def score_packs(bits: int, handle):
                     continue
                 doc, count = np.frombuffer(row["docs"].as_py(), np.uint16), unpacked(row["counts"].as_py()).astype(float)
                 mine = np.unpackbits(np.frombuffer(row["mine"].as_py(), np.uint8))[doc].astype(bool)
+                some, slot = np.unique(doc, return_inverse=True)
+                own, length = unpacked(row["own"].as_py()).astype(float), unpacked(row["lengths"].as_py()).astype(float)[slot]
                 if bucket >= 1 << bits:
                     kind = np.frombuffer(row["kinds"].as_py(), np.uint8)
                     other = np.zeros(len(kind), np.uint64)
                     other[kind != BEFORE_RARE] = np.frombuffer(row["numbers"].as_py(), np.uint16)
                     other[kind == BEFORE_RARE] = np.frombuffer(row["hashes"].as_py(), np.uint64)
                     key = np.repeat(unpacked_hashes(row["codes"].as_py()), unpacked(row["runs"].as_py()).astype(np.int64))
-                    held.append((row["pack"].as_py(), key, kind, other, doc.astype(np.int64), count, mine, np.full(len(kind), len(held))))
+                    held.append((row["pack"].as_py(), key, kind, other, doc.astype(np.int64), count, own, length, mine, np.full(len(kind), len(held))))
                     continue
                 code = unpacked_codes(row["codes"].as_py())
                 if len(code):
                     at = np.searchsorted(codes, code)
                     word = restored(code) & np.uint32(65_535)
-                    losses = model.word_losses(t[at], b[at], model.word[:, word], count, mine)
-                    some, slot = np.unique(doc, return_inverse=True)
+                    losses = model.word_losses(t[at], b[at], model.prior(model.word[:, word], own, length, mine), count, mine)
                     sums = np.stack([np.bincount(slot, weights=x) for x in losses])
                 else:
-                    some, sums = doc, np.zeros((2, 0))
+                    sums = np.zeros((2, 0))
                 out.append((row["pack"].as_py(), some.tobytes(), sums.astype("<f4").tobytes(), row["sizes"].as_py(), row["base"].as_py()))
                 kept.append(k)
             if out:
@@ -423,13 +439,15 @@ def gather_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", most_numbered: int = CLASSES - 1) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", most_numbered: int = CLASSES - 1,
+                             leave_words: bool = False) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ce_target``, ``ce_background``, ``ce_difference`` (nats a token).
 
     ``target`` has the ids of the target documents in column ``id``; ids without a document and null ids mark nothing.
     Null texts and texts without words have no tokens and entropies of 0.  Without any target document the target model
     is uniform.  Rows that repeat an id are documents of their own, in the target together.
     ``most_numbered`` bounds the words that have numbers; the result does not depend on it.
+    With ``leave_words`` a document's words and their number are taken out of the unigram models too, else of bigrams and contexts only.
     """
     marked = target.where(q(id).isNotNull()).select(q(id).alias("id")).distinct().withColumn("target", F.lit(True))
     rows = join_checked(docs.select(q(id).alias("id"), text_of(text).alias("text")), marked, ["id"], "left", 200_000)
@@ -453,8 +471,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
               .repartition(parts, "bucket").sortWithinPartitions("bucket")
               .mapInArrow(merge_counts, "bucket int, codes binary, t binary, b binary"))
     id_type = docs.schema[id].dataType.simpleString()
-    shape = f"bucket int, salt int, pack long, codes binary, docs binary, counts binary, runs binary, kinds binary, numbers binary, hashes binary, mine binary, ids array<{id_type}>, sizes binary, base binary"
-    packs = rows.mapInArrow(document_packs(bits, salts, buckets, handle), shape).withColumn("table", F.lit(1))
+    shape = f"bucket int, salt int, pack long, codes binary, docs binary, counts binary, own binary, lengths binary, runs binary, kinds binary, numbers binary, hashes binary, mine binary, ids array<{id_type}>, sizes binary, base binary"
+    packs = rows.mapInArrow(document_packs(bits, salts, buckets, handle, leave_words), shape).withColumn("table", F.lit(1))
     copies = tables.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).cast("long").alias("pack"), "codes",
                            F.col("t").alias("docs"), F.col("b").alias("counts"), F.lit(0).alias("table"))
     met = (packs.unionByName(copies, allowMissingColumns=True).repartition(parts * salts, "bucket", "salt")

@@ -48,7 +48,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of high quality and not toxic."""
     target = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
-    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), target, leave_words=True)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

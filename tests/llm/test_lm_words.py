@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from sparkcohort.llm import lm_scoring
+from sparkcohort.llm import lm_scoring, queries
 from tests.llm.helpers import documents, rows_by
 
 
@@ -17,7 +17,7 @@ def corpus():
     return [*texts, None, "", " \n", "the", "once", "once", "own own own own x own", texts[0]], set(range(0, 208, 3))
 
 
-def by_definition(texts, target):
+def by_definition(texts, target, leave_words=False):
     docs = [(t or "").split() for t in texts]
     pairs = [list(zip(["", *d], d)) for d in docs]
     bigram, context, word = ([Counter(), Counter()] for _ in range(3))
@@ -31,10 +31,13 @@ def by_definition(texts, target):
     size = max(lm_scoring.CLASSES, len(word[1]))
     for k, doc in enumerate(pairs):
         loss, own, own_context = [0.0, 0.0], Counter(doc), Counter(a for a, _ in doc)
+        own_word = Counter(b for _, b in doc)
         for (a, b), n in own.items():
             for m in (0, 1):
                 mine = m == 1 or k in target
-                prior = (scale[m] * word[m][b] + lm_scoring.FLOOR) / (mass[0] + lm_scoring.FLOOR * size)
+                out = mine and leave_words
+                prior = ((scale[m] * (word[m][b] - out * own_word[b]) + lm_scoring.FLOOR)
+                         / (scale[m] * (mass[m] - out * len(doc)) + lm_scoring.FLOOR * size))
                 loss[m] -= n * math.log((scale[m] * (bigram[m][a, b] - mine * n) + lm_scoring.STRENGTH * prior)
                                         / (scale[m] * (context[m][a] - mine * own_context[a]) + lm_scoring.STRENGTH))
         yield len(doc), [x / max(len(doc), 1) for x in loss]
@@ -59,3 +62,22 @@ def test_vocabulary_grows_with_the_documents(spark, monkeypatch):
     got = rows_by(lm_scoring.cross_entropy_difference(documents(spark, texts), frame, most_numbered=63), "doc_id")
     for k, (n, want) in enumerate(by_definition(texts, target)):
         assert [got[k][0]["ce_target"], got[k][0]["ce_background"]] == pytest.approx(want, abs=2e-5)
+
+
+@pytest.mark.parametrize("numbered", [0, 40, 65_535])
+def test_own_words_leave_the_unigram_models(spark, numbered):
+    texts, target = corpus()
+    frame = spark.createDataFrame([(k,) for k in target], "doc_id long")
+    got = rows_by(lm_scoring.cross_entropy_difference(documents(spark, texts), frame, most_numbered=numbered, leave_words=True), "doc_id")
+    for k, (n, want) in enumerate(by_definition(texts, target, leave_words=True)):
+        assert [got[k][0]["ce_target"], got[k][0]["ce_background"]] == pytest.approx(want, abs=2e-5)
+
+
+def test_query_leaves_own_words_out(spark, tmp_path):
+    texts, target = corpus()
+    documents(spark, texts, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, int(k in target), 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = rows_by(queries.op9_lm_scoring(spark, str(tmp_path)), "doc_id")
+    for k, (n, want) in enumerate(by_definition(texts, target & set(range(len(texts))), leave_words=True)):
+        assert [got[k][0]["ce_target"], got[k][0]["ce_background"]] == pytest.approx(want, abs=2e-5)
