@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from sparkcohort.functions.derive import SIGNIFICANCE_CUTS, significance_code
 from sparkcohort.functions.exact import EXACT_BELOW, rank_sum_exact_p, signed_rank_exact_p
 from sparkcohort.functions.nulls import present, sql_text
+from sparkcohort.functions.shift import tied_p
 from sparkcohort.functions.tails import normal_two_sided
 from sparkcohort.operators.levels import known_levels, level_pairs
 from sparkcohort.operators.reshape import single_value
 from sparkcohort.operators.ranks import CELL, Cells, clean_values, value_counts
+from sparkcohort.session import broadcast_if_small, join_groups, settle
 
 
 def _pick_pairs(levels: Sequence[str], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[int, int]]:
@@ -37,8 +39,23 @@ def _normal_test(tests: DataFrame, centred: str, variance: str, correct: bool) -
             .withColumn("p", normal_two_sided("z")))
 
 
+def _with_tied_p(tests: DataFrame, by: Sequence[str], small: Column, ties: DataFrame, size: Column, target: Column) -> DataFrame:
+    """``tests`` with exact p-values where ``small`` holds.
+
+    ``ties``: one row per (stratum, ord1, ord2, value) with the number of observations ``t``.  Only rows of small tests are
+    gathered, so an array has at most as many entries as a small test has observations.
+    """
+    key = [*by, "ord1", "ord2"]
+    wanted = settle(tests.where(small).select(*key, size.alias("size"), target.cast("long").alias("target"), F.monotonically_increasing_id().alias("tid")))
+    of_test = join_groups(ties, broadcast_if_small(wanted.select(*key, "tid")), key)
+    sorted_ties = of_test.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("value", "t"))).alias("_v"))
+    found = tied_p(wanted.join(sorted_ties, "tid").select("tid", F.col("_v.t").alias("ties"), "size", "target"))
+    exact_p = wanted.join(found, "tid").select(*key, F.col("p").alias("_exact"))
+    return join_groups(tests, exact_p, key, "left").withColumn("p", F.coalesce("_exact", "p")).drop("_exact")
+
+
 def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: Sequence[str] | None = None,
-             pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | None = None,
+             pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | str | None = None,
              exact_below: int = EXACT_BELOW) -> DataFrame:
     """Two-sided rank-sum test for every pair of levels within every stratum.
 
@@ -46,6 +63,8 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     summed up from value counts: per cell from the position inside the cell, then across cells from the cell totals, so no
     frame of ranks is ever built or joined.  ``exact=None`` uses the exact distribution below ``exact_below`` observations per
     group (50, the usual convention of this test) without ties; ``exact=False`` never does (and needs no Python worker).
+    ``exact="tied"`` is exact below ``exact_below`` with ties and without, on the permutations of the mid-ranks; titres are
+    dilutions, so most of their samples are tied.  ``exact_below`` may be any number: see ``functions.shift`` for the memory.
     """
     levels = known_levels(df, level, levels)
     chosen = _pick_pairs(levels, pairs)
@@ -79,7 +98,12 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     mean, total = "(CAST(n1 AS DOUBLE) * n2)", "(CAST(n1 AS DOUBLE) + n2)"
     variance = f"({mean} / 12D * ({total} + 1D - _ties / ({total} * ({total} - 1D))))"
     out = _normal_test(tests, f"(statistic - {mean} / 2D)", variance, correct)
-    if exact is not False:
+    if exact == "tied":
+        each = ", ".join(f"named_struct('ord1', {i + 1}, 'ord2', {j + 1}, 't', _n{i} + _n{j})" for i, j in chosen)
+        ties = counts.select(*by, F.col(value).alias("value"), F.expr(f"inline(array({each}))")).where("t > 0")
+        out = _with_tied_p(out, by, (F.col("n1") < exact_below) & (F.col("n2") < exact_below), ties, F.col("n1"),
+                           F.round(2 * F.col("statistic")) + F.col("n1") * (F.col("n1") + 1))
+    elif exact is not False:
         small = (F.col("n1") < exact_below) & (F.col("n2") < exact_below) if exact is None else F.lit(True)
         out = out.withColumn("_x", small & (F.col("_ties") == 0)).withColumn(
             "p", F.coalesce(rank_sum_exact_p("statistic", "n1", "n2", "_x"), F.col("p"))).drop("_x")
@@ -95,11 +119,12 @@ def paired_wide(df: DataFrame, by: Sequence[str], id_: str, level: str, value: s
 
 def signed_rank(df: DataFrame, by: Sequence[str], id_: str, level: str, value: str,
                 levels: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | None = None,
-                correct: bool = True, exact: bool | None = None, exact_below: int = EXACT_BELOW) -> DataFrame:
+                correct: bool = True, exact: bool | str | None = None, exact_below: int = EXACT_BELOW) -> DataFrame:
     """Two-sided signed-rank test of level i against level j on participants measured at both, by stratum.
 
     ``(stratum, id_, level)`` has to be unique.  Zero differences are dropped from the statistic and the exact
-    distribution (fewer than 50 non-zero pairs, no ties, no zeros) follows the rules of ``rank_sum``.
+    distribution (fewer than 50 non-zero pairs, no ties, no zeros) follows the rules of ``rank_sum``.  With ``exact="tied"``
+    ties and zeros are allowed: all signs of the non-zero differences' mid-ranks; a test without a non-zero one has p = 1.
     """
     levels = known_levels(df, level, levels)
     wide = paired_wide(df, by, id_, level, value, levels)
@@ -107,7 +132,7 @@ def signed_rank(df: DataFrame, by: Sequence[str], id_: str, level: str, value: s
 
 
 def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, str],
-                     pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | None = None,
+                     pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | str | None = None,
                      exact_below: int = EXACT_BELOW) -> DataFrame:
     """``signed_rank`` on one row per participant; ``columns`` maps level -> column name in level order."""
     levels = list(columns)
@@ -143,7 +168,12 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
     n = "CAST(_n AS DOUBLE)"
     variance = f"({n} * ({n} + 1D) * (2D * {n} + 1D) / 24D - _ties / 48D)"
     out = _normal_test(tests, f"(statistic - {n} * ({n} + 1D) / 4D)", variance, correct)
-    if exact is not False:
+    if exact == "tied":
+        ties = counts.where(~zero).select(*by, F.expr(f"get(array({names}), _pair)").alias("_g"), F.col("_abs").alias("value"), F.col("_all").alias("t"))
+        ties = ties.select(*by, "_g.ord1", "_g.ord2", "value", "t")
+        out = out.withColumn("p", F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.col("p")))
+        out = _with_tied_p(out, by, (F.col("_n") > 0) & (F.col("_n") < exact_below), ties, F.lit(None).cast("long"), F.round(2 * F.col("statistic")))
+    elif exact is not False:
         small = F.col("_n") < exact_below if exact is None else F.lit(True)
         usable = small & (F.col("_ties") == 0) & (F.col("_n") == F.col("n1")) & (F.col("_n") > 0)
         out = out.withColumn("_x", usable).withColumn(

@@ -416,6 +416,20 @@ def exact_signedrank(spark, d):
     return rounded(tests.select("s_nationkey", "n1", "statistic", "p"))
 
 
+def tied_ranksum(spark, d):
+    """Exact p-values of tied samples: discounts of filled against open lines, within every order."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", "l_discount")
+    return rounded(ranktests.rank_sum(rows, ["l_orderkey"], "l_linestatus", "l_discount", ["F", "O"], exact="tied").select(
+        "l_orderkey", "n1", "n2", "statistic", "p"), 12)
+
+
+def tied_signedrank(spark, d):
+    """Exact p-values with ties and zeros: discount against tax of the lines of every order, in whole percent."""
+    wide = table(spark, d, "lineitem").select("l_orderkey", F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"))
+    tests = ranktests.signed_rank_wide(wide, ["l_orderkey"], {"discount": "discount", "tax": "tax"}, exact="tied")
+    return rounded(tests.select("l_orderkey", "n1", "statistic", "p"), 12)
+
+
 def spearman_by_group(spark, d):
     return rounded(corr.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
@@ -572,7 +586,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     median_by_group_time, quartiles_iqr, group_counts_labels, assay_quartiles, geomean_by_group, log_mean_control,
     moments_by_group, oneway_freq, crosstab_colpct, crosstab_wide, missing_pareto, numeric_profile,
     numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, characteristics_table, characteristics_missing, nan_summaries,
-    narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, fisher_three_rows, age_regression,
+    narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, tied_ranksum, tied_signedrank, fisher_three_rows, age_regression,
     bootstrap_geomean_compressed, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
     signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,
     chisq_status_priority, chisq_two_by_two, fisher_by_language,

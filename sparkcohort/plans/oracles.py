@@ -717,6 +717,25 @@ def oracle_queries() -> dict[str, str]:
         "v AS (SELECT *, n * (n + 1) / 4.0 AS middle, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) AS v "
         "FROM (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM g)) "
         f"SELECT s_nationkey, n AS n1, {r('w')} AS statistic, {r(two_sided)} AS p FROM v GROUP BY s_nationkey, n, w, middle")
+    # the same with mid-ranks (doubled): every permutation of tied samples, every sign of tied differences
+    picked = "list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN a[i] ELSE 0 END))"
+    doubled = "2 * rank() OVER (PARTITION BY l_orderkey ORDER BY x) - 1 + count(*) OVER (PARTITION BY l_orderkey, x) AS a"
+    both = "least(1.0, 2.0 * least(sum((v >= w)::INT), sum((v <= w)::INT)) / count(*))"
+    q["tied_ranksum"] = (
+        f"WITH ranked AS (SELECT *, {doubled} FROM (SELECT l_orderkey, l_linestatus = 'F' AS f, l_discount AS x FROM lineitem)), "
+        "g AS (SELECT l_orderkey, list(a ORDER BY a) AS a, count(*) AS n, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(a) FILTER (f) AS w "
+        "FROM ranked GROUP BY 1 HAVING count(*) FILTER (f) > 0 AND count(*) FILTER (NOT f) > 0), "
+        "m AS (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM g), "
+        f"v AS (SELECT *, {picked} AS v FROM m WHERE bit_count(mask) = n1) "
+        f"SELECT l_orderkey, n1, n2, {r('(w - n1 * (n1 + 1)) / 2.0', 12)} AS statistic, {r(both, 12)} AS p FROM v GROUP BY l_orderkey, n1, n2, w")
+    q["tied_signedrank"] = (
+        "WITH d AS (SELECT l_orderkey, round(l_discount * 100) - round(l_tax * 100) AS d FROM lineitem), "
+        f"ranked AS (SELECT *, {doubled} FROM (SELECT l_orderkey, d, abs(d) AS x FROM d WHERE d <> 0)), "
+        "g AS (SELECT l_orderkey, list(a ORDER BY a) AS a, count(*) AS n, coalesce(sum(a) FILTER (d > 0), 0) AS w FROM ranked GROUP BY 1), "
+        f"v AS (SELECT *, {picked} AS v FROM (SELECT *, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM g)), "
+        f"p AS (SELECT l_orderkey, w / 2.0 AS s, {both} AS p FROM v GROUP BY l_orderkey, w) "
+        f"SELECT d.l_orderkey, count(*) AS n1, {r('coalesce(any_value(s), 0)', 12)} AS statistic, {r('coalesce(any_value(p), 1)', 12)} AS p "
+        "FROM d LEFT JOIN p USING (l_orderkey) GROUP BY d.l_orderkey")
     q["fisher_three_rows"] = fisher_three_rows_sql()
     q["age_regression"] = with_cohort(
         f"SELECT {OLS_COLUMNS} FROM fit",

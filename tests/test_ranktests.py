@@ -139,3 +139,47 @@ def test_too_many_levels_are_refused(spark):
     with pytest.raises(ValueError):
         rt.rank_sum(spark.range(200).select(F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("v")),
                     [], "g", "v")
+
+
+def two_sided(sums, observed):
+    return min(1.0, 2 * min(sum(s <= observed for s in sums), sum(s >= observed for s in sums)) / len(sums))
+
+
+def test_tied_rank_sum_is_the_permutation_test(spark):
+    rng = random.Random(1)
+    rows = [(s, l, float(rng.choice([0, 50, 50, 100, 400]))) for s in ("a", "b", None) for l in "xyz" for _ in range(rng.randint(1, 5))]
+    rows += [("same", l, 7.0) for l in "xxyyz"] + [("a", "x", None), ("a", "y", float("nan"))]
+    df = spark.createDataFrame(rows, "s string, l string, v double")
+    got = rt.rank_sum(df, ["s"], "l", "v", exact="tied").collect()
+    assert len(got) == 12
+    for r in got:
+        x, y = ([v for s, l, v in rows if s == r["s"] and l == r[g] and v is not None and v == v] for g in ("group1", "group2"))
+        ranks = [mid(x + y)[v] for v in x + y]
+        sums = [sum(c) for c in itertools.combinations(ranks, len(x))]
+        assert r["p"] == pytest.approx(two_sided(sums, sum(ranks[:len(x)])), rel=1e-12)
+
+
+def test_tied_signed_rank_tries_all_signs(spark):
+    rng = random.Random(2)
+    rows = [(s, i, l, float(rng.choice([0, 1, 1, 2, 4]))) for s in ("a", None) for i in range(8) for l in "xyz"]
+    rows += [("zero", i, l, 3.0) for i in range(3) for l in "xyz"]
+    df = spark.createDataFrame(rows, "s string, i long, l string, v double")
+    for r in rt.signed_rank(df, ["s"], "i", "l", "v", exact="tied").collect():
+        value = {(i, l): v for s, i, l, v in rows if s == r["s"]}
+        d = [value[i, r["group1"]] - value[i, r["group2"]] for i in sorted({i for i, _ in value})]
+        d = [x for x in d if x]
+        ranks = [mid([abs(x) for x in d])[abs(x)] for x in d]
+        sums = [sum(k for k, sign in zip(ranks, signs) if sign) for signs in itertools.product((0, 1), repeat=len(d))]
+        assert r["p"] == pytest.approx(two_sided(sums, sum(k for k, x in zip(ranks, d) if x > 0)), rel=1e-12)
+
+
+def test_tied_exact_without_ties_and_at_size(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([("xy"[k % 2], rng.random()) for k in range(61)], "l string, v double")
+    assert rt.rank_sum(df, [], "l", "v", exact="tied").first()["p"] == pytest.approx(rt.rank_sum(df, [], "l", "v").first()["p"], rel=1e-10)
+    large = spark.createDataFrame([("xy"[k % 2], float(k % 7 + (k % 20 == 1))) for k in range(300)], "l string, v double")
+    near = rt.rank_sum(large, [], "l", "v", exact=False).first()["p"]
+    assert rt.rank_sum(large, [], "l", "v", exact="tied", exact_below=1_000).first()["p"] == pytest.approx(near, rel=0.05)
+    assert rt.rank_sum(large, [], "l", "v", exact="tied").first()["p"] == near     # above the bound, as documented
+    shifted = rt.pairwise_rank_sum(large, [], "l", "v", exact="tied", exact_below=1_000).first()
+    assert shifted["p_adj"] == shifted["p"]
