@@ -4,14 +4,15 @@ A window ordered by value over raw rows would sort one stratum in one task.  The
 
 1. *value counts*: ``groupBy(stratum, value).count()``; the map-side combine collapses repeated values, so a value that
    holds a third of the table is one row afterwards.
-2. *cells*: every value falls into a cell, a non-decreasing number of the value.  The range of each stratum, whatever it is,
-   is cut into ``CELLS`` cells that are even on a logarithmic scale, and a cell that still holds more than ``CROWDED`` rows is
-   cut once more over its own range.  Sums per cell give the number of observations below each cell (one short window per
-   stratum, whose rows are cells).
+2. *cells*: every value falls into a cell, a non-decreasing number of the value made of the digits of the double itself: its
+   sign and power of two with the first ``CELLS`` parts of the power (first digit), then 16 bits of the mantissa at a time.  A
+   cell has one digit, and one more where it is crowded.  Sums per cell give the number of observations below each cell (one
+   short window per stratum, whose rows are cells).
 3. a window *inside* a cell adds the position within the cell.
 
-Only step 3 sorts, over the distinct values of one cell, so a stratum is spread over as many tasks as it has cells.
-Cells follow from minima and maxima: no sampling, hence the same answer when a lost task is run again.
+Only step 3 sorts, over the distinct values of one cell, so a stratum is spread over as many tasks as it has cells.  Digits need
+no range of the values, and a pass that counts cells shows which are crowded: one scan for a digit, usually one in all.
+Nothing is sampled, hence the same answer when a lost task is run again.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from sparkcohort.functions.nulls import present, sql_name
 from sparkcohort.session import broadcast_if_small, join_groups
 
-CELLS = 16_384
-CROWDED = 100_000
-SMALLEST_SCALE = float(2 ** 20)
+CELLS = 1_024            # parts of a power of two
+CROWDED = 100_000        # rows of a cell that gets one more digit
+DIGIT = 65_536
+DIGITS = 3               # the last leaves cells of at most a thousand different doubles
 
 CELL = "_cell"
 COUNT = "_count"
@@ -34,43 +36,55 @@ BEFORE = "_before"
 TOTAL = "_total"
 
 
-def order_scale(value: Column) -> Column:
-    """A non-decreasing scale of any number: linear below about 1e-6, logarithmic above, the same for both signs."""
-    size = F.log1p(F.least(F.abs(value.cast("double")), F.lit(1e300)) * SMALLEST_SCALE)
-    return F.when(value < 0, -size).otherwise(size)
+def _digits(df: DataFrame, value: str, cells: int) -> DataFrame:
+    """``df`` with the first digit of each value in the cell column, and the sign and fraction that further digits come from."""
+    size = F.least(F.abs(F.col(value).cast("double")), F.lit(1.7976931348623157e308))
+    part = F.greatest(F.lit(0.0), F.least(F.expr("_size / pow(2D, _power) - 1D"), F.lit(1 - 2.0 ** -53))) * cells
+    return (df.withColumn("_size", size).withColumn("_power", F.floor(F.log2(F.when(F.col("_size") > 0, F.col("_size")))))
+            .withColumn("_part", part).withColumn("_sign", F.when(F.col(value) < 0, -1.0).when(F.col("_size") > 0, 1.0).otherwise(0.0))
+            .withColumn(CELL, F.coalesce(F.col("_sign") * ((F.col("_power") + 1075) * cells + F.floor("_part") + 1).cast("double"), F.lit(0.0)))
+            .withColumn("_part", F.coalesce(F.col("_part") - F.floor("_part"), F.lit(0.0))).drop("_size", "_power"))
+
+
+def _next_digit(depth: int) -> Column:
+    """The cell with digit number ``depth`` (from 1), each a 65,536th of the one before."""
+    fraction = f"(_part * {float(DIGIT ** (depth - 1))}D - floor(_part * {float(DIGIT ** (depth - 1))}D))"
+    return F.expr(f"{CELL} + _sign * floor({fraction} * {float(DIGIT)}D) / {float(DIGIT ** depth)}D")
+
+
+def _counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT), F.min("_part").alias("_low"), F.max("_part").alias("_high"))
+
+
+def _crowded(crowded: int) -> str:
+    """More rows than one task should sort, and more than one value (a value in most rows is one row by then)."""
+    return f"{COUNT} > {crowded} AND _low < _high"
 
 
 class Cells:
-    """The cells of one measurement by stratum, found by two aggregations over ``source`` that combine before they shuffle.
+    """The cells of one measurement by stratum; crowded ones are found by counting cells of ``source``, one digit a scan.
 
-    First the range of every stratum is cut into ``cells`` cells; a cell that holds more than ``crowded`` rows is cut once more
-    over its own range.  Both sets of limits are small frames: their size is checked before they are broadcast.
+    The crowded cells are a small frame: its size is checked before it is broadcast.
     """
 
     def __init__(self, source: DataFrame, by: Sequence[str], value: str, cells: int = CELLS, crowded: int = CROWDED):
-        self.by, self.cells = list(by), cells
-        rows = source.select(*by, order_scale(F.col(value)).alias("_g")).where("_g IS NOT NULL AND NOT isnan(_g)")
-        self.limits = broadcast_if_small(rows.groupBy(*by).agg(F.min("_g").alias("_low"), F.max("_g").alias("_high")))
-        full = (self._first(rows).groupBy(*by, CELL).agg(F.count(F.lit(1)).alias("_many"), F.min("_g").alias("_low"),
-                                                         F.max("_g").alias("_high")).where(F.col("_many") > crowded).drop("_many"))
-        full = broadcast_if_small(full)
-        self.full = full if full.take(1) else None
-
-    def _share(self) -> Column:
-        part = F.floor((F.col("_g") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (self.cells - 1))
-        return F.when(F.col("_high") > F.col("_low"), F.least(F.greatest(part, F.lit(0)), F.lit(self.cells - 1))).otherwise(F.lit(0))
-
-    def _first(self, rows: DataFrame) -> DataFrame:
-        return join_groups(rows, self.limits, self.by, "left").withColumn(CELL, self._share().cast("double")).drop("_low", "_high")
+        self.by, self.cells, self.full = list(by), cells, []
+        rows = _digits(source.select(*by, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)"), "_x", cells)
+        while len(self.full) < DIGITS - 1:
+            full = _counted(self._placed(rows), [*by, CELL]).where(_crowded(crowded)).select(*by, CELL, F.lit(True).alias("_deeper"))
+            if not full.take(1):
+                break
+            self.full.append(broadcast_if_small(full))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        for depth, full in enumerate(self.full, start=1):
+            rows = join_groups(rows, full, [*self.by, CELL], "left").withColumn(
+                CELL, F.when(F.col("_deeper"), _next_digit(depth)).otherwise(F.col(CELL))).drop("_deeper")
+        return rows
 
     def add(self, df: DataFrame, value: str) -> DataFrame:
         """``df`` with the cell of each value as a double."""
-        rows = self._first(df.withColumn("_g", order_scale(F.col(value))))
-        if self.full is None:
-            return rows.drop("_g")
-        inner = F.when(F.col("_low").isNotNull(), self._share() / float(self.cells)).otherwise(0.0)
-        return (join_groups(rows, self.full, [*self.by, CELL], "left").withColumn(CELL, F.col(CELL) + inner)
-                .drop("_g", "_low", "_high"))
+        return self._placed(_digits(df, value, self.cells)).drop("_part", "_sign")
 
 
 def clean_values(df: DataFrame, value: str) -> DataFrame:
@@ -177,19 +191,29 @@ def _holds(index: str) -> str:
     return f"({BEFORE} <= {index} AND {index} < {BEFORE} + {COUNT})"
 
 
-def _ranked_targets(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Ranked distinct values of the cells in which the positions of ``probs`` fall."""
-    rows = clean_values(df, value).select(*by, value)
-    data = Cells(rows, by, value).add(rows, value)
-    per_group = Window.partitionBy(*by)
-    cells = data.groupBy(*by, CELL).agg(F.count(F.lit(1)).alias(COUNT)).select(
-        *by, CELL, COUNT, F.sum(COUNT).over(per_group).alias(TOTAL),
-        F.coalesce(F.sum(COUNT).over(per_group.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias(BEFORE))
+def _ranked_targets(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], cells: int = CELLS,
+                    crowded: int = CROWDED) -> DataFrame:
+    """Ranked distinct values of the cells in which the positions of ``probs`` fall.
+
+    The first scan counts cells of one digit; the wanted ones get another digit, in one more scan that looks at their rows only,
+    as long as one of them is crowded; the last scan counts the values of the wanted cells.
+    """
+    rows = _digits(clean_values(df, value).select(*by, value), value, cells)
     wanted = " OR ".join(_holds(index) for p in probs for index in _neighbours(float(p)))
-    targets = broadcast_if_small(cells.where(wanted).select(*by, CELL, F.col(BEFORE).alias("_offset"), TOTAL))
-    values = (join_groups(data, targets, [*by, CELL]).groupBy(*by, CELL, "_offset", TOTAL, value)
-              .agg(F.count(F.lit(1)).alias(COUNT)))
+    per_group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum(COUNT).over(per_group.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = _counted(rows, [*by, CELL]).withColumns({BEFORE: before, TOTAL: F.sum(COUNT).over(per_group)})
+    for depth in range(1, DIGITS + 1):
+        targets = broadcast_if_small(counted.where(wanted).select(
+            *by, CELL, F.col(BEFORE).alias("_offset"), F.col(TOTAL), F.expr(_crowded(crowded)).alias("_full")))
+        rows = join_groups(rows, targets, [*by, CELL])
+        if depth == DIGITS or not targets.where("_full").take(1):
+            break
+        rows = rows.withColumn(CELL, _next_digit(depth)).drop("_full")
+        inner = Window.partitionBy(*by, "_offset").orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+        counted = _counted(rows, [*by, "_offset", TOTAL, CELL]).withColumn(BEFORE, F.col("_offset") + F.coalesce(F.sum(COUNT).over(inner), F.lit(0)))
+        rows = rows.drop("_offset", TOTAL)
+    values = rows.groupBy(*by, CELL, "_offset", TOTAL, value).agg(F.count(F.lit(1)).alias(COUNT))
     in_cell = Window.partitionBy(*by, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return values.withColumn(BEFORE, F.col("_offset") + F.coalesce(F.sum(COUNT).over(in_cell), F.lit(0)))
 

@@ -81,7 +81,10 @@ def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str =
         return left.select("*", row.alias("_one")).select(*left.columns, *[F.col(f"_one.{c}").alias(c) for c in extra])
     renamed = right.select(*[F.col(c).alias(f"_key_{c}") for c in by], *extra)
     condition = None
+    nullable = [{f.name: f.nullable for f in side.schema.fields} for side in (left, right)]
     for c in by:
-        one = F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+        # plain equality where one side is never null: fewer and simpler join keys
+        both = all(side.get(c, True) for side in nullable)
+        one = F.col(c).eqNullSafe(F.col(f"_key_{c}")) if both else F.col(c) == F.col(f"_key_{c}")
         condition = one if condition is None else condition & one
     return left.join(renamed, condition, how).drop(*[f"_key_{c}" for c in by])
