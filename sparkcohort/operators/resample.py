@@ -8,8 +8,12 @@ to get them; a method never changes with the size of a group:
   at once and sums up what it holds, so measurements with few distinct values, such as dilutions, cost that many draws.
 * *poisson*: every row carries a Poisson(1) weight per replicate from the generator of ``functions.draws``, which any SQL
   engine can repeat.  Rows are spread evenly first and expanded to one per replicate.
-* *exact*: draw n row positions with replacement per replicate.  Meant for small groups: the numbered rows are a table that is
-  joined with the draws.
+* *split*: exactly n draws per replicate from a group of any size.  Distinct rows fall into blocks by their hash, the blocks are
+  the leaves of a binary tree, and the draws of a replicate go down the tree: what a node got is split binomially between its
+  two halves, in proportion to their rows.  A node's splits follow from its number and the seed alone, so every block works
+  out its own share without hearing from the others, and blocks draw in parallel.
+* *exact*: draw n row positions with replacement per replicate, with a generator that SQL can repeat.  Meant for small groups:
+  the numbered rows are a table that is joined with the draws.
 
 A seed fixes the result for any partitioning.
 """
@@ -28,10 +32,13 @@ from pyspark.sql import functions as F
 from sparkcohort.functions.draws import draw_input, key_input, key_second_input, poisson_weight, round_text
 from sparkcohort.functions.nulls import sql_name
 from sparkcohort.operators.describe import drop_missing
-from sparkcohort.session import broadcast_if_small, join_groups, spread
+from sparkcohort.session import broadcast_if_small, join_groups, settle, spread
 
 REPLICATE = "replicate"
 WEIGHT = "weight"
+BLOCK_ROWS = 4_096       # of a leaf of the splitting tree, on average
+HEAVY_ROW = 32           # a distinct row of so many equal rows gets one binomial draw of its own in its block
+PICKS_AT_ONCE = 1 << 20
 
 # Executors need no copy of the package: the draws travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,6 +113,89 @@ def _compressed_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str],
             .agg(*[F.sum(f"_s.{c}").alias(c) for c in (WEIGHT, *fields)]))
 
 
+def _paths(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(group, block, path): the rows of every node from the root of the group's tree down to the block."""
+    leaves = counts.groupBy(*by, "_block", "_depth").agg(F.sum("_n").alias("_rows"))
+    steps = leaves.withColumn("_level", F.explode(F.expr("sequence(0, _depth)"))).withColumn("_node", F.expr("shiftright(_block, _depth - _level)"))
+    nodes = steps.groupBy(*by, "_level", "_node").agg(F.sum("_rows").alias("_all"), F.collect_list("_block").alias("_blocks"))
+    # the blocks below a node are as many as its share of the tree: they travel with it instead of a join back
+    return nodes.withColumn("_block", F.explode("_blocks")).groupBy(*by, "_block").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_level", "_all"))), lambda x: x["_all"]).alias("_path"))
+
+
+def _stream(first: int, second: int) -> np.random.Generator:
+    """A generator of its own for every pair of 64-bit numbers (an array of that type: a list of large ones would be rounded)."""
+    return np.random.Generator(np.random.Philox(key=np.array([first % 2**64, second % 2**64], np.uint64)))
+
+
+def block_draws(path: Sequence[int], block: int, stream: int, replicates: int) -> np.ndarray:
+    """Number of draws of each replicate that reach a block, by binomial splits from the root on."""
+    draws, depth = np.full(replicates, path[0], np.int64), len(path) - 1
+    for level in range(1, depth + 1):
+        before, own = path[level - 1], path[level]
+        if own == before:
+            continue
+        parent, right = block >> (depth - level + 1), (block >> (depth - level)) & 1
+        rng = _stream(stream, (1 << level) + parent)
+        left = rng.binomial(draws, (before - own if right else own) / before)
+        draws = draws - left if right else left
+    return draws
+
+
+def block_sums(x: np.ndarray, count: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sums of the columns of ``x`` over each replicate's draws; row i stands for count[i] equal rows."""
+    sums, rest, left = np.zeros((x.shape[1], len(draws))), int(count.sum()), draws.copy()
+    heavy = count >= HEAVY_ROW
+    for i in np.flatnonzero(heavy):
+        got = rng.binomial(left, min(1.0, count[i] / rest))
+        sums += x[i][:, None] * got
+        left, rest = left - got, rest - int(count[i])
+    light = [np.repeat(column, count[~heavy]) for column in x[~heavy].T]
+    size = int(count[~heavy].sum())
+    ends = np.cumsum(left)
+    first = 0
+    while first < len(draws) and size:
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + PICKS_AT_ONCE, "right")))
+        pick = rng.integers(0, size, int(ends[last - 1] - begin), np.uint32)
+        some = first + np.flatnonzero(left[first:last])
+        if len(some):
+            starts = ends[some] - left[some] - begin
+            for row, column in zip(sums, light):
+                row[some] += np.add.reduceat(column[pick], starts)
+        first = last
+    return sums
+
+
+def _split_sums(rows: DataFrame, by: Sequence[str], fields: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    counts = settle(rows.groupBy(*by, *fields).agg(F.count(F.lit(1)).alias("_n")))
+    work = counts.groupBy(*by).agg(F.sum(F.least("_n", F.lit(HEAVY_ROW))).alias("_work"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_work") / BLOCK_ROWS))).cast("int")
+    leaf = F.expr("CASE WHEN _depth = 0 THEN 0L ELSE shiftrightunsigned(_hash, 64 - _depth) END")
+    dealt = (join_groups(counts, broadcast_if_small(work.select(*by, depth.alias("_depth"))), by)
+             .withColumn("_hash", F.xxhash64(F.lit(0), *fields)).withColumn("_block", leaf).drop("_hash"))
+    placed = (join_groups(dealt, broadcast_if_small(_paths(dealt, by)), [*by, "_block"]).drop("_depth")
+              .withColumn("_stream", F.xxhash64(F.lit(seed), *by)))
+    names = [WEIGHT, *fields]
+
+    def draw(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(f, "ascending") for f in fields])
+        one = lambda c: table.column(c)[0].as_py()
+        stream, block = one("_stream"), one("_block")
+        draws = block_draws(one("_path"), block, stream, replicates)
+        x = np.column_stack([table.column(f).to_numpy() for f in fields])
+        sums = block_sums(x, table.column("_n").to_numpy(), draws, _stream(stream, (1 << 63) + block))
+        return pa.Table.from_arrays([*table.select(list(by)).slice(0, 1).columns, *[pa.array([list(v)], pa.list_(pa.float64())) for v in (draws.astype(float), *sums)]],
+                                    names=[*by, *names])
+
+    keys = [f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    schema = ", ".join([*keys, *[f"`{c}` array<double>" for c in names]])
+    sums = spread(placed, *by, "_block").groupBy(*by, "_block").applyInArrow(draw, schema)
+    each = sums.select(*by, F.posexplode(F.arrays_zip(*names)).alias("_at", "_s"))
+    return (each.groupBy(*by, (F.col("_at") + 1).cast("long").alias(REPLICATE))
+            .agg(*[F.sum(f"_s.{c}").alias(c) for c in names]))
+
+
 def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -122,6 +212,8 @@ def replicate_sums(df: DataFrame, by: Sequence[str], fields: Mapping[str, str],
     names = list(fields)
     if method == "compressed":
         return _compressed_sums(rows, by, names, replicates, seed)
+    if method == "split":
+        return _split_sums(rows, by, names, replicates, seed)
     if method == "exact":
         return _exact_sums(rows, by, names, replicates, seed)
     if method == "poisson":

@@ -30,7 +30,7 @@ SEGMENTS = ("BUILDING", "AUTOMOBILE", "FURNITURE")
 MOMENTS = list(study.MOMENTS.values())
 FLAGS = ("A", "N", "R")
 REPLICATES = 10_000      # of means; Deming lines use 100 on a grid of 80 points
-DRAWN_ROWS = 1_000       # replicates of the queries that draw for every single row, as their SQL does
+DRAWN_ROWS = 10_000      # replicates of the queries that draw for every single row, as their SQL does
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -516,6 +516,17 @@ def bootstrap_geomean_compressed(spark, d):
     return rounded(study.geometric_mean_table(rows, ["vaccine"], replicates=REPLICATES), 5)
 
 
+def bootstrap_mean_split(spark, d):
+    """Exactly n draws per replicate from groups of mostly distinct values, split binomially; such draws have no SQL form."""
+    return rounded(resample.bootstrap_mean(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", REPLICATES, method="split"), 5)
+
+
+def bootstrap_geomean_split(spark, d):
+    """The intervals of ``bootstrap_geomean_compressed`` with exactly n draws per replicate."""
+    rows = study.naive(known_vaccine(available_long(spark, d)))
+    return rounded(study.geometric_mean_table(rows, ["vaccine"], replicates=REPLICATES, method="split"), 5)
+
+
 def ols_log_price(spark, d):
     return rounded(regress.ols(_log_lines(spark, d), [], "l_quantity", "log_price"), 4)
 
@@ -575,7 +586,7 @@ def scatter_band(spark, d):
 
 def error_bars(spark, d):
     rows = table(spark, d, "orders")
-    return rounded(chartframes.error_bars(rows, ["o_orderstatus"], "o_totalprice", replicates=500, key="o_orderkey",
+    return rounded(chartframes.error_bars(rows, ["o_orderstatus"], "o_totalprice", replicates=10_000, key="o_orderkey",
                                           method="poisson"), 2)
 
 
@@ -587,7 +598,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     moments_by_group, oneway_freq, crosstab_colpct, crosstab_wide, missing_pareto, numeric_profile,
     numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, characteristics_table, characteristics_missing, nan_summaries,
     narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, tied_ranksum, tied_signedrank, fisher_three_rows, age_regression,
-    bootstrap_geomean_compressed, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
+    bootstrap_geomean_compressed, bootstrap_geomean_split, bootstrap_mean_split, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
     signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,
     chisq_status_priority, chisq_two_by_two, fisher_by_language,
     deming_by_group, deming_fixed_ratio, deming_replicates, deming_band, bootstrap_geomean_exact,

@@ -642,8 +642,8 @@ def oracle_queries() -> dict[str, str]:
         *deming_reps("la", "moment", "lx", "ly", "id", 100), *deming_band_ctes("moment", 80))
     q["bootstrap_geomean_exact"] = exact_geomean_sql(10_000, 5)
     q["bootstrap_geomean_poisson"] = poisson_geomean(
-        "(SELECT event_type, event_id, CASE WHEN value = 0 THEN 1.0 ELSE value END AS value FROM events)", "event_type", "value", "event_id", 1_000, 5)
-    q["error_bars"] = poisson_geomean("orders", "o_orderstatus", "o_totalprice", "o_orderkey", 500, 2)
+        "(SELECT event_type, event_id, CASE WHEN value = 0 THEN 1.0 ELSE value END AS value FROM events)", "event_type", "value", "event_id", 10_000, 5)
+    q["error_bars"] = poisson_geomean("orders", "o_orderstatus", "o_totalprice", "o_orderkey", 10_000, 2)
     q["ols_log_price"] = with_(f"SELECT {OLS_COLUMNS} FROM fit", LOG_LINES, *ols_ctes("ll", None, "l_quantity", "log_price"))
     q["ols_by_group"] = with_(f"SELECT l_returnflag, {OLS_COLUMNS} FROM fit", LOG_LINES,
                               *ols_ctes("ll", "l_returnflag", "l_quantity", "log_price"))

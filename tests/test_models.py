@@ -1,5 +1,7 @@
 """Correlation, regression, resampling and chart frames against numpy."""
 
+import collections
+import itertools
 import math
 import random
 
@@ -238,3 +240,34 @@ def test_trajectories_need_every_level(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "id long, t string, v double")
     assert sorted(tuple(r) for r in chartframes.trajectories(df, [], "id", "t", "v", ["a", "b"]).collect()) == [
         (1, 1, "a", 1.0), (1, 2, "b", 2.0)]
+
+
+@pytest.mark.parametrize("block, heavy", [(resample.BLOCK_ROWS, resample.HEAVY_ROW), (1, 2), (1, 10**9)])
+def test_split_bootstrap_is_the_bootstrap_of_n_draws(spark, monkeypatch, block, heavy):
+    monkeypatch.setattr(resample, "BLOCK_ROWS", block)
+    monkeypatch.setattr(resample, "HEAVY_ROW", heavy)
+    data = {"p": [1.0, 2.0, 4.0, 4.0], None: [7.0], "q": [float(k % 11) for k in range(400)]}
+    df = spark.createDataFrame([(g, v) for g, values in data.items() for v in values] + [("p", None)], "g string, v double")
+    sums = resample.replicate_sums(df, ["g"], {"x": "v", "xx": "v * v"}, 8_000, method="split").collect()
+    for g, values in data.items():
+        got = [r for r in sums if r["g"] == g]
+        assert len(got) == 8_000 and {r[resample.WEIGHT] for r in got} == {len(values)}
+        mean, var = np.mean([r["x"] for r in got]), np.var([r["x"] for r in got])
+        assert mean == pytest.approx(sum(values), abs=5 * math.sqrt(len(values) * np.var(values) / 8_000) + 1e-9)
+        assert var == pytest.approx(len(values) * np.var(values), rel=0.08)
+        assert np.mean([r["xx"] for r in got]) == pytest.approx(sum(v * v for v in values), rel=0.03)
+    # the whole distribution of a small group: every way to draw 4 of its 4 rows
+    every = collections.Counter(sum(c) for c in itertools.product(data["p"], repeat=4))
+    seen = collections.Counter(r["x"] for r in sums if r["g"] == "p")
+    assert set(seen) <= set(every)
+    for x, ways in every.items():
+        share = ways / 256
+        assert seen[x] / 8_000 == pytest.approx(share, abs=5 * math.sqrt(share / 8_000))
+
+
+def test_split_bootstrap_does_not_depend_on_partitions(points, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 8)
+    _, df = points
+    run = lambda frame, seed: sorted(map(str, resample.replicate_sums(frame, ["g"], {"y": "round(y, 3)"}, 50, seed, method="split")
+                                         .selectExpr("g", "replicate", "round(y, 6) AS y").collect()))
+    assert run(df, 4) == run(df.repartition(5), 4) != run(df, 5)
