@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.nulls import sql_name
+from sparkcohort.functions.nulls import sql_name, sql_text
 from sparkcohort.functions.tails import chi2_upper, normal_quantile, student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
 from sparkcohort.operators.ranks import TOTAL, mid_rank, prefix_counts, value_counts
@@ -117,6 +117,78 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
                         "sxx", "sse"))
 
 
+DEPENDENT = 1e-12        # share of a predictor's variance that the ones before it must leave
+
+
+def _gram(df: DataFrame, by: Sequence[str], predictors: Sequence[str], y: str) -> DataFrame:
+    """One row per group: n, means, centred sums of squares and products of ``y`` (as number p) and the predictors."""
+    names = [*predictors, y]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_mean{i}") for i, c in enumerate(names)]]
+    aggs += [F.regr_sxy(names[j], names[i]).alias(f"_s{i}_{j}") for j in range(len(names)) for i in range(j + 1)]
+    return drop_missing(df, *names).groupBy(*by).agg(*aggs)
+
+
+def _several_fit(df: DataFrame, by: Sequence[str], predictors: Sequence[str], y: str) -> DataFrame:
+    """Coefficients ``_b``, the inverse Cholesky factor ``_v`` of the predictors' correlations, scales ``_d``, sigma, sse per group.
+
+    Every sum comes from one aggregation, in which rows combine before they move; the solution is written out as
+    expressions over one row per group.  Groups with too few rows, or with a predictor that the others determine, have none.
+    """
+    p = len(predictors)
+    fit = _gram(df, by, predictors, y).where(f"n > {p + 1}")
+    fit = fit.withColumns({f"_d{i}": F.expr(f"CASE WHEN _s{i}_{i} > 0 THEN sqrt(_s{i}_{i}) END") for i in range(p)})
+    entry = lambda i, j: f"(_s{min(i, j)}_{max(i, j)} / _d{i} / _d{j})"
+    sums = lambda terms: " + ".join(terms) or "0D"
+    for j in range(p):
+        # column j of the Cholesky factor, then row j of its inverse
+        rest = f"(1D - ({sums([f'_l{j}_{k} * _l{j}_{k}' for k in range(j)])}))"
+        fit = fit.withColumn(f"_l{j}_{j}", F.expr(f"CASE WHEN {rest} > {DEPENDENT!r}D THEN sqrt({rest}) END"))
+        fit = fit.withColumns({f"_l{i}_{j}": F.expr(f"({entry(i, j)} - ({sums([f'_l{i}_{k} * _l{j}_{k}' for k in range(j)])})) / _l{j}_{j}") for i in range(j + 1, p)})
+        fit = fit.withColumns({f"_v{j}_{k}": F.expr(f"-({sums([f'_l{j}_{m} * _v{m}_{k}' for m in range(k, j)])}) / _l{j}_{j}") for k in range(j)} | {
+            f"_v{j}_{j}": F.expr(f"1D / _l{j}_{j}")})
+    fit = fit.withColumns({f"_z{k}": F.expr(sums([f"_v{k}_{i} * _s{i}_{p} / _d{i}" for i in range(k + 1)])) for k in range(p)})
+    fit = fit.where(f"_z{p - 1} IS NOT NULL")
+    fit = fit.withColumns({f"_b{i}": F.expr(f"({sums([f'_v{k}_{i} * _z{k}' for k in range(i, p)])}) / _d{i}") for i in range(p)} | {
+        f"_c{i}": F.expr(f"sqrt({sums([f'_v{k}_{i} * _v{k}_{i}' for k in range(i, p)])}) / _d{i}") for i in range(p)} | {
+        "sse": F.expr(f"greatest(0D, _s{p}_{p} - ({sums([f'_z{k} * _z{k}' for k in range(p)])}))")})
+    centre = sums([f"pow({sums([f'_v{k}_{i} * _mean{i} / _d{i}' for i in range(k + 1)])}, 2)" for k in range(p)])
+    return fit.withColumns({
+        "sigma": F.expr(f"sqrt(sse / (n - {p + 1}))"), "_a": F.expr(f"_mean{p} - ({sums([f'_b{i} * _mean{i}' for i in range(p)])})"),
+        "_ca": F.expr(f"sqrt(1D / n + {centre})"), "r2": F.expr(f"CASE WHEN _s{p}_{p} > 0 THEN 1D - sse / _s{p}_{p} END")})
+
+
+def ols_several(df: DataFrame, by: Sequence[str], predictors: Sequence[str], y: str) -> DataFrame:
+    """Coefficient table of ``y`` on several predictors: (group, position, term, estimate, se, t, p) with n, sigma, r2, adj_r2, f.
+
+    One row per term of each group, the intercept first.  Rows with a missing value are left out; groups of at most
+    p + 1 rows or with linearly dependent predictors have no rows here.
+    """
+    p, keys = len(predictors), [sql_name(b) for b in by]
+    terms = ["named_struct('position', 0, 'term', '(intercept)', 'estimate', _a, 'se', sigma * _ca)"] + [
+        f"named_struct('position', {i + 1}, 'term', {sql_text(c)}, 'estimate', _b{i}, 'se', sigma * _c{i})" for i, c in enumerate(predictors)]
+    table = _several_fit(df, by, predictors, y).selectExpr(
+        *keys, "n", "sigma", "r2", f"1D - (1D - r2) * (n - 1) / (n - {p + 1}) AS adj_r2",
+        f"CASE WHEN r2 < 1 THEN r2 / {p} / ((1D - r2) / (n - {p + 1})) END AS f", f"inline(array({', '.join(terms)}))")
+    return (table.withColumn("t", F.expr("CASE WHEN se > 0 THEN estimate / se END"))
+            .withColumn("p", student_t_two_sided("t", f"n - {p + 1}"))
+            .selectExpr(*keys, "position", "term", "estimate", "se", "t", "p", "n", "sigma", "r2", "adj_r2", "f"))
+
+
+def ols_several_diagnostics(df: DataFrame, by: Sequence[str], predictors: Sequence[str], y: str) -> DataFrame:
+    """The input rows with ``fitted, residual, leverage, std_residual, cooks_distance`` of their group's fit."""
+    p = len(predictors)
+    names = [sql_name(c) for c in predictors]
+    wanted = [f"_{c}{i}" for i in range(p) for c in ("b", "d", "mean")] + [f"_v{k}_{i}" for k in range(p) for i in range(k + 1)]
+    fit = _several_fit(df, by, predictors, y).selectExpr(*[sql_name(b) for b in by], "n AS _n", "sigma AS _sigma", "_a", *wanted)
+    rows = join_groups(drop_missing(df, *predictors, y), broadcast_if_small(fit), by)
+    far = " + ".join(f"pow({' + '.join(f'_v{k}_{i} * ({names[i]} - _mean{i}) / _d{i}' for i in range(k + 1))}, 2)" for k in range(p))
+    return (rows.selectExpr("*", f"_a + {' + '.join(f'_b{i} * {c}' for i, c in enumerate(names))} AS fitted", f"1D / _n + {far} AS leverage")
+            .selectExpr("*", f"{sql_name(y)} - fitted AS residual")
+            .selectExpr("*", "CASE WHEN _sigma > 0 AND leverage < 1 THEN residual / (_sigma * sqrt(1D - leverage)) END AS std_residual")
+            .selectExpr(*[f"`{c}`" for c in df.columns], "fitted", "residual", "leverage", "std_residual",
+                        f"std_residual * std_residual * leverage / ({p + 1}D * (1D - leverage)) AS cooks_distance"))
+
+
 _FIT_COLUMNS = ("n", "intercept", "slope", "sigma", "x_mean", "y_mean", "sxx", "sse")
 
 

@@ -539,6 +539,19 @@ def age_regression(spark, d):
     return rounded(study.age_regression(known_vaccine(both_assays(spark, d))), 4)
 
 
+def ols_several_predictors(spark, d):
+    """Price per line on quantity, discount and tax, by return flag: the whole coefficient table of a model of three predictors."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", F.ln("l_extendedprice").alias("log_price"))
+    return rounded(regress.ols_several(rows, ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "log_price"), 4)
+
+
+def ols_several_diagnostics(spark, d):
+    rows = table(spark, d, "orders").withColumns({"px": F.col("o_custkey").cast("double"), "late": F.dayofyear("o_orderdate").cast("double"),
+                                                  "py": F.ln("o_totalprice")}).select("o_orderkey", "o_orderstatus", "px", "late", "py")
+    out = regress.ols_several_diagnostics(rows, ["o_orderstatus"], ["px", "late"], "py")
+    return rounded(out.select("o_orderkey", "o_orderstatus", "fitted", "residual", "leverage", "std_residual", "cooks_distance"), 4)
+
+
 def ols_diagnostics(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("double").alias("x"),
                                             F.ln("o_totalprice").alias("y"))
@@ -602,5 +615,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,
     chisq_status_priority, chisq_two_by_two, fisher_by_language,
     deming_by_group, deming_fixed_ratio, deming_replicates, deming_band, bootstrap_geomean_exact,
-    bootstrap_geomean_poisson, ols_log_price, ols_by_group, ols_diagnostics, ols_global_test, normal_quantiles,
+    bootstrap_geomean_poisson, ols_log_price, ols_by_group, ols_several_predictors, ols_several_diagnostics, ols_diagnostics, ols_global_test, normal_quantiles,
     pseudolog_quartiles, density_by_group, density_width_scaled, trajectories, scatter_band, error_bars)}

@@ -286,6 +286,33 @@ def deming_band_ctes(by: str, points: int) -> list[str]:
             f"FROM grid LEFT JOIN reps ON reps.{by} = grid.{by} GROUP BY grid.{by}, point)"]
 
 
+def normal_equations(source: str, by: str, xs: Sequence[str], y: str) -> list[str]:
+    """``solved``: per group the inverse of X'X for two or three centred predictors by cofactors, and what follows from it."""
+    names, p = [*xs, y], len(xs)
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(names))
+    products = ", ".join(f"sum(({names[i]} - m{i}) * ({names[j]} - m{j})) AS s{i}{j}" for i in range(p + 1) for j in range(i, p + 1))
+    kept = ", ".join(f"max(m{i}) AS m{i}" for i in range(p + 1))
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    if p == 2:
+        det = "(s00 * s11 - s01 * s01)"
+        inverse = {(0, 0): "s11", (0, 1): "-s01", (1, 1): "s00"}
+    else:
+        minor = lambda i, j: "({} * {} - {} * {})".format(*(s(a, b) for a, b in (
+            ((i + 1) % 3, (j + 1) % 3), ((i + 2) % 3, (j + 2) % 3), ((i + 1) % 3, (j + 2) % 3), ((i + 2) % 3, (j + 1) % 3))))
+        inverse = {(i, j): minor(i, j) for i in range(3) for j in range(i, 3)}
+        det = f"(s00 * {inverse[0, 0]} + s01 * {inverse[0, 1]} + s02 * {inverse[0, 2]})"
+    cells = ", ".join(f"{e} / {det} AS i{i}{j}" for (i, j), e in inverse.items())
+    inv = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    slopes = ", ".join(f"{' + '.join(f'{inv(i, j)} * s{j}{p}' for j in range(p))} AS b{i}" for i in range(p))
+    quadratic = " + ".join(f"m{i} * m{j} * {inv(i, j)}" for i in range(p) for j in range(p))
+    return [f"means AS (SELECT {by}, count(*) AS n, {means} FROM {source} GROUP BY 1)",
+            f"gram AS (SELECT {by}, max(n) AS n, {kept}, {products} FROM {source} JOIN means USING ({by}) GROUP BY 1)",
+            f"inverted AS (SELECT *, {cells} FROM gram)", f"slopes AS (SELECT *, {slopes} FROM inverted)",
+            f"errors AS (SELECT *, s{p}{p} - ({' + '.join(f'b{i} * s{i}{p}' for i in range(p))}) AS sse FROM slopes)",
+            f"solved AS (SELECT *, sqrt(sse / (n - {p + 1})) AS sigma, 1 - sse / s{p}{p} AS r2, m{p} - ({' + '.join(f'b{i} * m{i}' for i in range(p))}) AS a, "
+            f"sqrt(1.0 / n + {quadratic}) AS ca FROM errors)"]
+
+
 def ols_ctes(source: str, by: str | None, x: str, y: str) -> list[str]:
     key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     p = lambda t: student_p(t, "(n - 2)")
@@ -647,6 +674,21 @@ def oracle_queries() -> dict[str, str]:
     q["ols_log_price"] = with_(f"SELECT {OLS_COLUMNS} FROM fit", LOG_LINES, *ols_ctes("ll", None, "l_quantity", "log_price"))
     q["ols_by_group"] = with_(f"SELECT l_returnflag, {OLS_COLUMNS} FROM fit", LOG_LINES,
                               *ols_ctes("ll", "l_returnflag", "l_quantity", "log_price"))
+    xs = ("l_quantity", "l_discount", "l_tax")
+    terms = ["SELECT *, 0 AS position, '(intercept)' AS term, a AS estimate, sigma * ca AS se FROM solved",
+             *[f"SELECT *, {i + 1}, '{x}', b{i}, sigma * sqrt(i{i}{i}) FROM solved" for i, x in enumerate(xs)]]
+    several = "(1 - r2) / (n - 4)"
+    q["ols_several_predictors"] = with_(
+        f"SELECT l_returnflag, position, term, {', '.join(f'{r(e, 4)} AS {c}' for c, e in {'estimate': 'estimate', 'se': 'se', 't': 'estimate / se', 'p': student_p('estimate / se', '(n - 4)'), 'sigma': 'sigma', 'r2': 'r2', 'adj_r2': f'1 - {several} * (n - 1)', 'f': f'r2 / 3 / ({several})'}.items())}, n "
+        "FROM terms", "ln3 AS (SELECT l_returnflag, l_quantity, l_discount, l_tax, ln(l_extendedprice) AS y FROM lineitem)",
+        *normal_equations("ln3", "l_returnflag", xs, "y"), f"terms AS ({' UNION ALL '.join(terms)})")
+    q["ols_several_diagnostics"] = with_(
+        f"SELECT o_orderkey, o_orderstatus, {r('fitted', 4)} AS fitted, {r('py - fitted', 4)} AS residual, {r('h', 4)} AS leverage, {r('sr', 4)} AS std_residual, "
+        f"{r('sr * sr * h / (3 * (1 - h))', 4)} AS cooks_distance FROM (SELECT *, (py - fitted) / (sigma * sqrt(1 - h)) AS sr FROM (SELECT *, "
+        "a + b0 * px + b1 * late AS fitted, 1.0 / n + (px - m0) * (px - m0) * i00 + 2 * (px - m0) * (late - m1) * i01 + (late - m1) * (late - m1) * i11 AS h "
+        "FROM od2 JOIN solved USING (o_orderstatus)))",
+        "od2 AS (SELECT o_orderkey, o_orderstatus, CAST(o_custkey AS DOUBLE) AS px, CAST(dayofyear(o_orderdate) AS DOUBLE) AS late, ln(o_totalprice) AS py FROM orders)",
+        *normal_equations("od2", "o_orderstatus", ("px", "late"), "py"))
     q["ols_diagnostics"] = with_(
         f"SELECT o_orderkey, o_orderstatus, {r('px', 4)} AS x, {r('py', 4)} AS y, {r('fitted', 4)} AS fitted, {r('py - fitted', 4)} AS residual, "
         f"{r('h', 4)} AS leverage, {r('sr', 4)} AS std_residual, {r('sr * sr * h / (2 * (1 - h))', 4)} AS cooks_distance FROM "

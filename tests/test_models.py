@@ -271,3 +271,46 @@ def test_split_bootstrap_does_not_depend_on_partitions(points, monkeypatch):
     run = lambda frame, seed: sorted(map(str, resample.replicate_sums(frame, ["g"], {"y": "round(y, 3)"}, 50, seed, method="split")
                                          .selectExpr("g", "replicate", "round(y, 6) AS y").collect()))
     assert run(df, 4) == run(df.repartition(5), 4) != run(df, 5)
+
+
+def several_rows():
+    rng = random.Random(9)
+    rows = []
+    for g, n in (("p", 90), (None, 40), ("few", 4), ("bound", 30)):
+        for k in range(n):
+            a, b = rng.gauss(50, 3), rng.random()
+            c = 2 * a - b if g == "bound" else rng.choice([0.0, 1.0])
+            rows.append((g, k, a, b, c, 3 + 0.5 * a - 2 * b + c + rng.gauss(0, 0.4)))
+    return rows + [("p", 999, None, 1.0, 1.0, 1.0), ("p", 998, 1.0, float("nan"), 1.0, 1.0)]
+
+
+def test_several_predictors_against_least_squares(spark):
+    rows = several_rows()
+    df = spark.createDataFrame(rows, "g string, id long, a double, b double, c double, y double").repartition(3)
+    table = {(r["g"], r["term"]): r for r in regress.ols_several(df, ["g"], ["a", "b", "c"], "y").collect()}
+    assert {g for g, _ in table} == {"p", None} and len(table) == 8      # too few rows, and dependent predictors, have no fit
+    for g in ("p", None):
+        data = np.array([r[2:] for r in rows if r[0] == g and None not in r[1:] and not any(v != v for v in r[2:])])
+        design = np.column_stack([np.ones(len(data)), data[:, :3]])
+        beta, *_ = np.linalg.lstsq(design, data[:, 3], rcond=None)
+        residual = data[:, 3] - design @ beta
+        sigma = math.sqrt(residual @ residual / (len(data) - 4))
+        se = sigma * np.sqrt(np.diag(np.linalg.inv(design.T @ design)))
+        for k, term in enumerate(("(intercept)", "a", "b", "c")):
+            r = table[g, term]
+            assert (r["position"], r["n"]) == (k, len(data))
+            assert [r["estimate"], r["se"], r["t"], r["sigma"]] == pytest.approx([beta[k], se[k], beta[k] / se[k], sigma], rel=1e-6)
+
+
+def test_several_diagnostics_and_the_single_predictor(spark):
+    df = spark.createDataFrame(several_rows(), "g string, id long, a double, b double, c double, y double").where("g = 'p'")
+    got = sorted(regress.ols_several_diagnostics(df, ["g"], ["a", "b", "c"], "y").collect(), key=lambda r: r["id"])
+    x = np.array([[1, r["a"], r["b"], r["c"]] for r in got])
+    y = np.array([r["y"] for r in got])
+    hat = x @ np.linalg.inv(x.T @ x) @ x.T
+    std = (y - hat @ y) / np.sqrt((y - hat @ y) @ (y - hat @ y) / (len(y) - 4) * (1 - np.diag(hat)))
+    assert [r["leverage"] for r in got] == pytest.approx(list(np.diag(hat)), rel=1e-6)
+    assert [r["std_residual"] for r in got] == pytest.approx(list(std), rel=1e-6)
+    assert [r["cooks_distance"] for r in got] == pytest.approx(list(std ** 2 * np.diag(hat) / (4 * (1 - np.diag(hat)))), rel=1e-6)
+    one, plain = regress.ols_several(df, [], ["a"], "y").orderBy("position").collect(), regress.ols(df, [], "a", "y").first()
+    assert [one[0]["estimate"], one[1]["se"], one[1]["p"]] == pytest.approx([plain["intercept"], plain["slope_se"], plain["slope_p"]], rel=1e-6)
