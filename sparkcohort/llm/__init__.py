@@ -1,6 +1,7 @@
-"""Operators for preparing training text: ten operators on documents, pages and embeddings, each a Spark job.
+"""Operators for preparing training text, on documents, pages, embeddings and conversations, each a Spark job.
 
-The helper functions that run inside Arrow tasks travel with the job, so the package is needed on the driver only.
+The helper functions that run inside Arrow tasks travel with the job, and so do broadcast objects (``common.Shipped``), so the
+package is needed on the driver only.
 """
 
 import sys

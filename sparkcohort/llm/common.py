@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(F.broadcast(right) if few else right, list(keys), how)
 
 
+class Shipped:
+    """A broadcast of an object of this package.  Its bytes bring the classes along (a plain broadcast names them only), so
+    executors open it without the package, once a process."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.opened: object | None = None
+
+    @property
+    def value(self):
+        if self.opened is None:
+            self.opened = pickle.loads(self.packed.value)
+        return self.opened
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows whose texts hold about ``most_bytes``: (first row, row after the last, bytes, row offsets).
 

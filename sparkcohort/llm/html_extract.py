@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import q, text_of
+from sparkcohort.llm.common import Shipped, q, text_of
 
 # Elements of the markup language by their role, and words of class and id attributes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
@@ -230,7 +230,7 @@ def extract(pages: DataFrame, id: str = "page_id", page: str = "html", keep: tup
     ``text`` has the main blocks in page order, one a line, with character references decoded and white space inside a block
     turned into one space.  Null and empty pages and pages without main text give an empty text.
     """
-    handle = pages.sparkSession.sparkContext.broadcast(trained())
+    handle = Shipped(pages.sparkSession, trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = handle.value

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import byte_slices, join_checked, q, text_of, word_hashes, words_of
+from sparkcohort.llm.common import Shipped, byte_slices, join_checked, q, text_of, word_hashes, words_of
 from sparkcohort.session import settle
 
 CLASSES = 65_536           # numbers of words, 0 is the start of a document; also the least size of the vocabulary in the models
@@ -465,7 +465,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
     bits = int(np.clip(np.ceil(np.log2(max(total / BUCKET_TOKENS, 1))), 4, np.log2(MOST_BUCKETS)))
     salts = int(np.ceil(max(total * 6 / SLICE, 1) / PACKS))
     buckets = max(16, int(np.ceil(sum(r[3] for r in levels[fit:]) / RARE_TOKENS)))
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle = Shipped(docs.sparkSession, model)
     parts = max((1 << bits) + buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tables = (rows.mapInArrow(count_packs(bits, handle), "bucket int, codes binary, t binary, b binary")
               .repartition(parts, "bucket").sortWithinPartitions("bucket")

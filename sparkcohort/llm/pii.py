@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import byte_slices, q, text_of
+from sparkcohort.llm.common import Shipped, byte_slices, q, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base spans.
@@ -324,7 +324,7 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     A span is kind:start:end in code points, end exclusive.  ``spans`` has the base spans and those of the network that
     overlap none of them.  Null and empty texts have none.  Extra columns are ignored.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(trained())
+    handle = Shipped(docs.sparkSession, trained())
     shape = f"id {docs.schema[id].dataType.simpleString()}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
     got = docs.select(q(id).alias("id"), text_of(text).alias("text")).mapInArrow(finder(handle), shape)
     return got.select(F.col("id").alias(id), *got.columns[1:])

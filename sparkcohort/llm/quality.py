@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import byte_slices, q, text_of, word_hashes, words_of
+from sparkcohort.llm.common import Shipped, byte_slices, q, text_of, word_hashes, words_of
 
 SAMPLE = 3000       # labelled rows that the classifier is fitted on, taken in the order of a hash of their id
 FEATURES = 4096     # hashed byte trigrams
@@ -112,15 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows outside the held-out fold (crc32 of the id as text modulo 5 is 0).
 
-    Rows with null id or label are no examples; of contradicting labels of one id the mean, rounded half up, counts.
+    Rows with null id or label are no examples; of contradicting labels of one id the mean, rounded half up, counts; of several
+    texts of one id the one with the smallest hash is the example.
     Without any example every score is one half.
     """
-    chosen = (labels.where(q(id).isNotNull() & q(label).isNotNull() & (F.crc32(q(id).cast("string")) % 5 != 0))
-              .groupBy(q(id).alias("__id")).agg((F.avg(q(label).cast("double")) >= 0.5).cast("float").alias("label"))
-              .orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    # ``sample`` bounds the broadcast side
-    rows = (docs.select(q(id).alias("__id"), text_of(text).alias("text")).join(F.broadcast(chosen), "__id")
-            .select("text", "label", F.xxhash64("__id", "text").alias("__order")).drop("__order"))
+    labelled = (labels.where(q(id).isNotNull() & q(label).isNotNull() & (F.crc32(q(id).cast("string")) % 5 != 0))
+                .groupBy(q(id).alias("__id")).agg((F.avg(q(label).cast("double")) >= 0.5).cast("float").alias("label")))
+    # the bound holds for labelled documents at hand, so labels of others (in a shard, or behind an earlier stage) take no place
+    texts = docs.select(q(id).alias("__id"), text_of(text).alias("text"))
+    chosen = labelled.join(texts.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    # ``sample`` bounds the broadcast side, and one row for each chosen id bounds what comes to the driver
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.first("label").alias("label")).select("text", "label")
     got = rows.mapInArrow(counted, "label float, counts binary").toArrow()
     # every row has the same number of bytes: the column's values are the matrix, without a copy for each row
     parts = []
@@ -151,7 +154,7 @@ def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
     A text without trigrams (null, empty, one or two bytes) has no neighbours and gets the share of label 1.
     """
     id_type = docs.schema[id].dataType.simpleString()
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle = Shipped(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +167,11 @@ def scored(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows and columns whose score reaches the threshold; rows stay where they lie."""
-    handle, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    """The input's rows and columns whose score reaches the threshold; rows stay where they lie.
+
+    Every row is judged by its own text: repeated rows stay or go together, and null and empty texts get the share of label 1.
+    """
+    handle, at = Shipped(docs.sparkSession, model), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcohort.llm.common import byte_slices, q, text_of, word_hashes
+from sparkcohort.llm.common import Shipped, byte_slices, q, text_of, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581                    # stands for a space in pieces
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: st
 
     Columns that are not named in ``keep`` are left out.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    handle = Shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: st
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
     """The input with a column of texts; null ids give null."""
-    handle, where = encoded.sparkSession.sparkContext.broadcast(vocabulary), encoded.columns.index(ids)
+    handle, where = Shipped(encoded.sparkSession, vocabulary), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
