@@ -15,7 +15,7 @@ from sparkcohort.functions.derive import SIGNIFICANCE_CUTS, significance_code
 from sparkcohort.functions.exact import EXACT_BELOW, rank_sum_exact_p, signed_rank_exact_p
 from sparkcohort.functions.nulls import present, sql_text
 from sparkcohort.functions.shift import tied_p
-from sparkcohort.functions.tails import normal_two_sided
+from sparkcohort.functions.tails import chi2_upper, normal_two_sided
 from sparkcohort.operators.levels import known_levels, level_pairs
 from sparkcohort.operators.reshape import single_value
 from sparkcohort.operators.ranks import CELL, Cells, clean_values, value_counts
@@ -110,6 +110,35 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     return out.drop("_ties")
 
 
+def k_sample(df: DataFrame, by: Sequence[str], level: str, value: str) -> DataFrame:
+    """Rank test of all levels at once, by stratum: (stratum, n, groups, statistic, df, p), chi-square on ``groups`` - 1.
+
+    The rank sum of every level comes from the cells of ``rank_sum`` in the same two shuffles: positions inside a cell, then
+    cell totals; the levels need not be known.  Rows without a level or a value are left out.  A stratum of one level, or
+    with a single distinct value, has no statistic.
+    """
+    rows = clean_values(df.where(F.col(level).isNotNull()), value).select(*by, F.col(level).alias("_level"), F.col(value).alias("_x"))
+    counts = rows.groupBy(*by, "_level", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    inside, same = Window.partitionBy(*by, CELL).orderBy("_x"), Window.partitionBy(*by, CELL, "_x")
+    upto = Window.unboundedPreceding, Window.currentRow
+    # _t: observations of the value, over all levels; _r: their mid-rank within the cell
+    placed = (Cells(rows, by, "_x").add(counts, "_x").withColumn("_upto", F.sum("_n").over(inside.rangeBetween(*upto)))
+              .withColumn("_t", F.sum("_n").over(same)).withColumn("_r", F.col("_upto") - (F.col("_t") - 1) / 2.0))
+    cells = placed.groupBy(*by, CELL, "_level").agg(F.sum("_n").alias("_N"), F.sum(F.col("_n") * F.col("_r")).alias("_s"),
+                                                    F.expr("sum(_n * (CAST(_t AS DOUBLE) * _t - 1D)) AS _ties"))
+    below = Window.partitionBy(*by).orderBy(CELL)
+    offset = F.sum("_N").over(below.rangeBetween(*upto)) - F.sum("_N").over(Window.partitionBy(*by, CELL))
+    levels = (cells.withColumn("_o", offset.cast("double")).groupBy(*by, "_level").agg(
+        F.sum("_N").cast("double").alias("_n"), F.sum(F.col("_s") + F.col("_o") * F.col("_N")).alias("_sum"), F.sum("_ties").alias("_ties")))
+    total = levels.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("groups"), F.expr("sum(_sum * _sum / _n) AS _q"),
+                                    F.sum("_ties").alias("_ties"))
+    spread = "(1D - _ties / (_all * (_all * _all - 1D)))"
+    statistic = F.expr(f"CASE WHEN groups > 1 AND {spread} > 1e-14 THEN (12D / (_all * (_all + 1D)) * _q - 3D * (_all + 1D)) / {spread} END")
+    return (total.withColumn("statistic", statistic).withColumn("df", F.col("groups") - 1)
+            .withColumn("p", F.when(F.col("statistic").isNotNull(), chi2_upper("statistic", "df")))
+            .select(*by, F.col("_all").cast("long").alias("n"), "groups", "statistic", "df", "p"))
+
+
 def paired_wide(df: DataFrame, by: Sequence[str], id_: str, level: str, value: str,
                 levels: Sequence[str]) -> DataFrame:
     """One row per (stratum, participant) with the value at each level in columns ``_v0, _v1, ...``."""

@@ -11,6 +11,7 @@ from sparkcohort.functions.nulls import fixed_text, paste, present
 from sparkcohort.operators.contingency import SIMULATIONS, independence_test
 from sparkcohort.operators.describe import percent_text, stack_columns
 from sparkcohort.operators.ranks import quantiles
+from sparkcohort.operators.ranktests import k_sample
 from sparkcohort.session import join_groups, settle
 
 
@@ -70,17 +71,33 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str] = (), cont
 
 
 def baseline_tests(df: DataFrame, by: str, categorical: Sequence[str], method: str = "exact",
-                   simulations: int = SIMULATIONS, seed: int = 1, counts: DataFrame | None = None) -> DataFrame:
-    """(variable, test, statistic, p, min_expected) of each categorical variable against the groups."""
-    counts = counts if counts is not None else categorical_counts(df, by, categorical)
-    return independence_test(counts.where("level IS NOT NULL"), ["variable"], "level", by, method=method,
-                             simulations=simulations, seed=seed)
+                   simulations: int = SIMULATIONS, seed: int = 1, counts: DataFrame | None = None,
+                   continuous: Sequence[str] = ()) -> DataFrame:
+    """(variable, test, statistic, p, min_expected) of each variable against the groups.
+
+    Categorical variables get the usual choice of ``independence_test``, continuous ones the k-sample rank test.
+    """
+    parts = []
+    if categorical:
+        counts = counts if counts is not None else categorical_counts(df, by, categorical)
+        parts.append(independence_test(counts.where("level IS NOT NULL"), ["variable"], "level", by, method=method,
+                                       simulations=simulations, seed=seed))
+    if continuous:
+        ranked = k_sample(stack_columns(df, [by], continuous), ["variable"], by, "value")
+        parts.append(ranked.select("variable", F.when(F.col("statistic").isNotNull(), "k-sample rank").alias("test"), "statistic", "p",
+                                   F.lit(None).cast("double").alias("min_expected")))
+    if not parts:
+        raise ValueError("no variables given")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def baseline_table_with_tests(df: DataFrame, by: str, categorical: Sequence[str], continuous: Sequence[str] = (),
-                              method: str = "exact", **kw) -> DataFrame:
-    """``baseline_table`` with the test of its variable on every row; the counts are taken once for both."""
+                              method: str = "exact", test_continuous: bool = False, **kw) -> DataFrame:
+    """``baseline_table`` with the test of its variable on every row; the counts are taken once for both.
+
+    ``test_continuous`` adds the k-sample rank test to the rows of continuous variables.
+    """
     counts = settle(categorical_counts(df, by, categorical))
     table = baseline_table(df, by, categorical, continuous, counts=counts, **kw)
-    tests = baseline_tests(df, by, categorical, method, counts=counts).select("variable", "test", "p")
+    tests = baseline_tests(df, by, categorical, method, counts=counts, continuous=continuous if test_continuous else ()).select("variable", "test", "p")
     return join_groups(table, tests, ["variable"], "left")

@@ -7,6 +7,7 @@ incomplete); the first event of a type gives the second assay; the customer with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from sparkcohort.functions.nulls import if_else_null, paste
 from sparkcohort.operators import (chartframes, contingency, corr, describe, levels, ranks, ranktests, regress, resample,
                                    reshape, tableone)
 from sparkcohort.plans import study
-from sparkcohort.session import join_groups
+from sparkcohort.session import ensure_checkpoint_dir, join_groups
 from sparkcohort.sources import tables
 
 # Fixed values of the stand-in.
@@ -315,6 +316,39 @@ def table_one_tests(spark, d):
     return rounded(tableone.baseline_tests(rows, "lang", ["quality", "source"], method="simulated"))
 
 
+def table_one_rank_tests(spark, d):
+    """Continuous variables of all lines against their return flags: the k-sample rank test beside the categorical one."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return rounded(tableone.baseline_tests(rows, "l_returnflag", ["l_linestatus"], continuous=["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+def ksample_by_priority(spark, d):
+    """Order totals of the three statuses, within every priority."""
+    return rounded(ranktests.k_sample(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice"))
+
+
+def published_result(spark, d):
+    """A result published by partition, published again in part with other numbers, and read back."""
+    lines = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    path = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    tables.publish(lines, path, ["l_returnflag", "year"])
+    tables.publish(lines.where("l_returnflag = 'A'").withColumn("n", -F.col("n")), path, ["l_returnflag", "year"])
+    return tables.read_table(spark, path).select("l_returnflag", "l_linestatus", F.col("year").cast("int"), "n", "quantity")
+
+
+def conform_losses(spark, d):
+    """What typed reading loses, counted while it reads: casts that fail and keys that are missing."""
+    text = table(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("string")).otherwise("none").alias("o_orderkey"),
+        F.col("o_orderpriority").alias("o_rank"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice").cast("string")).alias("o_totalprice"))
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_rank", T.IntegerType()), T.StructField("o_totalprice", T.DoubleType())])
+    typed, seen = tables.conform_observed(text, schema, "o_orderkey")
+    totals = typed.agg(F.count(F.lit(1)).alias("kept"), F.count("o_totalprice").alias("prices")).first()
+    row = {**seen.get, **totals.asDict()}
+    return spark.createDataFrame([tuple(int(row[c]) for c in sorted(row))], ", ".join(f"{c} long" for c in sorted(row)))
+
+
 def characteristics_table(spark, d):
     """The study's characteristics table on the stand-in cohort."""
     c = study.available_cohort(cohort(spark, d), SEGMENTS)
@@ -609,7 +643,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     drop_by_position, drop_with_missing_key, large_row_index, selected_columns, typed_positions, counts_wide, paired_values,
     median_by_group_time, quartiles_iqr, group_counts_labels, assay_quartiles, geomean_by_group, log_mean_control,
     moments_by_group, oneway_freq, crosstab_colpct, crosstab_wide, missing_pareto, numeric_profile,
-    numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, characteristics_table, characteristics_missing, nan_summaries,
+    numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, table_one_rank_tests, ksample_by_priority, published_result, conform_losses, characteristics_table, characteristics_missing, nan_summaries,
     narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, tied_ranksum, tied_signedrank, fisher_three_rows, age_regression,
     bootstrap_geomean_compressed, bootstrap_geomean_split, bootstrap_mean_split, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
     signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,

@@ -52,6 +52,17 @@ def chi2_p(value: str, df: str) -> str:
     return f"greatest(0.0, 1.0 - {scale} * {simpson(density, f'sqrt({value})')})"
 
 
+def k_sample(source: str, by: str, level: str, value: str) -> list[str]:
+    """CTEs ending in ``ks``: the k-sample rank test from average ranks over all rows of a stratum."""
+    return [f"kr AS (SELECT {by} AS s, {level} AS l, rank() OVER w + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0 AS r, "
+            f"count(*) OVER (PARTITION BY {by}, {value}) AS t FROM {source} WHERE {level} IS NOT NULL AND {value} IS NOT NULL "
+            f"WINDOW w AS (PARTITION BY {by} ORDER BY {value}))",
+            "kl AS (SELECT s, l, count(*) AS n, sum(r) AS sr, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM kr GROUP BY 1, 2)",
+            "kt AS (SELECT s, CAST(sum(n) AS DOUBLE) AS n, count(*) AS groups, sum(sr * sr / n) AS q, sum(ties) AS ties FROM kl GROUP BY 1)",
+            "kh AS (SELECT *, groups - 1 AS df, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * (n * n - 1))) AS statistic FROM kt)",
+            f"ks AS (SELECT *, {chi2_p('statistic', 'df')} AS p FROM kh)"]
+
+
 def levels_case(column: str, levels: Sequence[str]) -> str:
     return "CASE " + " ".join(f"WHEN {column} = '{l}' THEN {i}" for i, l in enumerate(levels, 1)) + " END"
 
@@ -604,6 +615,22 @@ def oracle_queries() -> dict[str, str]:
         f"{r('min_expected')} AS min_expected FROM chi",
         "src AS (SELECT 'quality' AS variable, CAST(quality AS VARCHAR) AS level, lang FROM scored UNION ALL "
         "SELECT 'source', source, lang FROM scored)", *chi_square("src", ["variable"], "level", "lang", yates=False))
+    q["table_one_rank_tests"] = with_(
+        f"SELECT variable, CASE WHEN min_expected >= 5 THEN 'chi-square' END AS test, {r('statistic')} AS statistic, {r('p')} AS p, {r('min_expected')} AS min_expected FROM chi "
+        f"UNION ALL SELECT s, 'k-sample rank', {r('statistic')}, {r('p')}, NULL FROM ks",
+        "src AS (SELECT 'l_linestatus' AS variable, l_linestatus AS level, l_returnflag FROM lineitem)", *chi_square("src", ["variable"], "level", "l_returnflag", yates=False),
+        "stacked AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, l_returnflag, {c} AS value FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")",
+        *k_sample("stacked", "variable", "l_returnflag", "value"))
+    q["ksample_by_priority"] = with_(
+        f"SELECT s AS o_orderpriority, {big('n')} AS n, groups, {r('statistic')} AS statistic, df, {r('p')} AS p FROM ks",
+        *k_sample("orders", "o_orderpriority", "o_orderstatus", "o_totalprice"))
+    q["published_result"] = (
+        "SELECT l_returnflag, l_linestatus, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) * CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END AS n, "
+        f"{big('sum(CAST(l_quantity AS BIGINT))')} AS quantity FROM lineitem GROUP BY 1, 2, 3")
+    q["conform_losses"] = (
+        "SELECT count(*) AS rows, count(*) FILTER (o_orderstatus = 'P') AS dropped, count(*) FILTER (o_orderstatus = 'P') AS failed_o_orderkey, "
+        "count(*) AS failed_o_rank, 0 AS failed_o_totalprice, count(*) FILTER (o_orderstatus <> 'P') AS kept, "
+        "count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice > 1000) AS prices FROM orders")
     q["characteristics_table"] = characteristics_sql()
     # tests
     q["ranksum_by_stratum"] = with_(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,19 +56,47 @@ def conform(df: DataFrame, schema: T.StructType, timestamp_format: str | None =
 
     Values that do not parse become NULL, columns missing from the input become NULL columns.
     """
+    return df.select(*_casts(df, schema, timestamp_format))
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _casts(df: DataFrame, schema: T.StructType, timestamp_format: str | None) -> list[Column]:
     out = []
     for field in schema.fields:
         if field.name not in df.columns:
             out.append(F.lit(None).cast(field.dataType).alias(field.name))
             continue
-        source = F.col("`" + field.name.replace("`", "``") + "`")
+        source = quoted(field.name)
         if isinstance(field.dataType, (T.TimestampType, T.DateType)) and dict(df.dtypes)[field.name] == "string":
             parsed = (F.try_to_timestamp(source, F.lit(timestamp_format)) if timestamp_format
                       else F.try_to_timestamp(source))
             out.append(parsed.cast(field.dataType).alias(field.name))
         else:
             out.append(source.try_cast(field.dataType).alias(field.name))
-    return df.select(*out)
+    return out
+
+
+def conform_observed(df: DataFrame, schema: T.StructType, key: str | Sequence[str] = (), timestamp_format: str | None = None,
+                     name: str = "conform") -> tuple[DataFrame, Observation]:
+    """``conform``, rows with a NULL key dropped, and what was lost: counted in the pass that reads, not in one of its own.
+
+    After an action on the frame, ``observation.get`` holds ``rows`` (read), ``dropped`` (NULL key after the cast) and
+    ``failed_<column>`` (present values that became NULL) for every column of the schema that the input has.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    shared = [f.name for f in schema.fields if f.name in df.columns]
+    lost = df.select(*_casts(df, schema, timestamp_format), *[quoted(c).isNotNull().alias(f"_had{i}") for i, c in enumerate(shared)])
+    missing = F.lit(False)
+    for c in keys:
+        missing = missing | quoted(c).isNull()
+    seen = Observation(name)
+    counted = lost.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("dropped"), *[
+        F.count_if(F.col(f"_had{i}") & quoted(c).isNull()).alias(f"failed_{c}") for i, c in enumerate(shared)])
+    kept = drop_null_keys(counted, keys).select(*[quoted(f.name) for f in schema.fields])
+    return kept, seen
 
 
 def conform_positions(df: DataFrame, types: Mapping[int, T.DataType], **kw) -> DataFrame:
@@ -82,3 +110,14 @@ def write_result(df: DataFrame, path: str, format: str = "parquet", mode: str =
     if format == "csv":
         options.setdefault("header", True)
     df.write.format(format).mode(mode).options(**options).save(path)
+
+
+def publish(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Write into a partitioned Parquet result so that it can be run again: partitions of ``df`` replace their older versions,
+    all others stay.
+
+    Rows are gathered by their partition first, so that a task writes few files; a hot partition is split by adaptive execution.
+    A failed run leaves the older version: partitions are swapped when the job commits.
+    """
+    (df.hint("rebalance", *[quoted(c) for c in partition_by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
