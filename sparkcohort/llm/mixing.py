@@ -4,8 +4,11 @@ Targets come from one row per source.  A document is taken floor(r) times for su
 size, and once more with the fractional probability that is left.  Which documents get the extra copy is settled by the
 flight phase of the cube method: the probabilities of three documents at a time move along the one direction that changes
 neither the expected number of words nor that of documents, until one of them is 0 or 1.  Flights run in chunks of a source
-in parallel; the at most two undecided documents of every chunk meet in the next round, and the landing problem is the last
-two documents of a source.
+in parallel; the at most two undecided documents of every chunk meet in the next round.
+
+A long document hardly moves in a flight with shorter ones, so it tends to be left over.  The last round of a source therefore
+flies its longer documents only; what is left of them is drawn, and the words that a draw gives or takes move the probabilities
+of the shorter ones, which come next in the same way.  What remains to be landed is the shortest document of the source.
 """
 
 from __future__ import annotations
@@ -53,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move probabilities until at most two are fractional (none with ``land``), keeping their totals by words and by rows."""
-    p = p.tolist()
-    size = size.tolist()
+    if land:
+        return landed(p, size, rng)
+    p, size = p.tolist(), size.tolist()
     draws = iter(rng.random(3 * len(p) + 8).tolist())
     active: list[int] = []
 
@@ -74,18 +78,47 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -
             u = [b - c, c - a, a - b] if (a != b or b != c) else [1.0, -1.0, 0.0]
             move(active, u)
             active = [i for i in active if 0.0 < p[i] < 1.0]
-    if land:
-        # the landing: first only words are kept in balance, the last document is drawn by what is left of its probability
-        while active:
-            if len(active) > 1:
-                a, b = (max(size[i], CLOSE) for i in active[:2])
-                move(active[:2], [b, -a] if a + b < 1e15 else [1.0, -1.0])
-            else:
-                p[active[0]] = 1.0 if next(draws) < p[active[0]] else 0.0
-            active = [i for i in active if 0.0 < p[i] < 1.0]
     return np.array(p, np.float64)
 
 
+def landed(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide every fractional document, from long to short, so that the words stay close to their expectation.
+
+    The longer ones fly; each one left over is drawn, and the words it got too many or too few come from the shorter ones,
+    in proportion to what these can give.  Where the shorter ones hold too few words for it, the choice that leaves less is made.
+    """
+    p = p.copy()
+    turn = [i for i in np.argsort(-size, kind="stable") if 0.0 < p[i] < 1.0]
+    open_, empty = [i for i in turn if size[i] > 0], [i for i in turn if size[i] <= 0]
+    while open_:
+        # the shorter half lands later; a document that it cannot make up for is drawn first, at the cost of all others
+        half = len(open_) // 2
+        able = sum(size[i] * min(p[i], 1 - p[i]) for i in open_[len(open_) - half:])
+        body = open_[:1] if size[open_[0]] * max(p[open_[0]], 1 - p[open_[0]]) > able else open_[:len(open_) - half]
+        rest = np.array(open_[len(body):], np.int64)
+        if len(body) > 1:
+            p[body] = fly(p[body], size[body], rng, False)
+        for i in body:
+            if not 0.0 < p[i] < 1.0:
+                continue
+            # what neither choice's correction can reach is the error; only where both are equal is the choice a draw
+            short = max(0.0, size[i] * p[i] - float((1 - p[rest]) @ size[rest]))
+            over = max(0.0, size[i] * (1 - p[i]) - float(p[rest] @ size[rest]))
+            drawn = float(rng.random() < p[i]) if abs(short - over) <= CLOSE else float(short > over)
+            words, p[i] = size[i] * (p[i] - drawn), drawn
+            give = 1 - p[rest] if words > 0 else p[rest]
+            total = float(give @ size[rest])
+            if total > 0:
+                p[rest] = np.clip(p[rest] + np.sign(words) * give * min(1.0, abs(words) / total), 0.0, 1.0)
+        p[rest] = np.where(p[rest] < CLOSE, 0.0, np.where(p[rest] > 1 - CLOSE, 1.0, p[rest]))
+        open_ = [i for i in rest if 0.0 < p[i] < 1.0]
+    if empty:
+        p[empty] = fly(p[empty], size[empty], rng, False)
+        undecided = [i for i in empty if 0.0 < p[i] < 1.0]
+        p[undecided] = (rng.random(len(undecided)) < p[undecided]).astype(float)
+    return p
+
+
 def flight(units: DataFrame, chunk: int, land: bool) -> DataFrame:
     """One round over the chunks (column ``chunk``) of each source."""
 

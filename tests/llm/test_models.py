@@ -52,6 +52,19 @@ def test_mixing_targets_and_balance(spark):
     assert again == got
 
 
+def test_landing_ends_near_the_target():
+    # short documents make up for every draw: what is left is less than the shortest one; probabilities are kept on average
+    size = np.random.default_rng(3).integers(5, 400, 300).astype(float)
+    p = np.full(300, 0.37)
+    runs = np.array([mixing.fly(p, size, np.random.default_rng(k), True) for k in range(300)])
+    assert set(np.unique(runs)) == {0.0, 1.0} and np.quantile(abs(runs @ size - p @ size), 0.99) <= 3 * size.min()
+    assert abs(runs.mean(0) - 0.37).max() < 0.15
+    # one document outweighs all others: the better of both choices is made
+    for share, want in ((0.94, 1.0), (0.2, 0.0)):
+        got = mixing.fly(np.full(4, share), np.array([3000.0, 60.0, 50.0, 0.0]), np.random.default_rng(1), True)
+        assert got[0] == want
+
+
 def test_mix_repeats_rows(spark):
     docs = documents(spark, ["a b c"] * 40, ["x", "y"])
     mixed, got = mixing.mix(docs), rows_by(mixing.mixed_sizes(docs), "doc_id")
