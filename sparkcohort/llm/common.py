@@ -26,6 +26,11 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with its columns called c0, c1, ..., so that no name of the caller's meets one of ours."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(q(column).cast("string"), F.lit(""))
 

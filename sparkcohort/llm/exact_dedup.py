@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import SPACES, join_checked, q, text_of
+from sparkcohort.llm.common import SPACES, join_checked, numbered, q, text_of
 from sparkcohort.session import settle
 
 PREFIX = 128
@@ -65,12 +65,13 @@ def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", p
     Only rows whose length and prefix hash occur twice are hashed as a whole and moved; the others pass straight through.
     Of repeated rows (same id, equal text) the one with the smallest text hash stays.
     """
-    norm = docs.withColumn("__norm", normalised(text))
+    plain = numbered(docs)
+    own_id, own_text = f"c{docs.columns.index(id)}", f"c{docs.columns.index(text)}"
+    norm = plain.withColumn("__norm", normalised(own_text))
     rows = norm.withColumns({"__len": F.octet_length("__norm"), "__prefix": F.xxhash64(F.substring("__norm", 1, prefix))})
     suspects = suspect_prefixes(rows.select("__len", "__prefix")).withColumn("__suspect", F.lit(True))
     rows = join_checked(rows, suspects, ["__len", "__prefix"], "left")
-    columns = [q(c) for c in docs.columns]
-    single = rows.where("__suspect IS NULL").select(*columns)
+    single = rows.where("__suspect IS NULL").select(*plain.columns)
     first = (rows.where("__suspect").groupBy(F.sha2("__norm", 256).alias("__sha"))
-             .agg(F.min_by(F.struct(*columns), F.struct(q(id).isNull(), q(id), F.xxhash64(text_of(text)))).alias("__row")))
-    return single.unionByName(first.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+             .agg(F.min_by(F.struct(*plain.columns), F.struct(F.col(own_id).isNull(), F.col(own_id), F.xxhash64(text_of(own_text)))).alias("__row")))
+    return single.unionByName(first.select("__row.*")).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import q, text_of
+from sparkcohort.llm.common import numbered, q, text_of
 from sparkcohort.session import broadcast_if_small, join_groups, settle
 
 WEIGHTS = (5, 2, 1)   # by code point order of the sources, repeating
@@ -177,10 +177,14 @@ def mixed_sizes(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """The input's columns, each row as often as the mix takes it."""
-    got = copies(docs, id, text, source, **settings).where("times > 0").select("id", "source", "size", "times")
-    size = F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    same = q(id).eqNullSafe(F.col("__got.id")) & q(source).eqNullSafe(F.col("__got.source")) & (size == F.col("__got.size"))
-    taken = docs.join(got.select(F.struct("*").alias("__got")), same).withColumn(
-        "__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__got.times"))))
-    return taken.select(*[q(c) for c in docs.columns])
+    """The input's columns, each row as often as the mix takes it; extra columns of any name come along.
+
+    Rows with a null text, or one without words, are never taken; a null source is a source, a null id an id.
+    """
+    got = copies(docs, id, text, source, **settings).where("times > 0").select(F.struct("id", "source", "size", "times").alias("got"))
+    plain = numbered(docs)
+    own_id, own_text, own_source = (F.col(f"c{docs.columns.index(c)}") for c in (id, text, source))
+    size = F.regexp_count(F.coalesce(own_text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    same = own_id.eqNullSafe(F.col("got.id")) & own_source.eqNullSafe(F.col("got.source")) & (size == F.col("got.size"))
+    taken = plain.join(got, same).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("got.times"))))
+    return taken.select(*plain.columns).toDF(*docs.columns)

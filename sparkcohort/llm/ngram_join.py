@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import (MIX, block_pairs, byte_slices, components, fixed, forest, join_checked, linked_report, mixed, q, text_of,
+from sparkcohort.llm.common import (MIX, block_pairs, byte_slices, components, fixed, forest, join_checked, linked_report, mixed, numbered, q, text_of,
                                     whole_groups, word_hashes, words_of)
 
 WORDS = 5
@@ -265,7 +265,7 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
     """The input's rows and columns without those whose id is not its class id.  Ids name rows here."""
-    gone = jaccard_join(docs, id, **settings).where("NOT kept").select(F.col(id).alias("__gone")).distinct()
-    gone = gone.withColumn("__drop", F.lit(True))
-    left = docs.withColumn("__gone", q(id))
-    return join_checked(left, gone, ["__gone"], "left", 200_000).where("__drop IS NULL").select(*[q(c) for c in docs.columns])
+    gone = jaccard_join(docs, id, **settings).where("NOT kept").select(F.col(id).alias("gone")).distinct().withColumn("drop", F.lit(True))
+    plain = numbered(docs)
+    left = plain.withColumn("gone", F.col(f"c{docs.columns.index(id)}"))
+    return join_checked(left, gone, ["gone"], "left", 200_000).where("drop IS NULL").select(*plain.columns).toDF(*docs.columns)

@@ -204,8 +204,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``keep`` and ``ids`` (array<int>), one row per input row; null and empty texts have no ids.
 
-    Columns that are not named in ``keep`` are left out.
+    Columns that are not named in ``keep`` are left out; one called ``ids`` gives way to the new column.
     """
+    keep = tuple(c for c in keep if c.lower() != "ids")
     handle = Shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
