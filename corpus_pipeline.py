@@ -43,7 +43,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
           ("source mixing", mixing_stage), ("SentencePiece encoding", encoding_stage)]
 
-#: The classifier and the balanced sample have no SQL form; tests hold each stage against a brute-force version.
+#: The classifier and the balanced sample have no SQL form; tests hold copies, near copies and mixing against plain Python,
+#: encoding against decoding, and the classifier's stage against its scores.
 ORACLE_SQL = None
 
 
