@@ -84,7 +84,8 @@ def conform_observed(df: DataFrame, schema: T.StructType, key: str | Sequence[st
     """``conform``, rows with a NULL key dropped, and what was lost: counted in the pass that reads, not in one of its own.
 
     After an action on the frame, ``observation.get`` holds ``rows`` (read), ``dropped`` (NULL key after the cast) and
-    ``failed_<column>`` (present values that became NULL) for every column of the schema that the input has.
+    ``failed_<column>`` (present values that became NULL) for every column of the schema that the input has.  The action has to
+    read the frame once, as writing or an aggregation does: a global sort samples its input first and counts it twice.
     """
     keys = [key] if isinstance(key, str) else list(key)
     shared = [f.name for f in schema.fields if f.name in df.columns]

@@ -183,3 +183,23 @@ def test_tied_exact_without_ties_and_at_size(spark):
     assert rt.rank_sum(large, [], "l", "v", exact="tied").first()["p"] == near     # above the bound, as documented
     shifted = rt.pairwise_rank_sum(large, [], "l", "v", exact="tied", exact_below=1_000).first()
     assert shifted["p_adj"] == shifted["p"]
+
+
+def test_k_sample_from_average_ranks(spark):
+    rng = random.Random(8)
+    rows = [(s, l, float(rng.choice([0, 50, 100, 200, 400])) + (l == "c") * 30) for s in ("p", None) for l in "abcd" for _ in range(rng.randint(3, 25))]
+    rows += [("one", "a", 1.0), ("one", "a", 2.0), ("tied", "a", 3.0), ("tied", "b", 3.0), ("p", None, 5.0), ("p", "a", None)]
+    got = {r["s"]: r for r in rt.k_sample(spark.createDataFrame(rows, "s string, l string, v double"), ["s"], "l", "v").collect()}
+    for s in ("p", None):
+        data = [(l, v) for t, l, v in rows if t == s and l is not None and v is not None]
+        ranks, n = mid([v for _, v in data]), len(data)
+        sums = {l: [ranks[v] for k, v in data if k == l] for l in "abcd"}
+        h = 12 / (n * (n + 1)) * sum(sum(x) ** 2 / len(x) for x in sums.values()) - 3 * (n + 1)
+        values = [v for _, v in data]
+        h /= 1 - sum(values.count(v) ** 3 - values.count(v) for v in set(values)) / (n ** 3 - n)
+        assert (got[s]["n"], got[s]["groups"], got[s]["df"]) == (n, 4, 3)
+        assert got[s]["statistic"] == pytest.approx(h)
+        # three degrees of freedom: closed form of the tail
+        tail = math.erfc(math.sqrt(h / 2)) + math.sqrt(2 * h / math.pi) * math.exp(-h / 2)
+        assert got[s]["p"] == pytest.approx(tail, abs=1e-9)
+    assert got["one"]["statistic"] is None and got["tied"]["statistic"] is None and got["tied"]["p"] is None

@@ -247,3 +247,21 @@ def test_wide_rows_are_not_broadcast(spark):
     plan = lambda f: f._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in plan(broadcast_if_small(keys)).lower()
     assert "broadcast" in plan(broadcast_if_small(keys.select("id"))).lower()
+
+
+def test_conform_counts_what_it_loses(spark):
+    text = spark.createDataFrame([("1", "2.5", "x"), ("two", "3", "y"), (None, "z", None), ("4", None, "w")], "id string, `a.b` string, other string")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("a.b", T.DoubleType()), T.StructField("absent", T.StringType())])
+    kept, seen = tables.conform_observed(text, schema, "id")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, 2.5, None), (4, None, None)]
+    assert seen.get == {"rows": 4, "dropped": 2, "failed_id": 1, "failed_a.b": 1}
+
+
+def test_publish_replaces_its_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([(k, "ab"[k % 2], k % 3) for k in range(12)], "k long, g string, m int")
+    for _ in range(2):      # running it again changes nothing
+        tables.publish(rows, path, ["g", "m"])
+    tables.publish(rows.where("g = 'a' AND m = 0").limit(1).selectExpr("-1L AS k", "g", "m"), path, ["g", "m"])
+    got = sorted(tuple(r) for r in tables.read_table(spark, path).select("k", "g", "m").collect())
+    assert got == sorted([(k, "ab"[k % 2], k % 3) for k in range(12) if not (k % 2 == 0 and k % 3 == 0)] + [(-1, "a", 0)])
