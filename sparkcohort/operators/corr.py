@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcohort.functions.exact import SPEARMAN_MOST, spearman_exact_p
 from sparkcohort.functions.nulls import fixed_text, paste, sql_name
 from sparkcohort.functions.tails import student_t_two_sided
 from sparkcohort.operators.describe import drop_missing
@@ -15,14 +16,20 @@ from sparkcohort.operators.ranks import CELL, COUNT, Cells, mid_rank, prefix_cou
 from sparkcohort.session import join_groups
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.95, standard_error: str = "fieller") -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.95, standard_error: str = "fieller",
+             exact_below: int = 0) -> DataFrame:
     """(group, n, rho, ci_low, ci_high, t, p): Pearson correlation of average ranks.
 
     Rows are first collapsed to distinct (x, y) pairs.  The ranks of x, one row per distinct value, meet the pairs in an
     equi-join; a value that many pairs share makes a large join partition, which the adaptive skew join splits.  The ranks of
     y need no join: the x ranks are summed up per value of y, and the sums are carried through the cells in which y is
     ranked.  The variable with fewer distinct values is the better ``x``.
+
+    Groups of two to ``exact_below`` - 1 rows (``exact_below`` 15 at most) without ties in either variable get the p-value of all
+    permutations: twice the smaller tail of the sum of squared rank differences.  Ties and larger groups keep the t distribution.
     """
+    if exact_below > SPEARMAN_MOST:
+        raise ValueError(f"the exact distribution is for fewer than {SPEARMAN_MOST} rows")
     pairs = (drop_missing(df, x, y).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .agg(F.count(F.lit(1)).alias(COUNT)))
     x_counts = pairs.groupBy(*by, "_x").agg(F.sum(COUNT).alias(COUNT))
@@ -47,14 +54,19 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, level: float = 0.
     z = NormalDist().inv_cdf(0.5 + level / 2.0)
     se2 = {"fieller": "1.06D / (n - 3)", "bonett-wright": "(1D + rho * rho / 2D) / (n - 3)"}[standard_error]
     half = f"{z!r}D * sqrt({se2})"
-    return (sums.selectExpr(*[sql_name(b) for b in by], "n",
-                            f"CASE WHEN {spread} > 0 THEN greatest(-1D, least(1D, {covariance} / sqrt({spread}))) END AS rho")
-            .withColumns({
-                "ci_low": F.expr(f"CASE WHEN n > 3 THEN tanh(atanh(rho) - {half}) END"),
-                "ci_high": F.expr(f"CASE WHEN n > 3 THEN tanh(atanh(rho) + {half}) END"),
-                "t": F.expr("CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt((n - 2) / (1D - rho * rho)) END")})
-            .withColumn("p", F.when((F.abs("rho") == 1) & (F.col("n") > 2), F.lit(0.0))
-                        .otherwise(student_t_two_sided("t", "n - 2"))))
+    squares = ["CAST(_sxx + _syy - 2D * _sxy AS DOUBLE) AS _d"] if exact_below else []
+    untied = [f"n BETWEEN 2 AND {exact_below - 1} AND _sxx = n * (n + 1) * (2 * n + 1) / 6D AND _syy = _sxx AS _exact"] if exact_below else []
+    out = (sums.selectExpr(*[sql_name(b) for b in by], "n",
+                           f"CASE WHEN {spread} > 0 THEN greatest(-1D, least(1D, {covariance} / sqrt({spread}))) END AS rho", *squares, *untied)
+           .withColumns({
+               "ci_low": F.expr(f"CASE WHEN n > 3 THEN tanh(atanh(rho) - {half}) END"),
+               "ci_high": F.expr(f"CASE WHEN n > 3 THEN tanh(atanh(rho) + {half}) END"),
+               "t": F.expr("CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt((n - 2) / (1D - rho * rho)) END")})
+           .withColumn("p", F.when((F.abs("rho") == 1) & (F.col("n") > 2), F.lit(0.0))
+                       .otherwise(student_t_two_sided("t", "n - 2"))))
+    if exact_below:
+        out = out.withColumn("p", F.coalesce(spearman_exact_p("_d", "n", "_exact"), "p")).drop("_d", "_exact")
+    return out
 
 
 def correlation_text(result: DataFrame, name: str = "text", digits: int = 2, p_digits: int = 4,

@@ -287,7 +287,8 @@ def crosstab_wide(spark, d):
 
 
 def missing_pareto(spark, d):
-    return rounded(describe.missing_pareto(scored_documents(spark, d)))
+    rows = reshape.join_assay(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
+    return rounded(describe.missing_pareto(rows))
 
 
 def numeric_profile(spark, d):
@@ -311,6 +312,13 @@ def table_one(spark, d):
                                            number_digits=1))
 
 
+def table_one_overall(spark, d):
+    """The same table with a column over all languages, from one expanded scan."""
+    rows = text_columns(scored_documents(spark, d), ["quality", "toxic"])
+    return rounded(tableone.baseline_table(rows, "lang", ["quality", "toxic", "source"], ["n_chars"], percent_digits=1,
+                                           number_digits=1, overall=True))
+
+
 def table_one_tests(spark, d):
     rows = text_columns(scored_documents(spark, d), ["quality", "toxic"])
     return rounded(tableone.baseline_tests(rows, "lang", ["quality", "source"], method="simulated"))
@@ -404,6 +412,25 @@ def signedrank_pairwise_holm(spark, d):
     return rounded(study.within_group_over_time(rows, ["vaccine"], MOMENTS, exact=False))
 
 
+def stored(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """A long frame stored by participant."""
+    name = f"long_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tables.store_bucketed(frame, name, "id", buckets, f"{ensure_checkpoint_dir(spark)}/{name}")
+
+
+def signedrank_stored(spark, d):
+    """The same tests on a stored frame: the values of a participant come together in its bucket, without a shuffle."""
+    rows = stored(spark, known_vaccine(complete_long(spark, d)))
+    return rounded(study.within_group_over_time(rows, ["vaccine"], MOMENTS, exact=False))
+
+
+def complete_cases_stored(spark, d):
+    """Complete cases of a stored frame, both sides of the anti-join from the same buckets."""
+    rows = stored(spark, study.titre_long(cohort(spark, d), ["id"]))
+    return reshape.complete_cases_long(rows, "id", "titre").select("id", "moment", "titre")
+
+
 def signedrank_display(spark, d):
     rows = known_vaccine(complete_long(spark, d))
     tests = study.within_group_over_time(rows, ["vaccine"], MOMENTS, exact=False)
@@ -468,6 +495,11 @@ def spearman_by_group(spark, d):
     return rounded(corr.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
+def spearman_exact(spark, d):
+    """Quantity against price of the lines of every order: p-values of all permutations where nothing is tied."""
+    return rounded(corr.spearman(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", "l_extendedprice", exact_below=10))
+
+
 def spearman_text(spark, d):
     return study.assay_agreement(both_assays(spark, d)).select("moment", "n", "text")
 
@@ -643,10 +675,10 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     drop_by_position, drop_with_missing_key, large_row_index, selected_columns, typed_positions, counts_wide, paired_values,
     median_by_group_time, quartiles_iqr, group_counts_labels, assay_quartiles, geomean_by_group, log_mean_control,
     moments_by_group, oneway_freq, crosstab_colpct, crosstab_wide, missing_pareto, numeric_profile,
-    numeric_profile_by_group, dose_interval_summary, table_one, table_one_tests, table_one_rank_tests, ksample_by_priority, published_result, conform_losses, characteristics_table, characteristics_missing, nan_summaries,
+    numeric_profile_by_group, dose_interval_summary, table_one, table_one_overall, table_one_tests, table_one_rank_tests, ksample_by_priority, published_result, conform_losses, characteristics_table, characteristics_missing, nan_summaries,
     narrow_quartiles, narrow_ranksum, exact_ranksum, exact_signedrank, tied_ranksum, tied_signedrank, fisher_three_rows, age_regression,
     bootstrap_geomean_compressed, bootstrap_geomean_split, bootstrap_mean_split, ranksum_by_stratum, ranksum_pairwise_holm, ranksum_vaccine_by_moment, ranksum_second_assay, signedrank_pairwise_holm,
-    signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_text, age_correlation,
+    signedrank_stored, complete_cases_stored, signedrank_display, signedrank_two_level, union_placeholder, spearman_by_group, spearman_exact, spearman_text, age_correlation,
     chisq_status_priority, chisq_two_by_two, fisher_by_language,
     deming_by_group, deming_fixed_ratio, deming_replicates, deming_band, bootstrap_geomean_exact,
     bootstrap_geomean_poisson, ols_log_price, ols_by_group, ols_several_predictors, ols_several_diagnostics, ols_diagnostics, ols_global_test, normal_quantiles,

@@ -118,7 +118,7 @@ firsts AS (SELECT user_id AS id, {', '.join(f'{_event_value(m, "arg_min")} / 4.0
     FROM events GROUP BY 1),
 assay AS ({' UNION ALL '.join(f"SELECT id, '{m}' AS moment, v_{m} AS titre2 FROM firsts" for m in MOMENTS[1:])}),
 both_assays AS (SELECT available.*, titre2 FROM available LEFT JOIN assay USING (id, moment)),
-scored AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+scored AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
 """
 
 
@@ -198,13 +198,27 @@ def spearman(source: str, by: Sequence[str], x: str, y: str) -> list[str]:
     return [f"ranked AS (SELECT {keys}, {rank(x)} AS rx, {rank(y)} AS ry FROM {source} "
             f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL)",
             f"base AS (SELECT {keys}, count(*) AS n, corr(rx, ry) AS rho0 FROM ranked GROUP BY {keys})",
-            "cleaned AS (SELECT * EXCLUDE (rho0), CASE WHEN isnan(rho0) THEN NULL ELSE rho0 END AS rho FROM base)",
+            "cleaned AS (SELECT * EXCLUDE (rho0), CASE WHEN isnan(rho0) THEN NULL WHEN abs(rho0) > 1 - 1e-12 THEN sign(rho0) ELSE rho0 END AS rho FROM base)",
             "rho AS (SELECT *, CASE WHEN n > 3 THEN tanh(atanh(rho) - 1.959963984540054 * sqrt(1.06 / (n - 3))) END AS ci_low, "
             "CASE WHEN n > 3 THEN tanh(atanh(rho) + 1.959963984540054 * sqrt(1.06 / (n - 3))) END AS ci_high, "
             "CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END AS t FROM cleaned)",
             f"full_rho AS (SELECT *, CASE WHEN abs(rho) = 1 AND n > 2 THEN 0.0 WHEN t IS NOT NULL THEN {student_p('t', '(n - 2)')} END AS p FROM rho)"]
 
 
+def spearman_exact_sql(columns: str) -> str:
+    """P-values of small untied groups from all permutations of up to nine numbers, written out one place at a time."""
+    ctes = spearman("lineitem", ["l_orderkey"], "l_quantity", "l_extendedprice")
+    untied = ("untied AS (SELECT l_orderkey, count(*) AS k, CAST(sum((rx - ry) * (rx - ry)) AS BIGINT) AS d FROM ranked GROUP BY 1 "
+              "HAVING count(DISTINCT rx) = count(*) AND count(DISTINCT ry) = count(*) AND count(*) BETWEEN 2 AND 9)")
+    orders = ("perms(k, place, used, s) AS (SELECT k, 0, 0, 0 FROM (SELECT DISTINCT k FROM untied) UNION ALL "
+              "SELECT k, place + 1, used | (1 << i), s + (i - place) * (i - place) FROM perms, range(0, 9) AS numbers(i) "
+              "WHERE i < k AND place < k AND (used >> i) & 1 = 0)")
+    tails = ("exact AS (SELECT l_orderkey, least(1.0, 2.0 * least(sum((s >= d)::INT), sum((s <= d)::INT)) / count(*)) AS q "
+             "FROM (SELECT l_orderkey, d, s FROM untied JOIN perms ON perms.k = untied.k AND place = untied.k) GROUP BY 1)")
+    return ("WITH RECURSIVE " + ", ".join([*ctes, untied, orders, tails]) + f" SELECT l_orderkey, n, {columns} FROM (SELECT full_rho.* REPLACE "
+            "(coalesce(q, p) AS p) FROM full_rho LEFT JOIN exact USING (l_orderkey))")
+
+
 RHO_TEXT = (f"'rho = ' || coalesce({plain('rho', 2)}, 'NA') || ', CI[' || coalesce({plain('ci_low', 2)}, 'NA') || ', ' || "
             f"coalesce({plain('ci_high', 2)}, 'NA') || '], ' || coalesce(CASE WHEN p < 0.05 THEN 'p < 0.05' "
             f"ELSE 'p = ' || {plain('p', 4)} END, 'NA')")
@@ -393,21 +407,22 @@ def pareto_sql(columns: Sequence[str]) -> str:
         "WINDOW w AS (ORDER BY n_missing DESC, variable)", f"m AS ({rows})")
 
 
-def table_one_sql() -> str:
-    cat = lambda c: (f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS level, lang, count(*) AS n FROM scored "
-                     f"WHERE lang IS NOT NULL GROUP BY 2, 3")
+def table_one_sql(overall: bool = False) -> str:
+    rows = "t AS (SELECT * FROM scored WHERE lang IS NOT NULL"
+    rows += " UNION ALL SELECT * REPLACE ('overall' AS lang) FROM scored WHERE lang IS NOT NULL)" if overall else ")"
+    cat = lambda c: f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS level, lang, count(*) AS n FROM t GROUP BY 2, 3"
     share = "n / sum(n) FILTER (level IS NOT NULL) OVER (PARTITION BY variable, lang)"
     d1 = lambda e: f"format('{{:.1f}}', round_even({e}, 1))"
     none = "CAST(NULL AS DOUBLE)"
     return with_cohort(
         f"SELECT variable, level, lang, CASE WHEN level IS NULL THEN 'unknown' ELSE 'categorical' END AS kind, n, "
         f"CASE WHEN level IS NOT NULL THEN {r(share)} END AS percent, {none} AS p25, {none} AS median, {none} AS p75, "
-        f"{big('coalesce(sum(n) FILTER (level IS NOT NULL) OVER (PARTITION BY variable), 0)')} AS n_present, "
+        f"{big("coalesce(sum(n) FILTER (level IS NOT NULL AND lang <> 'overall') OVER (PARTITION BY variable), 0)")} AS n_present, "
         f"CASE WHEN level IS NULL THEN CAST(n AS VARCHAR) ELSE n || ' (' || {pct(share)} || ')' END AS text FROM c "
         f"UNION ALL SELECT 'n_chars', NULL, lang, 'continuous', count(*), NULL, {r(quartile('n_chars', .25))}, "
-        f"{r(quartile('n_chars', .5))}, {r(quartile('n_chars', .75))}, {big('sum(count(*)) OVER ()')}, "
+        f"{r(quartile('n_chars', .5))}, {r(quartile('n_chars', .75))}, {big("sum(count(*)) FILTER (lang <> 'overall') OVER ()")}, "
         f"{d1(quartile('n_chars', .5))} || ' (' || {d1(quartile('n_chars', .25))} || ', ' || {d1(quartile('n_chars', .75))} || ')' "
-        f"FROM scored WHERE lang IS NOT NULL GROUP BY lang",
+        f"FROM t GROUP BY lang", rows,
         f"c AS ({' UNION ALL '.join(cat(c) for c in ('quality', 'toxic', 'source'))})")
 
 
@@ -599,7 +614,7 @@ def oracle_queries() -> dict[str, str]:
     wide = lambda s: (f"{pct(f'count(*) FILTER (o_orderstatus = {chr(39)}{s}{chr(39)}) / sum(count(*) FILTER (o_orderstatus = {chr(39)}{s}{chr(39)})) OVER ()')} "
                       f"|| ' (' || count(*) FILTER (o_orderstatus = '{s}') || ')' AS {s}")
     q["crosstab_wide"] = f"SELECT o_orderpriority, {', '.join(wide(s) for s in 'FOP')} FROM orders GROUP BY 1"
-    q["missing_pareto"] = pareto_sql(["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
+    q["missing_pareto"] = pareto_sql(["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"])
     q["numeric_profile"] = profile_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     q["numeric_profile_by_group"] = with_cohort(profile_sql("scored", ["n_chars", "quality", "toxic"], "lang"))
     dd = "(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0"
@@ -609,6 +624,7 @@ def oracle_queries() -> dict[str, str]:
         f"{r(quartile('d', .75) + ' - ' + quartile('d', .25))} AS iqr_days FROM (SELECT o_orderpriority, {dd} AS d FROM orders "
         "JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
     q["table_one"] = table_one_sql()
+    q["table_one_overall"] = table_one_sql(overall=True)
     # all expected counts reach five here, so both variables take the chi-square test
     q["table_one_tests"] = with_cohort(
         f"SELECT variable, CASE WHEN min_expected >= 5 THEN 'chi-square' END AS test, {r('statistic')} AS statistic, {r('p')} AS p, "
@@ -649,6 +665,8 @@ def oracle_queries() -> dict[str, str]:
         *rank_sum("src", ["moment"], "sex", "titre2", ["Femenino", "Masculino"]))
     q["signedrank_pairwise_holm"] = with_cohort(
         f"SELECT vaccine, {PAIRWISE} FROM adjusted", KNOWN, *signed_rank("known", ["vaccine"], "titre", MOMENTS), *holm(["vaccine"]))
+    q["signedrank_stored"] = q["signedrank_pairwise_holm"]
+    q["complete_cases_stored"] = q["complete_cases_long"]
     q["signedrank_display"] = with_cohort(
         f"SELECT vaccine, CAST(row_number() OVER (ORDER BY vaccine, position) AS INTEGER) AS id, CAST(position AS INTEGER) AS position, group1, group2, "
         f"{r('p_adj')} AS p_adj FROM (SELECT *, CASE WHEN ord1 = 2 AND ord2 = 3 THEN 1 WHEN ord1 = 3 AND ord2 = 4 THEN 2 "
@@ -666,6 +684,7 @@ def oracle_queries() -> dict[str, str]:
     rho = ", ".join(f"{r(c)} AS {c}" for c in ("rho", "ci_low", "ci_high", "t", "p"))
     q["spearman_by_group"] = with_(f"SELECT l_returnflag, n, {rho} FROM full_rho",
                                    *spearman("lineitem", ["l_returnflag"], "l_quantity", "l_extendedprice"))
+    q["spearman_exact"] = spearman_exact_sql(rho)
     q["spearman_text"] = with_cohort(
         f"SELECT moment, n, {RHO_TEXT} AS text FROM full_rho",
         "sp AS (SELECT moment, CASE WHEN titre = 0 THEN 1.0 ELSE titre END AS y, titre2 FROM both_assays WHERE titre2 IS NOT NULL)",

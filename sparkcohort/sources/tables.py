@@ -122,3 +122,17 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """
     (df.hint("rebalance", *[quoted(c) for c in partition_by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
+
+
+def store_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Store a frame once, bucketed and sorted by ``key``, and give back the stored table.
+
+    Whatever groups by the key and any further columns (complete cases, the values of a participant in one row) reads its bucket
+    and shuffles nothing; so do joins of two frames stored alike on the key alone.  Bucketing by participant rather than by stratum
+    and participant keeps a stratum that holds most rows spread over all buckets.  Rows are dealt to their buckets before
+    writing, so that a bucket is one file.  A table of the name must not exist.  ``path`` makes an external table there.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    writer = df.repartition(buckets, *[quoted(k) for k in keys]).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).mode("errorifexists").saveAsTable(name)
+    return df.sparkSession.table(name)

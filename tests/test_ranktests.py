@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkcohort.functions.exact import squared_distance_frequencies
+from sparkcohort.operators import corr
 from sparkcohort.operators import ranktests as rt
 
 X = [.80, .83, 1.89, 1.04, 1.45, 1.38, 1.91, 1.64, .73, 1.46]
@@ -203,3 +205,30 @@ def test_k_sample_from_average_ranks(spark):
         tail = math.erfc(math.sqrt(h / 2)) + math.sqrt(2 * h / math.pi) * math.exp(-h / 2)
         assert got[s]["p"] == pytest.approx(tail, abs=1e-9)
     assert got["one"]["statistic"] is None and got["tied"]["statistic"] is None and got["tied"]["p"] is None
+
+
+def test_spearman_exact_tries_all_orders(spark):
+    rng = random.Random(8)
+    groups = {n: rng.sample(range(n), n) for n in range(2, 9)}
+    groups[9], groups[12] = list(range(9)), rng.sample(range(12), 12)
+    rows = [(str(n), float(i), float(v)) for n, order in groups.items() for i, v in enumerate(order)]
+    rows += [("tied", 1.0, 1.0), ("tied", 2.0, 1.0), ("tied", 3.0, 5.0), ("tied", 4.0, 2.0), ("tied", None, 2.0), ("one", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    exact = {r["g"]: r for r in corr.spearman(df, ["g"], "x", "y", exact_below=10).collect()}
+    plain = {r["g"]: r for r in corr.spearman(df, ["g"], "x", "y").collect()}
+    assert exact["2"].asDict().keys() == plain["2"].asDict().keys()
+    for n in range(2, 9):
+        observed = sum((i - v) ** 2 for i, v in enumerate(groups[n]))
+        sums = [sum((i - v) ** 2 for i, v in enumerate(order)) for order in itertools.permutations(range(n))]
+        assert exact[str(n)]["p"] == pytest.approx(two_sided(sums, observed), rel=1e-12)
+    assert exact["9"]["p"] == pytest.approx(2 / math.factorial(9), rel=1e-9) and exact["9"]["rho"] == 1.0
+    for kept in ("12", "tied", "one"):        # too large, tied, too small
+        assert exact[kept]["p"] == plain[kept]["p"]
+    with pytest.raises(ValueError):
+        corr.spearman(df, ["g"], "x", "y", exact_below=16)
+    assert corr.spearman(df.limit(0), ["g"], "x", "y", exact_below=10).collect() == []
+
+
+def test_squared_distances_at_the_largest_size():
+    ways = squared_distance_frequencies(14)
+    assert ways.sum() == math.factorial(14) and ways[0] == ways[-1] == 1 and (ways == ways[::-1]).all() and ways[2] == 13

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcohort.operators import contingency, describe, levels, reshape, tableone
+from sparkcohort.operators import contingency, describe, levels, ranktests, reshape, tableone
 from sparkcohort.session import broadcast_if_small
 from sparkcohort.sources import tables
 
@@ -265,3 +265,41 @@ def test_publish_replaces_its_partitions_only(spark, tmp_path):
     tables.publish(rows.where("g = 'a' AND m = 0").limit(1).selectExpr("-1L AS k", "g", "m"), path, ["g", "m"])
     got = sorted(tuple(r) for r in tables.read_table(spark, path).select("k", "g", "m").collect())
     assert got == sorted([(k, "ab"[k % 2], k % 3) for k in range(12) if not (k % 2 == 0 and k % 3 == 0)] + [(-1, "a", 0)])
+
+
+def test_overall_column(spark):
+    rows = [("x", "a", 1.0), ("x", "a", 3.0), ("x", "b", None), ("x", None, 5.0), ("y", "a", 2.0), (None, "a", 9.0)]
+    df = spark.createDataFrame(rows, "g string, c string, v double")
+    key = lambda r: (r["variable"], r["level"], r["g"], r["kind"])
+    plain = {key(r): r for r in tableone.baseline_table(df, "g", ["c"], ["v"]).collect()}
+    both = tableone.baseline_table(df, "g", ["c"], ["v"], overall=True)
+    got = {key(r): r for r in both.collect()}
+    assert {k: r for k, r in got.items() if k[2] != "overall"} == plain
+    assert got["c", "a", "overall", "categorical"]["text"] == "3 (75%)" and got["c", "a", "overall", "categorical"]["n_present"] == 4
+    assert got["c", None, "overall", "unknown"]["n"] == 1 and got["v", None, "overall", "unknown"]["n"] == 1
+    assert (got["v", None, "overall", "continuous"]["median"], got["v", None, "overall", "continuous"]["n_present"]) == (2.5, 4)
+    assert tableone.baseline_table(df.limit(0), "g", ["c"], ["v"], overall=True).count() == 0
+    tested = tableone.baseline_table_with_tests(df, "g", ["c"], overall=True)
+    assert len({(r["test"], r["p"]) for r in tested.where("variable = 'c'").collect()}) == 1
+    once = tableone.categorical_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "lang", ["source"], overall=True)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" in plan
+
+
+def test_stored_frame_is_read_without_a_shuffle(spark, tmp_path):
+    rows = [(i, f"s{i % 2}", t, None if i % 7 == 0 and t == "b" else float(i + len(t))) for i in range(60) for t in ("a", "b")]
+    df = spark.createDataFrame(rows, "id long, s string, t string, v double")
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        for _ in range(2):
+            stored = tables.store_bucketed(df, "stored_long", "id", 4, str(tmp_path / "long"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (lambda f: reshape.complete_cases_long(f, "id", "v"), lambda f: ranktests.paired_wide(f, ["s"], "id", "t", "v", ["a", "b"])):
+            got, want = make(stored), make(df)
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" in want._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE stored_long")
