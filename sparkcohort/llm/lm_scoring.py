@@ -41,6 +41,7 @@ BUCKET_TOKENS = 4_000_000  # tokens for which a bucket is added, up to MOST_BUCK
 MOST_BUCKETS = 1024
 HELD = 1_000_000           # codes that a task holds before it sums them up or sends them on
 PACKS = 4096               # packs of a bucket that meet one copy of its table
+MOST_PARTS = 50_000        # partitions of a shuffle; a task goes through its buckets one after the other, so it may have several
 FACTOR, INVERSE = np.uint32(0x9E3779B1), np.uint32(pow(0x9E3779B1, -1, 2**32))
 
 
@@ -466,16 +467,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id: str = "doc_
     salts = int(np.ceil(max(total * 6 / SLICE, 1) / PACKS))
     buckets = max(16, int(np.ceil(sum(r[3] for r in levels[fit:]) / RARE_TOKENS)))
     handle = Shipped(docs.sparkSession, model)
-    parts = max((1 << bits) + buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # only buckets of numbered words are spread over copies of their table
+    parts = lambda copied: max(min((1 << bits) * copied + buckets, MOST_PARTS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tables = (rows.mapInArrow(count_packs(bits, handle), "bucket int, codes binary, t binary, b binary")
-              .repartition(parts, "bucket").sortWithinPartitions("bucket")
+              .repartition(parts(1), "bucket").sortWithinPartitions("bucket")
               .mapInArrow(merge_counts, "bucket int, codes binary, t binary, b binary"))
     id_type = docs.schema[id].dataType.simpleString()
     shape = f"bucket int, salt int, pack long, codes binary, docs binary, counts binary, own binary, lengths binary, runs binary, kinds binary, numbers binary, hashes binary, mine binary, ids array<{id_type}>, sizes binary, base binary"
     packs = rows.mapInArrow(document_packs(bits, salts, buckets, handle, leave_words), shape).withColumn("table", F.lit(1))
     copies = tables.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).cast("long").alias("pack"), "codes",
                            F.col("t").alias("docs"), F.col("b").alias("counts"), F.lit(0).alias("table"))
-    met = (packs.unionByName(copies, allowMissingColumns=True).repartition(parts * salts, "bucket", "salt")
+    met = (packs.unionByName(copies, allowMissingColumns=True).repartition(parts(salts), "bucket", "salt")
            .sortWithinPartitions("bucket", "salt", "table").mapInArrow(
                score_packs(bits, handle), f"pack long, docs binary, sums binary, ids array<{id_type}>, sizes binary, base binary"))
     done = met.repartition("pack").sortWithinPartitions("pack", F.length("sizes").desc(), F.size("ids").desc()).mapInArrow(

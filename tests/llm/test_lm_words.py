@@ -81,3 +81,20 @@ def test_query_leaves_own_words_out(spark, tmp_path):
     got = rows_by(queries.op9_lm_scoring(spark, str(tmp_path)), "doc_id")
     for k, (n, want) in enumerate(by_definition(texts, target & set(range(len(texts))), leave_words=True)):
         assert [got[k][0]["ce_target"], got[k][0]["ce_background"]] == pytest.approx(want, abs=2e-5)
+
+
+def test_tasks_of_several_buckets_and_copies(spark, monkeypatch):
+    """Many buckets, each with several copies of its table, dealt to three tasks."""
+    texts, target = corpus()
+    for name, value in (("SLICE", 2_000), ("PACKS", 4), ("BUCKET_TOKENS", 100), ("RARE_TOKENS", 50), ("MOST_PARTS", 3)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        frame = spark.createDataFrame([(k,) for k in target], "doc_id long")
+        scores = lm_scoring.cross_entropy_difference(documents(spark, texts), frame, most_numbered=40, leave_words=True)
+        got = rows_by(scores, "doc_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for k, (n, want) in enumerate(by_definition(texts, target, leave_words=True)):
+        assert [got[k][0]["ce_target"], got[k][0]["ce_background"]] == pytest.approx(want, abs=2e-5)
