@@ -9,6 +9,7 @@ import pytest
 
 from sparkcohort.llm import exact_dedup, ngram_join, suffix_dedup
 from sparkcohort.llm.common import components
+from sparkcohort.llm.queries import QUERIES
 from tests.llm.helpers import documents, empty, prose, rows_by
 
 RNG = random.Random(3)
@@ -144,6 +145,46 @@ def test_suffix_dedup_against_brute_force(spark, texts, most):
             assert hashlib.sha256(row["kept"]).hexdigest() == row["kept_sha256"]
 
 
+def passages_by_force(texts, words):
+    """(words covered by strings of that many words which start at two places, their maximal runs) of every text."""
+    rows = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = {}
+    for k, row in enumerate(rows):
+        for s in range(len(row) - words + 1):
+            seen.setdefault(tuple(row[s:s + words]), []).append((k, s))
+    again = [np.zeros(len(row) + 1, bool) for row in rows]
+    for places in seen.values():
+        if len(places) > 1:
+            for k, s in places:
+                again[k][s:s + words] = True
+    return [(int(x.sum()), int((x[1:] < x[:-1]).sum())) for x in again]
+
+
+@pytest.mark.parametrize("most", [2048, 1])
+def test_suffix_dedup_passages_against_brute_force(spark, texts, most):
+    short = " ".join(prose(RNG, 1)[:4] for _ in range(51))
+    longer = prose(RNG, 140)
+    every = [*texts[:-3], prose(RNG, 30) + " " + short + " " + prose(RNG, 40), short.replace(" ", "\n\t"), short[:-1] + "Z", short.rsplit(" ", 1)[0], "w " * 80, "a b " * 60,
+             longer, longer + " " + longer[5:], prose(RNG, 20) + " " + longer, "é " * 51, "é" * 400, longer.replace(" ", "\u00a0"), longer]
+    assert len(short.encode()) < 400
+    for words, gram in ((51, 8), (9, 3)):
+        got = rows_by(suffix_dedup.without_repeats(documents(spark, every), words=words, word_gram=gram, most=most), "doc_id")
+        assert [(got[k][0]["n_passage_words"], got[k][0]["n_passages"]) for k in range(len(every))] == passages_by_force(every, words)
+        assert [got[k][0]["n_removed"] for k in range(len(every))] == [want[1] for want in repeats_by_force(every, 400)]
+
+
+def test_suffix_dedup_finds_benchmark_passages_under_the_span(spark, tmp_path):
+    """Passages of over 50 words that lie in two documents, all shorter than a string that is removed."""
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if len(r.text.split()) > 50]
+    assert items and max(len(t.encode()) for t in items) < suffix_dedup.SPAN
+    every = [f"{prose(RNG, 60)}\n{t} {prose(RNG, 60)}" for t in items * 2] + [prose(RNG, 200) for _ in items]
+    documents(spark, every, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_by(QUERIES["op1_suffix_array_dedup"](spark, str(tmp_path)), "doc_id")
+    want = passages_by_force(every, suffix_dedup.WORDS)
+    assert [(got[k][0]["n_removed"], got[k][0]["n_passage_words"], got[k][0]["n_passages"]) for k in range(len(every))] == [(0, *w) for w in want]
+    assert all(w[0] > 50 for w in want[:2 * len(items)]) and want[2 * len(items):] == [(0, 0)] * len(items)
+
+
 def test_suffix_dedup_counts_repeated_rows(spark):
     docs = documents(spark, [prose(RNG, 200)], extra=False)
     assert suffix_dedup.without_repeats(docs).first()["n_removed"] == 0
