@@ -38,6 +38,8 @@ WORDS = 51               # passages of over 50 words
 WORD_GRAM = 8
 PIECE = 8 << 20          # longer texts (in bytes, in words) are looked through in overlapping pieces
 MOST_RUNS = 2048         # different stretches of one anchor that are sorted in one task
+HOT = 5_000              # runs of one anchor that are moved by its key
+HOT_KEYS = 50_000        # at most so many anchors are sent to all tasks
 POSITIONS = 1 << 20      # suffixes sorted at once
 SPAN_COLUMNS = ("begin", "end", "word_begin", "word_end")
 PLACE = np.uint64((1 << 24) - 1)
@@ -298,7 +300,14 @@ def repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = MO
     runs = found.coalesce(max(1, -(-total // 500_000))).select("u", F.inline(F.arrays_zip("key", "stretch", "low", "high")))
     # runs whose anchor occurs once hold no repeat, and most of them do: only the others move on with their places
     keys = runs.groupBy("key").agg(F.count("*").alias("all"), (F.min("stretch") < F.max("stretch")).alias("several")).where("all > 1")
-    shared = fixed(runs.join(keys.hint("shuffle_hash"), "key"), 500_000)
+    keys = fixed(keys, 500_000)
+    hot = keys.where(F.col("all") > max(HOT, total // HOT_KEYS))
+    if hot.take(1):
+        # a passage of very many texts would fill a task: its runs stay where they are
+        cold = runs.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keys.hint("shuffle_hash"), "key")
+        shared = fixed(cold.unionByName(runs.join(F.broadcast(hot), "key")), 500_000)
+    else:
+        shared = fixed(runs.join(keys.hint("shuffle_hash"), "key"), 500_000)
     stretches = fixed(shared.groupBy("key", "stretch").agg(
         F.count("*").alias("n"), F.min(F.struct("u", "low", "high")).alias("one"), F.max("all").alias("all"), F.max("several").alias("several")).select(
         "key", "stretch", "n", "all", "several", "one.*"), 500_000)

@@ -185,6 +185,15 @@ def test_suffix_dedup_finds_benchmark_passages_under_the_span(spark, tmp_path):
     assert all(w[0] > 50 for w in want[:2 * len(items)]) and want[2 * len(items):] == [(0, 0)] * len(items)
 
 
+def test_suffix_dedup_leaves_runs_of_hot_anchors_in_place(spark, monkeypatch):
+    passage = prose(RNG, 130)
+    every = [f"{prose(RNG, 40)} {passage} {prose(RNG, k)}" for k in range(30)] + ["w " * 900] * 3 + [prose(RNG, 300)] * 2
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    got = rows_by(suffix_dedup.without_repeats(documents(spark, every)), "doc_id")
+    assert [got[k][0]["n_removed"] for k in range(len(every))] == [want[1] for want in repeats_by_force(every, 400)]
+    assert [(got[k][0]["n_passage_words"], got[k][0]["n_passages"]) for k in range(len(every))] == passages_by_force(every, 51)
+
+
 def test_suffix_dedup_counts_repeated_rows(spark):
     docs = documents(spark, [prose(RNG, 200)], extra=False)
     assert suffix_dedup.without_repeats(docs).first()["n_removed"] == 0
