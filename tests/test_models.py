@@ -314,3 +314,9 @@ def test_several_diagnostics_and_the_single_predictor(spark):
     assert [r["cooks_distance"] for r in got] == pytest.approx(list(std ** 2 * np.diag(hat) / (4 * (1 - np.diag(hat)))), rel=1e-6)
     one, plain = regress.ols_several(df, [], ["a"], "y").orderBy("position").collect(), regress.ols(df, [], "a", "y").first()
     assert [one[0]["estimate"], one[1]["se"], one[1]["p"]] == pytest.approx([plain["intercept"], plain["slope_se"], plain["slope_p"]], rel=1e-6)
+
+
+def test_exact_draws_are_never_the_broadcast_side(spark):
+    df = spark.createDataFrame([("a", float(i % 7)) for i in range(40)], "g string, v double")
+    plan = resample.replicate_sums(df, ["g"], {"_x": "v"}, 20, method="exact")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint=(strategy=broadcast)" not in plan
