@@ -320,3 +320,37 @@ def test_exact_draws_are_never_the_broadcast_side(spark):
     df = spark.createDataFrame([("a", float(i % 7)) for i in range(40)], "g string, v double")
     plan = resample.replicate_sums(df, ["g"], {"_x": "v"}, 20, method="exact")._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint=(strategy=broadcast)" not in plan
+
+
+def test_weights_read_off_their_sequence_equal_expanded_rows(spark):
+    df = spark.range(-700, 900).select((F.col("id") * 1_500_000_007).alias("_key"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"),
+                                       (F.col("id") % 41 + 0.25).cast("double").alias("x"), F.lit(1e6).alias("y"))
+    for by in (["g"], []):
+        want, got = ({tuple(r[c] for c in (*by, "replicate")): r for r in f(df, by, ["x", "y"], "_key", 1_000, 5).collect()}
+                     for f in (resample._poisson_sums, resample._lagged_sums))
+        assert want.keys() == got.keys()
+        for k, r in want.items():
+            assert r["weight"] == got[k]["weight"] and (got[k]["x"], got[k]["y"]) == pytest.approx((r["x"], r["y"]), rel=1e-12)
+    plan = resample.replicate_sums(df, ["g"], {"_x": "x"}, 10_000, key="_key", method="poisson")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(" not in plan  # no row for every row and replicate
+
+
+def test_many_rows_of_a_cell_are_correlated(spark):
+    import pyarrow as pa
+    replicates, rng = 1_000, np.random.default_rng(3)
+    size, span = resample.cell_size(replicates)
+    last = (resample.PRIME - 1) // span                    # the last cell reaches beyond the prime
+    rows = [(chunk, cell, group, cell * span + int(p), float(v)) for chunk, cell, group, n in
+            ((0, 5, 1, 700), (0, 5, 2, 40), (0, last, 1, 700), (0, last, 3, 20), (1, 5, 7, 600), (1, 9, 7, 4))
+            for p, v in zip(rng.integers(0, min(span, resample.PRIME - cell * span), n), rng.normal(3, 2, n))]
+    assert 600 * replicates > resample.DENSE * size
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.float64()])], ["_chunk", "_cell", "_group", "_at", "x"])
+    parts = [batch.slice(i, 500) for i in range(0, len(rows), 500)]
+    got = [r for out in resample.lagged(["x"], replicates)(iter(parts)) for r in out.to_pylist()]
+    assert [r["_group"] for r in got] == [1, 2, 3, 7]
+    bounds = resample.poisson_thresholds()
+    for r in got:
+        own = [(at, x) for _, _, g, at, x in rows if g == r["_group"]]
+        for lag in (1, 2, 517, 1_000):
+            w = [sum(pow((at + lag) * resample.REPLICATE_STEP, 5, resample.PRIME) >= b for b in bounds) for at, _ in own]
+            assert r["weight"][lag - 1] == sum(w) and r["x"][lag - 1] == pytest.approx(sum(k * x for k, (_, x) in zip(w, own)), rel=1e-12)
