@@ -57,3 +57,8 @@ def test_scans_are_pruned_and_windows_are_cut_into_cells(spark):
     assert "PushedFilters: [In(l_returnflag, [A,N,R]), IsNotNull(l_extendedprice)]" in plan
     # the window over measurements is partitioned by cell, and rows are counted before they are shuffled
     assert "_cell#" in plan and plan.count("partial_sum") >= 2
+
+
+@pytest.mark.parametrize("name", ["error_bars", "bootstrap_geomean_poisson"])
+def test_no_row_for_every_row_and_replicate(spark, name):
+    assert "explode(sequence(" not in entry_points.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
