@@ -4,6 +4,7 @@ import itertools
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -303,3 +304,19 @@ def test_stored_frame_is_read_without_a_shuffle(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
         spark.sql("DROP TABLE stored_long")
+
+
+def test_fisher_large_dense_tables(spark):
+    # three rows and about 2,000 observations: far too many tables to complete one by one
+    columns = [(60, 45, 380), (31, 32, 224), (39, 37, 210), (150, 90, 702)]
+    counts = matrix(spark, columns, "dense")
+    exact = contingency.fisher_exact_counts(counts, ["t"], "r", "c").collect()[0]["p"]
+    cells = np.array(columns).T
+    factorial = contingency._log_factorials(int(cells.sum()))
+    score = -factorial[contingency._random_tables(cells.sum(1), cells.sum(0), 40_000, np.random.default_rng(7))].sum((1, 2))
+    assert exact == pytest.approx(np.mean(score <= -factorial[cells].sum() + 1e-7), abs=5 * math.sqrt(exact * (1 - exact) / 40_000))
+    # every table is low beside a limit of nothing, whatever the nodes it is counted by
+    rows, cols = cells.sum(1), cells.sum(0)
+    nodes = np.array([(a, b, cols[:2].sum() - a - b) for a in range(min(rows[0], cols[:2].sum()) + 1) for b in range(min(rows[1], cols[:2].sum()) + 1)
+                      if 0 <= cols[:2].sum() - a - b <= rows[2]])
+    assert contingency.low_mass(nodes, rows, cols[:2], cols[2:], 0.0, factorial) == pytest.approx(1.0, rel=1e-9)
