@@ -5,6 +5,9 @@ sample of k shifts the distribution of k - 1 by its rank, so the distribution of
 observation at a time.  A test's observations are cut in two halves in rank order; each half is a row of work, and one row per
 sample size of the first half joins what both give.  Distributions are kept as shares (halved with every observation), only over
 sums that can occur: a half of m observations holds at most about m^3 / 3 numbers for the rank sum and m^2 for signed ranks.
+
+Tests of small strata run where their rows are sorted (``stratum_tests``), many to a batch.  Their p-value follows from how many
+observations each distinct value has and the size of the first sample, so a task makes the distribution of a short list once.
 """
 
 from __future__ import annotations
@@ -102,6 +105,123 @@ def samples_in_all(total: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([1.0 if pd.isna(k) else 2 ** int(n) / math.comb(int(n), int(k)) for n, k in zip(total, size)], dtype="float64")
 
 
+KNOWN_LENGTH = 10        # observations of the tests whose distributions a task keeps: fewer than 10,000 in all
+
+
+def p_values(ties: list[int], size: int | None) -> tuple[int, np.ndarray]:
+    """(least sum, two-sided p of every sum from there on): all samples of ``size``, or all subsets, of the tied ranks."""
+    ranks = doubled_mid_ranks(ties)
+    base, shares = subset_sums(ranks) if size is None else sample_sums(ranks, size)[size]
+    tails = np.minimum(np.cumsum(shares), np.cumsum(shares[::-1])[::-1])
+    return base, np.minimum(1.0, 2 * tails * (1.0 if size is None else 2 ** len(ranks) / math.comb(len(ranks), size)))
+
+
+class KnownTests:
+    """P-values of tests given as runs of equal observations; those of short tests are kept, in one array."""
+
+    def __init__(self, signed: bool):
+        self.signed, self.values = signed, np.zeros(0)
+        self.at = np.full(1 << (KNOWN_LENGTH + 8), np.iinfo(np.int64).min)     # by shape: where the p-value of a sum of zero would be
+
+    def p(self, first: np.ndarray, ties: np.ndarray, place: np.ndarray, total: np.ndarray, size: np.ndarray, target: np.ndarray,
+          wanted: np.ndarray) -> np.ndarray:
+        """``first``: each test's first run; ``ties``, ``place``: observations of each run, and of its test before it."""
+        out = np.full(len(first), np.nan)
+        # a bit for every place at which a run begins tells the runs of a short test
+        starts = np.add.reduceat(np.where(place > 0, 1 << np.minimum(place, KNOWN_LENGTH), 0), first) if len(first) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(ties))
+        short = np.flatnonzero(wanted & (total <= KNOWN_LENGTH))
+        shape = (starts[short] >> 1) << 8 | total[short] << 4 | (0 if self.signed else size[short])
+        unknown, example = np.unique(shape, return_index=True)
+        for key, i in zip(unknown, short[example]):
+            if self.at[key] < -len(self.values) - (1 << 40):
+                base, values = p_values(ties[first[i]:last[i]].tolist(), None if self.signed else int(size[i]))
+                self.at[key] = len(self.values) - base
+                self.values = np.concatenate([self.values, values])
+        out[short] = self.values[self.at[shape] + target[short]]
+        for i in np.flatnonzero(wanted & (total > KNOWN_LENGTH)):
+            base, values = p_values(ties[first[i]:last[i]].tolist(), None if self.signed else int(size[i]))
+            out[i] = values[target[i] - base]
+        return out
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    """Where a value of a key column is another than the one before (missing ones are equal)."""
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return np.array([a != b for a, b in zip(values, values[1:])], bool)
+    if column.null_count or not pa.types.is_integer(column.type):
+        column = column.dictionary_encode("encode").indices
+    values = column.to_numpy(zero_copy_only=False)
+    return values[1:] != values[:-1]
+
+
+def stratum_tests(keys: list[str], pairs: list[tuple[int, int]] | None, exact_below: int):
+    """Statistics and exact p-values of whole strata, from rows (keys, _x, _mark) sorted by keys and ``_x``.
+
+    With ``pairs``, ``_mark`` is the level of a row and every pair of levels is a rank-sum test of the stratum.  Without, ``_x``
+    is the size of a difference and ``_mark`` whether it is positive.  Rows (keys, _test, n1, n2, statistic, _ties, _exact): n2 is
+    the number of non-zero differences in a signed-rank test, and ``_exact`` is null from ``exact_below`` observations on.
+    """
+    signed = pairs is None
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Batches of whole strata with the first row of each."""
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            change = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                change |= _differs(batch.column(batch.schema.get_field_index(k)))
+            starts = np.flatnonzero(change) + 1
+            if len(starts):
+                yield batch.slice(0, int(starts[-1])), np.concatenate([[0], starts[:-1]])
+            rest = batch.slice(int(starts[-1])) if len(starts) else batch
+        if rest is not None:
+            yield rest, np.zeros(1, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownTests(signed)
+        for batch, starts in whole(batches):
+            x, mark = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_x", "_mark"))
+            stratum = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+            number, rows = [], []
+            for pair, levels in enumerate(pairs or [None]):
+                used = x > 0 if signed else (mark == levels[0]) | (mark == levels[1])
+                own, value, chosen = stratum[used], x[used], (mark[used] > 0 if signed else mark[used] == levels[0])
+                sizes = np.bincount(own, minlength=len(starts))
+                ones = np.bincount(own, chosen, len(starts)).astype(np.int64)
+                n = len(own)
+                run_at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])])) if n else np.zeros(0, np.int64)
+                ties = np.diff(np.append(run_at, n))
+                test, place = own[run_at], run_at - (np.cumsum(sizes) - sizes)[own[run_at]]
+                picked = np.add.reduceat(chosen.astype(np.int64), run_at) if n else ties
+                # doubled rank sums of whole numbers, exact as doubles
+                doubled = np.bincount(test, picked * (2 * place + ties + 1), len(starts)).astype(np.int64)
+                tied = np.bincount(test, ties.astype(float) * (ties.astype(float) * ties - 1), len(starts))
+                p = np.full(len(starts), np.nan)
+                there = np.flatnonzero(sizes)
+                first = np.searchsorted(test, there)
+                small = (sizes < exact_below if signed else (ones > 0) & (ones < sizes) & (ones < exact_below) & (sizes - ones < exact_below))
+                p[there] = known.p(first, ties, place, sizes[there], ones[there], doubled[there], small[there])
+                if signed:
+                    n1, n2, statistic, kept = np.bincount(stratum, minlength=len(starts)), sizes, doubled / 2, np.arange(len(starts))
+                else:
+                    n1, n2, statistic = ones, sizes - ones, (doubled - ones * (ones + 1)) / 2
+                    kept = np.flatnonzero((n1 > 0) & (n2 > 0))
+                number.append(starts[kept])
+                rows.append([np.full(len(kept), pair), n1[kept], n2[kept], statistic[kept], tied[kept], p[kept]])
+            columns = [np.concatenate(c) for c in zip(*rows)]
+            of = batch.select(keys).take(pa.array(np.concatenate(number)))
+            arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+                      pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.float64(), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays([*of.columns, *arrays], names=[*keys, "_test", "n1", "n2", "statistic", "_ties", "_exact"])
+
+    return run
+
+
 def tied_p(tests: DataFrame) -> DataFrame:
     """(tid, p): twice the smaller tail, from rows (tid, ties, size, target).
 

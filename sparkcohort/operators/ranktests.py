@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from sparkcohort.functions.derive import SIGNIFICANCE_CUTS, significance_code
 from sparkcohort.functions.exact import EXACT_BELOW, rank_sum_exact_p, signed_rank_exact_p
-from sparkcohort.functions.nulls import present, sql_text
-from sparkcohort.functions.shift import tied_p
+from sparkcohort.functions.nulls import present, sql_name, sql_text
+from sparkcohort.functions.shift import stratum_tests, tied_p
 from sparkcohort.functions.tails import chi2_upper, normal_two_sided
 from sparkcohort.operators.levels import known_levels, level_pairs
 from sparkcohort.operators.reshape import single_value
 from sparkcohort.operators.ranks import CELL, Cells, clean_values, value_counts
-from sparkcohort.session import broadcast_if_small, join_groups, settle
+from sparkcohort.session import broadcast_if_small, join_groups, settle, spread
+
+SMALL_STRATUM = 256      # rows of a stratum whose tied tests are made in one task
 
 
 def _pick_pairs(levels: Sequence[str], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[int, int]]:
@@ -54,6 +56,36 @@ def _with_tied_p(tests: DataFrame, by: Sequence[str], small: Column, ties: DataF
     return join_groups(tests, exact_p, key, "left").withColumn("p", F.coalesce("_exact", "p")).drop("_exact")
 
 
+def _by_size(rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of small strata and those of all others (None when there are none)."""
+    large = settle(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SMALL_STRATUM)
+                   .select(*key, F.lit(True).alias("_large")))
+    if not large.take(1):
+        return rows, None
+    marked = join_groups(rows, broadcast_if_small(large), key, "left")
+    return marked.where("_large IS NULL").drop("_large"), marked.where("_large").drop("_large")
+
+
+def _stratum_tests(rows: DataFrame, key: Sequence[str], pairs: Sequence[tuple[int, int]] | None, exact_below: int) -> DataFrame:
+    """Tied tests of small strata from rows (key, _x, _mark): one shuffle by stratum, and everything else where its rows are."""
+    fields = [f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in rows.select(*key).schema]
+    schema = ", ".join([*fields, "_test int, n1 long, n2 long, statistic double, _ties double, _exact double"])
+    dealt = spread(rows, *key) if key else rows.repartition(1)
+    return dealt.sortWithinPartitions(*key, "_x").mapInArrow(stratum_tests(list(key), pairs, exact_below), schema)
+
+
+def _rank_sum_normal(tests: DataFrame, correct: bool) -> DataFrame:
+    mean, total = "(CAST(n1 AS DOUBLE) * n2)", "(CAST(n1 AS DOUBLE) + n2)"
+    variance = f"({mean} / 12D * ({total} + 1D - _ties / ({total} * ({total} - 1D))))"
+    return _normal_test(tests, f"(statistic - {mean} / 2D)", variance, correct)
+
+
+def _signed_rank_normal(tests: DataFrame, correct: bool) -> DataFrame:
+    n = "CAST(_n AS DOUBLE)"
+    variance = f"({n} * ({n} + 1D) * (2D * {n} + 1D) / 24D - _ties / 48D)"
+    return _normal_test(tests, f"(statistic - {n} * ({n} + 1D) / 4D)", variance, correct)
+
+
 def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: Sequence[str] | None = None,
              pairs: Sequence[tuple[str, str]] | None = None, correct: bool = True, exact: bool | str | None = None,
              exact_below: int = EXACT_BELOW) -> DataFrame:
@@ -65,11 +97,26 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
     group (50, the usual convention of this test) without ties; ``exact=False`` never does (and needs no Python worker).
     ``exact="tied"`` is exact below ``exact_below`` with ties and without, on the permutations of the mid-ranks; titres are
     dilutions, so most of their samples are tied.  ``exact_below`` may be any number: see ``functions.shift`` for the memory.
+    Its strata of at most ``SMALL_STRATUM`` rows are sorted and tested where one shuffle brings them; the rows are the same.
     """
     levels = known_levels(df, level, levels)
     chosen = _pick_pairs(levels, pairs)
     used = sorted({i for pair in chosen for i in pair})
     members = df.where(F.col(level).isin([levels[i] for i in used]))
+    if exact == "tied":
+        small, large = _by_size(clean_values(members, value).select(*by, level, value), by)
+        marked = small.select(*by, F.col(value).alias("_x"), F.coalesce(*[F.when(F.col(level) == levels[i], F.lit(i)) for i in used]).alias("_mark"))
+        names = ", ".join(f"named_struct('group1', {sql_text(levels[i])}, 'group2', {sql_text(levels[j])}, 'ord1', {i + 1}, 'ord2', {j + 1})" for i, j in chosen)
+        tests = _rank_sum_normal(_stratum_tests(marked, by, chosen, exact_below), correct).select(
+            *by, F.expr(f"get(array({names}), _test)").alias("_g"), "n1", "n2", "statistic", "z", F.coalesce("_exact", "p").alias("p")).select(
+            *by, "_g.*", "n1", "n2", "statistic", "z", "p")
+        return tests if large is None else tests.unionByName(_rank_sum_by_cells(large, by, level, value, levels, chosen, correct, exact, exact_below))
+    return _rank_sum_by_cells(members, by, level, value, levels, chosen, correct, exact, exact_below)
+
+
+def _rank_sum_by_cells(members: DataFrame, by: Sequence[str], level: str, value: str, levels: Sequence[str], chosen: Sequence[tuple[int, int]],
+                       correct: bool, exact: bool | str | None, exact_below: int) -> DataFrame:
+    used = sorted({i for pair in chosen for i in pair})
     counts = value_counts(members, by, value, {f"_n{i}": F.col(level) == levels[i] for i in used})
 
     in_cell = (Window.partitionBy(*by, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
@@ -95,9 +142,7 @@ def rank_sum(df: DataFrame, by: Sequence[str], level: str, value: str, levels: S
         f"'n1', n{i}, 'n2', n{j}, 'statistic', w{i}_{j}, '_ties', t{i}_{j})" for i, j in chosen)
     tests = (per_stratum.select(*by, F.expr(f"inline(array({rows}))")).where("n1 > 0 AND n2 > 0"))
 
-    mean, total = "(CAST(n1 AS DOUBLE) * n2)", "(CAST(n1 AS DOUBLE) + n2)"
-    variance = f"({mean} / 12D * ({total} + 1D - _ties / ({total} * ({total} - 1D))))"
-    out = _normal_test(tests, f"(statistic - {mean} / 2D)", variance, correct)
+    out = _rank_sum_normal(tests, correct)
     if exact == "tied":
         each = ", ".join(f"named_struct('ord1', {i + 1}, 'ord2', {j + 1}, 't', _n{i} + _n{j})" for i, j in chosen)
         ties = counts.select(*by, F.col(value).alias("value"), F.expr(f"inline(array({each}))")).where("t > 0")
@@ -171,6 +216,22 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
         F.struct(F.lit(k).alias("_pair"), (col[i] - col[j]).alias("_d")) for k, (i, j) in enumerate(chosen)
     ])).alias("_e")).select(*by, "_e._pair", "_e._d").where(present(F.col("_d")))
 
+    key = [*by, "_pair"]
+    names = ", ".join(f"named_struct('group1', {sql_text(levels[i])}, 'group2', {sql_text(levels[j])}, "
+                      f"'ord1', {i + 1}, 'ord2', {j + 1})" for i, j in chosen)
+    if exact == "tied":
+        small, large = _by_size(diffs, key)
+        marked = small.select(*key, F.abs("_d").alias("_x"), F.when(F.col("_d") > 0, 1).otherwise(0).alias("_mark"))
+        # n2 of these is the number of non-zero differences
+        tests = _stratum_tests(marked, key, None, exact_below).select(
+            *by, F.expr(f"get(array({names}), _pair)").alias("_g"), "n1", F.col("n2").alias("_n"), "statistic", "_ties", "_exact")
+        p = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.coalesce("_exact", "p"))
+        tests = _signed_rank_normal(tests, correct).select(*by, "_g.*", "n1", F.col("n1").alias("n2"), "statistic", "z", p.alias("p"))
+        return tests if large is None else tests.unionByName(_signed_rank_by_cells(large, by, names, correct, exact, exact_below))
+    return _signed_rank_by_cells(diffs, by, names, correct, exact, exact_below)
+
+
+def _signed_rank_by_cells(diffs: DataFrame, by: Sequence[str], names: str, correct: bool, exact: bool | str | None, exact_below: int) -> DataFrame:
     key = [*by, "_pair"]
     counts = (diffs.withColumn("_abs", F.abs("_d")).groupBy(*key, "_abs")
               .agg(F.count_if(F.col("_d") > 0).alias("_pos"), F.count(F.lit(1)).alias("_all")))
@@ -190,13 +251,9 @@ def signed_rank_wide(wide: DataFrame, by: Sequence[str], columns: Mapping[str, s
                  F.expr("sum(_v + CAST(_P AS DOUBLE) * _o) AS statistic"),
                  F.sum("_ties").alias("_ties")))
 
-    names = ", ".join(f"named_struct('group1', {sql_text(levels[i])}, 'group2', {sql_text(levels[j])}, "
-                      f"'ord1', {i + 1}, 'ord2', {j + 1})" for i, j in chosen)
     tests = tests.withColumn("_g", F.expr(f"get(array({names}), _pair)")).select(
         *by, "_g.*", "n1", F.col("n1").alias("n2"), "_n", "statistic", "_ties")
-    n = "CAST(_n AS DOUBLE)"
-    variance = f"({n} * ({n} + 1D) * (2D * {n} + 1D) / 24D - _ties / 48D)"
-    out = _normal_test(tests, f"(statistic - {n} * ({n} + 1D) / 4D)", variance, correct)
+    out = _signed_rank_normal(tests, correct)
     if exact == "tied":
         ties = counts.where(~zero).select(*by, F.expr(f"get(array({names}), _pair)").alias("_g"), F.col("_abs").alias("value"), F.col("_all").alias("t"))
         ties = ties.select(*by, "_g.ord1", "_g.ord2", "value", "t")

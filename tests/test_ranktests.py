@@ -232,3 +232,41 @@ def test_spearman_exact_tries_all_orders(spark):
 def test_squared_distances_at_the_largest_size():
     ways = squared_distance_frequencies(14)
     assert ways.sum() == math.factorial(14) and ways[0] == ways[-1] == 1 and (ways == ways[::-1]).all() and ways[2] == 13
+
+
+def mixed_strata():
+    """Strata of 1 to 600 rows, under keys that may be missing, with values that may be."""
+    rng = random.Random(9)
+    rows = []
+    for k, n in enumerate([1, 2, 3, 5, 7, 9, 10, 11, 13, 40, 90, 200, 255, 256, 257, 600]):
+        values = [0.0, -0.0, 1.0, 1.0, 2.5, float("nan"), None] if k % 2 else [rng.uniform(-3, 3) for _ in range(4 + n // 2)]
+        rows += [(None if k == 4 else k // 2, None if k % 2 else "odd", rng.choice("xyzu"), float(i), rng.choice(values), rng.choice(values)) for i in range(n)]
+    return rows
+
+
+def same_tests(spark, monkeypatch, run, key):
+    got = {tuple(r[c] for c in key): r for r in run().collect()}
+    monkeypatch.setattr(rt, "SMALL_STRATUM", 0)            # every stratum by cells
+    want = {tuple(r[c] for c in key): r for r in run().collect()}
+    assert got.keys() == want.keys() and len(got) > 12
+    for k, r in want.items():
+        assert got[k].asDict().keys() == r.asDict().keys()
+        for c, v in r.asDict().items():
+            assert got[k][c] == (v if v is None or not isinstance(v, float) else pytest.approx(v, rel=1e-9)), (k, c)
+
+
+def test_tied_rank_sums_of_small_strata_equal_those_by_cells(spark, monkeypatch):
+    df = spark.createDataFrame(mixed_strata(), "a long, b string, l string, i double, v double, w double").repartition(5)
+    same_tests(spark, monkeypatch, lambda: rt.rank_sum(df, ["a", "b"], "l", "v", ["x", "y", "z"], exact="tied"), ["a", "b", "ord1", "ord2"])
+
+
+def test_tied_signed_ranks_of_small_strata_equal_those_by_cells(spark, monkeypatch):
+    df = spark.createDataFrame(mixed_strata(), "a long, b string, l string, i double, v double, w double").repartition(5)
+    same_tests(spark, monkeypatch, lambda: rt.signed_rank_wide(df, ["a", "b"], {"v": "v", "w": "w", "i": "i"}, exact="tied"), ["a", "b", "ord1", "ord2"])
+
+
+@pytest.mark.parametrize("name", ["tied_signedrank", "tied_ranksum"])
+def test_tied_tests_of_small_strata_take_one_shuffle(spark, name):
+    from sparkcohort.plans.catalog import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
